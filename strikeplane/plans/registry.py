@@ -2,20 +2,581 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import angles, grades
+from ..operators import aggregates, clusters, fusion, neighbours, networks, ordered, predict, quality, screening
+from . import views as v
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "set_table"
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles rounded, zeros without a sign, for comparison."""
+    return df.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def r(expr: str, name: str, digits: int = 4) -> str:
+    return f"round({expr}, {digits}) + 0.0::DOUBLE AS {name}"
+
+
+# scalar functions
+
+
+@query(f"WITH {v.LOG} SELECT well, row_id, {r('nx', 'nx', 6)}, {r('ny', 'ny', 6)}, {r('nz', 'nz', 6)} FROM obs")
+def normals_from_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(v.log(spark, sf_dir).select("well", "row_id", "nx", "ny", "nz"), 6)
+
+
+@query(
+    f"WITH {v.LOG}, back AS (SELECT well, degrees(acos(least(1.0::DOUBLE, abs(nz)))) AS d, ((degrees(atan2(nx, ny)) + CASE WHEN nz < 0 THEN 180 ELSE 0 END) % 360 + 360) % 360 AS a, dip, dip_dir FROM obs) "
+    "SELECT well, count(*) AS n, count(*) FILTER (abs(d - dip) > 1e-5) AS n_dip_off, count(*) FILTER (dip > 0.5 AND dip < 89.5 AND least(abs(a - dip_dir), 360 - abs(a - dip_dir)) > 1e-5) AS n_direction_off FROM back GROUP BY well"
+)
+def roundtrip_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = angles.vector()
+    rows = v.log(spark, sf_dir).withColumn("d", angles.dip(n)).withColumn("a", angles.dip_direction(n))
+    off = angles.axial_difference(F.col("a"), F.col("dip_dir"), 360) > 1e-5
+    return rows.groupBy("well").agg(
+        F.count("*").alias("n"),
+        F.count(F.when(F.abs(F.col("d") - F.col("dip")) > 1e-5, 1)).alias("n_dip_off"),
+        F.count(F.when((F.col("dip") > 0.5) & (F.col("dip") < 89.5) & off, 1)).alias("n_direction_off"),
+    )
+
+
+@query(
+    f"WITH {v.LOG}, p AS (SELECT *, CASE WHEN dip = 0 THEN 0 ELSE sqrt(2.0::DOUBLE) * sin(radians(dip / 2)) END AS ra, tan(radians((90 - dip) / 2)) AS re FROM obs) "
+    f"SELECT well, row_id, {r('ra * sin(radians(dip_dir))', 'ax', 5)}, {r('ra * cos(radians(dip_dir))', 'ay', 5)}, {r('re * sin(radians(dip_dir))', 'ex', 5)}, {r('re * cos(radians(dip_dir))', 'ey', 5)} FROM p"
+)
+def stereonet_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.log(spark, sf_dir)
+    ax, ay = angles.equal_area_xy(F.col("dip"), F.col("dip_dir"))
+    ex, ey = angles.equal_angle_xy(F.col("dip"), F.col("dip_dir"))
+    return rounded(rows.select("well", "row_id", ax.alias("ax"), ay.alias("ay"), ex.alias("ex"), ey.alias("ey")), 5)
+
+
+@query(f"WITH {v.LOG} SELECT ftype, floor(((dip_dir + 90) % 180) / 5)::BIGINT AS bin, count(*) AS n FROM obs GROUP BY ALL")
+def rose_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axial = angles.wrap(F.col("dip_dir") + 90, 180)
+    return v.log(spark, sf_dir).groupBy("ftype", F.floor(axial / 5).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {v.LOG}, t AS (SELECT ftype, (dip_dir + 90) % 180 AS s FROM obs), d AS (SELECT ftype, s, unnest([0, 1, 2]) AS k, unnest([170.0::DOUBLE, 50.0::DOUBLE, 110.0::DOUBLE]) AS c FROM t), "
+    "g AS (SELECT ftype, s, k, least(((s - c) % 180 + 180) % 180, 180 - ((s - c) % 180 + 180) % 180) AS far FROM (SELECT DISTINCT * FROM d)), b AS (SELECT DISTINCT ON (ftype, s) ftype, s, k FROM g ORDER BY ftype, s, far, k) "
+    "SELECT ftype, k AS trace_set, count(*) AS n FROM t JOIN b USING (ftype, s) GROUP BY ALL"
+)
+def trace_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.log(spark, sf_dir).withColumn("trace_set", angles.trace_set(angles.wrap(F.col("dip_dir") + 90, 180)))
+    return rows.groupBy("ftype", "trace_set").agg(F.count("*").alias("n"))
+
+
+# filters and data quality
+
+
+@query(
+    f"WITH {v.RAW_LOG}, m AS (SELECT *, CASE WHEN depth IS NULL OR dip IS NULL OR dip_dir IS NULL THEN 'null' WHEN dip NOT BETWEEN 0 AND 90 OR dip_dir < 0 OR dip_dir >= 360 THEN 'out_of_range' ELSE 'ok' END AS base FROM raw_log), "
+    "s AS (SELECT *, CASE WHEN base = 'ok' AND row_number() OVER (PARTITION BY well, depth, dip, dip_dir, base ORDER BY row_id) > 1 THEN 'duplicate' ELSE base END AS state FROM m), "
+    "f AS (SELECT *, state = 'ok' AND depth < lag(depth) OVER (PARTITION BY well, state = 'ok' ORDER BY row_id, depth) AS falls FROM s) "
+    "SELECT well::VARCHAR AS well, count(*) AS n_rows, count(*) FILTER (state = 'null') AS n_null, count(*) FILTER (state = 'out_of_range') AS n_out_of_range, count(*) FILTER (state = 'duplicate') AS n_duplicate, count(*) FILTER (state = 'ok') AS n_ok, count(*) FILTER (falls) AS n_falls, count(*) FILTER (falls) = 0 AS monotone, "
+    "CASE WHEN count(*) FILTER (state = 'ok') >= 50 THEN 'A' WHEN count(*) FILTER (state = 'ok') >= 20 THEN 'B' ELSE 'F' END AS grade FROM f GROUP BY well"
+)
+def log_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(quality.flagged(v.raw_log(spark, sf_dir)))
+
+
+@query(f"WITH {v.LOG} SELECT well, count(*) AS n, count(*) FILTER (abs(nz) >= sin(radians(10))) AS n_kept FROM obs GROUP BY well")
+def censored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.log(spark, sf_dir)
+    kept = quality.censored(rows).groupBy("well").agg(F.count("*").alias("n_kept"))
+    return rows.groupBy("well").agg(F.count("*").alias("n")).join(kept, "well", "left").select("well", "n", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
+@query(
+    f"WITH {v.POINTS}, a AS (SELECT net, id, px * cos(radians(30)) + py * sin(radians(30)) AS t FROM pts), c AS (SELECT net, quantile_cont(t, 0.6) AS cut FROM a GROUP BY net) SELECT net, count(*) AS n, count(*) FILTER (t >= cut) AS n_observed FROM a JOIN c USING (net) GROUP BY net"
+)
+def spatial_block_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.spatial_block(v.points(spark, sf_dir).drop("is_obs"))
+    return rows.groupBy("net").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_obs"), 1)).alias("n_observed"))
+
+
+# ordered analytics
+
+_GAPS = "SELECT {k}, count(*) AS n, " + ", ".join([r("avg(gap)", "mean"), r("quantile_cont(gap, 0.5)", "median"), r("quantile_cont(gap, 0.1)", "p10"), r("quantile_cont(gap, 0.9)", "p90")])
+
+
+@query(f"WITH {v.LOG}, g AS (SELECT well, depth - lag(depth) OVER (PARTITION BY well ORDER BY depth, row_id) AS gap FROM obs) {_GAPS.format(k='well')} FROM g WHERE gap > 0 GROUP BY well")
+def depth_gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ordered.gap_stats(v.log(spark, sf_dir), ["well"], "depth", "row_id"))
+
+
+@query(
+    f"WITH {v.DISCS}, a AS (SELECT net, id, px * sin(radians((id * 29) % 360 - 90)) + py * cos(radians((id * 29) % 360 - 90)) AS along FROM discs), g AS (SELECT net, along - lag(along) OVER (PARTITION BY net ORDER BY along, id) AS gap FROM a) {_GAPS.format(k='net')} FROM g WHERE gap > 0.001 GROUP BY net"
+)
+def spacing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.discs(spark, sf_dir).withColumn("dip_dir", F.pmod(F.col("id") * 29, F.lit(360)).cast("double"))
+    return rounded(ordered.gap_stats(ordered.along_strike(rows), ["net"], "along", "id", noise=1e-3))
+
+
+@query(
+    f"WITH {v.STATIONS}, s AS (SELECT well, row_id, md, coalesce(md - lag(md) OVER w, 0) AS d, radians((hazi + coalesce(lag(hazi) OVER w, hazi)) / 2) AS az, radians((hdev + coalesce(lag(hdev) OVER w, hdev)) / 2) AS dv FROM st WINDOW w AS (PARTITION BY well ORDER BY md, row_id)) "
+    f"SELECT well, count(*) AS n, max(md) - min(md) AS length, {r('sum(d * sin(dv) * sin(az))', 'east', 3)}, {r('sum(d * sin(dv) * cos(az))', 'north', 3)}, {r('sum(-d * cos(dv))', 'up', 3)} FROM s GROUP BY well"
+)
+def trajectory_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = ordered.trajectory(v.stations(spark, sf_dir), ["well"])
+    last = path.groupBy("well").agg(F.count("*").alias("n"), (F.max("md") - F.min("md")).alias("length"), *(F.max_by(c, F.struct("md", "row_id")).alias(c) for c in ("east", "north", "up")))
+    return rounded(last, 3)
+
+
+# sets
+
+
+@query(f"WITH {v.ASSIGNED} SELECT well, row_id, set_id, {r('angle', 'angle')} FROM assigned")
+def set_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.assign(v.log(spark, sf_dir), v.reference_centers()).select("well", "row_id", "set_id", "angle"))
+
+
+@query(
+    f"WITH {v.ASSIGNED} SELECT well, set_id, count(*) AS n, {r('avg(angle)', 'mean_angle')}, {r('max(angle)', 'max_angle')}, {r('count(*) / sum(count(*)) OVER (PARTITION BY well)', 'proportion')}, count(*) >= 3 AS statistical FROM assigned GROUP BY well, set_id"
+)
+def set_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.set_dispersion(aggregates.assign(v.log(spark, sf_dir), v.reference_centers()), ["well"]))
+
+
+@query(
+    f"WITH {v.MEANS} SELECT well, set_id, n, {r('proportion', 'proportion')}, {r('mx', 'mx')}, {r('my', 'my')}, {r('mz', 'mz')}, {r('mean_angle', 'mean_angle')}, {r('kappa', 'kappa')}, {r('dip', 'dip')}, {r('dip_dir', 'dip_dir')}, "
+    "CASE WHEN proportion * 100 >= 20 THEN 'strong' WHEN proportion * 100 >= 10 THEN 'moderate' WHEN proportion * 100 >= 5 THEN 'weak' ELSE 'sporadic' END AS development FROM tables"
+)
+def set_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set table of every well: the flagship."""
+    out = aggregates.set_table(v.log(spark, sf_dir), ["well"], v.reference_centers())
+    return rounded(out.withColumn("development", grades.development_grade(F.col("proportion") * 100)).select("well", "set_id", "n", "proportion", "mx", "my", "mz", "mean_angle", "kappa", "dip", "dip_dir", "development"))
+
+
+@query(f"WITH {v.ASSIGNED} SELECT set_id, ftype, count(*) AS n, count(DISTINCT well) AS n_wells FROM assigned GROUP BY ALL")
+def type_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = aggregates.assign(v.log(spark, sf_dir), v.reference_centers())
+    return rows.groupBy("set_id", "ftype").agg(F.count("*").alias("n"), F.countDistinct("well").alias("n_wells"))
+
+
+_W = f"{v.LOG}, raw AS (SELECT *, 1 / greatest(1e-6::DOUBLE, least(1.0::DOUBLE, abs(nz))) AS w0 FROM obs), sc AS (SELECT *, w0 / avg(w0) OVER (PARTITION BY well) AS s FROM raw), tw AS (SELECT *, least(5.0::DOUBLE, greatest(0.1::DOUBLE, s)) AS w, s < 0.1 OR s > 5 AS clipped FROM sc)"
+
+
+@query(
+    f"WITH {_W} SELECT well, count(*) AS n, {r('sum(w) * sum(w) / sum(w * w)', 'ess')}, {r('avg(w)', 'w_mean')}, {r('min(w)', 'w_min')}, {r('max(w)', 'w_max')}, count(*) FILTER (clipped) AS n_clipped FROM tw GROUP BY well"
+)
+def terzaghi_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.effective_size(aggregates.terzaghi(v.log(spark, sf_dir), ["well"]), ["well"]))
+
+
+@query(f"WITH {_W} SELECT well, " + ", ".join(r(f"sum(w * n{a} * n{b}) / sum(w)", f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM tw GROUP BY well")
+def scatter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.scatter(aggregates.terzaghi(v.log(spark, sf_dir), ["well"]), ["well"], F.col("w")))
+
+
+@query(f"WITH {_W} SELECT well, {r('sum(w * (nx*nx + ny*ny + nz*nz)) / sum(w)', 'trace')} FROM tw GROUP BY well")
+def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eigenvalues' sum, from the eigenvalues themselves."""
+    found = aggregates.eigen(aggregates.scatter(aggregates.terzaghi(v.log(spark, sf_dir), ["well"]), ["well"], F.col("w")), ["well"])
+    return rounded(found.select("well", (F.col("l1") + F.col("l2") + F.col("l3")).alias("trace")))
+
+
+@query(
+    f"WITH {v.LOG}, s AS (SELECT well, count(*) AS n, max(depth) - min(depth) AS depth_range FROM obs GROUP BY well) SELECT well, n, {r('depth_range', 'depth_range')}, {r('n / depth_range', 'p10')}, {r('n / depth_range * pi()', 'p32')} FROM s"
+)
+def p10_p32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.intensity(v.log(spark, sf_dir), ["well"]))
+
+
+@query(
+    f"WITH {v.DISCS}, k AS (SELECT * FROM discs WHERE radius BETWEEN 0.1 AND 20), m AS (SELECT net, greatest(0.5::DOUBLE, min(radius)) AS x_min FROM k GROUP BY net), s AS (SELECT net, count(*) AS n, any_value(x_min) AS x_min, sum(ln(radius / x_min)) AS s FROM k JOIN m USING (net) WHERE radius >= x_min GROUP BY net) "
+    f"SELECT net, n, {r('x_min', 'x_min')}, {r('CASE WHEN n >= 10 AND s > 0 THEN least(5.0::DOUBLE, greatest(1.5::DOUBLE, 1 + n / s)) ELSE 3.5 END', 'beta')}, {r('CASE WHEN n >= 10 AND s > 0 THEN (n / s) / sqrt(n) END', 'beta_se')} FROM s"
+)
+def beta_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.power_law(v.discs(spark, sf_dir), ["net"], "radius", 1.0, 10.0))
+
+
+@query(
+    f"WITH {v.MEANS}, kk AS (SELECT a.well, a.set_id, avg(abs(nx*mx + ny*my + nz*mz)) AS r FROM assigned a JOIN means USING (well, set_id) GROUP BY ALL) "
+    f"SELECT well, set_id, {r('r', 'r')}, {r('CASE WHEN r > 0.999 THEN 100 WHEN r < 0.01 THEN 0.01 ELSE least(100.0::DOUBLE, greatest(0.01::DOUBLE, r * (3 - r * r) / (1 - r * r))) END', 'kappa', 3)} FROM kk"
+)
+def resultant_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.log(spark, sf_dir)
+    table = aggregates.set_table(rows, ["well"], v.reference_centers()).select("well", "set_id", "mx", "my", "mz")
+    out = aggregates.kappa(aggregates.assign(rows, v.reference_centers()).drop("angle").join(table, ["well", "set_id"]), ["well", "set_id"])
+    return out.select("well", "set_id", F.round("r", 4).alias("r"), F.round("kappa", 3).alias("kappa"))
+
+
+@query(
+    f"WITH {v.ASSIGNED}, l AS (SELECT well, set_id AS a, ascii(ftype) AS b FROM assigned), g AS (SELECT well, a, b, grouping(a, b) AS g, count(*) AS n FROM l GROUP BY GROUPING SETS ((well, a, b), (well, a), (well, b), (well))), "
+    "s AS (SELECT well, sum(CASE WHEN g = 0 THEN n * (n - 1) / 2 ELSE 0 END) AS ab, sum(CASE WHEN g = 1 THEN n * (n - 1) / 2 ELSE 0 END) AS sa, sum(CASE WHEN g = 2 THEN n * (n - 1) / 2 ELSE 0 END) AS sb, sum(CASE WHEN g = 3 THEN n * (n - 1) / 2 ELSE 0 END) AS t, max(n) AS n FROM g GROUP BY well) "
+    f"SELECT well, n, {r('CASE WHEN n < 2 THEN 0 WHEN abs((sa + sb) / 2 - sa * sb / t) < 1e-12 THEN CASE WHEN abs(ab - sa * sb / t) < 1e-12 THEN 1 ELSE 0 END ELSE (ab - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t) END', 'ari')} FROM s"
+)
+def rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = aggregates.assign(v.log(spark, sf_dir), v.reference_centers())
+    return rounded(aggregates.rand_index(rows, ["well"], "set_id", "ftype"))
+
+
+@query()
+def bootstrap_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.log(spark, sf_dir)
+    table = aggregates.set_table(rows, ["well"], v.reference_centers()).select("well", "set_id", "mx", "my", "mz")
+    placed = aggregates.assign(rows, v.reference_centers()).drop("angle").join(table, ["well", "set_id"])
+    return rounded(aggregates.bootstrap_cone(placed, ["well", "set_id"], resamples=50))
+
+
+# spatial joins and predictors
+
+_KNN = f"{v.POINTS}, near AS (SELECT h.net, h.id, o.id AS other, (h.px-o.px)*(h.px-o.px) + (h.py-o.py)*(h.py-o.py) + (h.pz-o.pz)*(h.pz-o.pz) AS d2, o.nx AS qx, o.ny AS qy, o.nz AS qz FROM pts h JOIN pts o USING (net) WHERE NOT h.is_obs AND o.is_obs), ranked AS (SELECT *, row_number() OVER (PARTITION BY net, id ORDER BY d2, other) AS rank FROM near)"
+
+
+@query(
+    f"WITH {v.POINTS}, n AS (SELECT a.net, a.id, b.id AS other, (a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz) AS d2 FROM pts a JOIN pts b ON a.net = b.net AND a.id <> b.id), w AS (SELECT *, row_number() OVER (PARTITION BY net, id ORDER BY d2, other) AS rank FROM n) SELECT net, id, rank::INT AS rank, other, {r('d2', 'd2', 6)} FROM w WHERE rank <= 5"
+)
+def knn_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    return rounded(neighbours.nearest(rows, rows, 5), 6)
+
+
+@query(
+    f"WITH {v.POINTS} SELECT a.net, a.id, count(*) AS n, {r('min((a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz))', 'least', 6)} FROM pts a JOIN pts b ON a.net = b.net AND a.id <> b.id WHERE (a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz) <= 0.1::DOUBLE * 0.1::DOUBLE GROUP BY a.net, a.id"
+)
+def within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    return rounded(neighbours.within(rows, rows, 0.1).groupBy("net", "id").agg(F.count("*").alias("n"), F.min("d2").alias("least")), 6)
+
+
+@query(f"WITH {_KNN} SELECT net, id, {r('qx', 'qx')}, {r('qy', 'qy')}, {r('qz', 'qz')}, {r('d2', 'd2', 6)} FROM ranked WHERE rank = 1")
+def nearest_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = predict.nearest_direction(predict.blind(v.points(spark, sf_dir)))
+    return rounded(out.withColumn("d2", F.round("d2", 6)), 4).drop("d2").join(rounded(out.select("net", "id", "d2"), 6), ["net", "id"])
+
+
+_ERR = f"{_KNN}, err AS (SELECT k.net, k.id, degrees(acos(least(1.0::DOUBLE, abs(k.qx*p.nx + k.qy*p.ny + k.qz*p.nz)))) AS error FROM ranked k JOIN pts p USING (net, id) WHERE rank = 1)"
+
+
+@query(f"WITH {_ERR} SELECT net, count(*) AS n, {r('avg(error)', 'mae', 3)}, {r('quantile_cont(error, 0.5)', 'p50', 3)}, {r('quantile_cont(error, 0.9)', 'p90', 3)} FROM err GROUP BY net")
+def hidden_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    return rounded(aggregates.error_stats(predict.errors(predict.nearest_direction(predict.blind(rows)), rows), ["net"]), 3)
+
+
+@query(
+    f"WITH {_ERR}, a AS (SELECT id % 3 AS seed, net, avg(error) AS e FROM err GROUP BY ALL), b AS (SELECT seed, avg(e) AS e FROM a GROUP BY seed) SELECT count(*) AS n, {r('avg(e)', 'mae_mean', 3)}, {r('coalesce(stddev_samp(e), 0)', 'mae_std', 3)} FROM b"
+)
+def mae_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    err = predict.errors(predict.nearest_direction(predict.blind(rows)), rows).withColumn("seed", F.pmod("id", F.lit(3)))
+    return rounded(aggregates.two_level_mean(err, "seed", "net"), 3)
+
+
+@query(
+    f"WITH {_KNN}, {v.CENTERS}, sets AS (SELECT net, id AS other, set_id, row_number() OVER (PARTITION BY net, id ORDER BY abs(nx*cx+ny*cy+nz*cz) DESC, c.set_id) AS k FROM (SELECT net, id, nx, ny, nz FROM pts WHERE is_obs) p, centers c), "
+    "v AS (SELECT r.net, r.id, s.set_id, count(*) AS votes FROM ranked r JOIN sets s ON r.net = s.net AND r.other = s.other AND s.k = 1 WHERE rank <= 16 GROUP BY ALL), b AS (SELECT net, id, set_id, votes, sum(votes) OVER (PARTITION BY net, id) AS total, row_number() OVER (PARTITION BY net, id ORDER BY votes DESC, set_id) AS k FROM v) "
+    f"SELECT b.net, b.id, {r('CASE WHEN votes >= 0.6::DOUBLE * total THEN cx ELSE qx END', 'qx')}, {r('CASE WHEN votes >= 0.6::DOUBLE * total THEN cy ELSE qy END', 'qy')}, {r('CASE WHEN votes >= 0.6::DOUBLE * total THEN cz ELSE qz END', 'qz')} FROM b JOIN centers c ON b.set_id = c.set_id JOIN ranked f ON f.net = b.net AND f.id = b.id AND f.rank = 1 WHERE b.k = 1"
+)
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(predict.majority(predict.blind(v.points(spark, sf_dir)), v.reference_centers()))
+
+
+@query(
+    f"WITH {v.POINTS}, o AS (SELECT * FROM pts WHERE is_obs), f AS (SELECT net, set_id, arg_min(nx, id) AS rx, arg_min(ny, id) AS ry, arg_min(nz, id) AS rz FROM o GROUP BY ALL), s AS (SELECT net, set_id, avg(nx * g) AS x, avg(ny * g) AS y, avg(nz * g) AS z FROM (SELECT o.*, CASE WHEN nx*rx+ny*ry+nz*rz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM o JOIN f USING (net, set_id)) GROUP BY ALL), fn AS (SELECT net, arg_min(nx, id) AS rx, arg_min(ny, id) AS ry, arg_min(nz, id) AS rz FROM o GROUP BY net), t AS (SELECT net, avg(nx * g) AS gx, avg(ny * g) AS gy, avg(nz * g) AS gz FROM (SELECT o.*, CASE WHEN nx*rx+ny*ry+nz*rz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM o JOIN fn USING (net)) GROUP BY net), "
+    "a AS (SELECT h.net, h.id, coalesce(x, gx) AS x, coalesce(y, gy) AS y, coalesce(z, gz) AS z FROM pts h JOIN t USING (net) LEFT JOIN s ON h.net = s.net AND h.set_id = s.set_id WHERE NOT h.is_obs) "
+    f"SELECT net, id, {r('x / sqrt(x*x+y*y+z*z)', 'qx')}, {r('y / sqrt(x*x+y*y+z*z)', 'qy')}, {r('z / sqrt(x*x+y*y+z*z)', 'qz')} FROM a"
+)
+def set_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(predict.set_aware(predict.blind(v.points(spark, sf_dir))))
+
+
+@query()
+def fracture_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    return rounded(predict.errors(predict.fracture_aware(predict.blind(rows)), rows).groupBy("net").agg(F.count("*").alias("n"), F.avg("error").alias("mae")), 3)
+
+
+@query()
+def local_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    return rounded(aggregates.error_stats(predict.errors(predict.local_median(predict.blind(rows)), rows), ["net"]), 2)
+
+
+@query()
+def global_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    return rounded(aggregates.error_stats(predict.errors(predict.global_direction(predict.blind(rows)), rows), ["net"]), 3)
+
+
+@query(f"WITH {v.POINTS} SELECT net, count(*) AS n, 0::BIGINT AS n_changed FROM pts WHERE NOT is_obs GROUP BY net")
+def poison_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden predictions that change when hidden normals are replaced: none may."""
+    rows = v.points(spark, sf_dir)
+    named = lambda df: predict.nearest_direction(df).withColumnsRenamed({f"q{c}": f"p{c}" for c in "xyz"})
+    first = named(predict.blind(rows))
+    changed = quality.leaks(first, named(predict.poisoned(rows, 12345)))
+    return first.groupBy("net").agg(F.count("*").alias("n")).join(changed, "net")
+
+
+@query(
+    f"WITH {_ERR}, d AS (SELECT e.net, e.error, k.d2 FROM err e JOIN ranked k ON e.net = k.net AND e.id = k.id AND k.rank = 1), w AS (SELECT net, rank() OVER (PARTITION BY net ORDER BY error) + (count(*) OVER (PARTITION BY net, error) - 1) / 2 AS x, rank() OVER (PARTITION BY net ORDER BY d2) + (count(*) OVER (PARTITION BY net, d2) - 1) / 2 AS y FROM d) SELECT net, count(*) AS n, {r('corr(x, y)', 'rho')} FROM w GROUP BY net"
+)
+def error_distance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.points(spark, sf_dir)
+    return rounded(aggregates.rank_correlation(predict.errors(predict.nearest_direction(predict.blind(rows)), rows), ["net"], "error", "d2"))
+
+
+# clusters
+
+_STEP = (
+    "sim{i} AS (SELECT p.*, c.set_id AS k, c.cx, c.cy, c.cz, row_number() OVER (PARTITION BY rid ORDER BY abs(nx*c.cx + ny*c.cy + nz*c.cz) DESC, c.set_id) AS r FROM obs p JOIN c{i} c USING (well)), "
+    "sum{i} AS (SELECT well, k, sum(nx * g) AS x, sum(ny * g) AS y, sum(nz * g) AS z FROM (SELECT *, CASE WHEN nx*cx+ny*cy+nz*cz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM sim{i} WHERE r = 1) GROUP BY ALL), "
+    "c{j} AS (SELECT c.well, c.set_id, coalesce(x / sqrt(x*x+y*y+z*z), cx) AS cx, coalesce(y / sqrt(x*x+y*y+z*z), cy) AS cy, coalesce(z / sqrt(x*x+y*y+z*z), cz) AS cz FROM c{i} c LEFT JOIN sum{i} s ON c.well = s.well AND c.set_id = s.k)"
+)
+
+
+def _clustered(spark: SparkSession, sf_dir: str, rounds: int) -> tuple[DataFrame, DataFrame]:
+    rows = v.log(spark, sf_dir).withColumnsRenamed({"well": "net", "row_id": "id"})
+    start = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(center, "xyz"))) for center in v.reference_centers()))
+    return rows, clusters.lloyd(rows, rows.select("net").distinct().withColumn("centers", start), rounds)
+
+
+@query(
+    f"WITH {v.LOG}, {v.CENTERS}, c0 AS (SELECT well, set_id, cx, cy, cz FROM (SELECT DISTINCT well FROM obs), centers), "
+    + ", ".join(_STEP.format(i=i, j=i + 1) for i in range(3))
+    + f" SELECT well, set_id, {r('cx', 'cx')}, {r('cy', 'cy')}, {r('cz', 'cz')} FROM c3"
+)
+def lloyd_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of spherical k-means from the reference centers, in every well."""
+    _, centers = _clustered(spark, sf_dir, 3)
+    return rounded(centers.select(F.col("net").alias("well"), F.posexplode("centers").alias("set_id", "c")).select("well", "set_id", *(F.col(f"c.{c}").alias(f"c{c}") for c in "xyz")))
+
+
+@query(
+    f"WITH {v.ASSIGNED}, o AS (SELECT well, rid, max(CASE WHEN r = 1 THEN least(1.0::DOUBLE, s) END) AS a, max(CASE WHEN r = 2 THEN least(1.0::DOUBLE, s) END) AS b FROM sims GROUP BY ALL) "
+    f"SELECT well, count(*) AS n, {r('avg(CASE WHEN greatest(acos(a), acos(b)) <= 0 THEN 0 ELSE (acos(b) - acos(a)) / greatest(acos(a), acos(b)) END)', 'silhouette')} FROM o GROUP BY well"
+)
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centers = _clustered(spark, sf_dir, 0)
+    return rounded(clusters.silhouette(clusters.labelled(rows, centers), ["net"]).withColumnRenamed("net", "well"))
+
+
+@query()
+def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two to four sets for every type of fracture, over all its rows."""
+    rows = v.log(spark, sf_dir).withColumnsRenamed({"ftype": "net", "row_id": "id"})
+    return rounded(clusters.choose_k(rows, 2, 4, 6))
+
+
+# matching and fusing tables
+
+
+def _tables(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    return aggregates.set_table(v.log(spark, sf_dir), [by], v.reference_centers())
+
+
+@query(
+    f"WITH {v.MEANS} SELECT a.well, a.set_id AS set_a, b.set_id AS set_b, {r('degrees(acos(least(1.0::DOUBLE, abs(a.mx*b.mx + a.my*b.my + a.mz*b.mz))))', 'angle')} FROM tables a JOIN tables b ON a.well = b.well AND a.set_id < b.set_id"
+)
+def set_pair_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screening.set_pairs(_tables(spark, sf_dir, "well"), ["well"]))
+
+
+@query(
+    f"WITH {v.MEANS}, p AS (SELECT a.well, a.set_id AS x, b.set_id AS y FROM tables a JOIN tables b ON a.well = b.well AND a.set_id <> b.set_id AND degrees(acos(least(1.0::DOUBLE, abs(a.mx*b.mx + a.my*b.my + a.mz*b.mz)))) < 50) SELECT well, x AS set_id, string_agg(y::VARCHAR, ',' ORDER BY y) AS remark FROM p GROUP BY ALL"
+)
+def near_duplicate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.near_duplicate_remarks(_tables(spark, sf_dir, "well"), ["well"], below=50.0)
+
+
+@query()
+def well_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched sets of every two suppliers' nations, and what they say: wells are pooled by nation first."""
+    return rounded(_nation_pairs(spark, sf_dir))
+
+
+def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("well"), F.col("s_nationkey").alias("table"))
+    return aggregates.set_table(v.log(spark, sf_dir).join(nation, "well"), ["table"], v.reference_centers())
+
+
+def _nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _nation_tables(spark, sf_dir)
+    return fusion.consistency(fusion.matches(fusion.table_pairs(tables, "table")), sizes=tables.groupBy("table").agg(F.count("*").alias("k")))
+
+
+@query()
+def joint_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fusion.joint_pools(_nation_pairs(spark, sf_dir), _nation_tables(spark, sf_dir)))
+
+
+@query()
+def reconcile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fusion.reconcile(_tables(spark, sf_dir, "ftype"), "ftype", "A", "N"))
+
+
+@query()
+def fused_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fusion.fused_centers(_tables(spark, sf_dir, "ftype"), "ftype", "A", "N"))
+
+
+@query()
+def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _tables(spark, sf_dir, "ftype")
+    return rounded(fusion.table_score(tables.filter("ftype = 'R'"), tables.filter("ftype = 'N'")))
+
+
+@query(
+    f"WITH {v.LOG}, s AS (SELECT well, ftype, count(*) AS n FROM obs GROUP BY ALL) SELECT ftype, count(*) AS n_entries, sum(n)::BIGINT AS n_obs, max(n) AS largest FROM s GROUP BY ftype"
+)
+def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = v.log(spark, sf_dir).groupBy("well", "ftype").agg(F.count("*").alias("n"))
+    return entries.groupBy("ftype").agg(F.count("*").alias("n_entries"), F.sum("n").alias("n_obs"), F.max("n").alias("largest"))
+
+
+# networks
+
+
+_EDGES = f"{v.DISCS}, edges AS (SELECT a.net, a.id AS a, b.id AS b FROM discs a JOIN discs b ON a.net = b.net AND a.id < b.id WHERE (a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz) < (a.radius + b.radius) * (a.radius + b.radius))"
+
+
+@query(f"WITH {_EDGES} SELECT net, a, b FROM edges")
+def disc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.disc_edges(v.discs(spark, sf_dir), 11.0)
+
+
+@query(
+    f"WITH {v.DISCS} SELECT a.net, a.id AS a, b.id AS b FROM discs a JOIN discs b ON a.net = b.net AND a.id < b.id WHERE "
+    + " + ".join(f"pow(least(abs(a.{c}-b.{c}), 100 - abs(a.{c}-b.{c})), 2)" for c in ("px", "py", "pz"))
+    + " < (a.radius + b.radius) * (a.radius + b.radius)"
+)
+def periodic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.disc_edges(v.discs(spark, sf_dir), 11.0, (100.0, 100.0, 100.0))
+
+
+@query(
+    f"WITH RECURSIVE {_EDGES}, sides AS (SELECT net, a, b FROM edges UNION ALL SELECT net, b, a FROM edges), reach(net, id, place) AS (SELECT net, id, id FROM discs UNION SELECT r.net, r.id, e.b FROM reach r JOIN sides e ON r.net = e.net AND r.place = e.a), "
+    "comp AS (SELECT net, id, min(place) AS component FROM reach GROUP BY ALL), s AS (SELECT net, component, count(*) AS n FROM comp GROUP BY ALL), x AS (SELECT c.net, component, count(*) >= 2 AND min(px) <= 10 AND max(px) >= 90 AS spans FROM comp c JOIN discs d USING (net, id) GROUP BY ALL) "
+    f"SELECT s.net, sum(s.n)::BIGINT AS n, count(*) AS n_components, max(s.n) AS largest, {r('max(s.n) / sum(s.n)', 'largest_share')}, bool_or(spans) AS spans FROM s JOIN x USING (net, component) GROUP BY s.net"
+)
+def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = v.discs(spark, sf_dir)
+    return rounded(networks.connectivity(d, networks.components(d, neighbours.disc_edges(d, 11.0)), (100.0, 100.0, 100.0)))
+
+
+@query()
+def dominant_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = v.discs(spark, sf_dir)
+    found = networks.dominant_direction(d, networks.components(d, neighbours.disc_edges(d, 11.0)))
+    return rounded(screening.scenario(found, (0.0, 0.0, 1.0), ("high", "middle", "low")))
+
+
+@query()
+def excluded_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screening.excluded_volume(v.discs(spark, sf_dir), (100.0, 100.0, 100.0)))
+
+
+@query()
+def percolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of spanning networks drawn from the table of all wells' sets."""
+    sets = aggregates.set_table(v.log(spark, sf_dir).withColumn("site", F.lit(1)), ["site"], v.reference_centers()).drop("site")
+    return rounded(networks.percolation(spark, sets, [0.5, 1.0, 2.0, 3.0], 3, (20.0, 20.0, 20.0)))
+
+
+@query(
+    f"WITH {v.LOG}, c AS (SELECT well, floor(depth / 50) * 50 AS x, count(*) AS n FROM obs GROUP BY ALL), k AS (SELECT well, x, sum(n) OVER (PARTITION BY well ORDER BY x) / sum(n) OVER (PARTITION BY well) AS y FROM c), l AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS b FROM k WINDOW w AS (PARTITION BY well ORDER BY x)) "
+    f"SELECT well, {r('coalesce(CASE WHEN arg_min(y, x) >= 0.5 THEN min(x) END, min(CASE WHEN b < 0.5 AND y >= 0.5 THEN bx + (0.5 - b) * (x - bx) / (y - b) END), max(x))', 'at')} FROM l GROUP BY well"
+)
+def curve_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    counts = v.log(spark, sf_dir).groupBy("well", (F.floor(F.col("depth") / 50) * 50).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("well").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return rounded(ordered.crossing(counts.withColumn("y", so_far / F.sum("n").over(Window.partitionBy("well"))), ["well"], "x", "y", 0.5))
+
+
+# screens
+
+
+@query(
+    f"WITH {v.MEANS} SELECT well, " + ", ".join(r(f"sum(proportion * ({int(a == b)} - m{a} * m{b}))", f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM tables GROUP BY well"
+)
+def permeability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permeability over that of p32 = 1 in one plane."""
+    found = screening.permeability(_tables(spark, sf_dir, "well"), ["well"], p32=12.0, aperture_mm=1000.0)
+    return rounded(found)
+
+
+@query(
+    f"WITH {v.MEANS}, g AS (SELECT *, least(abs(dip_dir - 120), 360 - abs(dip_dir - 120)) AS gap FROM tables) SELECT well, set_id, {r('gap', 'strike_gap', 3)}, gap < 60 AND dip > 30 AND dip < 70 AS planar FROM g"
+)
+def planar_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screening.planar_slides(_tables(spark, sf_dir, "well"), 120.0, 70.0).select("well", "set_id", "strike_gap", "planar"), 3)
+
+
+@query(
+    f"WITH {v.MEANS}, l AS (SELECT a.well, a.set_id AS set_a, b.set_id AS set_b, a.my*b.mz - a.mz*b.my AS x, a.mz*b.mx - a.mx*b.mz AS y, a.mx*b.my - a.my*b.mx AS z FROM tables a JOIN tables b ON a.well = b.well AND a.set_id < b.set_id), u AS (SELECT well, set_a, set_b, x / sqrt(x*x+y*y+z*z) AS x, y / sqrt(x*x+y*y+z*z) AS y, z / sqrt(x*x+y*y+z*z) AS z FROM l WHERE sqrt(x*x+y*y+z*z) > 1e-9), "
+    f"t AS (SELECT *, ((degrees(atan2(CASE WHEN z > 0 THEN -x ELSE x END, CASE WHEN z > 0 THEN -y ELSE y END)) % 360) + 360) % 360 AS trend, degrees(asin(least(1.0::DOUBLE, abs(z)))) AS plunge FROM u) SELECT well, set_a, set_b, {r('trend', 'trend', 3)}, {r('plunge', 'plunge', 3)}, least(abs(trend - 120), 360 - abs(trend - 120)) < 60 AND plunge > 30 AND plunge < 70 AS wedge FROM t"
+)
+def wedge_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screening.wedges(_tables(spark, sf_dir, "well"), ["well"], 120.0, 70.0), 3)
+
+
+@query(
+    f"WITH {v.MEANS}, s AS (SELECT *, (dip_dir - 90 + 360) % 180 AS st FROM tables), h AS (SELECT *, least(((st - 40) % 180 + 180) % 180, 180 - ((st - 40) % 180 + 180) % 180) AS theta FROM s) SELECT well, set_id, {r('theta', 'theta', 3)}, CASE WHEN theta < 30 THEN 'parallel' WHEN theta > 60 THEN 'perpendicular' ELSE 'oblique' END AS stress_class, row_number() OVER (PARTITION BY well ORDER BY theta, set_id)::INT AS stress_rank FROM h"
+)
+def stress_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screening.stress_ranking(_tables(spark, sf_dir, "well"), ["well"], 40.0).select("well", "set_id", "theta", "stress_class", "stress_rank"), 3)
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critical and estimated bands of each well, from its intensity."""
+    p = aggregates.intensity(v.log(spark, sf_dir), ["well"])
+    return p.select(
+        "well", F.lit(1.2).alias("crit_lo"), F.lit(1.8).alias("crit_hi"), (F.col("p32") * 0.2).alias("est_lo"), (F.col("p32") * 0.8).alias("est_hi"),
+        F.when(F.col("n") % 2 == 0, "high").otherwise("low").alias("escape"),
+    )
+
+
+_BANDS = f"{v.LOG}, p AS (SELECT well, count(*) AS n, count(*) / (max(depth) - min(depth)) * pi() AS p32 FROM obs GROUP BY well), bands AS (SELECT well, 1.2::DOUBLE AS crit_lo, 1.8::DOUBLE AS crit_hi, p32 * 0.2 AS est_lo, p32 * 0.8 AS est_hi, CASE WHEN n % 2 = 0 THEN 'high' ELSE 'low' END AS escape FROM p)"
+_GRADE = "CASE WHEN {eh} < {cl} THEN 'suitable' WHEN {el} > {ch} THEN 'unsuitable' ELSE 'conditional' END"
+_DOWN = "CASE WHEN escape = 'high' THEN CASE WHEN {g} = 'suitable' THEN 'conditional' ELSE 'unsuitable' END ELSE {g} END"
+
+
+@query(f"WITH {_BANDS}, b AS (SELECT *, {_GRADE.format(eh='est_hi', cl='crit_lo', el='est_lo', ch='crit_hi')} AS base_grade FROM bands) SELECT well, base_grade, {_DOWN.format(g='base_grade')} AS grade FROM b")
+def disposal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.disposal_grades(_bands(spark, sf_dir)).select("well", "base_grade", "grade")
+
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@query(
+    f"WITH {_BANDS}, g AS (SELECT * FROM bands, (SELECT unnest([2.5::DOUBLE, 3.0::DOUBLE, 3.5::DOUBLE, 4.0::DOUBLE, 4.5::DOUBLE]) AS beta), (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS factor), (SELECT unnest([-1, 0, 1]) AS k_shift)), "
+    "s AS (SELECT *, (crit_hi - crit_lo) * (0.1::DOUBLE * (beta - 3.5::DOUBLE) / 0.5::DOUBLE) - (crit_hi - crit_lo) * 0.05::DOUBLE * k_shift AS d FROM g), "
+    f"h AS (SELECT *, {_GRADE.format(eh='est_hi', cl='crit_lo', el='est_lo', ch='crit_hi')} AS b0, {_GRADE.format(eh='est_hi * factor', cl='crit_lo + d', el='est_lo * factor', ch='crit_hi + d')} AS b1 FROM s) "
+    f"SELECT well, count(*) AS n, count(*) FILTER ({_DOWN.format(g='b0')} <> {_DOWN.format(g='b1')}) AS n_flipped, {r('avg((' + _DOWN.format(g='b0') + ' <> ' + _DOWN.format(g='b1') + ')::INT)', 'flip_rate')} FROM h GROUP BY well"
+)
+def grade_flip_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = screening.sensitivity(_bands(spark, sf_dir))
+    return rounded(grid.groupBy("well").agg(F.count("*").alias("n"), F.count(F.when(F.col("flips"), 1)).alias("n_flipped"), F.avg(F.col("flips").cast("double")).alias("flip_rate")))
 
 
-def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and mean value of each type of event."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+@query(
+    f"WITH {v.LOG}, s AS (SELECT well, count(*) AS n FROM obs GROUP BY well) SELECT well, n, greatest(2, least(12, floor(n / 11.0::DOUBLE)))::INT AS k FROM s"
+)
+def recommended_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.log(spark, sf_dir).groupBy("well").agg(F.count("*").alias("n")).withColumn("k", grades.recommended_k(F.col("n")))
 
 
-FLAGSHIP = "event_counts"
-QUERIES = {"event_counts": event_counts}
-ORACLE_SQL = {"event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
