@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, langid, licenses, lm, mixing, packing, quality, secrets, simhash
+from . import chat, covertree, langid, licenses, lm, mixing, oracle, packing, quality, secrets, simhash
 from .shared import documents
 
 #: Where a tokenizer file lies, as `tokenizer_path`; None: that of the installed public_tokenizers.
@@ -91,7 +91,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's stupid-backoff log score under the bigrams of all other documents."""
-    return lm.score(documents(spark, sf_dir)).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    return lm.score(documents(spark, sf_dir)).select("doc_id", "n_words", (F.round("log_score", 4) + F.lit(0.0)).alias("log_score"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mix, op3_topk, op4_langid, op5_chat, op6_pack, op7_licenses, op8_secrets, op9_lm, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_mix": oracle.OP2, "op3_topk": oracle.OP3, "op5_chat": oracle.OP5, "op7_licenses": oracle.OP7, "op9_lm": oracle.OP9}
