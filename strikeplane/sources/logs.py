@@ -129,10 +129,13 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
     table = marked.filter("__c > 0 AND __a > 0").withColumn("names", names).select("file", "names", F.posexplode(F.slice("lines", F.col("__a") + 1, F.size("lines"))).alias("row_id", "line"))
     cells = table.withColumn("v", F.regexp_extract_all("line", F.lit(r'("[^"]*"|\S+)'), F.lit(1)))
 
+    def holds(key: str):
+        return lambda n: F.contains(n, F.lit(key))
+
     def column(*keys: str) -> Column:
         out = F.lit(None).cast("string")
         for key in reversed(keys):
-            i = F.array_position(F.transform("names", lambda n, key=key: F.contains(n, F.lit(key))), True).cast("int")
+            i = F.array_position(F.transform("names", holds(key)), True).cast("int")
             out = F.coalesce(F.when(i > 0, F.get("v", i - 1)), out)
         return out
 
