@@ -41,6 +41,11 @@ def fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * total[b] > len(shingles))
 
 
+def shingles(text, k):
+    words = WORD.findall((text or "").lower())
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
 def groups(ids, fps, distance=4):
     """The smallest id that chains of close fingerprints reach."""
     fps = np.array(fps, dtype=np.uint64)

@@ -403,8 +403,59 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("split_above", [30, 4096])
+def test_wide_links_are_exact_where_blocks_are_shared(spark, split_above):
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 2**63, (200, 2), dtype=np.uint64)
+    near = [rows]
+    for center in rows[:5]:
+        flips = np.zeros((80, 2), dtype=np.uint64)
+        for i in range(80):
+            for b in rng.choice(128, rng.integers(0, 9), replace=False).tolist():
+                flips[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        near.append(center ^ flips)
+    rows = np.unique(np.concatenate(near), axis=0)
+    nodes = spark.createDataFrame([(i, bytearray(r.astype("<u8").tobytes())) for i, r in enumerate(rows)], "node long, fp binary")
+    labels = {r.node: r.label for r in components(simhash.wide_links(nodes, 7, 2, split_above=split_above)).collect()}
+    mine = defaultdict(set)
+    for i in range(len(rows)):
+        mine[labels.get(i, i)].add(i)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(rows ^ rows[i]).sum(axis=1) <= 7).tolist():
+            a, b = i, j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+    want = defaultdict(set)
+    for i in range(len(rows)):
+        a = i
+        while root[a] != a:
+            a = root[a]
+        want[a].add(i)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_similar_documents_go(spark):
+    """Copies with an edit of a few words in a hundred go; documents of their own stay."""
+    rng = random.Random(11)
+    rows, copies = [], []
+    for i in range(60):
+        words = prose(200).split()
+        rows.append((i, " ".join(words)))
+        for at in rng.sample(range(20, 180), 2):
+            words[at] = "changed"
+        copies.append((100 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows + copies + [(500, rows[0][1].upper())], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert set(range(60)) <= kept and 500 not in kept
+    assert len(kept) <= 62
+
+
 def test_keep_one(docs):
     kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect() if r.doc_id is not None)
-    near = {r.doc_id: r.component for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None}
+    near = {r.doc_id: r.component for r in simhash.similar(docs).collect() if r.doc_id is not None}
     assert kept == sorted(set(near.values()))
     assert 6 not in kept and 7 not in kept and 5 in kept

@@ -31,8 +31,14 @@ def test_stages(spark, sf_dir):
 
     before, after = seen["near_duplicates"]
     rows = before.select("doc_id", "text").collect()
-    want = set(brute.groups([r.doc_id for r in rows], [brute.fingerprint(r.text, 5) for r in rows]))
-    assert {r.doc_id for r in after.collect()} == want
+    sets = {r.doc_id: brute.shingles(r.text, 5) for r in rows}
+    kept, gone = {r.doc_id for r in after.collect()}, set()
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for d in sets.keys() - kept:  # whoever goes has somebody alike
+        assert max(alike(d, x) for x in sets if x != d) > 0.7
+        gone.add(d)
+    missed = [(a, b) for a in kept for b in kept if a < b and alike(a, b) > 0.85]
+    assert len(missed) <= 0.1 * max(10, len(gone))
 
     before, after = seen["secret_scan"]
     texts = {r.doc_id: r.text for r in before.collect()}
