@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, quality
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -52,3 +52,29 @@ tot AS (SELECT sum(n) AS words, count(*) AS v FROM one),
 s AS (SELECT g.doc_id, ln(one.n - own1.n + 1) - ln(tot.words - m + tot.v + 1) AS low, two.n - own2.n AS pair, oc.n - ownc.n AS context, g.c FROM g JOIN one ON g.w = one.w JOIN own1 ON own1.doc_id = g.doc_id AND own1.w = g.w LEFT JOIN two ON two.c = g.c AND two.w = g.w LEFT JOIN own2 ON own2.doc_id = g.doc_id AND own2.c = g.c AND own2.w = g.w LEFT JOIN one oc ON oc.w = g.c LEFT JOIN own1 ownc ON ownc.doc_id = g.doc_id AND ownc.w = g.c, tot),
 z AS (SELECT doc_id, sum(CASE WHEN c IS NULL THEN low WHEN pair > 0 THEN ln(pair) - ln(context) ELSE ln(0.4::DOUBLE) + low END) AS score FROM s GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(coalesce(z.score, 0), 4) + 0.0::DOUBLE AS log_score FROM d LEFT JOIN z USING (doc_id)"""
+
+
+def _op1(alpha: float = 0.05, delta: float = 0.05) -> str:
+    n = len(quality.RULES)
+    ladder = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, steps in quality.RULES.items() for i, c in enumerate(steps))
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
+    value = "CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share WHEN 'repeat_share' THEN repeat_share ELSE capital_share END"
+    failed = f"coalesce((SELECT count(*) FROM chosen c WHERE c.lang IS NOT DISTINCT FROM j.lang AND {value} > c.cutoff), 0)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 4), ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS k FROM win) WHERE k > 1) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals, len(regexp_extract_all(text, '[A-Za-z]'))::BIGINT AS n_ascii_letters FROM w LEFT JOIN rep USING (rid)),
+j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {share('n_symbols', 'word_chars')} AS symbol_share, {share('n_dup_lines', 'n_lines')} AS dup_line_share, {share('n_repeat_words', 'n_words')} AS repeat_share, {share('n_capitals', 'n_ascii_letters')} AS capital_share FROM m),
+h AS (SELECT j.*, q.quality = 1 AS good FROM j JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) q USING (doc_id) WHERE NOT base_failed),
+ladder AS (SELECT * FROM (VALUES {ladder}) l(rule, i, cutoff)),
+k AS (SELECT lang, rule, i, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND {value} > cutoff) AS k, count(*) FILTER (NOT good AND {value} > cutoff) AS kb FROM h, ladder GROUP BY ALL),
+p AS (SELECT *, n_good > 0 AND (CASE WHEN k >= n_good THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda x: exp(lgamma(n_good + 1) - lgamma(x + 1) - lgamma(n_good - x + 1) + x * ln({alpha / n!r}::DOUBLE) + (n_good - x) * ln(1 - {alpha / n!r}::DOUBLE)))) END) <= {delta}::DOUBLE / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM h)) * {n}) AS fine FROM k),
+g AS (SELECT *, min(fine::INT) OVER (PARTITION BY lang, rule ORDER BY i) AS so_far, kb / greatest(1, n_bad) - {quality.GOOD_WEIGHT}::DOUBLE * k / greatest(1, n_good) AS gain FROM p),
+chosen AS (SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, i) AS r FROM g WHERE so_far = 1 AND gain > 0) WHERE r = 1),
+f AS (SELECT *, {failed}::INT AS n_rules_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_ascii_letters, base_failed, NOT base_failed AND n_rules_failed = 0 AS kept, n_rules_failed FROM f"""
+
+
+OP1 = _op1()

@@ -101,4 +101,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mix, op3_topk, op4_langid, op5_chat, op6_pack, op7_licenses, op8_secrets, op9_lm, op10_simhash)}
-ORACLE_SQL = {"op2_mix": oracle.OP2, "op3_topk": oracle.OP3, "op5_chat": oracle.OP5, "op7_licenses": oracle.OP7, "op9_lm": oracle.OP9}
+ORACLE_SQL = {"op1_quality": oracle.OP1, "op2_mix": oracle.OP2, "op3_topk": oracle.OP3, "op5_chat": oracle.OP5, "op7_licenses": oracle.OP7, "op9_lm": oracle.OP9}
