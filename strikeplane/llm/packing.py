@@ -9,14 +9,15 @@ once would, so with thousands of pieces to a shard the loss is far below a thous
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +31,42 @@ class _Unsafe(Exception):
     pass
 
 
+#: Signs that may follow a word; a run of them is a part of its own in a byte-level vocabulary.
+_SIGNS = ".,;:!?*%$&#|"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter by which a byte-level vocabulary writes each byte: itself where it can be seen, else from U+0100 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of a text by a byte-level BPE file of the tokenizers library, little-endian unsigned 32-bit.
 
     Such a vocabulary first splits a text into runs of letters, digits or signs, each with at most one space
     before it. So a text may be cut before a single space between two other characters and its parts encoded
     alone: parts repeat, and those of up to 64 characters are kept, `cached` of them at most. It also bounds
-    the memory that a very long text takes.
+    the memory that a very long text takes. A part of Latin letters alone is one run, which the vocabulary's
+    model takes as it is.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached = cached
+        with open(path) as f:
+            form = json.load(f)
+        before = form["pre_tokenizer"]
+        if form["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            raise ValueError("texts can be cut at spaces for a plain byte-level vocabulary only")
+        self.model, self.cached, self.letters = self.tokenizer.model, cached, _byte_letters()
+        self.signs: dict[str, bytes] = {}
         outer = self
 
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
-                if not part or part[0].isspace() or part[-1].isspace():
-                    raise _Unsafe
                 return outer.remember(self, part)
 
         self.parts: dict[str, bytes] = Parts()
@@ -58,7 +75,22 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def remember(self, where: dict, part: str) -> bytes:
-        ids = self.raw(" " + part)
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Unsafe
+        word = part.rstrip(_SIGNS)
+        tail = part[len(word) :]
+        if word.isalpha() and max(word) < "\u0250" and len(part) <= 64:
+            if tail:
+                if tail not in self.signs:
+                    if len(self.signs) >= self.cached:
+                        self.signs.clear()
+                    self.signs[tail] = self.raw(tail)
+                ids = where[word] + self.signs[tail]
+            else:
+                text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.model.tokenize("\u0120" + text)], dtype="<u4").tobytes()
+        else:
+            ids = self.raw(" " + part)
         if len(part) <= 64:
             if len(where) >= self.cached:
                 where.clear()
@@ -75,7 +107,8 @@ class Encoder:
             return self.raw(first) + b"".join(map(self.parts.__getitem__, rest))
         except _Unsafe:
             first, *rest = _SAFE.split(text)
-            return self.raw(first) + b"".join(self.raw(" " + p) if p[0].isspace() or p[-1].isspace() else self.parts[p] for p in rest)
+            # the last part may end in white space
+            return self.raw(first) + b"".join(self.raw(" " + p) if p[-1].isspace() else self.parts[p] for p in rest)
 
 
 @lru_cache(maxsize=2)
