@@ -22,13 +22,21 @@ def _best(n: angles.Vector, centers: Column) -> Column:
     return F.array_max(found)
 
 
+def few_by_hash(rows: DataFrame, n: int) -> DataFrame:
+    """Up to n rows of each net with their rank r by a hash of id. A large net is first thinned to some times n by the same hash, so no task orders all of one."""
+    sizes = rows.groupBy("net").agg(F.count("*").alias("__n"))
+    hashed = rows.withColumn("__h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    thin = hashed.join(sizes, "net").filter(F.col("__h") <= F.lit(float(1 << 40)) * 4 * n / F.col("__n"))
+    w = Window.partitionBy("net").orderBy("__h", "id")
+    return thin.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("__n", "__h")
+
+
 def starting_centers(rows: DataFrame, k: int, pool: int = 256) -> DataFrame:
     """(net, centers): k rows of each net, each the farthest from those before, out of `pool` rows by a hash.
 
     The pool only places the start; every round after it is over all rows. A net of fewer rows than k has as many centers.
     """
-    w = Window.partitionBy("net").orderBy("h", "id")
-    drawn = rows.select("net", "id", "nx", "ny", "nz", F.xxhash64("id").alias("h")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= pool)
+    drawn = few_by_hash(rows.select("net", "id", "nx", "ny", "nz"), pool)
     pooled = drawn.groupBy("net").agg(F.array_sort(F.collect_list(F.struct("r", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z")))).alias("pool"))
 
     def farthest(done: Column, _: Column) -> Column:

@@ -60,8 +60,11 @@ def generate(spark: SparkSession, sets: DataFrame, runs: DataFrame, domain: tupl
     per = volume / (math.pi * mean_square_radius(beta, r_min, r_max))
     n = F.least(F.lit(largest_n), F.round(F.col("p32") * per).cast("int"))
     ids = runs.withColumn("n", n).filter("n > 0").withColumn("id", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    listed = sets.agg(F.sort_array(F.collect_list(F.struct("set_id", "proportion", "mx", "my", "mz", "kappa"))).alias("sets"))  # few rows by its contract
-    drawn = ids.join(F.broadcast(listed.limit(1)))
+    table = sets.select("set_id", "proportion", "mx", "my", "mz", "kappa").orderBy("set_id").collect()  # a few rows by its contract
+    if not table:
+        raise ValueError("a network needs a set table with at least one set")
+    listed = F.array(*(F.struct(F.lit(int(r["set_id"])).alias("set_id"), *(F.lit(float(r[c])).alias(c) for c in ("proportion", "mx", "my", "mz", "kappa"))) for r in table))
+    drawn = ids.withColumn("sets", listed)
     key = lambda what: uniform(F.col("seed"), F.col("p32"), F.col("id"), F.lit(what))
     pick = key("set")
     chosen = F.aggregate(

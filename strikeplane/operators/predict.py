@@ -1,7 +1,7 @@
 """Directions of hidden rows from observed ones, and blind evaluation.
 
 A predictor takes rows (net, id, px, py, pz, nx, ny, nz, is_obs) whose hidden normals are null (quality.hide) and
-gives (net, id, px.. no: predicted qx, qy, qz) for the hidden rows. The truth is joined only afterwards.
+gives (net, id, qx, qy, qz), the predicted normals of the hidden rows. The truth is joined only afterwards.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, grades
+from .clusters import few_by_hash
 
 
 def permeability(table: DataFrame, by: list[str], p32: float, aperture_mm: float = 0.1) -> DataFrame:
@@ -85,8 +86,7 @@ def sensitivity(bands: DataFrame) -> DataFrame:
 
 def excluded_volume(discs: DataFrame, domain: tuple[float, float, float], pool: int = 500) -> DataFrame:
     """(net, excluded): density times the mean (4/3) pi (ri + rj)^3 over pairs of `pool` discs by a hash; a sampled estimate."""
-    w = Window.partitionBy("net").orderBy(F.xxhash64("id"), "id")
-    drawn = discs.select("net", "id", "radius", F.row_number().over(w).alias("r")).filter(F.col("r") <= pool)
+    drawn = few_by_hash(discs.select("net", "id", "radius"), pool)
     pairs = drawn.alias("a").join(drawn.alias("b"), "net").filter("a.id < b.id")
     mean = pairs.groupBy("net").agg(F.avg(F.pow(F.col("a.radius") + F.col("b.radius"), F.lit(3.0)) * (4 / 3 * math.pi)).alias("m"))
     n = discs.groupBy("net").agg((F.count("*") / F.lit(domain[0] * domain[1] * domain[2])).alias("density"))
@@ -106,6 +106,3 @@ def near_duplicate_remarks(table: DataFrame, by: list[str], below: float = 15.0)
     both = near.select(*by, F.col("set_a").alias("set_id"), F.col("set_b").alias("other")).unionByName(near.select(*by, F.col("set_b").alias("set_id"), F.col("set_a").alias("other")))
     return both.groupBy(*by, "set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ",").alias("remark"))
 
-
-def grade_column(lo: Column, hi: Column, value: Column) -> Column:
-    return grades.bin_grade(value, lo, hi)

@@ -494,7 +494,7 @@ def excluded_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def percolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of spanning networks drawn from the table of all wells' sets."""
     sets = aggregates.set_table(v.log(spark, sf_dir).withColumn("site", F.lit(1)), ["site"], v.reference_centers()).drop("site")
-    return rounded(networks.percolation(spark, sets, [0.5, 1.0, 2.0, 3.0], 3, (20.0, 20.0, 20.0)))
+    return rounded(networks.percolation(spark, sets, [0.1, 0.2, 0.4, 0.8], 3, (20.0, 20.0, 20.0)))
 
 
 @query(
