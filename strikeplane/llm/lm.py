@@ -93,7 +93,7 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(every[every != 0], return_counts=True)
 
 
-def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 6_000_000, partition_words: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000, partition_words: int = 1_000_000) -> DataFrame:
     """(id_col, n_words long, log_score double) of every document: the sum of its words' log scores.
 
     Words are lower-cased (A-Z). A null or empty text has no word and scores 0. Rows are documents, also where
