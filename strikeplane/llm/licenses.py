@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 # Spellings that count as equal, each with the one that stands for it.
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"),
@@ -63,18 +65,28 @@ COPYRIGHT_LINE = r"(?m)^[\t #/*;-]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©)
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text. It is its own canonical form."""
-    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), r"[^\p{L}\p{N}]+", " "))
+    """The canonical form of a text. It is its own canonical form.
+
+    Most texts have no copyright line and none of the words with another spelling; a look for any of them at
+    once spares such texts a pass for each.
+    """
+    low = F.lower(text)
+    named = low.contains("copyright") | low.contains("(c)") | low.contains("\u00a9")
+    bare = F.when(named, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+    words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
     padded = F.concat(F.lit(" "), words, F.lit(" "))
+    same = padded
     for other, one in EQUIVALENT:
-        padded = F.replace(padded, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(padded)
+        same = F.replace(same, F.lit(f" {other} "), F.lit(f" {one} "))
+    any_other = " (?:" + "|".join(other for other, _ in EQUIVALENT) + ") "
+    return F.when(padded.rlike(any_other), F.trim(same)).otherwise(words)
 
 
 def digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """(digest, license_id) of known texts; a text under two identifiers keeps the smaller."""
     rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    named = rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return materialize(named, "licenses")  # a file whose size Spark knows before it joins
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,8 +94,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     known has digest and license_id. license_id is that of the whole text, null if it is no known one. notices
     joins the identifiers found on single lines, sorted, each once, by commas; n_notices counts such lines. A
-    null or empty text, or one of white space and copyright lines alone, has neither. Rows with one id, or a null one, give a row each,
-    with what was found in any of them. An empty table gives an empty one.
+    null or empty text has neither. Rows with one id, or a null one, give a row each, with what was found in
+    any of them. An empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # a text of one line is one unit; of more, the text and each line with a letter
@@ -92,7 +104,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         F.array(F.struct(text.alias("text"), F.lit(True).alias("whole"))),
         F.transform(lines, lambda x: F.struct(x.alias("text"), F.lit(False).alias("whole"))),
     )
-    listed = docs.select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", F.col("u.whole").alias("whole"), F.sha2(canonical(F.col("u.text")), 256).alias("digest"))
+    # never null: the join needs no filter that would make the digest a second time
+    digest = F.coalesce(F.sha2(canonical(F.col("u.text")), 256), F.lit(""))
+    listed = docs.select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", F.col("u.whole").alias("whole"), digest.alias("digest"))
     found = (
         listed.join(known, "digest")
         .groupBy("id")
