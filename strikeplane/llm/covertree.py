@@ -14,6 +14,7 @@ merged for each query.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,15 +196,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         for b, (n_d, rb) in cells.items():
             upper = float(mid[a] @ mid[b]) + norms[a] * rb + ra * norms[b] + ra * rb
             if upper + _SLACK * (abs(upper) + 1) >= floor:
-                plan.append((a, b, -(-n_q // group), -(-n_d // block)))
-    pairs = materialize(spark.createDataFrame(plan, "q_cell int, d_cell int, q_parts int, d_parts int"), "cell-pairs")
-    # a row meets all groups that ask for its cell, a query all blocks of the cells that it asks for
+                plan.append((a, b, n_q))
+    asked_of = Counter()
+    for _, b, n_q in plan:
+        asked_of[b] += n_q
+    pairs = materialize(spark.createDataFrame([(a, b) for a, b, _ in plan], "q_cell int, d_cell int"), "cell-pairs")
+    parts = [(b, -(-n_q // group), -(-cells[b][0] // block)) for b, n_q in asked_of.items()]
+    sizes = materialize(spark.createDataFrame(parts, "d_cell int, q_parts int, d_parts int"), "cell-sizes")
+    # a query meets all blocks of the cells that it asks for; a block of rows is indexed once for all its queries
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = [F.col(c).alias(c) for c in ("q_cell", "d_cell")]  # names of their own on either side
-    data = placed.join(pairs, F.col("cell") == F.col("d_cell")).select("id", "v", *own, many("q_parts").alias("q_part"), part("d_parts").alias("d_part"))
-    ask = placed_q.join(pairs, F.col("cell") == F.col("q_cell")).select("id", "v", "floor", *own, part("q_parts").alias("q_part"), many("d_parts").alias("d_part"))
-    keys = ["q_cell", "d_cell", "q_part", "d_part"]
+    own = [F.col("d_cell").alias("d_cell")]  # a name of its own on either side
+    data = placed.join(sizes, F.col("cell") == F.col("d_cell")).select("id", "v", *own, many("q_parts").alias("q_part"), part("d_parts").alias("d_part"))
+    ask = placed_q.join(pairs, F.col("cell") == F.col("q_cell")).join(sizes, "d_cell").select("id", "v", "floor", *own, part("q_parts").alias("q_part"), many("d_parts").alias("d_part"))
+    keys = ["d_cell", "q_part", "d_part"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = not left.num_rows or not right.num_rows
