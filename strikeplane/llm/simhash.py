@@ -9,6 +9,9 @@ Equal fingerprints are one node before anything is filed. Inside a file no pairs
 walk finds what hangs together and gives one edge for each node but the first. A file with more than
 `split_above` nodes is dealt out again, every two of its chunks to a task, so its links are all found and no
 task holds it whole.
+
+similar() tells near copies by the Jaccard similarity of their shingle sets instead, which 64 bits cannot: MinHash
+bands bring candidates together, the sets decide.
 """
 
 from __future__ import annotations
@@ -175,26 +178,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, "fp", "component")
 
 
-def wide_fingerprint(text: str | None, shingle_words: int, seed: int, words: int) -> bytes:
-    """As fingerprint(), of 64 * words bits: each further 64 bits of a shingle are its hash, mixed with their place."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return bytes(8 * words)
-    line = memoryview(b" ".join(found))
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+def shingle_set(text: str | None, shingle_words: int, seed: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, as fingerprint() cuts and hashes them; none for a null or empty text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    line = memoryview(b" ".join(words))
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    last = ends[min(shingle_words, len(found)) - 1 :].tolist()
+    last = ends[min(shingle_words, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(BITS * words, dtype=np.int64)
-    for at in range(0, len(last), 4096):
-        base = np.fromiter((digest(line[s:e], seed) for s, e in zip(starts[at : at + 4096], last[at : at + 4096])), dtype=np.uint64)
-        h = base[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(base), -1), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * total > len(last), bitorder="little").tobytes()
+    return np.unique(np.fromiter((digest(line[s:e], seed) for s, e in zip(starts, last)), dtype=np.uint64, count=len(last)))
+
+
+#: MinHash bands and the values in each. Two sets of Jaccard similarity s share a band with the chance 1 - (1 - s ** BAND_ROWS) ** BANDS.
+BANDS, BAND_ROWS = 20, 5
+
+
+def band_keys(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """One key for each band of MinHash values of a set of hashes, the band's number mixed in; an empty set has none."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    drawn = np.random.default_rng(seed).integers(0, 2**63, (3, BANDS * BAND_ROWS), dtype=np.uint64)
+    times, plus, mixed = drawn[0] * np.uint64(2) + np.uint64(1), drawn[1], drawn[2] * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048, None] * times + plus).min(axis=0), out=least)
+    least ^= least >> np.uint64(32)
+    keys = (least * mixed).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (keys ^ (keys >> np.uint64(31))).view(np.int64)
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges, by place, that hold together exactly what chains of sets of at least this Jaccard similarity connect.
+
+    Sets lie in order of size, so a set meets only those whose size allows the similarity; whoever is reached
+    leaves, so a group of copies makes no pairs.
+    """
+    a: list[int] = []
+    b: list[int] = []
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    place = np.argsort(sizes, kind="stable")
+    place = place[sizes[place] > 0]
+    if len(place) < 2:
+        return a, b
+    words, flat = np.unique(np.concatenate([sets[i] for i in place]), return_inverse=True)
+    mark = np.zeros(len(words), dtype=bool)
+    size = sizes[place]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    alive = np.ones(len(place), dtype=bool)
+    n_alive = len(place)
+    while n_alive:
+        at = int(np.argmax(alive))
+        alive[at] = False
+        n_alive -= 1
+        first, todo = int(place[at]), [flat[starts[at] : starts[at + 1]]]
+        while todo and n_alive:
+            own = todo.pop()
+            lo = int(np.searchsorted(size, math.floor(len(own) * similarity)))
+            hi = int(np.searchsorted(size, math.ceil(len(own) / similarity), side="right"))
+            if lo < hi and alive[lo:hi].any():
+                mark[own] = True
+                shared = np.add.reduceat(mark[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+                mark[own] = False
+                near = np.flatnonzero(alive[lo:hi] & (shared / (size[lo:hi] + len(own) - shared) >= similarity)) + lo
+                for i in near.tolist():
+                    todo.append(flat[starts[i] : starts[i + 1]])
+                    a.append(first)
+                    b.append(int(place[i]))
+                alive[near] = False
+                n_alive -= len(near)
+            if n_alive < len(alive) // 2:  # those that left are looked at no more
+                flat = flat[np.repeat(alive, size)]
+                place, size = place[alive], size[alive]
+                starts = np.concatenate([[0], np.cumsum(size)])
+                alive = np.ones(n_alive, dtype=bool)
+    return a, b
+
+
+def jaccard_links(sets: DataFrame, similarity: float, split_above: int = 2_000_000) -> DataFrame:
+    """Edges (a, b) within each label of sets (label, node, n, hashes binary) as of jaccard_forest().
+
+    Labels share tasks of about split_above hashes. A label with more is dealt out by node, every two of its
+    chunks to a task, so all its pairs are compared and no task holds it whole.
+    """
+    totals = sets.groupBy("label").agg(F.ceil(F.sum("n") / split_above).cast("int").alias("parts"))
+    everything = sets.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, math.ceil(everything / split_above))
+    sized = sets.join(totals, "label")
+    few = sized.filter("parts <= 1").select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "label", "node", "hashes")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    many = (
+        sized.filter("parts > 1")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .filter("own <> other")
+        .select(F.col("label").alias("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "node", "hashes")
+    )
+
+    def walk(group: pa.Table) -> pa.Table:
+        label, node = group.column("label").to_numpy(), group.column("node").to_numpy()
+        found = [np.frombuffer(x.as_py(), dtype="<u8") for x in group.column("hashes")]
+        order = np.argsort(label, kind="stable")
+        a_out: list[int] = []
+        b_out: list[int] = []
+        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            a, b = jaccard_forest([found[i] for i in part], similarity)
+            a_out += node[part[a]].tolist()
+            b_out += node[part[b]].tolist()
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return few.unionByName(many).groupBy("u", "i", "j").applyInArrow(walk, "a long, b long")
 
 
 def wide_forest(rows: np.ndarray, most: int) -> tuple[list[int], list[int]]:
@@ -314,37 +409,46 @@ def wide_links(nodes: DataFrame, most: int, words: int, block_bits: int = 16, sp
     return edges.unionByName(pairs.groupBy("c", "k", "i", "j").applyInArrow(walk_pair, "a long, b long")).distinct()
 
 
-def differing_share(similarity: float) -> float:
-    """The share of bits in which two texts of this Jaccard similarity of shingles differ in the mean.
+def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = 42, split_above: int = 2_000_000) -> DataFrame:
+    """(row, label) of rows (row long, each its own, text): equal labels for rows that chains of similar texts connect.
 
-    Two sets of one size of Jaccard similarity s have a cosine of 2s / (1 + s), and a bit differs with the
-    chance of the angle over a half turn.
+    Texts link whose sets of shingles have a Jaccard similarity of at least `similarity`, by the sets themselves.
+    Rows that share a MinHash band hang together as a candidate group, within which all sets are compared.
+    Equal sets are one node, known by its 64-bit hash, as are all null and empty texts.
     """
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
+    def keyed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(1)]
+            node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
+            yield pa.record_batch([b.column(0), pa.array(node), pa.array([band_keys(x, seed) for x in sets], pa.list_(pa.int64()))], names=["row", "node", "keys"])
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, words: int = 8, seed: int = 42, split_above: int = 4096) -> DataFrame:
-    """(id_col, component) of every document, as near_duplicates(), by a wide fingerprint that tells similarity.
+    def hashed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["label", "node", "n", "hashes"])
 
-    Documents link whose fingerprints of 64 * words bits differ in no more than those of texts of this Jaccard
-    similarity do, and half a percent of the bits. With 512 bits the share is known to 1.6 percent, a pair of
-    similarity 0.8 meets with a chance of 92 percent, one of 0.9 with 99.7, and any that differ in under 32
-    bits for sure. Equal fingerprints are one node, known by its 64-bit hash.
-    """
-    ids = docs.schema[id_col].dataType.simpleString()
+    prints = materialize(rows.select("row", "text").mapInArrow(keyed, "row long, node long, keys array<long>"), "minhash-prints")
+    nodes = prints.groupBy("node").agg(F.first("keys").alias("keys"), F.min("row").alias("row"))
+    filed = materialize(nodes.select("node", F.explode("keys").alias("k")), "minhash-bands")
+    bands = filed.groupBy("k").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("k", "a")
+    groups = materialize(components(filed.join(bands, "k").select("a", F.col("node").alias("b"))), "minhash-groups")
+    chosen = materialize(prints.groupBy("node").agg(F.min("row").alias("row")).join(groups, "node").select("row", "label", "node"), "minhash-chosen")
+    sets = materialize(rows.join(chosen, "row").select("label", "node", "text").mapInArrow(hashed, "label long, node long, n long, hashes binary"), "minhash-sets")
+    reached = components(jaccard_links(sets, similarity, split_above)).withColumnRenamed("node", "n")
+    return prints.select("row", "node").join(reached, F.col("node") == F.col("n"), "left").select("row", F.coalesce("label", "node").alias("label"))
 
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            yield pa.record_batch([b.column(0), pa.array([wide_fingerprint(t.as_py(), shingle_words, seed, words) for t in b.column(1)], pa.binary())], names=["id", "fp"])
-
-    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, f"id {ids}, fp binary")
-    prints = materialize(raw.withColumn("node", F.xxhash64("fp")), "simhash-wide")
-    nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least"))
-    most = int(64 * words * (differing_share(similarity) + 0.005))
-    reached = components(wide_links(nodes.select("node", "fp"), most, words, split_above=split_above)).withColumnRenamed("node", "n")
-    named = nodes.select("node", "least").join(reached, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    least = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component")
-    return prints.select(F.col("id").alias(id_col), "node").join(least, "node").select(id_col, "component")
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, seed: int = 42, split_above: int = 2_000_000) -> DataFrame:
+    """(id_col, component) of every document, as near_duplicates(), for texts alike() by Jaccard similarity of shingles.
+
+    A pair of similarity 0.8 is compared with a chance of at least 99.96 percent, one of 0.85 with 99.999; no pair
+    below the similarity is linked.
+    """
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
+    named = rows.select("row", "id").join(alike(rows, shingle_words, similarity, seed, split_above), "row")
+    least = named.groupBy("label").agg(F.min("id").alias("component"))
+    return named.join(least, "label").select(F.col("id").alias(id_col), "component")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
