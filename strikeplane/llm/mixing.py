@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, n_words
+from .shared import materialize, n_words, with_row_key
 
 #: Ranges into which the rank values are split, at each of LEVELS steps.
 RANGES = 256
@@ -117,8 +117,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: flo
     return copies(sized, targets, seed, None, id_col, source_col)
 
 
-def take(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: docs, all columns, each row as often as it is taken. Rows that repeat an id are taken alike."""
-    times = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(times.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "inner")
+def take(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: float = 3.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: docs, all columns, each row as often as it is taken.
+
+    Each row is a document of its own, named by a key that is written first. Rows alike in id, or in having none,
+    and in size are drawn apart by their keys.
+    """
+    keyed, key = with_row_key(docs, "mix-rows")
+    sized = materialize(
+        keyed.select(F.col(key).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes"
+    )
+    # the first row of an id and size is drawn by its id alone, as mix() does; those after it by their keys too
+    again = materialize(sized.groupBy(F.col("__id").alias("id"), F.col("size").alias("of")).agg(F.min("__row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "mix-again")
+    met = sized.join(again, F.col("__id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("of")), "left")
+    name = F.coalesce(F.col("__id").cast("string"), F.lit("null"))
+    named = met.select("__row", "source", "size", F.when(F.col("__row") != F.col("first"), F.concat_ws("#", name, F.col("__row").cast("string"))).otherwise(name).alias("name"))
+    targets = materialize(source_targets(named, weights, max_copies, "source"), "mix-targets")
+    times = copies(named, targets, seed, None, "name", "source").filter("copies > 0").select(F.col("__row").alias("__taken"), F.col("copies").alias("__copies"))
+    joined = keyed.join(times, keyed[key] == times["__taken"], "inner")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

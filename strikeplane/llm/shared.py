@@ -45,6 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with a long that each row has to itself, written with it, and that column's name, which df has not."""
+    key = "__row"
+    while key.lower() in (c.lower() for c in df.columns):
+        key += "_"
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of the given folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

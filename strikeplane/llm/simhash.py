@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize
+from .shared import materialize, with_row_key
 
 BITS = 64
 _POWERS = np.left_shift(np.uint64(1), np.arange(BITS, dtype=np.uint64))
@@ -452,12 +452,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, without those that a document with a smaller doc_id stands for.
+    """The documents, all columns, without those that another row stands for.
 
-    One row of each component of similar() stays: that of its smallest doc_id (of rows that repeat this id, any
-    one). Rows whose doc_id is null stay as they are: nothing names them. An empty table gives an empty one.
+    Each row is a document of its own, named by a key that is written before anything else. Of each component of
+    alike() the row of the smallest doc_id stays, null last, and of rows that repeat this id the one of the
+    smallest key. An empty table gives an empty one.
     """
-    near = similar(docs, **how)
-    stay = near.filter(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
-    once = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    names = {"id_col": "doc_id", "text_col": "text"} | {k: how.pop(k) for k in ("id_col", "text_col") if k in how}
+    keyed, key = with_row_key(docs, "minhash-rows")
+    id_col = F.col(names["id_col"])
+    rows = keyed.select(F.col(key).alias("row"), F.col(names["text_col"]).alias("text"))
+    ids = keyed.select(F.col(key).alias("row"), id_col.alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
+    stay = materialize(alike(rows, **how).join(ids, "row").groupBy("label").agg(first.alias("__stays")).select("__stays"), "minhash-stay")
+    return keyed.join(stay, keyed[key] == stay["__stays"], "left_semi").select(docs.columns)
