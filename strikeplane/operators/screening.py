@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, grades
-from .clusters import few_by_hash
 
 
 def permeability(table: DataFrame, by: list[str], p32: float, aperture_mm: float = 0.1) -> DataFrame:
@@ -84,13 +83,16 @@ def sensitivity(bands: DataFrame) -> DataFrame:
     return moved.withColumn("grade", now).withColumn("flips", now != base).drop("__lo", "__hi")
 
 
-def excluded_volume(discs: DataFrame, domain: tuple[float, float, float], pool: int = 500) -> DataFrame:
-    """(net, excluded): density times the mean (4/3) pi (ri + rj)^3 over pairs of `pool` discs by a hash; a sampled estimate."""
-    drawn = few_by_hash(discs.select("net", "id", "radius"), pool)
-    pairs = drawn.alias("a").join(drawn.alias("b"), "net").filter("a.id < b.id")
-    mean = pairs.groupBy("net").agg(F.avg(F.pow(F.col("a.radius") + F.col("b.radius"), F.lit(3.0)) * (4 / 3 * math.pi)).alias("m"))
-    n = discs.groupBy("net").agg((F.count("*") / F.lit(domain[0] * domain[1] * domain[2])).alias("density"))
-    return n.join(mean, "net").select("net", (F.col("density") * F.col("m")).alias("excluded"))
+def excluded_volume(discs: DataFrame, domain: tuple[float, float, float]) -> DataFrame:
+    """(net, excluded): density times the mean (4/3) pi (ri + rj)^3 over all pairs of a net's discs; a net of one disc has none.
+
+    The sum over pairs follows from sums of powers: over i < j, (ri + rj)^3 adds up to n * S3 + 3 * S1 * S2 - 4 * S3.
+    """
+    r = F.col("radius")
+    sums = discs.groupBy("net").agg(F.count("*").cast("double").alias("n"), F.sum(r).alias("s1"), F.sum(r * r).alias("s2"), F.sum(r * r * r).alias("s3")).filter("n > 1")
+    n = F.col("n")
+    mean = (n * F.col("s3") + 3 * F.col("s1") * F.col("s2") - 4 * F.col("s3")) / (n * (n - 1) / 2) * (4 / 3 * math.pi)
+    return sums.select("net", (n / F.lit(domain[0] * domain[1] * domain[2]) * mean).alias("excluded"))
 
 
 def set_pairs(table: DataFrame, by: list[str]) -> DataFrame:

@@ -485,7 +485,10 @@ def dominant_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(screening.scenario(found, (0.0, 0.0, 1.0), ("high", "middle", "low")))
 
 
-@query()
+@query(
+    f"WITH {v.DISCS}, m AS (SELECT a.net, avg(pow(a.radius + b.radius, 3)) AS m FROM discs a JOIN discs b ON a.net = b.net AND a.id < b.id GROUP BY a.net), d AS (SELECT net, count(*) / 1e6::DOUBLE AS density FROM discs GROUP BY net) "
+    f"SELECT net, {r('density * m * 4 / 3 * pi()', 'excluded')} FROM d JOIN m USING (net)"
+)
 def excluded_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(screening.excluded_volume(v.discs(spark, sf_dir), (100.0, 100.0, 100.0)))
 
