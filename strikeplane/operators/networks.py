@@ -54,11 +54,12 @@ def generate(spark: SparkSession, sets: DataFrame, runs: DataFrame, domain: tupl
     """Discs (net, p32, seed, id, px, py, pz, nx, ny, nz, radius, set_id) of realizations runs (net, p32, seed).
 
     sets is a set table (set_id, mx, my, mz, kappa, proportion), few rows. A run has p32 * volume / (pi * E[r^2])
-    discs, largest_n at most, of uniform centers; every number follows from run, disc and purpose.
+    discs of uniform centers; one of more than largest_n fails. Every number follows from run, disc and purpose.
     """
     volume = domain[0] * domain[1] * domain[2]
     per = volume / (math.pi * mean_square_radius(beta, r_min, r_max))
-    n = F.least(F.lit(largest_n), F.round(F.col("p32") * per).cast("int"))
+    wanted = F.round(F.col("p32") * per)
+    n = F.when(wanted <= largest_n, wanted.cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"a network may have {largest_n} discs, not "), wanted.cast("string"))).cast("int"))
     ids = runs.withColumn("n", n).filter("n > 0").withColumn("id", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     table = sets.select("set_id", "proportion", "mx", "my", "mz", "kappa").orderBy("set_id").collect()  # a few rows by its contract
     if not table:

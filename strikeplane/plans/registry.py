@@ -238,7 +238,7 @@ def bootstrap_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.log(spark, sf_dir)
     table = aggregates.set_table(rows, ["well"], v.reference_centers()).select("well", "set_id", "mx", "my", "mz")
     placed = aggregates.assign(rows, v.reference_centers()).drop("angle").join(table, ["well", "set_id"])
-    return rounded(aggregates.bootstrap_cone(placed, ["well", "set_id"], resamples=50))
+    return rounded(aggregates.bootstrap_cone(placed, ["well", "set_id"]))
 
 
 # spatial joins and predictors
@@ -377,9 +377,9 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of two to four sets for every type of fracture, over all its rows."""
+    """Scores of two to eight sets for every type of fracture, over all its rows."""
     rows = v.log(spark, sf_dir).withColumnsRenamed({"ftype": "net", "row_id": "id"})
-    return rounded(clusters.choose_k(rows, 2, 4, 6))
+    return rounded(clusters.choose_k(rows, 2, 8))
 
 
 # matching and fusing tables
