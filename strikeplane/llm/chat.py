@@ -43,11 +43,12 @@ def _any_of(strings: tuple[str, ...]) -> str:
 
 
 def escape(text: Column, template: Template) -> Column:
-    return F.regexp_replace(text, rf"(\\*(?:{_any_of(template.control)}))", r"\\$1")
+    # a match starts where no backslash is before it and gives none back: a long run of them is read once
+    return F.regexp_replace(text, rf"(?<!\\)(\\*+(?:{_any_of(template.control)}))", r"\\$1")
 
 
 def unescape(text: Column, template: Template) -> Column:
-    return F.regexp_replace(text, rf"\\(\\*(?:{_any_of(template.control)}))", "$1")
+    return F.regexp_replace(text, rf"(?<!\\)\\(\\*+(?:{_any_of(template.control)}))", "$1")
 
 
 def first_fault(roles: Column, transitions: dict[tuple[str, str], str] | None = None) -> Column:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 #: Steps of a running sum that are made in one piece, so that long arrays take linear time.
 _STEP = 256
 
@@ -64,30 +66,30 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|xxxx",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[0-9]+$",
-    r"^[A-Za-z]+([_-][A-Za-z]+)+$",
+    r"^[A-Za-z]++(?:[_-][A-Za-z]++)++$",  # possessive: no step back, and no deeper stack for longer words
     r"^https?/",
 )
 
 
-def _sums_before(lengths: Column) -> Column:
-    """For each entry of an array of ints, the sum of those before it."""
+def _before(values: Column, join, first: int) -> Column:
+    """For each entry of an array of ints, what join makes of first and the entries before it."""
 
     def running(part: Column) -> Column:
         return F.aggregate(
             part,
-            F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("all")),
-            lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["all"], F.array(s["sum"])).alias("all")),
+            F.struct(F.lit(first).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+            lambda s, n: F.struct(join(s["at"], n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")),
         )
 
     def before(parts: Column) -> Column:
         return F.aggregate(
             parts,
-            F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<array<int>>)").alias("all")),
-            lambda s, p: F.struct((s["sum"] + p["sum"]).alias("sum"), F.concat(s["all"], F.array(F.transform(p["all"], lambda x: x + s["sum"]))).alias("all")),
+            F.struct(F.lit(first).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("all")),
+            lambda s, p: F.struct(join(s["at"], p["at"]).alias("at"), F.concat(s["all"], F.array(F.transform(p["all"], lambda x: join(x, s["at"])))).alias("all")),
         )["all"]
 
-    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _STEP).cast("int"))
-    return F.flatten(before(F.transform(starts, lambda i: running(F.slice(lengths, i * _STEP + 1, F.lit(_STEP))))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _STEP).cast("int"))
+    return F.flatten(before(F.transform(starts, lambda i: running(F.slice(values, i * _STEP + 1, F.lit(_STEP))))))
 
 
 def _spans(text: Column, regex: str, keep) -> Column:
@@ -96,30 +98,39 @@ def _spans(text: Column, regex: str, keep) -> Column:
     between = F.transform(F.split(text, regex), F.length)
     lengths = F.transform(found, F.length)
     steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), lengths, lambda a, b: a + b)
-    ends = F.zip_with(_sums_before(steps), steps, lambda a, b: a + b)
+    ends = F.zip_with(_before(steps, lambda a, b: a + b, 0), steps, lambda a, b: a + b)
     spans = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("m")))
     return F.transform(F.filter(spans, lambda s: keep(s["m"])), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
 
 
 def _entropy(candidate: Column, alphabet: str, window: int) -> Column:
-    """The largest Shannon entropy, in bits a character, of the candidate's windows; counts change step by step."""
+    """The largest Shannon entropy, in bits a character, of the candidate's windows; counts change step by step.
+
+    Counts lie side by side in a few longs, so a step that takes one character in and one out costs the same
+    whatever the alphabet's size.
+    """
+    bits = (window + 1).bit_length()
+    per = 62 // bits
+    longs = -(-len(alphabet) // per)
     table = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)))
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(-1.0).alias("best"),
-    )
+    start = F.struct(F.array(*(F.lit(0).cast("long") for _ in range(longs))).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+    # for each code: its long, its place there, and one at that place
+    long_of = F.array(*(F.lit(c // per) for c in range(len(alphabet))))
+    unit_of = F.array(*(F.lit(1 << (bits * (c % per))).cast("long") for c in range(len(alphabet))))
+
+    def count(counts: Column, code: Column) -> Column:
+        return F.pmod(F.floor(F.get(counts, F.get(long_of, code)) / F.get(unit_of, code)), F.lit(1 << bits)).cast("int")
 
     def step(codes: Column):
         def go(s: Column, i: Column) -> Column:
             enters = F.element_at(codes, i + 1)
-            leaves = F.when(i >= window, F.element_at(codes, F.greatest(i - window + 1, F.lit(1)))).otherwise(F.lit(-1))
-            n_in = F.get(s["counts"], enters)
-            added = s["sum"] + F.get(table, n_in + 1) - F.get(table, n_in)
-            n_out = F.when(leaves >= 0, F.get(s["counts"], leaves) + F.when(leaves == enters, 1).otherwise(0)).otherwise(F.lit(0))
-            total = F.when(leaves >= 0, added + F.get(table, F.greatest(n_out - 1, F.lit(0))) - F.get(table, n_out)).otherwise(added)
-            counts = F.transform(s["counts"], lambda x, k: x + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
+            leaves = F.when(i >= window, F.element_at(codes, F.greatest(i - window + 1, F.lit(1))))
+            n_out = F.when(leaves.isNull(), 0).otherwise(count(s["counts"], leaves))
+            n_in = count(s["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
+            total = s["sum"] + F.get(table, n_in + 1) - F.get(table, n_in) + F.when(n_out > 0, F.get(table, n_out - 1) - F.get(table, n_out)).otherwise(0.0)
+            here = lambda k: F.when(F.get(long_of, enters) == k, F.get(unit_of, enters)).otherwise(0) - F.when(F.get(long_of, leaves) == k, F.get(unit_of, leaves)).otherwise(0)
+            counts = F.array(*(F.get(s["counts"], F.lit(k)) + here(k) for k in range(longs)))
             entropy = F.lit(math.log2(window)) - total / F.lit(float(window))
             best = F.when(i >= window - 1, F.greatest(s["best"], entropy)).otherwise(s["best"])
             return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
@@ -133,6 +144,24 @@ def _entropy(candidate: Column, alphabet: str, window: int) -> Column:
     return F.get(one, F.lit(0))
 
 
+def _clear_of_base(both: Column, n_base: int) -> Column:
+    """Spans in order, of base kinds and others, without those of the others that a base span overlaps.
+
+    Before a span in this order, bases begin no later: one overlaps if the furthest end of them is beyond the
+    span's start. After it, they begin no earlier: one overlaps if the nearest start is before the span's end.
+    """
+    far = 2**31 - 1
+    ends = F.transform(both, lambda s: F.when(s["rank"] < n_base, s["end"]).otherwise(0).cast("int"))
+    starts = F.transform(F.reverse(both), lambda s: F.when(s["rank"] < n_base, s["start"]).otherwise(far).cast("int"))
+    marked = F.zip_with(
+        F.zip_with(both, _before(ends, F.greatest, 0), lambda s, e: F.struct(s.alias("s"), e.alias("e"))),
+        F.reverse(_before(starts, F.least, far)),
+        lambda x, n: F.struct(x["s"].alias("s"), x["e"].alias("e"), n.alias("n")),
+    )
+    clear = F.filter(marked, lambda x: (x["s"]["rank"] < n_base) | ((x["e"] <= x["s"]["start"]) & (x["n"] >= x["s"]["end"])))
+    return F.transform(clear, lambda x: x["s"])
+
+
 def spans(text: Column, patterns: tuple[Pattern, ...] = PATTERNS, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Array of struct(start long, rank int, kind, end long) of what is found in a text, in order; null: none.
 
@@ -165,15 +194,14 @@ def spans(text: Column, patterns: tuple[Pattern, ...] = PATTERNS, classes: tuple
         more.append(F.when(text.rlike(c.regex), named(_spans(text, c.regex, risky), rank, c.kind)).otherwise(none))
     base_spans = F.concat(*base) if base else none
     more_spans = F.concat(*more) if more else none
-    kept = F.transform(
+    # made once, then looked at twice
+    found = F.transform(
         F.array(F.struct(base_spans.alias("base"), more_spans.alias("more"))),
-        lambda x: F.when(
-            F.size(x["more"]) == 0, x["base"]
-        ).otherwise(
-            F.concat(x["base"], F.filter(x["more"], lambda s: ~F.exists(x["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+        lambda x: F.when((F.size(x["more"]) == 0) | (F.size(x["base"]) == 0), F.array_sort(F.concat(x["base"], x["more"]))).otherwise(
+            F.get(F.transform(F.array(F.array_sort(F.concat(x["base"], x["more"]))), lambda both: _clear_of_base(both, len(patterns))), F.lit(0))
         ),
     )
-    return F.array_sort(F.get(kept, F.lit(0)))
+    return F.get(found, F.lit(0))
 
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans", **how) -> DataFrame:
@@ -185,8 +213,11 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans",
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
-    """docs with each secret replaced by mark; spans that overlap are replaced as one. A null text stays null."""
-    found = "__secret_spans"
+    """docs with each secret replaced by mark; spans that overlap are replaced as one. A null text stays null.
+
+    All columns keep their names and values, whatever they are called.
+    """
+    found = free_name(docs, "__secret_spans")
     scanned = scan(docs, text_col, found, **how)
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))

@@ -45,11 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to be none of df's columns."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df with a long that each row has to itself, written with it, and that column's name, which df has not."""
-    key = "__row"
-    while key.lower() in (c.lower() for c in df.columns):
-        key += "_"
+    key = free_name(df, "__row")
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 

@@ -126,3 +126,19 @@ def backoff_scores(texts, alpha=0.4):
             score += low
         out.append(score)
     return out
+
+
+def all_spans(text, patterns, classes, allowed):
+    """Base spans and, clear of them, the candidates whose best window's entropy reaches their class's threshold."""
+    text = text or ""
+    kinds = [p.kind for p in patterns]
+    base = [(a, kinds.index(k), k, b) for a, _, k, b in base_spans(text)] if patterns else []
+    more = []
+    for rank, c in enumerate(classes, len(patterns)):
+        for m in re.finditer(c.regex, text):
+            s = m[0]
+            if all(re.search(n, s) for n in c.needs) and not any(re.search(f, s) for f in allowed):
+                s = s.lower() if c.alphabet == c.alphabet.lower() else s
+                if entropy(s, c.window) >= c.threshold:
+                    more.append((m.start(), rank, c.kind, m.end()))
+    return sorted(base + [x for x in more if not any(a < x[3] and x[0] < b for a, _, _, b in base)])
