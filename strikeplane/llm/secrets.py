@@ -117,10 +117,11 @@ def _entropy(candidate: Column, alphabet: str, window: int) -> Column:
     start = F.struct(F.array(*(F.lit(0).cast("long") for _ in range(longs))).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
     # for each code: its long, its place there, and one at that place
     long_of = F.array(*(F.lit(c // per) for c in range(len(alphabet))))
+    place_of = F.array(*(F.lit(bits * (c % per)) for c in range(len(alphabet))))
     unit_of = F.array(*(F.lit(1 << (bits * (c % per))).cast("long") for c in range(len(alphabet))))
 
     def count(counts: Column, code: Column) -> Column:
-        return F.pmod(F.floor(F.get(counts, F.get(long_of, code)) / F.get(unit_of, code)), F.lit(1 << bits)).cast("int")
+        return F.call_function("shiftright", F.get(counts, F.get(long_of, code)), F.get(place_of, code)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def step(codes: Column):
         def go(s: Column, i: Column) -> Column:
