@@ -58,6 +58,21 @@ def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
+def join_unhot(rows: DataFrame, table: DataFrame, on: str, n_col: str, total: int | None = None, most: int = 10_000) -> DataFrame:
+    """rows joined to table, which has one row for each key and in n_col how many of rows have it; without n_col.
+
+    Keys that more than one in `most` of all rows has can't be more than `most`. They alone are broadcast, so a
+    key that a third of all rows share goes nowhere; what is left has no key with more than that share, and is
+    dealt by key. total is the number of rows, or a number above it.
+    """
+    if total is None:
+        total = table.agg(F.sum(n_col)).first()[0] or 0
+    hot = F.broadcast(table.filter(F.col(n_col) > total / most))
+    cold = table.filter(F.col(n_col) <= total / most)
+    spread = rows.join(hot.select(on), on, "left_anti").join(cold, on)
+    return rows.join(hot, on).unionByName(spread).drop(n_col)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of the given folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,8 +10,10 @@ walk finds what hangs together and gives one edge for each node but the first. A
 `split_above` nodes is dealt out again, every two of its chunks to a task, so its links are all found and no
 task holds it whole.
 
-similar() tells near copies by the Jaccard similarity of their shingle sets instead, which 64 bits cannot: MinHash
-bands bring candidates together, the sets decide.
+For near copies by the Jaccard similarity of shingle sets 64 bits are too few: at 0.8, pairs differ in 15 percent
+of the bits. similar() and keep_one() take fingerprints of 512 bits, whose blocks grow in length and number with
+the documents: close pairs share a block, meet there, and are verified by Hamming distance. What so hangs together
+is compared by the sets themselves.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, with_row_key
+from .shared import join_unhot, materialize, with_row_key
 
 BITS = 64
 _POWERS = np.left_shift(np.uint64(1), np.arange(BITS, dtype=np.uint64))
@@ -168,14 +170,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null one. Rows that repeat an id give one row each. An empty table gives an empty one.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words, seed), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    reached = components(links(nodes, max_distance, blocks, split_above))
-    least = (
-        nodes.join(reached, F.col("fp") == F.col("node"), "left")
-        .select("fp", F.coalesce("label", "fp").alias("label"), "least")
-    )
-    named = least.join(least.groupBy("label").agg(F.min("least").alias("component")), "label").select("fp", "component")
-    return prints.join(named, "fp").select(id_col, "fp", "component")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-nodes")
+    reached = components(links(nodes.select("fp"), max_distance, blocks, split_above))
+    placed = materialize(nodes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "least", "n"), "simhash-placed")
+    least = placed.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    named = join_unhot(placed.drop("least"), least, "label", "members").select("fp", "component", "n")
+    return join_unhot(prints, named, "fp", "n").select(id_col, "fp", "component")
 
 
 def shingle_set(text: str | None, shingle_words: int, seed: int) -> np.ndarray:
@@ -191,23 +191,164 @@ def shingle_set(text: str | None, shingle_words: int, seed: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[s:e], seed) for s, e in zip(starts, last)), dtype=np.uint64, count=len(last)))
 
 
-#: MinHash bands and the values in each. Two sets of Jaccard similarity s share a band with the chance 1 - (1 - s ** BAND_ROWS) ** BANDS.
-BANDS, BAND_ROWS = 20, 5
+#: 64-bit words of a wide fingerprint, and how many of them go along to verify a pair that shares a block.
+WIDE, SKETCH = 8, 3
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Bits, 0 or 1, of a set of hashes: 1 if set in over half of them. Each further word of a hash is its mixed self."""
+    total = np.zeros(BITS * WIDE, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096, None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return (2 * total > len(hashes)).astype(np.uint8)
+
+
+def differing(similarity: float) -> float:
+    """The share of fingerprint bits in which two sets of this Jaccard similarity differ on average, at most.
+
+    Bits are signs of sums over the sets, so it is the angle between the sets over pi. Sets of one size are the
+    widest apart.
+    """
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def block_plan(nodes: int, similarity: float, miss: float = 0.03, load: int = 32) -> tuple[int, int]:
+    """Bits of a block and number of blocks, for so many fingerprints.
+
+    A block is as long as it takes for about `load` unrelated fingerprints to share its bits; there are so many
+    that a pair right at the similarity shares none with the chance `miss`, taken over the differing bits that
+    such pairs have. The number of blocks grows as about the fourth root of the fingerprints.
+    """
+    bits = max(10, math.ceil(math.log2(max(2, nodes) / load)))
+    q, width = differing(similarity), BITS * WIDE
+    differ = np.arange(width + 1)
+    log_chance = np.array([math.lgamma(width + 1) - math.lgamma(d + 1) - math.lgamma(width - d + 1) for d in differ]) + differ * math.log(q) + (width - differ) * math.log1p(-q)
+    agree = (1 - differ / width) ** bits
+    low, high = 1, 1 << 20
+    while low < high:
+        blocks = (low + high) // 2
+        low, high = (low, blocks) if (np.exp(log_chance) * (1 - agree) ** blocks).sum() <= miss else (blocks + 1, high)
+    return bits, low
+
+
+def block_keys(prints: np.ndarray, bits: int, blocks: int, seed: int) -> np.ndarray:
+    """A key for each row and block: the block's number and its bits.
+
+    The bits of a fingerprint are split into blocks as they lie, then again in one drawn order after another
+    until there are enough.
+    """
+    rng, width = np.random.default_rng(seed), prints.shape[1]
+    each = width // bits
+    places = np.concatenate([rng.permutation(width)[: each * bits].reshape(each, bits) for _ in range(-(-blocks // each))])[:blocks]
+    out = np.empty((len(prints), blocks), dtype=np.int64)
+    for j, place in enumerate(places):
+        out[:, j] = prints[:, place] @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.int64(j) << bits)
+    return out
+
+
+def sketch_forest(rows: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Edges, by place, that hold together what is linked within rows of 64-bit words."""
+    a: list[int] = []
+    b: list[int] = []
+    rest = np.arange(len(rows))
+    while len(rest) > 1:
+        first, todo, rest = int(rest[0]), [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            near = np.bitwise_count(rows[rest] ^ rows[todo.pop()]).sum(axis=1, dtype=np.int32) <= most
+            if near.any():
+                got = rest[near].tolist()
+                rest = rest[~near]
+                todo += got
+                a += [first] * len(got)
+                b += got
+    return a, b
+
+
+def runs_with_close_rows(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, most: int, small: int = 96) -> np.ndarray:
+    """Numbers of the runs that hold two close rows; runs above `small` rows are named unseen."""
+    size = ends - starts
+    if not len(size):
+        return size
+    first, run = int(starts[0]), np.repeat(np.arange(len(starts)), size)
+    found = size > small
+    for shift in range(1, int(size[~found].max(initial=1))):
+        i = np.flatnonzero((run[shift:] == run[:-shift]) & ~found[run[shift:]])
+        for part in np.array_split(i, max(1, len(i) // 65536)):
+            part = part + first
+            near = np.bitwise_count(rows[part] ^ rows[part + shift]).sum(axis=1, dtype=np.int32) <= most
+            found[run[part[near] - first]] = True
+    return np.flatnonzero(found)
+
 
+def block_links(filed: DataFrame, most: int, split_above: int = 4096) -> DataFrame:
+    """Edges (a, b) over filed (k, node, w0, w1, w2 longs) that connect exactly what chains of close rows of one k connect.
 
-def band_keys(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """One key for each band of MinHash values of a set of hashes, the band's number mixed in; an empty set has none."""
-    if not len(hashes):
-        return np.zeros(0, dtype=np.int64)
-    drawn = np.random.default_rng(seed).integers(0, 2**63, (3, BANDS * BAND_ROWS), dtype=np.uint64)
-    times, plus, mixed = drawn[0] * np.uint64(2) + np.uint64(1), drawn[1], drawn[2] * np.uint64(2) + np.uint64(1)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[at : at + 2048, None] * times + plus).min(axis=0), out=least)
-    least ^= least >> np.uint64(32)
-    keys = (least * mixed).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (keys ^ (keys >> np.uint64(31))).view(np.int64)
+    Rows of a k are walked as links() does. A k of more than split_above rows is dealt out again, every two of
+    its chunks to a task.
+    """
+    words = [f"w{i}" for i in range(SKETCH)]
+    dealt = filed.select("k", "node", *words).repartition("k").sortWithinPartitions("k", "node")
+    names = ["k", "a", "b", *words]
+
+    def edges_of(node: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        a, b = sketch_forest(rows, most)
+        return pa.record_batch([pa.nulls(len(a), pa.int64()), pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64()), *(pa.nulls(len(a), pa.int64()) for _ in words)], names=names)
+
+    def again(k: int, node: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([k] * len(node), pa.int64()), pa.array(node), pa.nulls(len(node), pa.int64()), *(pa.array(rows[:, i].view(np.int64)) for i in range(SKETCH))], names=names)
+
+    def walk(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple | None = None  # k, nodes, rows of the run that may go on; no rows once it is dealt out
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            k, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = np.stack([batch.column(2 + i).to_numpy() for i in range(SKETCH)], axis=1).view(np.uint64)
+            over = False
+            if kept is not None:
+                if kept[0] == k[0]:
+                    over = not len(kept[1])
+                    k, node, rows = np.concatenate([np.full(len(kept[1]), k[0]), k]), np.concatenate([kept[1], node]), np.concatenate([kept[2], rows])
+                elif len(kept[1]) > 1:
+                    yield edges_of(kept[1], kept[2])
+            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
+            if over:
+                yield again(int(k[0]), node[: ends[0]], rows[: ends[0]])
+            last = int(starts[-1])
+            inner = slice(1 if over else 0, len(starts) - 1)
+            for r in runs_with_close_rows(starts[inner], ends[inner], rows, most).tolist():
+                s, e = int(starts[inner][r]), int(ends[inner][r])
+                yield again(int(k[s]), node[s:e], rows[s:e]) if e - s > split_above else edges_of(node[s:e], rows[s:e])
+            dealt_out = over and len(starts) == 1
+            if not dealt_out and len(k) - last > split_above:
+                yield again(int(k[-1]), node[last:], rows[last:])
+                dealt_out = True
+            kept = (k[-1], node[:0], rows[:0]) if dealt_out else (k[-1], node[last:].copy(), rows[last:].copy())
+        if kept is not None and len(kept[1]) > 1:
+            yield edges_of(kept[1], kept[2])
+
+    first = materialize(dealt.mapInArrow(walk, "k long, a long, b long, " + ", ".join(f"{w} long" for w in words)), "simhash-block-links")
+    large = first.filter("k is not null").select("k", F.col("a").alias("node"), *words)
+    sizes = large.groupBy("k").agg(F.ceil(F.count("*") / split_above).cast("int").alias("parts"), F.count("*").alias("n"))
+    pairs = (
+        join_unhot(large, sizes, "k", "n")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("k", "node", *words, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+
+    def walk_pair(group: pa.Table) -> pa.Table:
+        node, at = np.unique(group.column("node").to_numpy(), return_index=True)
+        rows = np.stack([group.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+        a, b = sketch_forest(rows[at], most)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    return first.filter("k is null").select("a", "b").unionByName(pairs.groupBy("k", "i", "j").applyInArrow(walk_pair, "a long, b long")).distinct()
 
 
 def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -263,10 +404,10 @@ def jaccard_links(sets: DataFrame, similarity: float, split_above: int = 2_000_0
     Labels share tasks of about split_above hashes. A label with more is dealt out by node, every two of its
     chunks to a task, so all its pairs are compared and no task holds it whole.
     """
-    totals = sets.groupBy("label").agg(F.ceil(F.sum("n") / split_above).cast("int").alias("parts"))
-    everything = sets.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, math.ceil(everything / split_above))
-    sized = sets.join(totals, "label")
+    totals = sets.groupBy("label").agg(F.ceil(F.sum("n") / split_above).cast("int").alias("parts"), F.count("*").alias("members"))
+    everything, total = sets.agg(F.sum("n"), F.count("*")).first()
+    tasks = max(1, math.ceil((everything or 0) / split_above))
+    sized = join_unhot(sets, totals, "label", "members", total)
     few = sized.filter("parts <= 1").select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "label", "node", "hashes")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     many = (
@@ -292,177 +433,85 @@ def jaccard_links(sets: DataFrame, similarity: float, split_above: int = 2_000_0
     return few.unionByName(many).groupBy("u", "i", "j").applyInArrow(walk, "a long, b long")
 
 
-def wide_forest(rows: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Edges, by place, that hold together what is linked within distinct rows of 64-bit words."""
-    a: list[int] = []
-    b: list[int] = []
-    rest = np.arange(len(rows))
-    while len(rest) > 1:
-        first, todo, rest = int(rest[0]), [int(rest[0])], rest[1:]
-        while todo and len(rest):
-            near = np.bitwise_count(rows[rest] ^ rows[todo.pop()]).sum(axis=1, dtype=np.int32) <= most
-            if near.any():
-                got = rest[near].tolist()
-                rest = rest[~near]
-                todo += got
-                a += [first] * len(got)
-                b += got
-    return a, b
-
-
-def wide_links(nodes: DataFrame, most: int, words: int, block_bits: int = 16, split_above: int = 4096) -> DataFrame:
-    """Edges (a, b) over nodes (node long, fp binary of `words` 64-bit words) that differ in `most` bits at most.
-
-    Fingerprints meet in a file for each block of block_bits bits that they share. Of two that differ in fewer
-    bits than there are blocks, one block is equal for sure. Two that differ in a share q of bits miss each
-    other with the chance (1 - (1 - q) ** block_bits) ** blocks only. Files as in links().
-    """
-    per = BITS // block_bits
-    byte = lambda i: F.expr(f"cast(conv(hex(substring(fp, {i * block_bits // 8 + 1}, {block_bits // 8})), 16, 10) as int)")
-    filed = nodes.select("node", "fp", F.posexplode(F.array(*(byte(i) for i in range(words * per)))).alias("c", "k"))
-    dealt = filed.select("c", "k", "node", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "node")
-    wide = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
-
-    def walk(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = pa.array([], pa.binary())
-
-        def out(a: list[int], b: list[int]) -> pa.RecordBatch:
-            n = len(a)
-            return pa.record_batch([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.binary()) if n else none], names=["c", "k", "a", "b", "fp"])
-
-        def over(key: tuple[int, int], nodes: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            n = len(nodes)
-            return pa.record_batch([pa.array([key[0]] * n, pa.int32()), pa.array([key[1]] * n, pa.int32()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["c", "k", "a", "b", "fp"])
-
-        kept: tuple | None = None  # key, nodes, rows, whether it overflowed: of the run that may go on
-        for batch in found:
-            if not batch.num_rows:
-                continue
-            c, k, node = (batch.column(i).to_numpy() for i in range(3))
-            rows = wide(batch.column(3))
-            overflowed = False
-            if kept is not None:
-                if kept[0] == (int(c[0]), int(k[0])):
-                    n = len(kept[1])
-                    c, k, node, rows = np.concatenate([np.full(n, c[0]), c]), np.concatenate([np.full(n, k[0]), k]), np.concatenate([kept[1], node]), np.concatenate([kept[2], rows])
-                    overflowed = kept[3]
-                elif not kept[3]:
-                    a, b = wide_forest(kept[2], most)
-                    if a:
-                        yield out(kept[1][a].tolist(), kept[1][b].tolist())
-                kept = None
-            cuts = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(c)]])
-            run = np.repeat(np.arange(len(starts)), ends - starts)
-            # runs in which any two are close; only they are walked
-            close = np.zeros(len(starts), dtype=bool)
-            size = ends - starts
-            small = int(size[size <= 64].max(initial=1))
-            for shift in range(1, small):
-                i = np.flatnonzero((run[shift:] == run[:-shift]) & (size[run[shift:]] <= 64))
-                for part in np.array_split(i, max(1, len(i) // 65536)):
-                    near = np.bitwise_count(rows[part] ^ rows[part + shift]).sum(axis=1, dtype=np.int32) <= most
-                    close[run[part[near]]] = True
-            close |= size > 64
-            close[-1] = False  # it may go on
-            a_out: list[int] = []
-            b_out: list[int] = []
-            for r in np.flatnonzero(close).tolist():
-                s, e = int(starts[r]), int(ends[r])
-                if e - s > split_above or (r == 0 and overflowed):
-                    yield over((int(c[s]), int(k[s])), node[s:e], rows[s:e])
-                    continue
-                a, b = wide_forest(rows[s:e], most)
-                a_out += node[s:e][a].tolist()
-                b_out += node[s:e][b].tolist()
-            if a_out:
-                yield out(a_out, b_out)
-            if overflowed and len(starts) > 1 and not close[0]:
-                yield over((int(c[0]), int(k[0])), node[: ends[0]], rows[: ends[0]])
-            s, key = int(starts[-1]), (int(c[-1]), int(k[-1]))
-            if len(node) - s > split_above or (overflowed and len(starts) == 1):
-                yield over(key, node[s:], rows[s:])
-                kept = (key, node[:0], rows[:0], True)
-            else:
-                kept = (key, node[s:].copy(), rows[s:].copy(), False)
-        if kept is not None and not kept[3]:
-            a, b = wide_forest(kept[2], most)
-            yield out(kept[1][a].tolist(), kept[1][b].tolist())
-
-    first = materialize(dealt.mapInArrow(walk, "c int, k int, a long, b long, fp binary"), "simhash-links")
-    edges = first.filter("c is null").select("a", "b")
-    large = first.filter("c is not null").select("c", "k", F.col("a").alias("node"), "fp")
-    sizes = large.groupBy("c", "k").agg(F.ceil(F.count("*") / split_above).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = (
-        large.join(sizes, ["c", "k"])
-        .withColumn("own", own)
-        .select("c", "k", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("c", "k", "node", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-
-    def walk_pair(group: pa.Table) -> pa.Table:
-        node, at = np.unique(group.column("node").to_numpy(), return_index=True)
-        a, b = wide_forest(wide(group.column("fp").combine_chunks())[at], most)
-        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
-
-    return edges.unionByName(pairs.groupBy("c", "k", "i", "j").applyInArrow(walk_pair, "a long, b long")).distinct()
-
+def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = 42, split_above: int = 2_000_000, miss: float = 0.03) -> tuple[DataFrame, DataFrame]:
+    """Nodes and groups of rows (row long, each its own, text, and others).
 
-def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = 42, split_above: int = 2_000_000) -> DataFrame:
-    """(row, label) of rows (row long, each its own, text): equal labels for rows that chains of similar texts connect.
+    Nodes are (node, digest, n, first): the least row of each set of shingles, told apart by 128 bits, the number
+    of rows that have it, and what `first` (a struct or long of the rows) is least among them. Groups are (node,
+    label) of nodes that chains of similar texts connect; a node without any has no row there.
 
     Texts link whose sets of shingles have a Jaccard similarity of at least `similarity`, by the sets themselves.
-    Rows that share a MinHash band hang together as a candidate group, within which all sets are compared.
-    Equal sets are one node, known by its 64-bit hash, as are all null and empty texts.
+    Candidates share a block of their wide fingerprints (block_plan()) and differ in few enough of SKETCH words
+    that one pair in 200 at the similarity is lost there. Null and empty texts are one node.
     """
 
-    def keyed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(1)]
-            node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(node), pa.array([band_keys(x, seed) for x in sets], pa.list_(pa.int64()))], names=["row", "node", "keys"])
+            sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(2)]
+            digest = [xxhash.xxh128_digest(x.astype("<u8").tobytes(), seed) for x in sets]
+            prints = [np.packbits(wide_fingerprint(x), bitorder="little").tobytes() for x in sets]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(prints, pa.binary())], names=["row", "first", "digest", "fp"])
+
+    kind = rows.schema["first"].dataType.simpleString()
+    prints = materialize(rows.select("row", "first", "text").mapInArrow(printed, f"row long, first {kind}, digest binary, fp binary"), "simhash-wide")
+    # equal sets have equal fingerprints
+    nodes = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("first").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp")), "simhash-wide-nodes")
+    bits, blocks = block_plan(nodes.count(), similarity, miss)
+    q = differing(similarity)
+    most = math.ceil(q * SKETCH * BITS + 2.6 * math.sqrt(q * (1 - q) * SKETCH * BITS))
+
+    def filed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                keys = block_keys(np.unpackbits(raw, axis=1, bitorder="little"), bits, blocks, seed)
+                sketch = raw[:, : 8 * SKETCH].copy().view("<i8")
+                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), blocks)), *(pa.array(np.repeat(sketch[:, i], blocks)) for i in range(SKETCH))], names=["k", "node", *(f"w{i}" for i in range(SKETCH))])
 
     def hashed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["label", "node", "n", "hashes"])
 
-    prints = materialize(rows.select("row", "text").mapInArrow(keyed, "row long, node long, keys array<long>"), "minhash-prints")
-    nodes = prints.groupBy("node").agg(F.first("keys").alias("keys"), F.min("row").alias("row"))
-    filed = materialize(nodes.select("node", F.explode("keys").alias("k")), "minhash-bands")
-    bands = filed.groupBy("k").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("k", "a")
-    groups = materialize(components(filed.join(bands, "k").select("a", F.col("node").alias("b"))), "minhash-groups")
-    chosen = materialize(prints.groupBy("node").agg(F.min("row").alias("row")).join(groups, "node").select("row", "label", "node"), "minhash-chosen")
-    sets = materialize(rows.join(chosen, "row").select("label", "node", "text").mapInArrow(hashed, "label long, node long, n long, hashes binary"), "minhash-sets")
-    reached = components(jaccard_links(sets, similarity, split_above)).withColumnRenamed("node", "n")
-    return prints.select("row", "node").join(reached, F.col("node") == F.col("n"), "left").select("row", F.coalesce("label", "node").alias("label"))
+    met = nodes.select("node", "fp").mapInArrow(filed, "k long, node long, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
+    groups = materialize(components(block_links(met, most)), "simhash-groups")
+    sets = materialize(rows.join(groups, rows["row"] == groups["node"]).select("label", "node", "text").mapInArrow(hashed, "label long, node long, n long, hashes binary"), "simhash-sets")
+    return nodes.drop("fp"), components(jaccard_links(sets, similarity, split_above))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, seed: int = 42, split_above: int = 2_000_000) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(id_col, component) of every document, as near_duplicates(), for texts alike() by Jaccard similarity of shingles.
 
-    A pair of similarity 0.8 is compared with a chance of at least 99.96 percent, one of 0.85 with 99.999; no pair
-    below the similarity is linked.
+    No pair below the similarity is linked; of pairs right at it, about four in a hundred meet nowhere.
     """
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
-    named = rows.select("row", "id").join(alike(rows, shingle_words, similarity, seed, split_above), "row")
-    least = named.groupBy("label").agg(F.min("id").alias("component"))
-    return named.join(least, "label").select(F.col("id").alias(id_col), "component")
+    keyed, key = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "simhash-rows")
+    nodes, groups = alike(keyed.select(F.col(key).alias("row"), F.col("id").alias("first"), "text"), **how)
+    placed = materialize(nodes.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "simhash-placed")
+    least = placed.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("members"))
+    named = join_unhot(placed.select("label", "digest", "n"), least, "label", "members").select("digest", "component", "n")
+    shingle_words, seed = how.get("shingle_words", 5), how.get("seed", 42)
+
+    def digests(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([xxhash.xxh128_digest(x.astype("<u8").tobytes(), seed) for x in sets], pa.binary())], names=["id", "digest"])
+
+    kind = keyed.schema["id"].dataType.simpleString()
+    told = materialize(keyed.select("id", "text").mapInArrow(digests, f"id {kind}, digest binary"), "simhash-told")
+    return join_unhot(told, named, "digest", "n").select(F.col("id").alias(id_col), "component")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents, all columns, without those that another row stands for.
 
     Each row is a document of its own, named by a key that is written before anything else. Of each component of
-    alike() the row of the smallest doc_id stays, null last, and of rows that repeat this id the one of the
-    smallest key. An empty table gives an empty one.
+    alike() the row of the smallest id stays, null last, and of rows that repeat this id the one of the smallest
+    key. An empty table gives an empty one.
     """
-    names = {"id_col": "doc_id", "text_col": "text"} | {k: how.pop(k) for k in ("id_col", "text_col") if k in how}
-    keyed, key = with_row_key(docs, "minhash-rows")
-    id_col = F.col(names["id_col"])
-    rows = keyed.select(F.col(key).alias("row"), F.col(names["text_col"]).alias("text"))
-    ids = keyed.select(F.col(key).alias("row"), id_col.alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
-    stay = materialize(alike(rows, **how).join(ids, "row").groupBy("label").agg(first.alias("__stays")).select("__stays"), "minhash-stay")
+    keyed, key = with_row_key(docs, "simhash-rows")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("row"))
+    nodes, groups = alike(keyed.select(F.col(key).alias("row"), first.alias("first"), F.col(text_col).alias("text")), **how)
+    placed = nodes.join(groups, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
+    stay = materialize(placed.select(F.col("first.row").alias("__stays")), "simhash-stay")
     return keyed.join(stay, keyed[key] == stay["__stays"], "left_semi").select(docs.columns)

@@ -18,6 +18,7 @@ import brute  # noqa: E402
 from strikeplane.llm import chat, covertree, langid, licenses, lm, mixing, packing, quality, secrets, simhash  # noqa: E402
 from strikeplane.llm.components import components  # noqa: E402
 from strikeplane.llm.queries import tokenizer_path  # noqa: E402
+from strikeplane.llm.shared import join_unhot  # noqa: E402
 
 R = random.Random(5)
 VOCABULARY = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 7))) for _ in range(300)]
@@ -404,40 +405,47 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("split_above", [30, 4096])
-def test_wide_links_are_exact_where_blocks_are_shared(spark, split_above):
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_block_links_are_exact_where_blocks_are_shared(spark, split_above, batch):
     rng = np.random.default_rng(3)
-    rows = rng.integers(0, 2**63, (200, 2), dtype=np.uint64)
+    rows = rng.integers(0, 2**63, (200, simhash.SKETCH), dtype=np.uint64)
     near = [rows]
     for center in rows[:5]:
-        flips = np.zeros((80, 2), dtype=np.uint64)
+        flips = np.zeros((80, simhash.SKETCH), dtype=np.uint64)
         for i in range(80):
-            for b in rng.choice(128, rng.integers(0, 9), replace=False).tolist():
+            for b in rng.choice(192, rng.integers(0, 9), replace=False).tolist():
                 flips[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
         near.append(center ^ flips)
     rows = np.unique(np.concatenate(near), axis=0)
-    nodes = spark.createDataFrame([(i, bytearray(r.astype("<u8").tobytes())) for i, r in enumerate(rows)], "node long, fp binary")
-    labels = {r.node: r.label for r in components(simhash.wide_links(nodes, 7, 2, split_above=split_above)).collect()}
-    mine = defaultdict(set)
+    keys = rng.integers(0, 4, len(rows)).tolist()
+    data = [(k, i, *map(int, r.view(np.int64))) for i, (k, r) in enumerate(zip(keys, rows))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        edges = simhash.block_links(spark.createDataFrame(data, "k long, node long, w0 long, w1 long, w2 long"), 7, split_above=split_above)
+        labels = {r.node: r.label for r in components(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mine, root = defaultdict(set), list(range(len(rows)))
     for i in range(len(rows)):
         mine[labels.get(i, i)].add(i)
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(rows ^ rows[i]).sum(axis=1) <= 7).tolist():
-            a, b = i, j
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
+        for j in np.flatnonzero((np.bitwise_count(rows ^ rows[i]).sum(axis=1) <= 7) & (np.array(keys) == keys[i])).tolist():
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
     want = defaultdict(set)
-    for i in range(len(rows)):
-        a = i
-        while root[a] != a:
-            a = root[a]
-        want[a].add(i)
+    for i, r in enumerate(root):
+        want[r].add(i)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_hot_keys_join_as_others_do(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("m"))
+    for most in (2, 10, 10**9):
+        got = join_unhot(rows, table, "k", "n", most=most)
+        assert got.columns == ["k", "x", "m"] and got.count() == 3000
+        assert got.filter("m <> case when k = 0 then 0 else x end").count() == 0
+
+
 def test_similar_documents_go(spark):
     """Copies with an edit of a few words in a hundred go; documents of their own stay."""
     rng = random.Random(11)
