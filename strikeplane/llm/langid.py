@@ -3,9 +3,9 @@
 Every language has a codeword of bits. For each bit a binary classifier over hashed byte n-grams tells the
 languages whose codeword has a 1 there from the rest: its weights are log odds of the two sides' n-gram shares,
 in which each language weighs the same, and its margin is their mean over a text. Decoding adds up, for each
-language, the logistic loss of every bit's margin against the codeword, weighted by how well the bit's
-classifier did on the texts that it learned from, and takes the language of least loss. A small lead over the
-second language, or a text of few n-grams, marks the choice as ambiguous.
+language, the logistic loss of every bit's margin against the codeword, weighted by how far the bit's
+classifier keeps the languages' own n-gram shares on their right sides, and takes the language of least loss. A small lead over the
+second language marks the choice as ambiguous.
 """
 
 from __future__ import annotations
@@ -169,10 +169,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents, their columns as they are, whose language is neither undetermined nor ambiguous.
+    """The documents, their columns as they are whatever their names, whose language is neither undetermined nor ambiguous.
 
     The model learns from the documents' own labels, but for the held-out quarter.
     """
     model = fit(docs.filter(crc_part(F.col("doc_id")) != 2))
     columns = tuple(docs.columns)
-    return predict(docs, model, keep=columns).filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select(*columns)
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    said = predict(named, model, f"c{columns.index('text')}", tuple(named.columns))
+    return said.filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

@@ -12,10 +12,16 @@ w AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][(row_number() OVER (ORDE
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, coalesce(least(cap, f.level * w), cap) AS target FROM l, f),
-p AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share, (('0x' || substr(md5('7:' || doc_id || ':' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, floor(share)::BIGINT AS whole, share - floor(share) AS frac, target - floor(share) * source_size AS words_left FROM p),
-b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (frac / (1 - frac)), doc_id::VARCHAR, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q WHERE frac > 0)
-SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * (q.whole + CASE WHEN b.before + b.size / 2 <= b.words_left THEN 1 ELSE 0 END))::BIGINT AS taken FROM q LEFT JOIN b ON q.doc_id = b.doc_id"""
+n AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS k, length(bin(size)) AS m FROM s),
+c AS (SELECT n.source, m, sum(size)::BIGINT AS words, any_value(target) AS target FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY n.source, m),
+cl AS (SELECT *, (target - 3.0::DOUBLE * coalesce(sum(words) OVER o, 0)) / (sum(words * m) OVER (PARTITION BY source) - coalesce(sum(words * m) OVER o, 0)) AS level FROM c WINDOW o AS (PARTITION BY source ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cc AS (SELECT source, arg_max(level, m) AS c FROM cl WHERE level * m <= 3.0::DOUBLE GROUP BY source),
+e AS (SELECT cl.source, m, coalesce(least(3.0::DOUBLE, cc.c * m), 3.0::DOUBLE) AS e, words, target FROM cl LEFT JOIN cc ON cl.source IS NOT DISTINCT FROM cc.source),
+el AS (SELECT *, target - sum(floor(e) * words) OVER (PARTITION BY source) AS words_left FROM e),
+p AS (SELECT n.*, t.source_size, t.target, floor(el.e)::BIGINT AS whole, el.e - floor(el.e) AS frac, el.words_left, (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size || ':' || k), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source LEFT JOIN el ON n.source IS NOT DISTINCT FROM el.source AND n.m = el.m AND n.size > 0),
+b AS (SELECT *, CASE WHEN frac > 0 THEN coalesce(sum(CASE WHEN frac > 0 THEN size END) OVER (PARTITION BY source, frac > 0 ORDER BY (u / (1 - u)) / (frac / (1 - frac)), doc_id::VARCHAR || ':' || size || ':' || k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS before FROM p)
+SELECT doc_id, size, source_size, target, (size * (coalesce(whole, 0) + CASE WHEN before + size / 2 <= words_left THEN 1 ELSE 0 END))::BIGINT AS taken FROM b"""
 
 OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q, v d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, with_row_key
 
 #: A space between two other characters. No token of the byte-level vocabulary spans it from the left.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -228,11 +228,16 @@ def pack(parts: DataFrame, capacity: int = 2048, shard_pieces: int = 8192, id_co
     return parts.withColumn("shard", shard).groupBy("shard").applyInPandas(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, shard_pieces: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize, cut and pack whole documents; one row for each piece, with where it lies.
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, shard_pieces: int = 8192, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """Tokenize, cut and pack whole documents; one row for each piece, with where it lies, and with its ids if asked for.
 
     A null or empty text is a document of one token, end_id. Rows with a null id, and repeated rows, are packed
     like any other. Rows that repeat spread over the shards.
     """
-    parts = materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
-    return pack(parts, capacity, shard_pieces, id_col)
+    if not with_ids:
+        return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity, shard_pieces, id_col)
+    # only lengths are packed; the ids join where they lie
+    parts, key = with_row_key(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, True), "pieces")
+    return pack(parts.drop("ids"), capacity, shard_pieces, id_col).join(parts.select(key, "ids"), key).drop(key)

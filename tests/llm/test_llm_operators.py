@@ -130,13 +130,37 @@ def test_mix_comes_near_its_targets(spark):
     assert kept.select(F.sum(F.size(F.split("text", " ")))).first()[0] == sum(r.taken for r in got)
 
 
-def test_pareto_inclusion_follows_odds(spark):
-    """A document of twice the merit is drawn more often."""
-    sized = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("size"), (F.col("id") % 2 + 1).cast("double").alias("merit"))
-    targets = spark.createDataFrame([("s", 20000, 6000.0)], "source string, source_size long, target double")
-    got = {r.merit: r.n for r in mixing.copies(sized, targets, merit_col="merit").groupBy("merit").agg(F.sum("copies").alias("n")).collect()}
-    assert got[1.0] + got[2.0] == 6000
-    assert 1.4 < got[2.0] / got[1.0] < 1.9
+def test_pareto_inclusion_follows_merit(spark):
+    """Over many seeds a document is in about as often as its inclusion probability says; certain copies always are."""
+    rows = spark.range(600).select(F.col("id").cast("string").alias("name"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("size"), F.when(F.col("id") < 30, 12).otherwise(F.col("id") % 2 + 1).cast("int").alias("merit"))
+    targets = spark.createDataFrame([("s", 6000, 3000.0)], "source string, source_size long, target double")
+    # 30 rows of merit 12, 285 of 1 and 285 of 2: c * (360 + 285 + 570) = 300
+    c = 300 / 1215
+    n = defaultdict(int)
+    for seed in range(12):
+        got = mixing.copies(rows, targets, seed=seed).collect()
+        assert sum(r.copies for r in got) == 300
+        for r in got:
+            n[r.merit] += r.copies
+            assert r.merit < 12 or r.copies in (2, 3)
+    for merit, many in ((12, 30), (1, 285), (2, 285)):
+        assert n[merit] / 12 / many == pytest.approx(c * merit, rel=0.08)
+
+
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    rows = [(1, "w " * 100, "a")] * 200 + [(None, "v " * 50, "a")] * 100 + [(i, "x " * 100, "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for got in (mixing.mix(docs), mixing.take(docs).select("source", F.size(F.split(F.trim("text"), " ")).alias("size"), F.lit(1).alias("copies"))):
+        taken = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()}
+        assert abs(taken["a"] - 35000 / 3) <= 100 and abs(taken["b"] - 70000 / 3) <= 100
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+
+
+def test_take_leaves_clashing_columns(spark):
+    rows = [(i, f"one two {i}", "s", i, -i, 7) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row long, __copies long, __copy int").withColumn("__id", F.lit("mine")).withColumn("row", F.lit(5)).withColumn("e", F.lit(1))
+    got = mixing.take(docs)
+    assert got.columns == docs.columns and got.count() == 9 and got.filter("__copies <> -__row or __copy <> 7 or __id <> 'mine' or row <> 5").count() == 0
 
 
 def test_cover_tree_invariants():
@@ -299,6 +323,9 @@ def test_pack(docs, none):
             at += n
         assert at <= 2048
     assert packing.pack_documents(none, tokenizer_path()).count() == 0
+    told = packing.pack_documents(docs, tokenizer_path(), shard_pieces=8, with_ids=True).collect()
+    assert sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in told) == sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in got)
+    assert all(zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in told)
 
 
 def test_licenses(spark, docs, none):
