@@ -30,8 +30,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Pack the documents' tokens into sequences; rows hold their token ids."""
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mixture", mixture), ("packed", packed)]
