@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_unhot, materialize
+from .shared import materialize
 
 
-def _toward_least(edges: DataFrame, n: int) -> DataFrame:
+def _toward_least(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is tied to the least node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return join_unhot(both.filter("v > u"), least, "u", "n", n).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
-def _flatten(edges: DataFrame, n: int) -> DataFrame:
+def _flatten(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them. Edges come as a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-    joined = join_unhot(edges, least, "b", "n", n)
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    joined = edges.join(least, "b")
     return (
         joined.select(F.col("m").alias("a"), F.col("a").alias("b"))
         .unionByName(least.select(F.col("m").alias("a"), "b"))
@@ -36,13 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges may repeat, come in either direction or tie a node to itself; such a node alone gets no row. Each
     round writes its edges to the shared folder, so a round lost with an executor starts from the round before.
-    A node that many edges have, as in a large group of copies, does not gather them in one task.
+    What joins on a node that very many edges have is a plain join without an order to keep, which adaptive
+    execution splits.
     """
     now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "components")
     state = _state(now)
     while state[0]:
-        # neither step makes more edges than it is given
-        now = materialize(_flatten(_toward_least(now, state[0]), state[0]), "components")
+        now = materialize(_flatten(_toward_least(now)), "components")
         before, state = state, _state(now)
         if before == state:
             break
