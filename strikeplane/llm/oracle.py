@@ -23,9 +23,9 @@ p AS (SELECT n.*, t.source_size, t.target, floor(el.e)::BIGINT AS whole, el.e -
 b AS (SELECT *, CASE WHEN frac > 0 THEN coalesce(sum(CASE WHEN frac > 0 THEN size END) OVER (PARTITION BY source, frac > 0 ORDER BY (u / (1 - u)) / (frac / (1 - frac)), doc_id::VARCHAR || ':' || size || ':' || k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS before FROM p)
 SELECT doc_id, size, source_size, target, (size * (coalesce(whole, 0) + CASE WHEN before + size / 2 <= words_left THEN 1 ELSE 0 END))::BIGINT AS taken FROM b"""
 
-OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q, v d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+OP3 = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q, v d WHERE q.vec_id % 50 = 0 AND d.rid <> q.rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 OP5 = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),

@@ -35,7 +35,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all vectors for every vector whose id is divisible by 50, by integer inner product."""
     whole = documents(spark, sf_dir, "embeddings").filter(covertree.usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     vectors = whole.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vector"))
-    found = covertree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+    found = covertree.top_k(vectors, 5, "vec_id % 50 = 0")
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
 

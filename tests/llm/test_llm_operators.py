@@ -188,7 +188,7 @@ def test_top_k(spark, n, q, block, group, centers):
         v[20:45] = v[20]  # a common vector: ties go to smaller ids
         v[:200] += 100
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, vector array<double>")
-    got = covertree.top_k(df, df.filter(F.col("vec_id") < q), 5, block=block, group=group, centers=centers, sample=64).collect()
+    got = covertree.top_k(df, 5, f"vec_id < {q}", block=block, group=group, centers=centers).collect()
     want = set()
     for i in range(min(q, n)):
         scores = v @ v[i]
@@ -198,6 +198,20 @@ def test_top_k(spark, n, q, block, group, centers):
     assert {tuple(r) for r in got} == want
 
 
+def test_repeated_ids_and_unlike_lengths(spark):
+    """A row is its own query and leaves out itself alone; shorter vectors have zeros behind."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), np.floor(rng.normal(size=rng.integers(0, 6)) * 9).tolist()) for i in rng.integers(0, 30, 120)] + [(None, [1.0] * 5), (3, [4.0] * 5), (3, [4.0] * 5)]
+    got = covertree.top_k(spark.createDataFrame(rows, "vec_id long, vector array<double>"), 3, "vec_id % 3 = 0", block=20, group=7, centers=4).collect()
+    known = [(i, np.array(v + [0.0] * (5 - len(v)))) for i, v in rows if i is not None]
+    want = []
+    for a, (i, v) in enumerate(known):
+        if i % 3 == 0:
+            order = sorted((-float(v @ w), j) for b, (j, w) in enumerate(known) if a != b)[:3]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(order)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_unusable_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
