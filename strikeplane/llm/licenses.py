@@ -19,7 +19,6 @@ EQUIVALENT = (
     ("analogue", "analog"),
     ("authorise", "authorize"),
     ("authorised", "authorized"),
-    ("copyright holder", "copyright owner"),
     ("favour", "favor"),
     ("fulfil", "fulfill"),
     ("https", "http"),
@@ -34,11 +33,12 @@ EQUIVALENT = (
     ("per cent", "percent"),
     ("recognise", "recognize"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),
 )
-# Known notices and short licenses, by an identifier.
+# Known notices, headers and licenses in full, by an identifier.
 KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
@@ -53,33 +53,111 @@ KNOWN = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     ),
+    (
+        "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ),
     (
         "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
+    (
+        "MIT-0",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. '
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    (
+        "X11",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE X CONSORTIUM BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. '
+        "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: '
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. "
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. '
+        "For more information, please refer to <https://unlicense.org>",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 "
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "WTFPL",
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE "
+        "TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION "
+        "0. You just DO WHAT THE FUCK YOU WANT TO.",
+    ),
 )
-#: A line that names who holds the copyright, and when; such lines differ between copies of a license.
-COPYRIGHT_LINE = r"(?m)^[\t #/*;-]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©)[^\n]*$"
+# Lines that differ between copies of one license, in small letters: who holds the copyright, and when;
+# all rights reserved; the license's title.
+COPYRIGHT_LINE = r"[\t #/*;-]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\)|©|all rights reserved)[^\n]*"
+RIGHTS_LINE = r"[\t #/*;-]*all rights reserved[\t .]*"
+TITLE_LINE = r"[\t #/*;-]*(?:the )?(?:mit|isc|zlib|x11|bsd [0-9]-clause|boost software|postgresql|apache|mozilla public)(?: \"[a-z ]+\" or \"[a-z ]+\")? licen[cs]e(?: \([^\n)]*\))?(?:,? -? ?version [0-9.]+)?[\t .:]*"
+DROPPED_LINE = f"(?m)^(?:{COPYRIGHT_LINE}|{RIGHTS_LINE}|{TITLE_LINE})$"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text. It is its own canonical form.
+    """The canonical form of a text: small letters and digits in words, a blank between two, without the lines that differ.
 
-    Most texts have no copyright line and none of the words with another spelling; a look for any of them at
-    once spares such texts a pass for each.
+    Most texts have no such line and none of the words with another spelling; a look for any of them at once
+    spares such texts a pass for each. Words stand between two blanks each while spellings are changed, so that
+    one after another is found.
     """
     low = F.lower(text)
-    named = low.contains("copyright") | low.contains("(c)") | low.contains("\u00a9")
-    bare = F.when(named, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+    named = low.contains("copyright") | low.contains("(c)") | low.contains("\u00a9") | low.contains("all rights") | low.contains("licen")
+    bare = F.when(named, F.regexp_replace(low, DROPPED_LINE, " ")).otherwise(low)
     words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
-    padded = F.concat(F.lit(" "), words, F.lit(" "))
-    same = padded
+    any_other = "(?:^| )(?:" + "|".join(other for other, _ in EQUIVALENT) + ")(?: |$)"
+    same = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for other, one in EQUIVALENT:
-        same = F.replace(same, F.lit(f" {other} "), F.lit(f" {one} "))
-    any_other = " (?:" + "|".join(other for other, _ in EQUIVALENT) + ") "
-    return F.when(padded.rlike(any_other), F.trim(same)).otherwise(words)
+        same = F.replace(same, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {one.replace(' ', '  ')} "))
+    return F.when(words.rlike(any_other), F.trim(F.replace(same, F.lit("  "), F.lit(" ")))).otherwise(words)
 
 
 def digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -92,13 +170,14 @@ def digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) ->
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, license_id, notices, n_notices long) of every row of docs.
 
-    known has digest and license_id. license_id is that of the whole text, null if it is no known one. notices
-    joins the identifiers found on single lines, sorted, each once, by commas; n_notices counts such lines. A
-    null or empty text has neither. Rows with one id, or a null one, give a row each, with what was found in
-    any of them. An empty table gives an empty one.
+    known has digest and license_id, and is small. license_id is that of the whole text, null if it is no known
+    one. notices joins the identifiers found on single lines, sorted, each once, by commas; n_notices counts such
+    lines. A null or empty text has neither. Rows that repeat an id, or have none, are told apart. Other columns,
+    whatever their names, are not read. An empty table gives an empty one.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # a text of one line is one unit; of more, the text and each line with a letter
+    # a row's number is given before its units are listed
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\p{L}"))
     units = F.concat(
         F.array(F.struct(text.alias("text"), F.lit(True).alias("whole"))),
@@ -106,18 +185,16 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     )
     # never null: the join needs no filter that would make the digest a second time
     digest = F.coalesce(F.sha2(canonical(F.col("u.text")), 256), F.lit(""))
-    listed = docs.select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", F.col("u.whole").alias("whole"), digest.alias("digest"))
-    found = (
-        listed.join(known, "digest")
-        .groupBy("id")
-        .agg(
-            F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
-            F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"),
-            F.count(F.when(~F.col("whole"), 1)).alias("n_notices"),
-        )
+    listed = (
+        rows.select("row", "id", F.explode(units).alias("u"))
+        .select("row", "id", F.col("u.whole").alias("whole"), digest.alias("digest"))
     )
-    return (
-        docs.select(F.col(id_col).alias("__id"))
-        .join(found, F.col("__id").eqNullSafe(F.col("id")), "left")
-        .select(F.col("__id").alias(id_col), "license_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    # every row has its whole text; of its lines only those that are known go on
+    met = listed.join(known, "digest", "left").filter(F.col("whole") | F.col("license_id").isNotNull())
+    line = F.when(~F.col("whole"), F.col("license_id"))
+    found = met.groupBy("row", "id").agg(
+        F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
+        F.array_join(F.array_sort(F.collect_set(line)), ",").alias("notices"),
+        F.count(line).alias("n_notices"),
     )
+    return found.select(F.col("id").alias(id_col), "license_id", "notices", "n_notices")

@@ -93,14 +93,19 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(every[every != 0], return_counts=True)
 
 
-def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000, partition_words: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int | None = None, partition_words: int | None = None) -> DataFrame:
     """(id_col, n_words long, log_score double) of every document: the sum of its words' log scores.
 
     Words are lower-cased (A-Z). A null or empty text has no word and scores 0. Rows are documents, also where
     ids repeat or are null. An empty table gives an empty one. A block holds about block_chars characters, or
-    one document if that is longer; a hash partition about partition_words words.
+    one document if that is longer; a hash partition about partition_words words. They default to 4 and 1
+    million, and grow with the square root of the words from 2**28 on, to four times as much: so far the packed
+    rows grow as the input does. Beyond, a block leaves out the partitions that it has no n-gram for, so there
+    are never more rows than n-grams.
     """
     words = docs.agg(F.sum(n_words(F.col(text_col)))).first()[0] or 0
+    growth = min(4.0, max(1.0, (words / (1 << 28)) ** 0.5))
+    block_chars, partition_words = block_chars or int(4_000_000 * growth), partition_words or int(1_000_000 * growth)
     parts = max(1, -(-words // partition_words))
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], dtype=object)
     edges = np.array([int(c) for c in cuts], dtype=np.uint64)
@@ -137,18 +142,17 @@ def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "
             for r in batch.to_pylist():
                 b = Block(_stretch(r["hashes"], "<u8"), _stretch(r["words"], "<u4"), np.array(r["ends"], dtype=np.int64), order)
                 keys, n = _distinct(b.grams())
-                at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
                 vocabulary = np.unique(_vocabulary(b))
                 in_v = np.isin(keys, vocabulary)
-                for p in range(parts):
+                for p in np.flatnonzero(np.diff(at)).tolist():
                     k = keys[at[p] : at[p + 1]]
-                    if len(k):
-                        flags = np.packbits(in_v[at[p] : at[p + 1]])
-                        gaps = np.diff(k, prepend=np.uint64(0))
-                        yield pa.record_batch(
-                            [pa.array([p], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([_squeeze(gaps)], pa.binary()), pa.array([_squeeze(n[at[p] : at[p + 1]].astype("<u4"))], pa.binary()), pa.array([flags.tobytes()], pa.binary())],
-                            names=["part", "block", "keys", "n", "single"],
-                        )
+                    flags = np.packbits(in_v[at[p] : at[p + 1]])
+                    gaps = np.diff(k, prepend=np.uint64(0))
+                    yield pa.record_batch(
+                        [pa.array([p], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([_squeeze(gaps)], pa.binary()), pa.array([_squeeze(n[at[p] : at[p + 1]].astype("<u4"))], pa.binary()), pa.array([flags.tobytes()], pa.binary())],
+                        names=["part", "block", "keys", "n", "single"],
+                    )
 
     def count(group: pa.Table) -> pa.Table:
         keys = [np.cumsum(_stretch(x.as_py(), "<u8"), dtype=np.uint64) for x in group.column("keys")]

@@ -37,18 +37,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 
 
 def _canonical(x: str) -> str:
-    pattern = licenses.COPYRIGHT_LINE.replace("'", "''")
-    out = rf"' ' || trim(regexp_replace(regexp_replace(lower({x}), '{pattern}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+    pattern = licenses.DROPPED_LINE.replace("'", "''")
+    out = rf"' ' || replace(trim(regexp_replace(regexp_replace(lower({x}), '{pattern}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' '"
     for other, one in licenses.EQUIVALENT:
-        out = f"replace({out}, ' {other} ', ' {one} ')"
-    return f"sha256(trim({out}))"
+        out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {one.replace(' ', '  ')} ')"
+    return f"sha256(trim(replace({out}, '  ', ' ')))"
 
 
 _KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in licenses.KNOWN)
 OP7 = rf"""WITH known AS (SELECT {_canonical('t')} AS digest, min(i) AS license_id FROM (VALUES {_KNOWN}) k(i, t) GROUP BY 1),
-u AS (SELECT doc_id, coalesce(text, '') AS t, true AS whole FROM documents UNION ALL SELECT doc_id, t, false FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents) WHERE regexp_matches(t, '\p{{L}}')),
-f AS (SELECT doc_id, min(license_id) FILTER (whole) AS license_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (NOT whole) AS notices, count(*) FILTER (NOT whole) AS n FROM (SELECT doc_id, whole, {_canonical('t')} AS digest FROM u) JOIN known USING (digest) GROUP BY doc_id)
-SELECT d.doc_id, f.license_id, coalesce(f.notices, '') AS notices, coalesce(f.n, 0)::BIGINT AS n_notices FROM documents d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id"""
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT rid, t, true AS whole FROM d UNION ALL SELECT rid, t, false FROM (SELECT rid, unnest(string_split(t, chr(10))) AS t FROM d) WHERE regexp_matches(t, '\p{{L}}')),
+f AS (SELECT rid, min(license_id) FILTER (whole) AS license_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (NOT whole) AS notices, count(*) FILTER (NOT whole) AS n FROM (SELECT rid, whole, {_canonical('t')} AS digest FROM u) JOIN known USING (digest) GROUP BY rid)
+SELECT d.doc_id, f.license_id, coalesce(f.notices, '') AS notices, coalesce(f.n, 0)::BIGINT AS n_notices FROM d LEFT JOIN f USING (rid)"""
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP9 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+') AS w FROM documents),
