@@ -136,11 +136,10 @@ def power_law(rows: DataFrame, by: list[str], size: str, r_min: float, r_max: fl
 
 def rand_index(labels: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """(by, n, ari): agreement of two labellings, by one pass over grouping sets."""
-    keys = ", ".join(by)
-    labels.select(*by, F.col(a).alias("__a"), F.col(b).alias("__b")).createOrReplaceTempView("__labels")
-    counts = labels.sparkSession.sql(
-        f"SELECT {keys}, grouping_id() AS g, count(*) AS n FROM __labels GROUP BY GROUPING SETS (({keys}, __a, __b), ({keys}, __a), ({keys}, __b), ({keys}))"
-    )
+    rows = labels.select(*by, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    keys = [F.col(c) for c in by]
+    sets = [[*keys, F.col("__a"), F.col("__b")], [*keys, F.col("__a")], [*keys, F.col("__b")], keys]
+    counts = rows.groupingSets(sets, *keys, "__a", "__b").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     part = lambda g: F.sum(F.when(F.col("g") == g, pairs).otherwise(F.lit(0.0)))
     sums = counts.groupBy(*by).agg(part(0).alias("ab"), part(1).alias("a"), part(2).alias("b"), part(3).alias("all"), F.max("n").alias("n"))
@@ -187,3 +186,20 @@ def bootstrap_cone(rows: DataFrame, by: list[str], resamples: int = 200, level:
     off = sums.withColumn("off", angles.angle(angles.unit(angles.vector("s"), 1e-12), angles.vector("m")))
     cones = off.groupBy(*by).agg(F.max("n").alias("n"), F.percentile("off", level).alias("cone"))
     return cones.withColumn("cone", F.when(F.col("n") < 3, 180.0).otherwise(F.col("cone")))
+
+
+def axis_deviation(rows: DataFrame, by: list[str], prefix: str = "n", reference: Center = (0.0, 0.0, 1.0)) -> DataFrame:
+    """(by, deviation): the largest angle of a group's undirected unit vectors to a reference."""
+    return rows.groupBy(*by).agg(F.max(angles.angle(angles.vector(prefix), angles.literal(reference))).alias("deviation"))
+
+
+def stratified(errors: DataFrame, anisotropy: str = "anisotropy") -> DataFrame:
+    """(tier, n, mae, p50) of errors by tiers of anisotropy: high from 0.5, middle from 0.25, else low."""
+    told = errors.withColumn("tier", grades.anisotropy_tier(F.col(anisotropy)))
+    return told.groupBy("tier").agg(F.count("*").alias("n"), F.avg("error").alias("mae"), F.percentile("error", 0.5).alias("p50"))
+
+
+def usable_nets(rows: DataFrame, by: list[str], least_seen: int = 2) -> DataFrame:
+    """(by, n_seen, n_hidden) of groups that can be evaluated: least_seen observed rows or more, and a hidden one."""
+    counts = rows.groupBy(*by).agg(F.count(F.when(F.col("is_obs"), 1)).alias("n_seen"), F.count(F.when(~F.col("is_obs"), 1)).alias("n_hidden"))
+    return counts.filter((F.col("n_seen") >= least_seen) & (F.col("n_hidden") > 0))

@@ -7,6 +7,10 @@ centers, so a net may be of any size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +80,32 @@ def lloyd(rows: DataFrame, centers: DataFrame, rounds: int) -> DataFrame:
 
 
 def labelled(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """rows with set_id, similarity to the own center, and `other`: the largest similarity to another one."""
+    """rows with `similarities` to all centers, set_id of the largest (the first of equals), and that similarity."""
     n = angles.vector()
-    all_of = F.sort_array(F.transform("centers", lambda c, k: F.struct(F.abs(n[0] * c["x"] + n[1] * c["y"] + n[2] * c["z"]).alias("similarity"), (-k).alias("minus_k"))), asc=False)
+    all_of = F.transform("centers", lambda c: F.least(F.lit(1.0), F.abs(n[0] * c["x"] + n[1] * c["y"] + n[2] * c["z"])))
     return (
         rows.join(centers, "net")
-        .withColumn("__s", all_of)
-        .withColumn("set_id", -F.col("__s")[0]["minus_k"])
-        .withColumn("similarity", F.least(F.lit(1.0), F.col("__s")[0]["similarity"]))
-        .withColumn("other", F.least(F.lit(1.0), F.get(F.col("__s"), F.lit(1))["similarity"]))
-        .drop("__s", "centers")
+        .withColumn("similarities", all_of)
+        .withColumn("similarity", F.array_max("similarities"))
+        .withColumn("set_id", (F.array_position("similarities", F.col("similarity")) - 1).cast("int"))
+        .drop("centers")
     )
 
 
 def silhouette(placed: DataFrame, by: list[str]) -> DataFrame:
-    """By group: the mean of (b - a) / max(a, b), a the angle to the own center and b to the nearest other; 0 for one center."""
-    a, b = F.acos("similarity"), F.acos("other")
-    one = F.when(F.col("other").isNull() | (F.greatest(a, b) <= 0), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    return placed.groupBy(*by).agg(F.count("*").alias("n"), F.avg(one).alias("silhouette"))
+    """By group: the mean of (b - a) / max(a, b), with a = 1 - |cos| to the own center and b to the nearest other one.
+
+    Sets of one row have a = 0 and are nobody's other set; with one set of more rows, or none, b is 0. placed is
+    labelled() and has each row's similarities to all centers.
+    """
+    sizes = placed.groupBy(*by, "set_id").agg(F.count("*").alias("m"))
+    real = written(sizes.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("m") > 1, F.col("set_id")))).alias("__real")), "silhouette-sets")
+    met = placed.join(real, by)
+    a = F.when(F.array_contains("__real", F.col("set_id")), 1 - F.col("similarity")).otherwise(F.lit(0.0))
+    other = F.array_max(F.transform(F.filter("__real", lambda k: k != F.col("set_id")), lambda k: F.get(F.col("similarities"), k)))
+    b = F.when(F.size("__real") <= 1, F.lit(0.0)).otherwise(1 - other)
+    one = (b - a) / F.greatest(a, b, F.lit(1e-9))
+    return met.groupBy(*by).agg(F.count("*").alias("n"), F.avg(one).alias("silhouette"))
 
 
 def mixture_bic(placed: DataFrame, by: list[str], k: Column) -> DataFrame:
@@ -116,3 +128,79 @@ def choose_k(rows: DataFrame, least: int = 2, most: int = 6, rounds: int = 12) -
         each = scores if each is None else each.unionByName(scores)
     w = Window.partitionBy("net").orderBy(F.desc("silhouette"), "k")
     return each.withColumn("chosen", F.row_number().over(w) == 1)
+
+
+#: Gauss-Legendre places and weights on 0 to 1, for the mean of t * t under exp(kappa * (t * t - 1)).
+_T, _W = (lambda x, w: ((x + 1) / 2, w / 2))(*np.polynomial.legendre.leggauss(64))
+KAPPA_LO, KAPPA_HI = 0.5, 400.0
+
+
+def axial_moment(kappa: np.ndarray) -> np.ndarray:
+    """The mean of (n . c) ** 2 under a density that goes as exp(kappa * (n . c) ** 2) around the axis c."""
+    p = np.exp(np.asarray(kappa)[:, None] * (_T * _T - 1)) * _W
+    return (p * _T * _T).sum(axis=1) / p.sum(axis=1)
+
+
+def solve_kappa(moment: np.ndarray) -> np.ndarray:
+    """The concentration with this axial_moment, which grows with it; held between KAPPA_LO and KAPPA_HI."""
+    lo, hi = np.full(len(moment), KAPPA_LO), np.full(len(moment), KAPPA_HI)
+    for _ in range(60):
+        middle = (lo + hi) / 2
+        above = axial_moment(middle) < moment
+        lo, hi = np.where(above, middle, lo), np.where(above, hi, middle)
+    return (lo + hi) / 2
+
+
+def em_mixture(rows: DataFrame, centers: DataFrame, rounds: int = 20, weight: str | None = None) -> DataFrame:
+    """(net, k, cx, cy, cz, kappa, share, ess): a mixture of axial laws fitted to each net's normals by EM.
+
+    centers is (net, centers) as starting_centers() or lloyd() give. A round gives each row its part in every set
+    and sums, for each set, the parts, their squares and the weighted products of normals; from these few sums
+    follow the set's axis (first eigenvector), concentration (the moment along it) and share. Rows are read once
+    a round whatever a net's size. weight names a column of row weights, as terzaghi() gives; ess is the
+    effective number of rows behind a set. A set whose parts add up to nothing keeps what it had.
+    """
+    from .aggregates import eigen
+
+    w = F.col(weight) if weight else F.lit(1.0)
+    points = written(rows.select("net", "nx", "ny", "nz", w.cast("double").alias("w")), "em-rows")
+    model = centers.select("net", F.posexplode("centers").alias("k", "c"), F.size("centers").alias("m")).select("net", "k", *(F.col(f"c.{c}").alias(f"c{c}") for c in "xyz"), F.lit(10.0).alias("kappa"), (1 / F.col("m")).alias("share"), F.lit(0.0).alias("ess"))
+    model = written(model, "em-model")
+    n = angles.vector()
+
+    def normed(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            yield pdf.assign(log_z=np.log((np.exp(pdf["kappa"].to_numpy()[:, None] * (_T * _T - 1)) * _W).sum(axis=1)))
+
+    def concentrated(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            yield pdf.assign(new_kappa=solve_kappa(pdf["l1"].to_numpy()))
+
+    net = rows.schema["net"].dataType.simpleString()
+    for _ in range(rounds):
+        told = model.mapInPandas(normed, f"net {net}, k int, cx double, cy double, cz double, kappa double, share double, ess double, log_z double")
+        laws = told.groupBy("net").agg(F.array_sort(F.collect_list(F.struct("k", "cx", "cy", "cz", "kappa", (F.log("share") - F.col("log_z")).alias("base")))).alias("laws"))
+        logs = F.transform("laws", lambda s: s["base"] + s["kappa"] * (F.pow(n[0] * s["cx"] + n[1] * s["cy"] + n[2] * s["cz"], F.lit(2.0)) - 1))
+        met = points.join(laws, "net").withColumn("l", logs).withColumn("top", F.array_max("l"))
+        parts = met.withColumn("p", F.transform("l", lambda x: F.exp(x - F.col("top")))).withColumn("all", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+        each = parts.select("net", "nx", "ny", "nz", "w", F.posexplode(F.transform("p", lambda x: x / F.col("all") * F.col("w"))).alias("k", "r"))
+        v = dict(zip("xyz", n))
+        sums = each.groupBy("net", "k").agg(F.sum("r").alias("r"), (F.sum("r") * F.sum("r") / F.sum(F.col("r") * F.col("r"))).alias("ess"), *((F.sum(F.col("r") * v[a] * v[b]) / F.sum("r")).alias(f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+        sums = written(sums.filter("r > 1e-9"), "em-sums")
+        axes = eigen(sums, ["net", "k"])
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in axes.schema)
+        axes = axes.mapInPandas(concentrated, kinds + ", new_kappa double").select("net", "k", *(F.col(f"e1{c}") for c in "xyz"), "new_kappa")
+        total = sums.groupBy("net").agg(F.sum("r").alias("total"))
+        new = axes.join(sums.select("net", "k", "r", F.col("ess").alias("new_ess")), ["net", "k"]).join(total, "net").withColumn("new_share", F.col("r") / F.col("total"))
+        model = written(
+            model.join(new, ["net", "k"], "left").select("net", "k", *(F.coalesce(f"e1{c}", f"c{c}").alias(f"c{c}") for c in "xyz"), F.coalesce("new_kappa", "kappa").alias("kappa"), F.coalesce("new_share", F.lit(1e-9)).alias("share"), F.coalesce("new_ess", F.lit(0.0)).alias("ess")),
+            "em-model",
+        )
+    return model
+
+
+def decoded(model: DataFrame, least_ess: float = 5.0) -> DataFrame:
+    """The mixture as a set table: (net, set_id, share, ess, kappa, dip, dip_dir, enough), sets by falling share; enough says whether ess passes the gate."""
+    c = angles.vector("c")
+    place = F.row_number().over(Window.partitionBy("net").orderBy(F.desc("share"), "k")) - 1
+    return model.select("net", place.alias("set_id"), "share", "ess", "kappa", angles.dip(c).alias("dip"), angles.dip_direction(c).alias("dip_dir"), (F.col("ess") >= least_ess).alias("enough"))

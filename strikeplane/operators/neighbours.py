@@ -114,3 +114,24 @@ def disc_edges(discs: DataFrame, largest: float, box: tuple[float, float, float]
     d2 = sum((apart(i) * apart(i) for i in range(3)), F.lit(0.0))
     reach = F.col("q.radius") + F.col("d.radius")
     return met.filter(d2 < reach * reach).select("net", F.col("q.id").alias("a"), F.col("d.id").alias("b"))
+
+
+def knn_scale(rows: DataFrame, k: int = 8) -> DataFrame:
+    """(net, n, scale): the median, over a net's rows, of the distance to the kth nearest other; the farthest where there are fewer."""
+    far = nearest(rows, rows, k).groupBy("net", "id").agg(F.sqrt(F.max("d2")).alias("far"))
+    return far.groupBy("net").agg(F.count("*").alias("n"), F.percentile("far", 0.5).alias("scale"))
+
+
+def local_planes(rows: DataFrame, k: int = 16) -> DataFrame:
+    """(net, id, l1, l2, l3, e1x .. e3z): spread of each row's k nearest places, its own included; e3 is the local plane's normal."""
+    from .aggregates import eigen
+
+    near = nearest(rows, rows, k, own=True).select("net", "id", "other")
+    places = rows.select("net", F.col("id").alias("other"), "px", "py", "pz")
+    met = near.join(places, ["net", "other"])
+    p = {c: F.col(f"p{c}") for c in "xyz"}
+    # places of one neighbourhood are near each other, but may be far from zero: from the row's own place
+    own = rows.select("net", "id", *(F.col(f"p{c}").alias(f"o{c}") for c in "xyz"))
+    d = {c: p[c] - F.col(f"o{c}") for c in "xyz"}
+    moments = met.join(own, ["net", "id"]).groupBy("net", "id").agg(*((F.avg(d[a] * d[b]) - F.avg(d[a]) * F.avg(d[b])).alias(f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+    return eigen(moments, ["net", "id"])

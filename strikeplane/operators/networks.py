@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles
 from .neighbours import disc_edges
+from .components import components as stars
 from .tables import written
 
 
@@ -85,41 +86,35 @@ def generate(spark: SparkSession, sets: DataFrame, runs: DataFrame, domain: tupl
     )
 
 
-def components(discs: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(net, id, component): the smallest id that chains of edges reach within a net.
+def components(discs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(net, id, component): the smallest id that chains of edges reach within a net; a disc without edges is its own.
 
-    Labels take the least of their neighbours' and then their label's label, which halves long chains; rounds
-    end when no label moves.
+    Rounds run over the edges alone.
     """
-    labels = written(discs.select("net", "id", F.col("id").alias("component")), "components")
-    both = written(edges.select("net", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select("net", F.col("b").alias("id"), F.col("a").alias("other"))), "edges")
-    for _ in range(most_rounds):
-        seen = both.join(labels.select("net", F.col("id").alias("other"), F.col("component").alias("c")), ["net", "other"]).groupBy("net", "id").agg(F.min("c").alias("c"))
-        lower = labels.join(seen, ["net", "id"], "left").select("net", "id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        jump = lower.select("net", F.col("id").alias("component"), F.col("component").alias("up"))
-        new = written(lower.join(jump, ["net", "component"], "left").select("net", "id", "was", F.least("component", F.coalesce("up", "component")).alias("component")), "components")
-        moved = new.filter("was <> component").limit(1).count()
-        labels = new.select("net", "id", "component")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+    node = lambda c: F.struct("net", F.col(c).alias("id"))
+    found = stars(edges.select(node("a").alias("a"), node("b").alias("b")))
+    labels = found.select(F.col("node.net").alias("net"), F.col("node.id").alias("id"), F.col("label.id").alias("component"))
+    return discs.select("net", "id").join(labels, ["net", "id"], "left").select("net", "id", F.coalesce("component", "id").alias("component"))
 
 
 def component_sizes(discs: DataFrame, labels: DataFrame, domain: tuple[float, float, float]) -> DataFrame:
-    """(net, component, n, spans): a component spans if it has two discs or more and centers in both outer tenths along x."""
+    """(net, component, n, spans, spans_y, spans_z): a component spans an axis if it has two discs or more and centers in both outer tenths of it."""
     both = discs.join(labels, ["net", "id"])
-    spans = (F.count("*") >= 2) & (F.min("px") <= 0.1 * domain[0]) & (F.max("px") >= 0.9 * domain[0])
-    return both.groupBy("net", "component").agg(F.count("*").alias("n"), spans.alias("spans"))
+    spans = [
+        ((F.count("*") >= 2) & (F.min(c) <= 0.1 * size) & (F.max(c) >= 0.9 * size)).alias(name)
+        for c, size, name in zip(("px", "py", "pz"), domain, ("spans", "spans_y", "spans_z"))
+    ]
+    return both.groupBy("net", "component").agg(F.count("*").alias("n"), *spans)
 
 
 def connectivity(discs: DataFrame, labels: DataFrame, domain: tuple[float, float, float]) -> DataFrame:
-    """(net, n, n_components, largest, largest_share, spans) of each realization."""
+    """(net, n, n_components, largest, largest_share, spans, spans_y, spans_z) of each realization; spans is along x."""
     return component_sizes(discs, labels, domain).groupBy("net").agg(
         F.sum("n").alias("n"),
         F.count("*").alias("n_components"),
         F.max("n").alias("largest"),
         (F.max("n") / F.sum("n")).alias("largest_share"),
-        F.max("spans").alias("spans"),
+        *(F.max(c).alias(c) for c in ("spans", "spans_y", "spans_z")),
     )
 
 

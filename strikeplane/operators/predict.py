@@ -95,28 +95,39 @@ def fracture_aware(rows: DataFrame, least_points: int = 3) -> DataFrame:
     return hidden.join(plane, ["net", "fracture_id"], "left").join(fallback, ["net", "id"]).select("net", "id", *(F.coalesce(f"f{c}", f"b{c}").alias(f"q{c}") for c in "xyz"))
 
 
-def projective_median(normals: np.ndarray, weights: np.ndarray, rounds: int = 40, eps: float = 1e-3) -> np.ndarray:
-    """For each row of weights, the undirected direction of least weighted angle to the normals."""
-    v = normals[np.argmax(weights, axis=1)].copy()
+def projective_median(normals: np.ndarray, weights: np.ndarray, start: np.ndarray, rounds: int = 40, eps: float = 1e-3) -> np.ndarray:
+    """For each row of weights, the undirected direction of least weighted sum of angles to the normals, from start on.
+
+    The angle's slope is one over its sine, so each round is a mean weighted by that.
+    """
+    v = np.broadcast_to(start, (len(weights), 3)).copy()
     for _ in range(rounds):
         c = v @ normals.T
-        w = weights * np.where(c < 0, -1.0, 1.0) / np.maximum(np.arccos(np.clip(np.abs(c), 0.0, 1.0)), eps)
+        w = weights * np.where(c < 0, -1.0, 1.0) / np.sqrt(np.maximum(1.0 - c * c, eps * eps))
         new = w @ normals
         size = np.linalg.norm(new, axis=1, keepdims=True)
         v = np.where(size > 1e-12, new / np.maximum(size, 1e-12), v)
     return v
 
 
+def global_median(normals: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """The direction of least sum of angles to all normals, from their principal axis on."""
+    return projective_median(normals, np.ones((1, len(normals))), np.linalg.eigh(normals.T @ normals)[1][:, -1], rounds)[0]
+
+
 def local_median(rows: DataFrame, h: float = 0.5, c: float = 0.1, rounds: int = 40, chunk: int = 4096) -> DataFrame:
     """The direction of least angle to all observed normals of the net, weighted by exp(-d / (h * spread)) + c.
 
-    Hidden rows are dealt to chunks by a hash, and a net's observed rows go to each of its chunks; a chunk's
-    weights are made in slices. Nets without observed rows give nothing; under three observed, their mean.
+    spread is the mean of the standard deviations of all the net's places along the axes; the search starts at
+    the net's global_median(). Hidden rows are dealt to chunks by a hash, and a net's observed rows go to each of
+    its chunks, so they must fit into a task; a chunk's weights are made in slices. Nets without observed rows
+    give nothing; under three observed, their mean.
     """
     seen, hidden = _split(rows)
-    sizes = hidden.groupBy("net").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    spread = rows.groupBy("net").agg((sum((F.stddev_pop(p) for p in ("px", "py", "pz")), F.lit(0.0)) / 3).alias("spread"))
+    sizes = hidden.groupBy("net").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).join(spread, "net")
     named = lambda names: [F.col(c).alias(c) for c in names]  # noqa: E731  columns of their own on either side
-    left = hidden.join(sizes, "net").select(*named(("net", "id", "px", "py", "pz")), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    left = hidden.join(sizes, "net").select(*named(("net", "id", "px", "py", "pz", "spread")), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     right = seen.join(sizes, "net").select(*named(("net", "id", "px", "py", "pz", "nx", "ny", "nz")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -125,13 +136,14 @@ def local_median(rows: DataFrame, h: float = 0.5, c: float = 0.1, rounds: int =
             return out.iloc[:0].assign(qx=0.0, qy=0.0, qz=0.0)
         b = b.sort_values("id")
         p, n, q = b[["px", "py", "pz"]].to_numpy(), b[["nx", "ny", "nz"]].to_numpy(), a[["px", "py", "pz"]].to_numpy()
+        whole = max(float(a["spread"].iloc[0]), 1e-9)
         if len(b) < 3:
             mean = (n * np.where(n @ n[0] < 0, -1.0, 1.0)[:, None]).mean(axis=0)
             got = np.tile(mean / max(np.linalg.norm(mean), 1e-12), (len(a), 1))
         else:
-            spread = max(float(p.std(axis=0).mean()), 1e-9)
+            start = global_median(n, rounds)
             got = np.concatenate([
-                projective_median(n, np.exp(-np.linalg.norm(part[:, None] - p[None], axis=2) / (h * spread)) + c, rounds)
+                projective_median(n, np.exp(-np.linalg.norm(part[:, None] - p[None], axis=2) / (h * whole)) + c, start, rounds)
                 for part in np.array_split(q, max(1, len(q) * len(p) // 2_000_000))
             ])
         return out.assign(qx=got[:, 0], qy=got[:, 1], qz=got[:, 2])
@@ -140,6 +152,91 @@ def local_median(rows: DataFrame, h: float = 0.5, c: float = 0.1, rounds: int =
     return left.groupBy("net", "part").cogroup(right.groupBy("net", "part")).applyInPandas(solve, f"net {kinds['net']}, id {kinds['id']}, qx double, qy double, qz double")
 
 
+def _set_axes(seen: DataFrame, centers: list[tuple[float, float, float]]) -> tuple[DataFrame, DataFrame]:
+    """Observed rows (net, other, set_id, mx, my, mz) by their nearest center, and each net's `axes`: map of set_id to the set's mean."""
+    from .aggregates import assign
+
+    sets = assign(seen, centers)
+    table = F.array(*(F.struct(*(F.lit(float(x)).alias(c) for x, c in zip(v, "xyz"))) for v in centers))
+    c = F.get(table, F.col("set_id"))
+    side = angles.aligned(angles.vector(), (c["x"], c["y"], c["z"]))
+    sums = sets.groupBy("net", "set_id").agg(*(F.sum(s).alias(k) for s, k in zip(side, ("sx", "sy", "sz"))))
+    means = sums.select("net", "set_id", F.struct(*(u.alias(k) for u, k in zip(angles.unit(angles.vector("s"), 1e-12), "xyz"))).alias("m"))
+    axes = means.groupBy("net").agg(F.map_from_entries(F.collect_list(F.struct("set_id", "m"))).alias("axes"))
+    return sets.select("net", F.col("id").alias("other"), "set_id", *(F.col(f"n{x}").alias(f"m{x}") for x in "xyz")), axes
+
+
+def _turned(axis: Column) -> angles.Vector:
+    return angles.aligned((axis["x"], axis["y"], axis["z"]), angles.vector("m"))
+
+
+def set_aware_observed(rows: DataFrame, centers: list[tuple[float, float, float]]) -> DataFrame:
+    """The mean of the set that the nearest observed row belongs to, on that row's side; sets are those of observed rows around centers."""
+    seen, hidden = _split(rows)
+    sets, axes = _set_axes(seen, centers)
+    near = neighbours.nearest(hidden, seen, 1).join(sets, ["net", "other"]).join(axes, "net")
+    v = _turned(F.element_at("axes", F.col("set_id")))
+    return near.select("net", "id", *(x.alias(f"q{c}") for x, c in zip(v, "xyz")))
+
+
+def top_two(rows: DataFrame, centers: list[tuple[float, float, float]], k: int = 24, full_share: float = 0.8, second: float = 0.6) -> DataFrame:
+    """A mix of the two sets that most of the k nearest observed rows belong to, drawn to the nearest row where the first has few.
+
+    The first set has the share f1 of the votes and the second f2: directions mix by second * f2 / (f1 + f2), and
+    the mix counts by f1 / full_share, at most 1, against the nearest row's normal. Equal votes go to the smaller set.
+    """
+    seen, hidden = _split(rows)
+    sets, axes = _set_axes(seen, centers)
+    near = neighbours.nearest(hidden, seen, k).join(sets, ["net", "other"])
+    first = near.filter("rank = 1").select("net", "id", "mx", "my", "mz")
+    votes = near.groupBy("net", "id", "set_id").agg(F.count("*").alias("votes")).groupBy("net", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "set_id"))).alias("v"), F.sum("votes").alias("all"))
+    met = votes.join(first, ["net", "id"]).join(axes, "net")
+    f1 = -F.col("v")[0]["less"] / F.col("all")
+    f2 = F.coalesce(-F.get(F.col("v"), F.lit(1))["less"], F.lit(0)) / F.col("all")
+    a = _turned(F.element_at("axes", F.col("v")[0]["set_id"]))
+    b = _turned(F.element_at("axes", F.coalesce(F.get(F.col("v"), F.lit(1))["set_id"], F.col("v")[0]["set_id"])))
+    met = met.withColumns({"t": F.lit(second) * f2 / (f1 + f2), "f": F.least(F.lit(1.0), f1 / full_share)} | {f"a{c}": x for c, x in zip("xyz", a)} | {f"b{c}": x for c, x in zip("xyz", b)})
+    mixed = met.withColumns({f"s{c}": F.col(f"a{c}") * (1 - F.col("t")) + F.col(f"b{c}") * F.col("t") for c in "xyz"})
+    u = angles.unit(angles.vector("s"), 1e-12)
+    drawn = mixed.select("net", "id", *((x * F.col("f") + F.col(f"m{c}") * (1 - F.col("f"))).alias(f"d{c}") for x, c in zip(u, "xyz")))
+    return drawn.select("net", "id", *(x.alias(f"q{c}") for x, c in zip(angles.unit(angles.vector("d"), 1e-12), "xyz")))
+
+
+def fused(parts: list[DataFrame]) -> DataFrame:
+    """The mean direction of several predictions of the same rows, each turned to the side of the first."""
+    one = parts[0].select("net", "id", *(F.col(f"q{c}").alias(f"r{c}") for c in "xyz"))
+    every = parts[0].select("net", "id", "qx", "qy", "qz")
+    for p in parts[1:]:
+        every = every.unionByName(p.select("net", "id", "qx", "qy", "qz"))
+    side = angles.aligned(angles.vector("q"), angles.vector("r"))
+    sums = every.join(one, ["net", "id"]).groupBy("net", "id").agg(*(F.sum(s).alias(c) for s, c in zip(side, ("sx", "sy", "sz"))))
+    return sums.select("net", "id", *(u.alias(f"q{c}") for u, c in zip(angles.unit(angles.vector("s"), 1e-12), "xyz")))
+
+
+def truth_assigned(rows: DataFrame, truth: DataFrame, centers: list[tuple[float, float, float]]) -> DataFrame:
+    """An oracle, no predictor: of the observed rows' sets, the mean that is nearest to a hidden row's true normal."""
+    seen, hidden = _split(rows)
+    _, axes = _set_axes(seen, centers)
+    known = hidden.select("net", "id").join(truth.select("net", "id", "nx", "ny", "nz"), ["net", "id"]).join(axes, "net")
+    n = angles.vector()
+    best = F.array_max(F.transform(F.map_entries("axes"), lambda e: F.struct(F.abs(n[0] * e["value"]["x"] + n[1] * e["value"]["y"] + n[2] * e["value"]["z"]).alias("s"), (-e["key"]).alias("k"), e["value"].alias("m"))))
+    return known.select("net", "id", *(best["m"][c].alias(f"q{c}") for c in "xyz"))
+
+
+def support(rows: DataFrame, reach: float = 0.5) -> DataFrame:
+    """(net, id, dmin, resultant) of hidden rows: how far the nearest observed row is, and how long the mean observed normal within `reach` is, 0 without any.
+
+    Lengths are in units of the net's spread: the mean of the standard deviations of its places along the axes.
+    """
+    spread = rows.groupBy("net").agg(F.greatest(sum((F.stddev_pop(p) for p in ("px", "py", "pz")), F.lit(0.0)) / 3, F.lit(1e-6)).alias("spread"))
+    scaled = rows.join(spread, "net").withColumns({p: F.col(p) / F.col("spread") for p in ("px", "py", "pz")})
+    seen, hidden = _split(scaled)
+    near = neighbours.nearest(hidden, seen, 1).select("net", "id", F.sqrt("d2").alias("dmin"))
+    met = neighbours.within(hidden, seen, reach).join(seen.select("net", F.col("id").alias("other"), "nx", "ny", "nz"), ["net", "other"])
+    mean = met.groupBy("net", "id").agg(*(F.avg(f"n{c}").alias(f"s{c}") for c in "xyz")).select("net", "id", angles.length(angles.vector("s")).alias("resultant"))
+    return near.join(mean, ["net", "id"], "left").select("net", "id", "dmin", F.coalesce("resultant", F.lit(0.0)).alias("resultant"))
+
+
 def errors(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """predicted with `error`, the degrees to the true normals (net, id, nx, ny, nz)."""
     got = angles.unit(angles.vector("q"), 1e-12)

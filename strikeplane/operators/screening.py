@@ -71,12 +71,13 @@ K_SHIFTS = (-1, 0, 1)
 def sensitivity(bands: DataFrame) -> DataFrame:
     """bands, each under every combination of the grid, with beta, factor, k_shift, grade and whether it `flips` the base one.
 
-    A larger exponent moves the critical band up by a tenth of its width, another set down by a twentieth.
+    An exponent above 3.5 moves the critical band up by a tenth of its width and one below it down by as much; a
+    further set moves it up by a twentieth, one set fewer down.
     """
     grid = F.explode(F.array(*(F.struct(F.lit(b).alias("beta"), F.lit(f).alias("factor"), F.lit(k).alias("k_shift")) for b in BETAS for f in FACTORS for k in K_SHIFTS)))
     rows = bands.withColumn("__g", grid).withColumns({c: F.col(f"__g.{c}") for c in ("beta", "factor", "k_shift")}).drop("__g")
     width = F.col("crit_hi") - F.col("crit_lo")
-    shift = width * (0.1 * (F.col("beta") - 3.5) / 0.5) - width * 0.05 * F.col("k_shift")
+    shift = width * (0.1 * F.signum(F.col("beta") - 3.5) + 0.05 * F.col("k_shift"))
     moved = rows.withColumns({"__lo": F.col("crit_lo") + shift, "__hi": F.col("crit_hi") + shift})
     base = grades.penalized(grades.overlap_grade(F.col("crit_lo"), F.col("crit_hi"), F.col("est_lo"), F.col("est_hi")), F.col("escape"))
     now = grades.penalized(grades.overlap_grade(F.col("__lo"), F.col("__hi"), F.col("est_lo") * F.col("factor"), F.col("est_hi") * F.col("factor")), F.col("escape"))
@@ -108,3 +109,46 @@ def near_duplicate_remarks(table: DataFrame, by: list[str], below: float = 15.0)
     both = near.select(*by, F.col("set_a").alias("set_id"), F.col("set_b").alias("other")).unionByName(near.select(*by, F.col("set_b").alias("set_id"), F.col("set_a").alias("other")))
     return both.groupBy(*by, "set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ",").alias("remark"))
 
+
+
+def disc_p32(discs: DataFrame, domain: tuple[float, float, float]) -> DataFrame:
+    """(net, n, p32): the discs' area over the domain's volume."""
+    volume = domain[0] * domain[1] * domain[2]
+    return discs.groupBy("net").agg(F.count("*").alias("n"), (F.sum(F.col("radius") * F.col("radius")) * (math.pi / volume)).alias("p32"))
+
+
+def p32_interval(rows: DataFrame, domain: tuple[float, float, float], r_min: float = 0.5, r_max: float = 5.0) -> DataFrame:
+    """(net, n_obs, obs_share, p32_p10, p32_p50, p32_p90): an order of magnitude from a count of rows (is_obs) in a domain.
+
+    Sizes are not known: an area of pi * r_min * r_max stands for each. The count seen is scaled up by the share
+    observed, a tenth at least; the band is a fifth to five times the middle.
+    """
+    counts = rows.groupBy("net").agg(F.count(F.when(F.col("is_obs"), 1)).alias("n_obs"), F.avg(F.col("is_obs").cast("double")).alias("obs_share"))
+    middle = F.col("n_obs") / F.greatest(F.col("obs_share"), F.lit(0.1)) * F.lit(math.pi * r_min * r_max / (domain[0] * domain[1] * domain[2]))
+    return counts.withColumn("p32_p50", middle).select("net", "n_obs", "obs_share", (F.col("p32_p50") * 0.2).alias("p32_p10"), "p32_p50", (F.col("p32_p50") * 5.0).alias("p32_p90"))
+
+
+def p32_from_gaps(gaps: DataFrame, by: list[str], radius: float = 1.0) -> DataFrame:
+    """(by, n, spacing, p10, p32): p10 is one over the mean positive gap, p32 that times a disc's area; no gap, no figure."""
+    found = gaps.filter("gap > 0").groupBy(*by).agg(F.count("*").alias("n"), F.avg("gap").alias("spacing"))
+    return found.withColumn("p10", 1 / F.col("spacing")).withColumn("p32", F.col("p10") * F.lit(math.pi * radius * radius))
+
+
+def apportioned(table: DataFrame, by: list[str], total: int) -> DataFrame:
+    """table (set_id, proportion) with `share` int: whole numbers that add up to total in each group.
+
+    Each set has the floor of its part; what is left goes to the largest remainders, the smaller set_id of equals.
+    """
+    group = Window.partitionBy(*by)
+    exact = F.col("proportion") / F.sum("proportion").over(group) * total
+    # parts that are whole but for rounding count as whole
+    parts = table.withColumn("__e", F.round(exact, 9)).withColumn("__f", F.floor("__e"))
+    order = F.row_number().over(group.orderBy(F.desc(F.round(F.col("__e") - F.col("__f"), 9)), "set_id"))
+    return parts.withColumn("share", (F.col("__f") + F.when(order <= total - F.sum("__f").over(group), 1).otherwise(0)).cast("int")).drop("__e", "__f")
+
+
+def fine_grid(bands: DataFrame, by: list[str], lo: str, hi: str, steps: int = 9, digits: int = 3) -> DataFrame:
+    """(by, x): steps + 1 even places from lo to hi, rounded, each once."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(steps)))
+    placed = bands.select(*by, lo, hi, at.alias("__i"))
+    return placed.select(*by, F.round(F.col(lo) + (F.col(hi) - F.col(lo)) * F.col("__i") / steps, digits).alias("x")).distinct()

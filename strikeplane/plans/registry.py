@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, grades
 from ..operators import aggregates, clusters, fusion, neighbours, networks, ordered, predict, quality, screening
+from ..operators.tables import written
 from . import views as v
 
 QUERIES: dict = {}
@@ -190,11 +191,37 @@ def scatter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.scatter(aggregates.terzaghi(v.log(spark, sf_dir), ["well"]), ["well"], F.col("w")))
 
 
-@query(f"WITH {_W} SELECT well, {r('sum(w * (nx*nx + ny*ny + nz*nz)) / sum(w)', 'trace')} FROM tw GROUP BY well")
+def _eigen_sql(source: str, keys: str) -> str:
+    """CTEs from `source` (keys, sxx .. szz): `eig` with l1 >= l2 >= l3 in closed form, `vec` with |components| of the first and last eigenvectors."""
+    cross = lambda lam: [  # noqa: E731  products of two rows of the matrix less lam; the longest is the direction
+        (f"(sxy*syz - sxz*(syy-{lam}))", f"(sxz*sxy - (sxx-{lam})*syz)", f"((sxx-{lam})*(syy-{lam}) - sxy*sxy)"),
+        (f"(sxy*(szz-{lam}) - sxz*syz)", f"(sxz*sxz - (sxx-{lam})*(szz-{lam}))", f"((sxx-{lam})*syz - sxy*sxz)"),
+        (f"((syy-{lam})*(szz-{lam}) - syz*syz)", f"(syz*sxz - sxy*(szz-{lam}))", f"(sxy*syz - (syy-{lam})*sxz)"),
+    ]
+    longest = lambda lam: "[" + ", ".join(f"{{'n': {x}*{x} + {y}*{y} + {z}*{z}, 'x': abs({x}), 'y': abs({y}), 'z': abs({z})}}" for x, y, z in cross(lam)) + "]"
+    return (
+        f"q0 AS (SELECT *, (sxx + syy + szz) / 3 AS q, sxy*sxy + sxz*sxz + syz*syz AS p1 FROM {source}), q1 AS (SELECT *, sqrt(((sxx-q)*(sxx-q) + (syy-q)*(syy-q) + (szz-q)*(szz-q) + 2*p1) / 6) AS p FROM q0), "
+        "q2 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((sxx-q)*((syy-q)*(szz-q) - syz*syz) - sxy*(sxy*(szz-q) - syz*sxz) + sxz*(sxy*syz - (syy-q)*sxz)) / (2*p*p*p)))) / 3 AS phi FROM q1), "
+        "q3 AS (SELECT *, q + 2*p*cos(phi) AS l1, q + 2*p*cos(phi + 2*pi()/3) AS l3 FROM q2), eig AS (SELECT *, 3*q - l1 - l3 AS l2 FROM q3), "
+        f"vec AS (SELECT {keys}, l1, l2, l3, list_reduce({longest('l1')}, lambda a, b: CASE WHEN b.n > a.n THEN b ELSE a END) AS e1, list_reduce({longest('l3')}, lambda a, b: CASE WHEN b.n > a.n THEN b ELSE a END) AS e3 FROM eig)"
+    )
+
+
+_SCATTER = ", ".join(f"sum(w * n{a} * n{b}) / sum(w) AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query(
+    f"WITH {_W}, sc2 AS (SELECT well, {_SCATTER} FROM tw GROUP BY well), {_eigen_sql('sc2', 'well')} SELECT well, {r('l1', 'l1')}, {r('l2', 'l2')}, {r('l3', 'l3')}, "
+    + ", ".join(r(f"e1.{c} / sqrt(e1.n)", f"e1{c}", 3) for c in "xyz")
+    + ", "
+    + ", ".join(r(f"e3.{c} / sqrt(e3.n)", f"e3{c}", 3) for c in "xyz")
+    + " FROM vec"
+)
 def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eigenvalues' sum, from the eigenvalues themselves."""
+    """Eigenvalues of every well's weighted scatter, and the first and last axes without signs."""
     found = aggregates.eigen(aggregates.scatter(aggregates.terzaghi(v.log(spark, sf_dir), ["well"]), ["well"], F.col("w")), ["well"])
-    return rounded(found.select("well", (F.col("l1") + F.col("l2") + F.col("l3")).alias("trace")))
+    axes = [F.round(F.abs(F.col(f"{e}{c}")), 3).alias(f"{e}{c}") for e in ("e1", "e3") for c in "xyz"]
+    return found.select("well", *((F.round(F.col(c), 4) + F.lit(0.0)).alias(c) for c in ("l1", "l2", "l3")), *axes)
 
 
 @query(
@@ -322,14 +349,138 @@ def global_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.error_stats(predict.errors(predict.global_direction(predict.blind(rows)), rows), ["net"]), 3)
 
 
-@query(f"WITH {v.POINTS} SELECT net, count(*) AS n, 0::BIGINT AS n_changed FROM pts WHERE NOT is_obs GROUP BY net")
+def _predictors() -> dict:
+    c = v.reference_centers()
+    return {
+        "nearest": predict.nearest_direction,
+        "global": predict.global_direction,
+        "majority": lambda x: predict.majority(x, c),
+        "set_aware": predict.set_aware,
+        "set_aware_observed": lambda x: predict.set_aware_observed(x, c),
+        "fracture_aware": predict.fracture_aware,
+        "local_median": predict.local_median,
+        "top_two": lambda x: predict.top_two(x, c),
+    }
+
+
+@query(
+    f"WITH {v.POINTS} SELECT predictor, net, count(*) AS n, 0::BIGINT AS n_changed FROM pts, (SELECT unnest(['nearest', 'global', 'majority', 'set_aware', 'set_aware_observed', 'fracture_aware', 'local_median', 'top_two']) AS predictor) WHERE NOT is_obs GROUP BY ALL"
+)
 def poison_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden predictions that change when hidden normals are replaced: none may."""
+    """Predictions of every predictor that change when hidden normals are replaced: none may."""
+    rows, out = v.points(spark, sf_dir), None
+    for name, predictor in _predictors().items():
+        named = lambda df: predictor(df).withColumnsRenamed({f"q{c}": f"p{c}" for c in "xyz"})  # noqa: E731,B023
+        first = written(named(predict.blind(rows)).select("net", "id", "px", "py", "pz"), "poison")
+        changed = quality.leaks(first, named(predict.poisoned(rows, 12345)))
+        one = first.groupBy("net").agg(F.count("*").alias("n")).join(changed, "net").select(F.lit(name).alias("predictor"), "net", "n", "n_changed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_MU = (
+    f"{v.CENTERS}, asg AS (SELECT net, id, nx, ny, nz, c.set_id, cx, cy, cz, row_number() OVER (PARTITION BY net, id ORDER BY abs(nx*cx+ny*cy+nz*cz) DESC, c.set_id) AS k FROM (SELECT * FROM pts WHERE is_obs) p, centers c), "
+    "mu0 AS (SELECT net, set_id, sum(nx*g) AS x, sum(ny*g) AS y, sum(nz*g) AS z FROM (SELECT *, CASE WHEN nx*cx+ny*cy+nz*cz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM asg WHERE k = 1) GROUP BY ALL), mu AS (SELECT net, set_id, x/sqrt(x*x+y*y+z*z) AS ux, y/sqrt(x*x+y*y+z*z) AS uy, z/sqrt(x*x+y*y+z*z) AS uz FROM mu0)"
+)
+
+
+@query(
+    f"WITH {_KNN}, {_MU}, j AS (SELECT r.net, r.id, ux, uy, uz, CASE WHEN ux*qx+uy*qy+uz*qz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM ranked r JOIN asg a ON a.net = r.net AND a.id = r.other AND a.k = 1 JOIN mu ON mu.net = r.net AND mu.set_id = a.set_id WHERE rank = 1) "
+    f"SELECT net, id, {r('ux * g', 'qx')}, {r('uy * g', 'qy')}, {r('uz * g', 'qz')} FROM j"
+)
+def set_aware_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(predict.set_aware_observed(predict.blind(v.points(spark, sf_dir)), v.reference_centers()))
+
+
+@query(
+    f"WITH {_KNN}, {_MU}, vt AS (SELECT r.net, r.id, a.set_id, count(*) AS n FROM ranked r JOIN asg a ON a.net = r.net AND a.id = r.other AND a.k = 1 WHERE rank <= 24 GROUP BY ALL), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY net, id ORDER BY n DESC, set_id) AS o, sum(n) OVER (PARTITION BY net, id) AS s FROM vt), "
+    "two AS (SELECT a.net, a.id, a.set_id AS s1, coalesce(b.set_id, a.set_id) AS s2, a.n / a.s AS f1, coalesce(b.n, 0) / a.s AS f2 FROM o a LEFT JOIN o b ON a.net = b.net AND a.id = b.id AND b.o = 2 WHERE a.o = 1), "
+    "d AS (SELECT t.net, t.id, qx, qy, qz, 0.6::DOUBLE * f2 / (f1 + f2) AS t, least(1.0::DOUBLE, f1 / 0.8::DOUBLE) AS f, m1.ux AS ax, m1.uy AS ay, m1.uz AS az, m2.ux AS bx, m2.uy AS by_, m2.uz AS bz, CASE WHEN m1.ux*qx+m1.uy*qy+m1.uz*qz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS ga, CASE WHEN m2.ux*qx+m2.uy*qy+m2.uz*qz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS gb "
+    "FROM two t JOIN ranked r ON r.net = t.net AND r.id = t.id AND r.rank = 1 JOIN mu m1 ON m1.net = t.net AND m1.set_id = s1 JOIN mu m2 ON m2.net = t.net AND m2.set_id = s2), "
+    "x AS (SELECT *, ax*ga*(1-t) + bx*gb*t AS sx, ay*ga*(1-t) + by_*gb*t AS sy, az*ga*(1-t) + bz*gb*t AS sz FROM d), y AS (SELECT net, id, sx/sqrt(sx*sx+sy*sy+sz*sz)*f + qx*(1-f) AS dx, sy/sqrt(sx*sx+sy*sy+sz*sz)*f + qy*(1-f) AS dy, sz/sqrt(sx*sx+sy*sy+sz*sz)*f + qz*(1-f) AS dz FROM x) "
+    f"SELECT net, id, {r('dx / sqrt(dx*dx+dy*dy+dz*dz)', 'qx')}, {r('dy / sqrt(dx*dx+dy*dy+dz*dz)', 'qy')}, {r('dz / sqrt(dx*dx+dy*dy+dz*dz)', 'qz')} FROM y"
+)
+def top_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(predict.top_two(predict.blind(v.points(spark, sf_dir)), v.reference_centers()))
+
+
+@query(
+    f"WITH {v.POINTS}, {_MU}, er AS (SELECT p.net, p.id, min(degrees(acos(least(1.0::DOUBLE, abs(nx*ux+ny*uy+nz*uz))))) AS error FROM pts p JOIN mu USING (net) WHERE NOT is_obs GROUP BY ALL) SELECT net, count(*) AS n, {r('avg(error)', 'mae', 3)}, {r('quantile_cont(error, 0.5)', 'p50', 3)}, {r('quantile_cont(error, 0.9)', 'p90', 3)} FROM er GROUP BY net"
+)
+def truth_assign_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least errors that the observed sets allow."""
+    rows = v.points(spark, sf_dir)
+    return rounded(aggregates.error_stats(predict.errors(predict.truth_assigned(predict.blind(rows), rows, v.reference_centers()), rows), ["net"]), 3)
+
+
+@query()
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of every predictor, and of the mean of three, on every net."""
+    c = v.reference_centers()
+    three = lambda x: predict.fused([predict.top_two(x, c), predict.local_median(x), predict.set_aware_observed(x, c)])
+    return rounded(predict.evaluate(v.points(spark, sf_dir), _predictors() | {"mean_of_three": three}), 2)
+
+
+_SPREAD = "sp AS (SELECT net, greatest((stddev_pop(px) + stddev_pop(py) + stddev_pop(pz)) / 3, 1e-6::DOUBLE) AS rad FROM pts GROUP BY net)"
+
+
+@query(
+    f"WITH {v.POINTS}, {_SPREAD}, m AS (SELECT h.net, h.id, sqrt((h.px-o.px)*(h.px-o.px) + (h.py-o.py)*(h.py-o.py) + (h.pz-o.pz)*(h.pz-o.pz)) / rad AS d, o.nx, o.ny, o.nz FROM pts h JOIN pts o USING (net) JOIN sp USING (net) WHERE NOT h.is_obs AND o.is_obs) "
+    f"SELECT net, id, {r('min(d)', 'dmin')}, {r('coalesce(sqrt(pow(avg(nx) FILTER (d <= 0.5), 2) + pow(avg(ny) FILTER (d <= 0.5), 2) + pow(avg(nz) FILTER (d <= 0.5), 2)), 0)', 'resultant')} FROM m GROUP BY net, id"
+)
+def support_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(predict.support(predict.blind(v.points(spark, sf_dir))))
+
+
+@query(
+    f"WITH {_ERR}, o AS (SELECT net, avg(nx*nx) AS sxx, avg(nx*ny) AS sxy, avg(nx*nz) AS sxz, avg(ny*ny) AS syy, avg(ny*nz) AS syz, avg(nz*nz) AS szz FROM pts WHERE is_obs AND net % 2 = 0 GROUP BY net UNION ALL SELECT net, avg(nx*nx), avg(nx*ny), avg(nx*nz), avg(ny*ny), avg(ny*nz), avg(nz*nz) FROM pts WHERE is_obs AND net % 2 = 1 AND id % 5 = 0 GROUP BY net), "
+    f"{_eigen_sql('o', 'net')}, t AS (SELECT error, CASE WHEN (l1 - l3) * 4 >= 0.5 THEN 'high' WHEN (l1 - l3) * 4 >= 0.25 THEN 'middle' ELSE 'low' END AS tier FROM err JOIN eig USING (net)) SELECT tier, count(*) AS n, {r('avg(error)', 'mae', 3)}, {r('quantile_cont(error, 0.5)', 'p50', 3)} FROM t GROUP BY tier"
+)
+def error_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the nearest normal by the anisotropy of a net's observed normals, four times l1 - l3; odd nets by a fifth of them."""
     rows = v.points(spark, sf_dir)
-    named = lambda df: predict.nearest_direction(df).withColumnsRenamed({f"q{c}": f"p{c}" for c in "xyz"})
-    first = named(predict.blind(rows))
-    changed = quality.leaks(first, named(predict.poisoned(rows, 12345)))
-    return first.groupBy("net").agg(F.count("*").alias("n")).join(changed, "net")
+    seen = rows.filter("is_obs and (net % 2 = 0 or id % 5 = 0)")
+    spread = aggregates.eigen(aggregates.scatter(seen, ["net"]), ["net"]).select("net", ((F.col("l1") - F.col("l3")) * 4).alias("anisotropy"))
+    errors = predict.errors(predict.nearest_direction(predict.blind(rows)), rows).join(spread, "net")
+    return rounded(aggregates.stratified(errors), 3)
+
+
+@query(f"WITH {v.POINTS} SELECT net, fracture_id, count(*) FILTER (is_obs) AS n_seen, count(*) FILTER (NOT is_obs) AS n_hidden FROM pts GROUP BY ALL HAVING count(*) FILTER (is_obs) >= 2 AND count(*) FILTER (NOT is_obs) > 0")
+def usable_fractures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.usable_nets(v.points(spark, sf_dir), ["net", "fracture_id"])
+
+
+_PAIRS = f"{v.POINTS}, n AS (SELECT a.net, a.id, b.id AS other, (a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz) AS d2, b.px - a.px AS x, b.py - a.py AS y, b.pz - a.pz AS z FROM pts a JOIN pts b ON a.net = b.net)"
+
+
+@query(
+    f"WITH {_PAIRS}, w AS (SELECT *, row_number() OVER (PARTITION BY net, id ORDER BY d2, other) AS rank FROM n WHERE id <> other), f AS (SELECT net, id, sqrt(max(d2)) AS far FROM w WHERE rank <= 8 GROUP BY ALL) SELECT net, count(*) AS n, {r('quantile_cont(far, 0.5)', 'scale')} FROM f GROUP BY net"
+)
+def knn_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(neighbours.knn_scale(v.points(spark, sf_dir)))
+
+
+@query(
+    f"WITH {_PAIRS}, w AS (SELECT *, row_number() OVER (PARTITION BY net, id ORDER BY d2, other) AS rank FROM n), c AS (SELECT net, id, avg(x*x) - avg(x)*avg(x) AS sxx, avg(x*y) - avg(x)*avg(y) AS sxy, avg(x*z) - avg(x)*avg(z) AS sxz, avg(y*y) - avg(y)*avg(y) AS syy, avg(y*z) - avg(y)*avg(z) AS syz, avg(z*z) - avg(z)*avg(z) AS szz FROM w WHERE rank <= 16 GROUP BY ALL), {_eigen_sql('c', 'net, id')} "
+    f"SELECT net, id, {r('l1', 'l1')}, {r('l2', 'l2')}, {r('l3', 'l3')}, " + ", ".join(r(f"e3.{c} / sqrt(e3.n)", f"n{c}", 3) for c in "xyz") + " FROM vec"
+)
+def local_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of each point's 16 nearest, and the normal of their plane without sign."""
+    found = neighbours.local_planes(v.points(spark, sf_dir))
+    return found.select("net", "id", *((F.round(F.col(c), 4) + F.lit(0.0)).alias(c) for c in ("l1", "l2", "l3")), *(F.round(F.abs(F.col(f"e3{c}")), 3).alias(f"n{c}") for c in "xyz"))
+
+
+@query(f"WITH {v.LOG} SELECT well, {r('max(degrees(acos(least(1.0::DOUBLE, abs(nz)))))', 'deviation')} FROM obs GROUP BY well")
+def axis_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.axis_deviation(v.log(spark, sf_dir), ["well"]))
+
+
+@query()
+def em_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An axial mixture of four sets for every type of fracture by EM, decoded to a set table."""
+    rows = v.log(spark, sf_dir).withColumnsRenamed({"ftype": "net", "row_id": "id"})
+    return rounded(clusters.decoded(clusters.em_mixture(rows, clusters.starting_centers(rows, 4))), 3)
 
 
 @query(
@@ -367,8 +518,10 @@ def lloyd_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {v.ASSIGNED}, o AS (SELECT well, rid, max(CASE WHEN r = 1 THEN least(1.0::DOUBLE, s) END) AS a, max(CASE WHEN r = 2 THEN least(1.0::DOUBLE, s) END) AS b FROM sims GROUP BY ALL) "
-    f"SELECT well, count(*) AS n, {r('avg(CASE WHEN greatest(acos(a), acos(b)) <= 0 THEN 0 ELSE (acos(b) - acos(a)) / greatest(acos(a), acos(b)) END)', 'silhouette')} FROM o GROUP BY well"
+    f"WITH {v.ASSIGNED}, sz AS (SELECT well, set_id, count(*) AS m FROM assigned GROUP BY ALL), big AS (SELECT well, count(*) AS n_big FROM sz WHERE m > 1 GROUP BY well), "
+    "o AS (SELECT a.well, a.rid, any_value(CASE WHEN z.m > 1 THEN 1 - least(1.0::DOUBLE, a.s) ELSE 0 END) AS a, any_value(coalesce(n_big, 0)) AS n_big, 1 - max(CASE WHEN x.set_id <> a.set_id AND zx.m > 1 THEN least(1.0::DOUBLE, x.s) END) AS b FROM assigned a JOIN sz z ON z.well = a.well AND z.set_id = a.set_id JOIN sims x ON x.rid = a.rid LEFT JOIN sz zx ON zx.well = a.well AND zx.set_id = x.set_id LEFT JOIN big ON big.well = a.well GROUP BY a.well, a.rid), "
+    "f AS (SELECT well, a, CASE WHEN n_big <= 1 THEN 0 ELSE b END AS b FROM o) "
+    f"SELECT well, count(*) AS n, {r('avg((b - a) / greatest(a, b, 1e-9::DOUBLE))', 'silhouette')} FROM f GROUP BY well"
 )
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, centers = _clustered(spark, sf_dir, 0)
@@ -470,8 +623,8 @@ def periodic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH RECURSIVE {_EDGES}, sides AS (SELECT net, a, b FROM edges UNION ALL SELECT net, b, a FROM edges), reach(net, id, place) AS (SELECT net, id, id FROM discs UNION SELECT r.net, r.id, e.b FROM reach r JOIN sides e ON r.net = e.net AND r.place = e.a), "
-    "comp AS (SELECT net, id, min(place) AS component FROM reach GROUP BY ALL), s AS (SELECT net, component, count(*) AS n FROM comp GROUP BY ALL), x AS (SELECT c.net, component, count(*) >= 2 AND min(px) <= 10 AND max(px) >= 90 AS spans FROM comp c JOIN discs d USING (net, id) GROUP BY ALL) "
-    f"SELECT s.net, sum(s.n)::BIGINT AS n, count(*) AS n_components, max(s.n) AS largest, {r('max(s.n) / sum(s.n)', 'largest_share')}, bool_or(spans) AS spans FROM s JOIN x USING (net, component) GROUP BY s.net"
+    "comp AS (SELECT net, id, min(place) AS component FROM reach GROUP BY ALL), s AS (SELECT net, component, count(*) AS n FROM comp GROUP BY ALL), x AS (SELECT c.net, component, count(*) >= 2 AND min(px) <= 10 AND max(px) >= 90 AS spans, count(*) >= 2 AND min(py) <= 10 AND max(py) >= 90 AS spans_y, count(*) >= 2 AND min(pz) <= 10 AND max(pz) >= 90 AS spans_z FROM comp c JOIN discs d USING (net, id) GROUP BY ALL) "
+    f"SELECT s.net, sum(s.n)::BIGINT AS n, count(*) AS n_components, max(s.n) AS largest, {r('max(s.n) / sum(s.n)', 'largest_share')}, bool_or(spans) AS spans, bool_or(spans_y) AS spans_y, bool_or(spans_z) AS spans_z FROM s JOIN x USING (net, component) GROUP BY s.net"
 )
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.discs(spark, sf_dir)
@@ -567,7 +720,7 @@ def disposal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_BANDS}, g AS (SELECT * FROM bands, (SELECT unnest([2.5::DOUBLE, 3.0::DOUBLE, 3.5::DOUBLE, 4.0::DOUBLE, 4.5::DOUBLE]) AS beta), (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS factor), (SELECT unnest([-1, 0, 1]) AS k_shift)), "
-    "s AS (SELECT *, (crit_hi - crit_lo) * (0.1::DOUBLE * (beta - 3.5::DOUBLE) / 0.5::DOUBLE) - (crit_hi - crit_lo) * 0.05::DOUBLE * k_shift AS d FROM g), "
+    "s AS (SELECT *, (crit_hi - crit_lo) * (0.1::DOUBLE * sign(beta - 3.5::DOUBLE) + 0.05::DOUBLE * k_shift) AS d FROM g), "
     f"h AS (SELECT *, {_GRADE.format(eh='est_hi', cl='crit_lo', el='est_lo', ch='crit_hi')} AS b0, {_GRADE.format(eh='est_hi * factor', cl='crit_lo + d', el='est_lo * factor', ch='crit_hi + d')} AS b1 FROM s) "
     f"SELECT well, count(*) AS n, count(*) FILTER ({_DOWN.format(g='b0')} <> {_DOWN.format(g='b1')}) AS n_flipped, {r('avg((' + _DOWN.format(g='b0') + ' <> ' + _DOWN.format(g='b1') + ')::INT)', 'flip_rate')} FROM h GROUP BY well"
 )
@@ -583,3 +736,36 @@ def recommended_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.log(spark, sf_dir).groupBy("well").agg(F.count("*").alias("n")).withColumn("k", grades.recommended_k(F.col("n")))
 
 
+@query(f"WITH {v.DISCS} SELECT net, count(*) AS n, {r('sum(radius * radius) * pi() / 1e6', 'p32', 6)} FROM discs GROUP BY net")
+def disc_p32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screening.disc_p32(v.discs(spark, sf_dir), (100.0, 100.0, 100.0)), 6)
+
+
+@query(
+    f"WITH {v.POINTS}, c AS (SELECT net, count(*) FILTER (is_obs) AS n_obs, avg(is_obs::INT) AS obs_share FROM pts GROUP BY net), m AS (SELECT *, n_obs / greatest(obs_share, 0.1::DOUBLE) * pi() * 2.5 / 1000 AS p FROM c) SELECT net, n_obs, {r('obs_share', 'obs_share')}, {r('p * 0.2', 'p32_p10')}, {r('p', 'p32_p50')}, {r('p * 5', 'p32_p90')} FROM m"
+)
+def p32_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screening.p32_interval(v.points(spark, sf_dir), (10.0, 10.0, 10.0)))
+
+
+@query(
+    f"WITH {v.LOG}, g AS (SELECT well, depth - lag(depth) OVER (PARTITION BY well ORDER BY depth, row_id) AS gap FROM obs) SELECT well, count(*) AS n, {r('avg(gap)', 'spacing')}, {r('1 / avg(gap)', 'p10')}, {r('pi() / avg(gap)', 'p32')} FROM g WHERE gap > 0 GROUP BY well"
+)
+def p32_from_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    gap = F.col("depth") - F.lag("depth").over(Window.partitionBy("well").orderBy("depth", "row_id"))
+    return rounded(screening.p32_from_gaps(v.log(spark, sf_dir).withColumn("gap", gap), ["well"]))
+
+
+@query(
+    f"WITH {v.MEANS}, e AS (SELECT well, set_id, round(proportion / sum(proportion) OVER (PARTITION BY well) * 100, 9) AS e FROM tables), f AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY round(e - floor(e), 9) DESC, set_id) AS k, 100 - sum(floor(e)) OVER (PARTITION BY well) AS rest FROM e) SELECT well, set_id, (floor(e) + CASE WHEN k <= rest THEN 1 ELSE 0 END)::INT AS share FROM f"
+)
+def apportioned_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred discs dealt to each well's sets by their proportions."""
+    return screening.apportioned(_tables(spark, sf_dir, "well"), ["well"], 100).select("well", "set_id", "share")
+
+
+@query(f"WITH {_BANDS}, g AS (SELECT well, est_lo, est_hi, unnest(range(0, 10)) AS i FROM bands) SELECT DISTINCT well, {r('est_lo + (est_hi - est_lo) * i / 9', 'x', 3)} FROM g")
+def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.fine_grid(_bands(spark, sf_dir), ["well"], "est_lo", "est_hi")

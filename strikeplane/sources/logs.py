@@ -9,10 +9,10 @@ from ..functions import angles
 
 # Names under which a log's columns may come, after normalising.
 ALIASES = {
-    "depth": ("depth", "md", "measured depth", "depth m", "深度"),
-    "dip": ("dip", "dip angle", "dip deg", "倾角"),
-    "dip_dir": ("dip_direction", "dip direction", "dipdir", "dip dir", "dip_dir", "dip_dir_deg", "azimuth", "倾向"),
-    "well": ("well", "well_id", "borehole", "hole", "井号", "钻孔"),
+    "depth": ("depth", "md", "mdepth", "measured depth", "depth m", "深度", "孔深", "测深", "井深"),
+    "dip": ("dip", "dip angle", "dip_angle", "dip deg", "dip_deg", "倾角", "倾角α"),
+    "dip_dir": ("dip_direction", "dip direction", "dipdir", "dip dir", "dip_dir", "dip_dir_deg", "azimuth", "trend", "倾向", "倾向角", "倾向方位角", "方位", "方位角"),
+    "well": ("well", "well_id", "borehole", "hole", "井号", "井名", "孔号", "钻孔", "钻孔编号"),
 }
 
 
@@ -60,6 +60,14 @@ def read_log(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     return raw.select(well.alias("well"), F.monotonically_increasing_id().alias("row_id"), *(number(F.col(f"`{columns[c]}`")).alias(c) for c in ("depth", "dip", "dip_dir")))
 
 
+def skipped_rows(log: DataFrame) -> DataFrame:
+    """(well, n_rows, n_skipped) of read_log(): rows without a depth, dip or dip direction are skipped. Wells without any good row fail when read."""
+    bad = F.col("depth").isNull() | F.col("dip").isNull() | F.col("dip_dir").isNull()
+    counts = log.groupBy("well").agg(F.count("*").alias("n_rows"), F.count(F.when(bad, 1)).alias("n_skipped"))
+    message = F.concat(F.lit("no row of well "), F.col("well"), F.lit(" can be read"))
+    return counts.withColumn("n_skipped", F.when(F.col("n_skipped") == F.col("n_rows"), F.raise_error(message).cast("long")).otherwise(F.col("n_skipped")))
+
+
 def read_picks(spark: SparkSession, path: str, window: tuple[float, float] | None = None, well: str = "picks") -> DataFrame:
     """Picks (md_ft, dip_deg, dip_dir_deg) of a second source in the log's shape, depth in metres, within a closed window of feet."""
     raw = spark.read.option("header", True).csv(path)

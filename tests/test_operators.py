@@ -89,9 +89,11 @@ def test_assignment_is_best():
     rng = np.random.default_rng(0)
     from itertools import permutations
 
-    for n, m in ((3, 3), (2, 5), (5, 3), (1, 1)):
+    for n, m in ((3, 3), (2, 5), (5, 3), (1, 1), (7, 7), (4, 8), (6, 2)):
         cost = rng.random((n, m))
-        got = sum(cost[i, j] for i, j in fusion.assignment(cost))
+        pairs = fusion.assignment(cost)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) == min(n, m)
+        got = sum(cost[i, j] for i, j in pairs)
         small = cost if n <= m else cost.T
         assert got == pytest.approx(min(sum(small[i, p[i]] for i in range(len(small))) for p in permutations(range(small.shape[1]), len(small))))
 
@@ -290,3 +292,77 @@ def test_streams(spark, tmp_path):
     got = spark.table("running").collect()
     assert sum(r.n for r in got) == 40 and {r.set_id for r in got} == {0}
     assert streams.drilling_runs(rows, "5 minutes").count() == 2
+
+
+def test_median_has_the_least_sum_of_angles():
+    """Against a fine search of the half sphere."""
+    rng = np.random.default_rng(1)
+    i = np.arange(40000) + 0.5
+    z, a = 1 - i / 40000, np.pi * (1 + 5**0.5) * i
+    sphere = np.stack([np.sqrt(1 - z * z) * np.cos(a), np.sqrt(1 - z * z) * np.sin(a), z], axis=1)
+    for _ in range(15):
+        n = rng.normal(size=(12, 3)) + np.array([0, 0, 3.0]) * rng.random()
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        w = rng.random((1, 12)) + 0.1
+        cost = lambda v, w=w, n=n: (w * np.arccos(np.minimum(1, np.abs(v @ n.T)))).sum(axis=1)
+        got = cost(predict.projective_median(n, w, predict.global_median(n)))[0]
+        assert got <= cost(sphere).min() * 1.12
+
+
+def test_mixture_finds_two_sets(spark):
+    rng = random.Random(3)
+    rows = [("w", i, *x) for i, x in enumerate(family(rng, 50, 100, 300, 4) + family(rng, 20, 250, 100, 4))]
+    df = spark.createDataFrame(rows, "net string, id long, nx double, ny double, nz double")
+    model = clusters.em_mixture(df, clusters.starting_centers(df, 2), 12)
+    table = clusters.decoded(model).orderBy("set_id").collect()
+    assert [round(r.share, 1) for r in table] == [0.7, 0.3] or abs(table[0].share - 0.75) < 0.03
+    for r, (d, a) in zip(table, ((50, 100), (20, 250))):
+        assert np.degrees(np.arccos(min(1, abs(np.dot(unit(r.dip, r.dip_dir), unit(d, a)))))) < 2 and r.enough and r.kappa > 20
+    # against a plain version of the same rounds
+    n = np.array([r[2:] for r in rows])
+    c = np.array([[x.x, x.y, x.z] for x in clusters.starting_centers(df, 2).first().centers])
+    kappa, share = np.full(2, 10.0), np.full(2, 0.5)
+    for _ in range(12):
+        z = np.array([(np.exp(k * (clusters._T**2 - 1)) * clusters._W).sum() for k in kappa])
+        p = share / z * np.exp(kappa * ((n @ c.T) ** 2 - 1))
+        p /= p.sum(axis=1, keepdims=True)
+        for k in range(2):
+            values, vectors = np.linalg.eigh((p[:, k, None] * n).T @ n / p[:, k].sum())
+            c[k], kappa[k] = vectors[:, 2], clusters.solve_kappa(values[2:])[0]
+        share = p.mean(axis=0)
+    got = {r.k: r for r in model.collect()}
+    for k in range(2):
+        assert got[k].share == pytest.approx(share[k], abs=1e-6) and got[k].kappa == pytest.approx(kappa[k], rel=1e-5)
+        assert abs(np.dot((got[k].cx, got[k].cy, got[k].cz), c[k])) == pytest.approx(1, abs=1e-9)
+
+
+def test_kappa_is_solved():
+    k = np.array([0.6, 3.0, 50.0, 300.0])
+    assert clusters.solve_kappa(clusters.axial_moment(k)) == pytest.approx(k, rel=1e-6)
+
+
+def test_new_predictors_do_not_read_hidden_normals(spark):
+    df, _, _ = points(spark)
+    centers = [unit(60, 30), unit(45, 150), unit(70, 280)]
+    for f in (lambda x: predict.set_aware_observed(x, centers), lambda x: predict.top_two(x, centers, 9), lambda x: predict.fused([predict.top_two(x, centers, 9), predict.nearest_direction(x)])):
+        named = lambda x, f=f: f(x).withColumnsRenamed({f"q{c}": f"p{c}" for c in "xyz"})
+        changed = quality.leaks(named(predict.blind(df)), named(predict.poisoned(df, 1)))
+        assert [r.n_changed for r in changed.collect()] == [0, 0]
+
+
+def test_headers_of_other_logs_and_skipped_rows(spark, tmp_path):
+    assert logs.find_columns(["孔深(m)", "倾角(°)", "方位角", "孔号"]) == {"depth": "孔深(m)", "dip": "倾角(°)", "dip_dir": "方位角", "well": "孔号"}
+    assert logs.find_columns(["mdepth", "dip_angle", "trend", "井名"]) == {"depth": "mdepth", "dip": "dip_angle", "dip_dir": "trend", "well": "井名"}
+    (tmp_path / "a.csv").write_text("well,depth,dip,azimuth\nw,1,2,3\nw,x,2,3\nv,1,1,1\n")
+    assert {tuple(r) for r in logs.skipped_rows(logs.read_log(spark, str(tmp_path / "a.csv"))).collect()} == {("w", 2, 1), ("v", 1, 0)}
+    (tmp_path / "b.csv").write_text("well,depth,dip,azimuth\nw,x,2,3\n")
+    with pytest.raises(Exception, match="no row of well w"):
+        logs.skipped_rows(logs.read_log(spark, str(tmp_path / "b.csv"))).collect()
+
+
+def test_components_of_structs(spark):
+    from strikeplane.operators.components import components
+
+    edges = spark.createDataFrame([(("x", i), ("x", i + 1)) for i in range(40)] + [(("y", 5), ("y", 3))], "a struct<n:string,i:int>, b struct<n:string,i:int>")
+    got = {tuple(r.node): tuple(r.label) for r in components(edges).collect()}
+    assert all(got["x", i] == ("x", 0) for i in range(41)) and got["y", 5] == ("y", 3)
