@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -216,14 +216,14 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def block_plan(nodes: int, similarity: float, miss: float = 0.03, load: int = 32) -> tuple[int, int]:
+def block_plan(nodes: int, similarity: float, miss: float = 0.03, load: int = 256) -> tuple[int, int]:
     """Bits of a block and number of blocks, for so many fingerprints.
 
     A block is as long as it takes for about `load` unrelated fingerprints to share its bits; there are so many
     that a pair right at the similarity shares none with the chance `miss`, taken over the differing bits that
     such pairs have. The number of blocks grows as about the fourth root of the fingerprints.
     """
-    bits = max(10, math.ceil(math.log2(max(2, nodes) / load)))
+    bits = max(8, math.ceil(math.log2(max(2, nodes) / load)))
     q, width = differing(similarity), BITS * WIDE
     differ = np.arange(width + 1)
     log_chance = np.array([math.lgamma(width + 1) - math.lgamma(d + 1) - math.lgamma(width - d + 1) for d in differ]) + differ * math.log(q) + (width - differ) * math.log1p(-q)
@@ -268,7 +268,7 @@ def sketch_forest(rows: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def runs_with_close_rows(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, most: int, small: int = 96) -> np.ndarray:
+def runs_with_close_rows(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, most: int, small: int = 512) -> np.ndarray:
     """Numbers of the runs that hold two close rows; runs above `small` rows are named unseen."""
     size = ends - starts
     if not len(size):
@@ -433,6 +433,24 @@ def jaccard_links(sets: DataFrame, similarity: float, split_above: int = 2_000_0
     return few.unionByName(many).groupBy("u", "i", "j").applyInArrow(walk, "a long, b long")
 
 
+#: Bits of the bitmap of candidates that every task gets: 8 MB, whatever their number.
+FILTER_BITS = 26
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+
+
+def _bitmap(table: DataFrame, key: str) -> np.ndarray:
+    """64-bit words in which the places of all keys are set. Others may share a place: a join must follow."""
+    place = _place(F.col(key))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = table.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = 42, split_above: int = 2_000_000, miss: float = 0.03) -> tuple[DataFrame, DataFrame]:
     """Nodes and groups of rows (row long, each its own, text, and others).
 
@@ -469,14 +487,20 @@ def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed
                 sketch = raw[:, : 8 * SKETCH].copy().view("<i8")
                 yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), blocks)), *(pa.array(np.repeat(sketch[:, i], blocks)) for i in range(SKETCH))], names=["k", "node", *(f"w{i}" for i in range(SKETCH))])
 
-    def hashed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(2)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["label", "node", "n", "hashes"])
-
     met = nodes.select("node", "fp").mapInArrow(filed, "k long, node long, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
     groups = materialize(components(block_links(met, most)), "simhash-groups")
-    sets = materialize(rows.join(groups, rows["row"] == groups["node"]).select("label", "node", "text").mapInArrow(hashed, "label long, node long, n long, hashes binary"), "simhash-sets")
+    known = rows.sparkSession.sparkContext.broadcast(_bitmap(groups, "node"))
+
+    def hashed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            place = b.column(1).to_numpy()
+            kept = np.flatnonzero((known.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+            sets = [shingle_set(b.column(2)[i].as_py(), shingle_words, seed) for i in kept.tolist()]
+            yield pa.record_batch([b.column(0).take(pa.array(kept)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["row", "n", "hashes"])
+
+    # sets of candidates alone are made and shuffled, texts are not
+    found = rows.select("row", _place(F.col("row")).alias("place"), "text").mapInArrow(hashed, "row long, n long, hashes binary")
+    sets = materialize(found.join(groups, F.col("row") == F.col("node")).select("label", "node", "n", "hashes"), "simhash-sets")
     return nodes.drop("fp"), components(jaccard_links(sets, similarity, split_above))
 
 
