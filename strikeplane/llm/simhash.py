@@ -398,25 +398,35 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int]
     return a, b
 
 
-def jaccard_links(sets: DataFrame, similarity: float, split_above: int = 2_000_000) -> DataFrame:
-    """Edges (a, b) within each label of sets (label, node, n, hashes binary) as of jaccard_forest().
+def dealt_out(members: DataFrame, split_above: int) -> DataFrame:
+    """members (label, node, n) with the tasks (u, i, j) in which a node's set meets others of its label.
 
     Labels share tasks of about split_above hashes. A label with more is dealt out by node, every two of its
     chunks to a task, so all its pairs are compared and no task holds it whole.
     """
-    totals = sets.groupBy("label").agg(F.ceil(F.sum("n") / split_above).cast("int").alias("parts"), F.count("*").alias("members"))
-    everything, total = sets.agg(F.sum("n"), F.count("*")).first()
+    totals = members.groupBy("label").agg(F.ceil(F.sum("n") / split_above).cast("int").alias("parts"), F.count("*").alias("members"))
+    everything, total = members.agg(F.sum("n"), F.count("*")).first()
     tasks = max(1, math.ceil((everything or 0) / split_above))
-    sized = join_unhot(sets, totals, "label", "members", total)
-    few = sized.filter("parts <= 1").select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "label", "node", "hashes")
+    sized = join_unhot(members.select("label", "node"), totals, "label", "members", total)
+    few = sized.filter("parts <= 1").select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("u"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "label", "node")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     many = (
         sized.filter("parts > 1")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .filter("own <> other")
-        .select(F.col("label").alias("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "node", "hashes")
+        .select(F.col("label").alias("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "node")
     )
+    return few.unionByName(many)
+
+
+def jaccard_links(members: DataFrame, sets: DataFrame, similarity: float, split_above: int = 2_000_000) -> DataFrame:
+    """Edges (a, b) within each label of members (label, node, n: the size of its set) as of jaccard_forest().
+
+    sets is (row, hashes binary) and has at least the members' nodes. Tasks are dealt before sets join, so these
+    are shuffled to their nodes and to their tasks, no more.
+    """
+    tasks = materialize(dealt_out(members, split_above), "simhash-tasks")
 
     def walk(group: pa.Table) -> pa.Table:
         label, node = group.column("label").to_numpy(), group.column("node").to_numpy()
@@ -430,7 +440,8 @@ def jaccard_links(sets: DataFrame, similarity: float, split_above: int = 2_000_0
             b_out += node[part[b]].tolist()
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return few.unionByName(many).groupBy("u", "i", "j").applyInArrow(walk, "a long, b long")
+    met = sets.join(tasks, F.col("row") == F.col("node")).select("u", "i", "j", "label", "node", "hashes")
+    return met.groupBy("u", "i", "j").applyInArrow(walk, "a long, b long")
 
 
 #: Bits of the bitmap of candidates that every task gets: 8 MB, whatever their number.
@@ -468,12 +479,12 @@ def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed
             sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(2)]
             digest = [xxhash.xxh128_digest(x.astype("<u8").tobytes(), seed) for x in sets]
             prints = [np.packbits(wide_fingerprint(x), bitorder="little").tobytes() for x in sets]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(prints, pa.binary())], names=["row", "first", "digest", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary())], names=["row", "first", "digest", "hashes", "fp"])
 
     kind = rows.schema["first"].dataType.simpleString()
-    prints = materialize(rows.select("row", "first", "text").mapInArrow(printed, f"row long, first {kind}, digest binary, fp binary"), "simhash-wide")
+    prints = materialize(rows.select("row", "first", "text").mapInArrow(printed, f"row long, first {kind}, digest binary, hashes long, fp binary"), "simhash-wide")
     # equal sets have equal fingerprints
-    nodes = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("first").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp")), "simhash-wide-nodes")
+    nodes = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("first").alias("first"), F.count("*").alias("n"), F.first("hashes").alias("hashes"), F.first("fp").alias("fp")), "simhash-wide-nodes")
     bits, blocks = block_plan(nodes.count(), similarity, miss)
     q = differing(similarity)
     most = math.ceil(q * SKETCH * BITS + 2.6 * math.sqrt(q * (1 - q) * SKETCH * BITS))
@@ -496,12 +507,12 @@ def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed
             place = b.column(1).to_numpy()
             kept = np.flatnonzero((known.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
             sets = [shingle_set(b.column(2)[i].as_py(), shingle_words, seed) for i in kept.tolist()]
-            yield pa.record_batch([b.column(0).take(pa.array(kept)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["row", "n", "hashes"])
+            yield pa.record_batch([b.column(0).take(pa.array(kept)), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["row", "hashes"])
 
     # sets of candidates alone are made and shuffled, texts are not
-    found = rows.select("row", _place(F.col("row")).alias("place"), "text").mapInArrow(hashed, "row long, n long, hashes binary")
-    sets = materialize(found.join(groups, F.col("row") == F.col("node")).select("label", "node", "n", "hashes"), "simhash-sets")
-    return nodes.drop("fp"), components(jaccard_links(sets, similarity, split_above))
+    sets = rows.select("row", _place(F.col("row")).alias("place"), "text").mapInArrow(hashed, "row long, hashes binary")
+    members = materialize(groups.join(nodes.select("node", F.col("hashes").alias("n")), "node").select("label", "node", "n"), "simhash-members")
+    return nodes.drop("fp", "hashes"), components(jaccard_links(members, sets, similarity, split_above))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

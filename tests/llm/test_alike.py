@@ -64,8 +64,9 @@ def test_links_connect_what_all_pairs_connect(spark, split_above):
         for _ in range(40):  # walks away from the base by small steps: chains
             base = base[rng.randint(0, 4) :] + rng.sample(range(1000, 3000), rng.randint(0, 4))
             sets.append((label, sorted(set(base))))
-    rows = [(label, i, len(x), bytearray(np.array(x, dtype="<u8").tobytes())) for i, (label, x) in enumerate(sets)]
-    edges = simhash.jaccard_links(spark.createDataFrame(rows, "label long, node long, n long, hashes binary"), 0.8, split_above)
+    members = spark.createDataFrame([(label, i, len(x)) for i, (label, x) in enumerate(sets)], "label long, node long, n long")
+    hashes = spark.createDataFrame([(i, bytearray(np.array(x, dtype="<u8").tobytes())) for i, (_, x) in enumerate(sets)], "row long, hashes binary")
+    edges = simhash.jaccard_links(members, hashes, 0.8, split_above)
     found = {r.node: r.label for r in components(edges).collect()}
     root = list(range(len(sets)))
     for i, (la, a) in enumerate(sets):
