@@ -124,12 +124,18 @@ def cut(n: int, capacity: int) -> list[int]:
     return [n % capacity][: n % capacity] + [capacity] * (n // capacity)
 
 
+def id_type(tokenizer_path: str, end_id: int = 0) -> str:
+    """The little-endian type that ids are moved in: 16 bits where the vocabulary and end_id fit, else 32."""
+    return "<u2" if max(end_id, *encoder(tokenizer_path).tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id_col, piece int, start long, length long, ids_crc32 long) of every document, and ids if asked for.
+    """(id_col, piece int, start long, length long, ids_crc32 long) of every document, and ids, as bytes of id_type(), if asked for.
 
     A document's ids are those of its whole text (null: none) and end_id. Only a longer one than capacity is
     cut, into full pieces after a first one that may be shorter.
     """
+    moved_as = id_type(tokenizer_path, end_id) if with_ids else None
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
@@ -147,13 +153,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                     length.append(n)
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
+                        ids.append(np.frombuffer(part, dtype="<u4").astype(moved_as).tobytes())
                     at += n
             out = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.record_batch(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            yield pa.record_batch(out + [pa.array(ids, pa.binary())] * with_ids, names=["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     ids = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {ids}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"id {ids}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, schema).withColumnRenamed("id", id_col)
 
 
@@ -238,6 +244,20 @@ def pack_documents(
     """
     if not with_ids:
         return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity, shard_pieces, id_col)
-    # only lengths are packed; the ids join where they lie
     parts, key = with_row_key(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, True), "pieces")
-    return pack(parts.drop("ids"), capacity, shard_pieces, id_col).join(parts.select(key, "ids"), key).drop(key)
+    # only lengths are packed; the ids join where they lie, streamed past the short rows and not sorted, at any size
+    placed = pack(parts.drop("ids"), capacity, shard_pieces, id_col).hint("shuffle_hash")
+    joined = parts.select(key, "ids").join(placed, key).select(*(c for c in placed.columns if c != key), "ids")
+    moved_as = id_type(tokenizer_path, end_id)
+
+    def opened(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                raw = part.column(part.num_columns - 1).to_pylist()
+                ids = np.frombuffer(b"".join(raw), dtype=moved_as).astype(np.int32)
+                ends = np.cumsum([0] + [len(x) // int(moved_as[-1]) for x in raw]).astype(np.int32)
+                yield pa.record_batch([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=part.schema.names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1]) + ", ids array<int>"
+    return joined.mapInArrow(opened, schema)
