@@ -176,5 +176,6 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: fl
     targets = materialize(source_targets(named, weights, max_copies), "mix-targets")
     n_col, row_col, copy_col = (free_name(keyed, x) for x in ("__copies", "__taken", "__copy"))
     times = copies(named, targets, max_copies, seed).filter("copies > 0").select(F.col("row").alias(row_col), F.col("copies").alias(n_col))
-    joined = keyed.join(times, keyed[key] == times[row_col], "inner")
+    # texts are streamed past the rows taken, and not sorted: the same plan at any size
+    joined = keyed.join(times.hint("shuffle_hash"), keyed[key] == times[row_col], "inner")
     return joined.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n_col)))).select(docs.columns)

@@ -549,4 +549,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     nodes, groups = alike(keyed.select(F.col(key).alias("row"), first.alias("first"), F.col(text_col).alias("text")), **how)
     placed = nodes.join(groups, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
     stay = materialize(placed.select(F.col("first.row").alias("__stays")), "simhash-stay")
-    return keyed.join(stay, keyed[key] == stay["__stays"], "left_semi").select(docs.columns)
+    # texts are streamed past the keys that stay, and not sorted: the same plan at any size
+    return keyed.join(stay.hint("shuffle_hash"), keyed[key] == stay["__stays"], "left_semi").select(docs.columns)
