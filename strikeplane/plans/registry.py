@@ -191,14 +191,14 @@ def scatter_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.scatter(aggregates.terzaghi(v.log(spark, sf_dir), ["well"]), ["well"], F.col("w")))
 
 
-def _eigen_sql(source: str, keys: str) -> str:
-    """CTEs from `source` (keys, sxx .. szz): `eig` with l1 >= l2 >= l3 in closed form, `vec` with |components| of the first and last eigenvectors."""
+def _eigen_sql(source: str, keys: str, size: str = "abs") -> str:
+    """CTEs from `source` (keys, sxx .. szz): `eig` with l1 >= l2 >= l3 in closed form, `vec` with |components| of the first and last eigenvectors; with an empty size, components of one vector's signs."""
     cross = lambda lam: [  # noqa: E731  products of two rows of the matrix less lam; the longest is the direction
         (f"(sxy*syz - sxz*(syy-{lam}))", f"(sxz*sxy - (sxx-{lam})*syz)", f"((sxx-{lam})*(syy-{lam}) - sxy*sxy)"),
         (f"(sxy*(szz-{lam}) - sxz*syz)", f"(sxz*sxz - (sxx-{lam})*(szz-{lam}))", f"((sxx-{lam})*syz - sxy*sxz)"),
         (f"((syy-{lam})*(szz-{lam}) - syz*syz)", f"(syz*sxz - sxy*(szz-{lam}))", f"(sxy*syz - (syy-{lam})*sxz)"),
     ]
-    longest = lambda lam: "[" + ", ".join(f"{{'n': {x}*{x} + {y}*{y} + {z}*{z}, 'x': abs({x}), 'y': abs({y}), 'z': abs({z})}}" for x, y, z in cross(lam)) + "]"
+    longest = lambda lam: "[" + ", ".join(f"{{'n': {x}*{x} + {y}*{y} + {z}*{z}, 'x': {size}({x}), 'y': {size}({y}), 'z': {size}({z})}}" for x, y, z in cross(lam)) + "]"
     return (
         f"q0 AS (SELECT *, (sxx + syy + szz) / 3 AS q, sxy*sxy + sxz*sxz + syz*syz AS p1 FROM {source}), q1 AS (SELECT *, sqrt(((sxx-q)*(sxx-q) + (syy-q)*(syy-q) + (szz-q)*(szz-q) + 2*p1) / 6) AS p FROM q0), "
         "q2 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((sxx-q)*((syy-q)*(szz-q) - syz*syz) - sxy*(sxy*(szz-q) - syz*sxz) + sxz*(sxy*syz - (syy-q)*sxz)) / (2*p*p*p)))) / 3 AS phi FROM q1), "
@@ -322,16 +322,27 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(predict.majority(predict.blind(v.points(spark, sf_dir)), v.reference_centers()))
 
 
+_SET_AWARE = (
+    f"{v.POINTS}, o AS (SELECT * FROM pts WHERE is_obs), f AS (SELECT net, set_id, arg_min(nx, id) AS rx, arg_min(ny, id) AS ry, arg_min(nz, id) AS rz FROM o GROUP BY ALL), s AS (SELECT net, set_id, avg(nx * g) AS x, avg(ny * g) AS y, avg(nz * g) AS z FROM (SELECT o.*, CASE WHEN nx*rx+ny*ry+nz*rz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM o JOIN f USING (net, set_id)) GROUP BY ALL), fn AS (SELECT net, arg_min(nx, id) AS rx, arg_min(ny, id) AS ry, arg_min(nz, id) AS rz FROM o GROUP BY net), t AS (SELECT net, avg(nx * g) AS gx, avg(ny * g) AS gy, avg(nz * g) AS gz FROM (SELECT o.*, CASE WHEN nx*rx+ny*ry+nz*rz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM o JOIN fn USING (net)) GROUP BY net), "
+    "a AS (SELECT h.net, h.id, coalesce(x, gx) AS x, coalesce(y, gy) AS y, coalesce(z, gz) AS z FROM pts h JOIN t USING (net) LEFT JOIN s ON h.net = s.net AND h.set_id = s.set_id WHERE NOT h.is_obs)"
+)
+
+
 @query(
-    f"WITH {v.POINTS}, o AS (SELECT * FROM pts WHERE is_obs), f AS (SELECT net, set_id, arg_min(nx, id) AS rx, arg_min(ny, id) AS ry, arg_min(nz, id) AS rz FROM o GROUP BY ALL), s AS (SELECT net, set_id, avg(nx * g) AS x, avg(ny * g) AS y, avg(nz * g) AS z FROM (SELECT o.*, CASE WHEN nx*rx+ny*ry+nz*rz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM o JOIN f USING (net, set_id)) GROUP BY ALL), fn AS (SELECT net, arg_min(nx, id) AS rx, arg_min(ny, id) AS ry, arg_min(nz, id) AS rz FROM o GROUP BY net), t AS (SELECT net, avg(nx * g) AS gx, avg(ny * g) AS gy, avg(nz * g) AS gz FROM (SELECT o.*, CASE WHEN nx*rx+ny*ry+nz*rz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM o JOIN fn USING (net)) GROUP BY net), "
-    "a AS (SELECT h.net, h.id, coalesce(x, gx) AS x, coalesce(y, gy) AS y, coalesce(z, gz) AS z FROM pts h JOIN t USING (net) LEFT JOIN s ON h.net = s.net AND h.set_id = s.set_id WHERE NOT h.is_obs) "
+    f"WITH {_SET_AWARE} "
     f"SELECT net, id, {r('x / sqrt(x*x+y*y+z*z)', 'qx')}, {r('y / sqrt(x*x+y*y+z*z)', 'qy')}, {r('z / sqrt(x*x+y*y+z*z)', 'qz')} FROM a"
 )
 def set_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(predict.set_aware(predict.blind(v.points(spark, sf_dir))))
 
 
-@query()
+@query(
+    f"WITH {_SET_AWARE}, fc AS (SELECT net, fracture_id, count(*) AS n, avg(px) AS cx, avg(py) AS cy, avg(pz) AS cz FROM o GROUP BY ALL), "
+    f"mo AS (SELECT net, fracture_id, {', '.join(f'avg((p{a} - c{a}) * (p{b} - c{b})) AS s{a}{b}' for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM o JOIN fc USING (net, fracture_id) WHERE n >= 3 GROUP BY ALL), {_eigen_sql('mo', 'net, fracture_id', '')}, "
+    "pl AS (SELECT net, fracture_id, e3.x / sqrt(e3.n) AS fx, e3.y / sqrt(e3.n) AS fy, e3.z / sqrt(e3.n) AS fz FROM vec WHERE l2 > 1e-12), "
+    "pr AS (SELECT p.net, nx, ny, nz, coalesce(fx, x / sqrt(x*x+y*y+z*z)) AS qx, coalesce(fy, y / sqrt(x*x+y*y+z*z)) AS qy, coalesce(fz, z / sqrt(x*x+y*y+z*z)) AS qz FROM pts p JOIN a ON a.net = p.net AND a.id = p.id LEFT JOIN pl ON pl.net = p.net AND pl.fracture_id = p.fracture_id WHERE NOT is_obs) "
+    f"SELECT net, count(*) AS n, {r('avg(degrees(acos(least(1.0::DOUBLE, abs(nx*qx + ny*qy + nz*qz)))))', 'mae', 3)} FROM pr GROUP BY net"
+)
 def fracture_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.points(spark, sf_dir)
     return rounded(predict.errors(predict.fracture_aware(predict.blind(rows)), rows).groupBy("net").agg(F.count("*").alias("n"), F.avg("error").alias("mae")), 3)
@@ -343,7 +354,11 @@ def local_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.error_stats(predict.errors(predict.local_median(predict.blind(rows)), rows), ["net"]), 2)
 
 
-@query()
+@query(
+    f"WITH {v.POINTS}, sc AS (SELECT net, {', '.join(f'avg(n{a} * n{b}) AS s{a}{b}' for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM pts WHERE is_obs GROUP BY net), {_eigen_sql('sc', 'net', '')}, "
+    "q AS (SELECT net, e1.x / sqrt(e1.n) AS qx, e1.y / sqrt(e1.n) AS qy, e1.z / sqrt(e1.n) AS qz FROM vec), er AS (SELECT p.net, degrees(acos(least(1.0::DOUBLE, abs(nx*qx + ny*qy + nz*qz)))) AS error FROM pts p JOIN q USING (net) WHERE NOT is_obs) "
+    f"SELECT net, count(*) AS n, {r('avg(error)', 'mae', 3)}, {r('quantile_cont(error, 0.5)', 'p50', 3)}, {r('quantile_cont(error, 0.9)', 'p90', 3)} FROM er GROUP BY net"
+)
 def global_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.points(spark, sf_dir)
     return rounded(aggregates.error_stats(predict.errors(predict.global_direction(predict.blind(rows)), rows), ["net"]), 3)
@@ -556,7 +571,30 @@ def near_duplicate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.near_duplicate_remarks(_tables(spark, sf_dir, "well"), ["well"], below=50.0)
 
 
-@query()
+def _means(key: str) -> str:
+    """The set tables of v.MEANS by another key of a line than its supplier; their name stays `well`."""
+    return v.MEANS.replace("l_suppkey AS well", f"{key} AS well")
+
+
+#: The cheapest one-to-one matching of every two tables of up to four sets: as many pairs as can be, then the least sum of angles.
+_MATCHED = (
+    "pm AS (SELECT 64 * i + 16 * j + 4 * k + l AS perm, [i, j, k, l] AS p FROM range(4) t1(i), range(4) t2(j), range(4) t3(k), range(4) t4(l) WHERE i <> j AND i <> k AND i <> l AND j <> k AND j <> l AND k <> l), "
+    "ang AS (SELECT a.well AS a, b.well AS b, a.set_id AS set_a, b.set_id AS set_b, degrees(acos(least(1.0::DOUBLE, abs(a.mx*b.mx + a.my*b.my + a.mz*b.mz)))) AS angle FROM tables a JOIN tables b ON a.well < b.well), "
+    "tot AS (SELECT a, b, perm, count(*) AS n_matched, sum(angle) AS total FROM ang JOIN pm ON p[set_a + 1] = set_b GROUP BY ALL), "
+    "best AS (SELECT a, b, perm FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n_matched DESC, total, perm) AS o FROM tot) WHERE o = 1), "
+    "mat AS (SELECT ang.a, ang.b, set_a, set_b, angle FROM ang JOIN best ON best.a = ang.a AND best.b = ang.b JOIN pm USING (perm) WHERE p[set_a + 1] = set_b)"
+)
+_CONSISTENT = (
+    f"{_means('(SELECT s_nationkey FROM supplier WHERE s_suppkey = l_suppkey)')}, {_MATCHED}, sz AS (SELECT well, count(*) AS k FROM tables GROUP BY well), ms AS (SELECT a, b, count(*) AS n_matched, sum(angle) AS total FROM mat GROUP BY ALL), "
+    "con AS (SELECT a, b, n_matched, (total + (greatest(x.k, y.k) - n_matched) * 90) / greatest(x.k, y.k) AS mean_angle FROM ms JOIN sz x ON x.well = a JOIN sz y ON y.well = b)"
+)
+_RECONCILED = (
+    f"{_means('l_returnflag')}, {_MATCHED}, two AS (SELECT * FROM mat WHERE a = 'A' AND b = 'N'), rec AS (SELECT set_a, set_b, angle, CASE WHEN angle < 20 THEN 'green' WHEN angle < 35 THEN 'yellow' ELSE 'red' END AS light, CASE WHEN angle < 20 THEN 'fused' ELSE 'excluded' END AS outcome FROM two "
+    "UNION ALL SELECT set_id, NULL, NULL, 'yellow', 'single' FROM tables WHERE well = 'A' AND set_id NOT IN (SELECT set_a FROM two) UNION ALL SELECT NULL, set_id, NULL, 'yellow', 'single' FROM tables WHERE well = 'N' AND set_id NOT IN (SELECT set_b FROM two))"
+)
+
+
+@query(f"WITH {_CONSISTENT} SELECT a, b, n_matched, {r('mean_angle', 'mean_angle')}, CASE WHEN mean_angle < 20 THEN 'consistent' WHEN mean_angle < 35 THEN 'partial' ELSE 'conflict' END AS verdict FROM con")
 def well_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched sets of every two suppliers' nations, and what they say: wells are pooled by nation first."""
     return rounded(_nation_pairs(spark, sf_dir))
@@ -572,22 +610,35 @@ def _nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.consistency(fusion.matches(fusion.table_pairs(tables, "table")), sizes=tables.groupBy("table").agg(F.count("*").alias("k")))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_CONSISTENT}, bo AS (SELECT a AS t, b AS o, mean_angle FROM con UNION ALL SELECT b, a, mean_angle FROM con), bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY mean_angle, o) AS n FROM bo) WHERE n = 1), "
+    "told AS (SELECT well AS t, o, coalesce(mean_angle, 999) AS m, CASE WHEN coalesce(mean_angle, 999) < 20 THEN 'joint' WHEN coalesce(mean_angle, 999) < 35 THEN 'pair_only' ELSE 'independent' END AS tier FROM sz LEFT JOIN bp ON t = well), "
+    "ed AS (SELECT a, b FROM con WHERE mean_angle < 20 UNION ALL SELECT t, o FROM told WHERE tier = 'pair_only'), sd AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), rch(t, place) AS (SELECT t, t FROM told UNION SELECT x.t, e.b FROM rch x JOIN sd e ON x.place = e.a), pl AS (SELECT t, min(place) AS pool FROM rch GROUP BY t) "
+    f"SELECT t AS \"table\", {r('m', 'best_angle')}, tier, pool FROM told JOIN pl USING (t)"
+)
 def joint_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.joint_pools(_nation_pairs(spark, sf_dir), _nation_tables(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_RECONCILED} SELECT set_a, set_b, {r('angle', 'angle')}, light, outcome FROM rec")
 def reconcile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.reconcile(_tables(spark, sf_dir, "ftype"), "ftype", "A", "N"))
 
 
-@query()
+@query(
+    f"WITH {_RECONCILED}, sd AS (SELECT set_a, set_b, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb, coalesce(x.mx, 0) AS ax, coalesce(x.my, 0) AS ay, coalesce(x.mz, 0) AS az, coalesce(y.mx, 0) AS bx, coalesce(y.my, 0) AS by_, coalesce(y.mz, 0) AS bz, greatest(x.kappa, y.kappa) AS kappa "
+    "FROM rec LEFT JOIN tables x ON x.well = 'A' AND x.set_id = set_a LEFT JOIN tables y ON y.well = 'N' AND y.set_id = set_b WHERE outcome <> 'excluded'), g AS (SELECT *, sqrt(nb) * CASE WHEN ax*bx + ay*by_ + az*bz < 0 THEN -1 ELSE 1 END AS w FROM sd), "
+    "u AS (SELECT *, sqrt(na)*ax + w*bx AS x, sqrt(na)*ay + w*by_ AS y, sqrt(na)*az + w*bz AS z FROM g) "
+    f"SELECT set_a, set_b, na + nb AS n, {', '.join(r(f'{c} / sqrt(x*x + y*y + z*z)', f'm{c}') for c in 'xyz')}, {r('kappa', 'kappa')} FROM u"
+)
 def fused_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.fused_centers(_tables(spark, sf_dir, "ftype"), "ftype", "A", "N"))
 
 
-@query()
+@query(
+    f"WITH {_means('l_returnflag')}, {_MATCHED}, mt AS (SELECT coalesce(avg(angle), 90) AS modal_error, count(*) FILTER (angle < 30) AS n_success FROM mat WHERE a = 'N' AND b = 'R'), ks AS (SELECT count(*) FILTER (well = 'R') AS kp, count(*) FILTER (well = 'N') AS kt FROM tables) "
+    f"SELECT {r('modal_error', 'modal_error')}, kp - kt AS k_diff, {r('n_success / greatest(kt, 1)', 'coverage')}, n_success FROM mt, ks"
+)
 def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _tables(spark, sf_dir, "ftype")
     return rounded(fusion.table_score(tables.filter("ftype = 'R'"), tables.filter("ftype = 'N'")))
@@ -621,9 +672,15 @@ def periodic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.disc_edges(v.discs(spark, sf_dir), 11.0, (100.0, 100.0, 100.0))
 
 
+_COMPONENTS = (
+    f"{_EDGES}, sides AS (SELECT net, a, b FROM edges UNION ALL SELECT net, b, a FROM edges), reach(net, id, place) AS (SELECT net, id, id FROM discs UNION SELECT r.net, r.id, e.b FROM reach r JOIN sides e ON r.net = e.net AND r.place = e.a), "
+    "comp AS (SELECT net, id, min(place) AS component FROM reach GROUP BY ALL)"
+)
+
+
 @query(
-    f"WITH RECURSIVE {_EDGES}, sides AS (SELECT net, a, b FROM edges UNION ALL SELECT net, b, a FROM edges), reach(net, id, place) AS (SELECT net, id, id FROM discs UNION SELECT r.net, r.id, e.b FROM reach r JOIN sides e ON r.net = e.net AND r.place = e.a), "
-    "comp AS (SELECT net, id, min(place) AS component FROM reach GROUP BY ALL), s AS (SELECT net, component, count(*) AS n FROM comp GROUP BY ALL), x AS (SELECT c.net, component, count(*) >= 2 AND min(px) <= 10 AND max(px) >= 90 AS spans, count(*) >= 2 AND min(py) <= 10 AND max(py) >= 90 AS spans_y, count(*) >= 2 AND min(pz) <= 10 AND max(pz) >= 90 AS spans_z FROM comp c JOIN discs d USING (net, id) GROUP BY ALL) "
+    f"WITH RECURSIVE {_COMPONENTS}, "
+    "s AS (SELECT net, component, count(*) AS n FROM comp GROUP BY ALL), x AS (SELECT c.net, component, count(*) >= 2 AND min(px) <= 10 AND max(px) >= 90 AS spans, count(*) >= 2 AND min(py) <= 10 AND max(py) >= 90 AS spans_y, count(*) >= 2 AND min(pz) <= 10 AND max(pz) >= 90 AS spans_z FROM comp c JOIN discs d USING (net, id) GROUP BY ALL) "
     f"SELECT s.net, sum(s.n)::BIGINT AS n, count(*) AS n_components, max(s.n) AS largest, {r('max(s.n) / sum(s.n)', 'largest_share')}, bool_or(spans) AS spans, bool_or(spans_y) AS spans_y, bool_or(spans_z) AS spans_z FROM s JOIN x USING (net, component) GROUP BY s.net"
 )
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,7 +688,13 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(networks.connectivity(d, networks.components(d, neighbours.disc_edges(d, 11.0)), (100.0, 100.0, 100.0)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_COMPONENTS}, big AS (SELECT net, component FROM (SELECT net, component, row_number() OVER (PARTITION BY net ORDER BY n DESC, component) AS o FROM (SELECT net, component, count(*) AS n FROM comp GROUP BY ALL)) WHERE o = 1), "
+    "nrm AS (SELECT p_brand AS net, p_partkey AS id, radians(((p_partkey * 13) % 90)::DOUBLE) AS d, radians(((p_partkey * 29) % 360)::DOUBLE) AS t FROM part), me AS (SELECT net, id, sin(d)*sin(t) AS nx, sin(d)*cos(t) AS ny, cos(d) AS nz FROM comp JOIN big USING (net, component) JOIN nrm USING (net, id)), "
+    "ld AS (SELECT net, arg_min(nx, id) AS rx, arg_min(ny, id) AS ry, arg_min(nz, id) AS rz FROM me GROUP BY net), sm AS (SELECT net, avg(nx*g) AS x, avg(ny*g) AS y, avg(nz*g) AS z FROM (SELECT me.*, CASE WHEN nx*rx + ny*ry + nz*rz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM me JOIN ld USING (net)) GROUP BY net), "
+    "un AS (SELECT net, x / sqrt(x*x+y*y+z*z) AS mx, y / sqrt(x*x+y*y+z*z) AS my, z / sqrt(x*x+y*y+z*z) AS mz FROM sm), an AS (SELECT *, 90 - degrees(acos(least(1.0::DOUBLE, abs(mz)))) AS plane_angle FROM un) "
+    f"SELECT net, {r('mx', 'mx')}, {r('my', 'my')}, {r('mz', 'mz')}, {r('plane_angle', 'plane_angle')}, CASE WHEN plane_angle < 30 THEN 'high' WHEN plane_angle < 60 THEN 'middle' ELSE 'low' END AS scenario FROM an"
+)
 def dominant_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.discs(spark, sf_dir)
     found = networks.dominant_direction(d, networks.components(d, neighbours.disc_edges(d, 11.0)))
