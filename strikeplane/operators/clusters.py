@@ -79,6 +79,78 @@ def lloyd(rows: DataFrame, centers: DataFrame, rounds: int) -> DataFrame:
     return centers
 
 
+def seeded_centers(rows: DataFrame, k: int, tries: int = 20, pool: int = 1024, seed: int = 0) -> DataFrame:
+    """(net, try, centers): `tries` starts of each net, by k-means++ and rounds of k-means over `pool` rows drawn by a hash.
+
+    The first center is a row of the pool, each further one a row drawn with odds 1 - |cos| to the nearest before.
+    The pool only places the starts: which of them is best, and where it moves, all rows say (restarted()).
+    """
+    drawn = few_by_hash(rows.select("net", "id", "nx", "ny", "nz"), pool)
+    pooled = drawn.groupBy("net").agg(F.array_sort(F.collect_list(F.struct("r", "nx", "ny", "nz"))).alias("pool"))
+    starts = pooled.select("net", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"), "pool").withColumn("draw", F.pmod(F.xxhash64("net", "try", F.lit(seed)), F.lit(1 << 60)))
+
+    def grown(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            out = []
+            for draw, listed in zip(pdf["draw"], pdf["pool"]):
+                x, rng = np.array([[p["nx"], p["ny"], p["nz"]] for p in listed]), np.random.default_rng(int(draw))
+                at = [int(rng.integers(len(x)))]
+                while len(at) < min(k, len(x)):
+                    odds = np.clip(1 - np.abs(x @ x[at].T).max(axis=1), 0, None)
+                    odds[at] = 0
+                    at.append(int(rng.choice(len(x), p=odds / odds.sum())) if odds.sum() > 1e-12 else next(i for i in range(len(x)) if i not in at))
+                c = x[at]
+                for _ in range(20):
+                    dots = x @ c.T
+                    own = np.abs(dots).argmax(axis=1)
+                    turned = x * np.sign(dots[np.arange(len(x)), own] + 1e-300)[:, None]
+                    sums = np.stack([turned[own == i].sum(axis=0) for i in range(len(c))])
+                    length = np.linalg.norm(sums, axis=1, keepdims=True)
+                    c = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), c)
+                out.append([{"x": a, "y": b, "z": d} for a, b, d in c])
+            yield pd.DataFrame({"net": pdf["net"], "try": pdf["try"], "centers": out})
+
+    return starts.mapInPandas(grown, f"net {rows.schema['net'].dataType.simpleString()}, try int, centers array<struct<x: double, y: double, z: double>>")
+
+
+def restarted(rows: DataFrame, k: int, tries: int = 20, rounds: int = 12, seed: int = 0) -> DataFrame:
+    """(net, centers): k-means from the best of `tries` starts, the one whose sum of 1 - |cos| over all rows is least (the first of equals)."""
+    starts = written(seeded_centers(rows, k, tries, seed=seed), "starts")
+    met = rows.select("net", "nx", "ny", "nz").join(starts, "net")
+    cost = met.groupBy("net", "try").agg(F.sum(1 - _best(angles.vector(), F.col("centers"))["similarity"]).alias("cost"))
+    best = cost.groupBy("net").agg(F.min(F.struct("cost", "try")).alias("b")).select("net", F.col("b.try").alias("try"))
+    return lloyd(rows, written(starts.join(best, ["net", "try"]).select("net", "centers"), "best-start"), rounds)
+
+
+def anchored(rows: DataFrame, anchors: list[Center]) -> DataFrame:
+    """(net, centers): the same given centers for every net, as a start."""
+    listed = F.array(*(F.struct(*(F.lit(float(x)).alias(c) for x, c in zip(a, "xyz"))) for a in anchors))
+    return rows.select("net").distinct().withColumn("centers", listed)
+
+
+def joint_sets(rows: DataFrame, k: int, site: str = "site", anchors: list[Center] | None = None, tries: int = 20, rounds: int = 12, seed: int = 0) -> DataFrame:
+    """rows with set_id and similarity: one clustering of all wells of a site, so a set has one number in all of them.
+
+    rows has the site, a well in net, id and a normal. Given anchors take the place of drawn starts.
+    """
+    pooled = written(rows.withColumn("__well", F.col("net")).withColumn("net", F.col(site)), "site-rows")
+    centers = lloyd(pooled, anchored(pooled, anchors), rounds) if anchors else restarted(pooled, k, tries, rounds, seed)
+    return labelled(pooled, centers).withColumn("net", F.col("__well")).drop("__well", "similarities")
+
+
+def joint_dispersion(placed: DataFrame, site: str = "site") -> DataFrame:
+    """(site, net, set_id, n, mean_angle): how far the rows of every well lie from the centers that its site shares."""
+    return placed.groupBy(site, "net", "set_id").agg(F.count("*").alias("n"), F.avg(F.degrees(F.acos("similarity"))).alias("mean_angle"))
+
+
+def observed_sets(rows: DataFrame, k: int, tries: int = 20, rounds: int = 12, seed: int = 0) -> DataFrame:
+    """rows with set_id and similarity: sets are clustered from observed rows alone, and every row, hidden ones too, goes to the nearest.
+
+    A net without observed rows has no sets, and its rows are left out.
+    """
+    return labelled(rows, restarted(rows.filter("is_obs"), k, tries, rounds, seed)).drop("similarities")
+
+
 def labelled(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """rows with `similarities` to all centers, set_id of the largest (the first of equals), and that similarity."""
     n = angles.vector()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import angles, grades
-from ..operators import aggregates, clusters, fusion, neighbours, networks, ordered, predict, quality, screening
+from ..operators import aggregates, clusters, fusion, neighbours, networks, ordered, planes, predict, quality, screening
 from ..operators.tables import written
 from . import views as v
 
@@ -550,6 +550,46 @@ def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clusters.choose_k(rows, 2, 8))
 
 
+_ANCHORED = 3
+
+
+def _joint_sql() -> str:
+    """Rounds of k-means over a site's rows from given centers; a center that no row goes to stays."""
+    place = lambda i: (
+        f"p{i} AS (SELECT * FROM (SELECT o.rid, o.ftype, o.well, nx, ny, nz, c.k, cx, cy, cz, abs(nx*cx + ny*cy + nz*cz) AS s, row_number() OVER (PARTITION BY o.rid ORDER BY abs(nx*cx + ny*cy + nz*cz) DESC, c.k) AS r FROM lg o JOIN c{i} c USING (ftype)) WHERE r = 1)"
+    )
+    move = lambda i: (
+        f"m{i} AS (SELECT ftype, k, sum(nx*g) AS x, sum(ny*g) AS y, sum(nz*g) AS z FROM (SELECT *, CASE WHEN nx*cx + ny*cy + nz*cz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS g FROM p{i}) GROUP BY ALL), "
+        f"c{i + 1} AS (SELECT c.ftype, c.k, coalesce(x / sqrt(x*x+y*y+z*z), cx) AS cx, coalesce(y / sqrt(x*x+y*y+z*z), cy) AS cy, coalesce(z / sqrt(x*x+y*y+z*z), cz) AS cz FROM c{i} c LEFT JOIN m{i} m ON c.ftype = m.ftype AND c.k = m.k)"
+    )
+    first = f"{v.LOG}, {v.CENTERS}, lg AS MATERIALIZED (SELECT * FROM obs), c0 AS (SELECT ftype, set_id AS k, cx, cy, cz FROM (SELECT DISTINCT ftype FROM lg), centers)"
+    return f"WITH {first}, " + ", ".join(f"{place(i)}, {move(i)}" for i in range(_ANCHORED)) + f", {place(_ANCHORED)} "
+
+
+@query(_joint_sql() + f"SELECT ftype, well AS net, k AS set_id, count(*) AS n, {r('avg(degrees(acos(least(1.0::DOUBLE, s))))', 'mean_angle', 3)} FROM p{_ANCHORED} GROUP BY ALL")
+def joint_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets that all wells of one type of site share, from given anchors, and how far every well lies from them."""
+    rows = v.log(spark, sf_dir).select("ftype", F.col("well").alias("net"), F.col("row_id").alias("id"), "nx", "ny", "nz")
+    placed = clusters.joint_sets(rows, len(v.REFERENCE), "ftype", v.reference_centers(), rounds=_ANCHORED)
+    return rounded(clusters.joint_dispersion(placed, "ftype"), 3)
+
+
+@query()
+def observed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of each net from its observed rows by the best of 20 starts, and the rows that go to each."""
+    placed = clusters.observed_sets(v.points(spark, sf_dir), len(v.REFERENCE))
+    return rounded(placed.groupBy("net", "set_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_obs"), 1)).alias("n_observed"), F.avg("similarity").alias("similarity")), 3)
+
+
+@query()
+def plane_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes found in every cloud, their points, and the share of those from the sheet that most are from."""
+    points = v.cloud(spark, sf_dir)
+    labels = planes.ransac_planes(points, tolerance=0.2, most=8)[0]
+    sheets = labels.join(points.select("net", "id", "sheet"), ["net", "id"]).groupBy("net", "plane", "sheet").agg(F.count("*").alias("n"))
+    return rounded(sheets.groupBy("net", "plane").agg(F.sum("n").alias("n"), F.max_by("sheet", F.struct("n", "sheet")).alias("sheet"), (F.max("n") / F.sum("n")).alias("purity")))
+
+
 # matching and fusing tables
 
 

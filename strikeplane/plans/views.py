@@ -71,6 +71,17 @@ def discs(spark: SparkSession, sf_dir: str, box: float = 100.0) -> DataFrame:
     )
 
 
+def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points on tilted sheets from the line items: a net for each return flag, a sheet for each line number, a little off it by the quantity."""
+    at = lambda m: F.pmod(F.col("l_orderkey") * m + F.col("l_partkey"), F.lit(10007)) / 100.0
+    x, y = at(7919), at(104729)
+    z = F.col("l_linenumber") * 20 + x * 0.3 - y * 0.2 + (F.col("l_quantity") - 25) / 500
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("net"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        x.alias("px"), y.alias("py"), z.cast("double").alias("pz"), F.col("l_linenumber").cast("int").alias("sheet"),
+    )
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey stations from the events of each user: md by order, azimuth and deviation from the event."""
     e = table(spark, sf_dir, "events")
