@@ -675,6 +675,14 @@ def fused_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fusion.fused_centers(_tables(spark, sf_dir, "ftype"), "ftype", "A", "N"))
 
 
+@query()
+def typed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets of every source and kind of structure, a third of the wells of no known kind, merged where they have one direction."""
+    kind = F.get(F.array(F.lit("natural"), F.lit("induced"), F.lit(None)), F.pmod("well", F.lit(3)).cast("int"))
+    tables = aggregates.set_table(v.log(spark, sf_dir).withColumn("kind", F.coalesce(kind, F.lit("unknown"))), ["ftype", "kind"], v.reference_centers())
+    return rounded(fusion.fused_spaces(fusion.typed_spaces(tables, "ftype")).withColumn("kinds", F.concat_ws(",", "kinds")))
+
+
 @query(
     f"WITH {_means('l_returnflag')}, {_MATCHED}, mt AS (SELECT coalesce(avg(angle), 90) AS modal_error, count(*) FILTER (angle < 30) AS n_success FROM mat WHERE a = 'N' AND b = 'R'), ks AS (SELECT count(*) FILTER (well = 'R') AS kp, count(*) FILTER (well = 'N') AS kt FROM tables) "
     f"SELECT {r('modal_error', 'modal_error')}, kp - kt AS k_diff, {r('n_success / greatest(kt, 1)', 'coverage')}, n_success FROM mt, ks"
