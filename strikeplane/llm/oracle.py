@@ -60,6 +60,40 @@ s AS (SELECT g.doc_id, ln(one.n - own1.n + 1) - ln(tot.words - m + tot.v + 1) AS
 z AS (SELECT doc_id, sum(CASE WHEN c IS NULL THEN low WHEN pair > 0 THEN ln(pair) - ln(context) ELSE ln(0.4::DOUBLE) + low END) AS score FROM s GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(coalesce(z.score, 0), 4) + 0.0::DOUBLE AS log_score FROM d LEFT JOIN z USING (doc_id)"""
 
+OP11 = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+o AS (SELECT conv_id, list({'key': key, 'words': words} ORDER BY turn NULLS FIRST, key) AS turns FROM k GROUP BY conv_id),
+c AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)), 4294967295) % 4 AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, d, d = len(turns) AS ends, md5(array_to_string(list_transform(turns[1:d], lambda x: x.key), '')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[1:d - 1], lambda x: x.key), '')) END AS parent, turns[d].words AS words
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(words), 0) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node),
+q AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT a.node, sum(n.saved) AS saved, count(*) FILTER (q.n_children IS NULL) AS n_leaves FROM (SELECT DISTINCT u.node AS node, v.node AS below FROM m u JOIN m v ON u.conv_id = v.conv_id AND u.d <= v.d) a JOIN n ON n.node = a.below LEFT JOIN q ON q.parent = n.node GROUP BY a.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(q.n_children, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.node = n.node LEFT JOIN n p ON p.node = n.parent LEFT JOIN q ON q.parent = n.node"""
+
+OP12 = rf"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS x FROM w),
+n AS (SELECT min(rid) AS node, min(doc_id) AS least, x FROM d WHERE len(x) > 0 GROUP BY x),
+e AS (SELECT node, len(x) AS n, unnest(x) AS g FROM n),
+l AS (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.g = b.g AND a.node <> b.node AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a, min(n.least) AS component FROM r JOIN n ON n.node = r.b GROUP BY r.a)
+SELECT d.doc_id, len(d.x)::BIGINT AS n_shingles, CASE WHEN len(d.x) = 0 THEN d.doc_id ELSE c.component END AS component_id FROM d LEFT JOIN n ON n.x = d.x LEFT JOIN c ON c.a = n.node"""
+
+OP13 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_AZ}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) s(k)) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+around AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS m FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c)) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.m IS NULL OR 100::HUGEINT * o.m < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
 
 def _op1(alpha: float = 0.05, delta: float = 0.05) -> str:
     n = len(quality.RULES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, langid, licenses, lm, mixing, oracle, packing, quality, secrets, simhash
+from . import chat, covertree, jaccard, langid, licenses, lm, mixing, oracle, packing, phrases, quality, secrets, simhash, trie
 from .shared import documents
 
 #: Where a tokenizer file lies, as `tokenizer_path`; None: that of the installed public_tokenizers.
@@ -100,5 +100,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mix, op3_topk, op4_langid, op5_chat, op6_pack, op7_licenses, op8_secrets, op9_lm, op10_simhash)}
-ORACLE_SQL = {"op1_quality": oracle.OP1, "op2_mix": oracle.OP2, "op3_topk": oracle.OP3, "op5_chat": oracle.OP5, "op7_licenses": oracle.OP7, "op9_lm": oracle.OP9}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each begun as the first of its twenty begins."""
+    return trie.prefix_nodes(trie.with_shared_heads(trie.turns_in_order(documents(spark, sf_dir, "conversations"))))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 3-word shingles, and its component at a Jaccard similarity of 0.9."""
+    near = jaccard.similarity_join(documents(spark, sf_dir))
+    return near.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_mix, op3_topk, op4_langid, op5_chat, op6_pack, op7_licenses, op8_secrets, op9_lm, op10_simhash, op11_trie, op12_jaccard, op13_phrases)
+}
+ORACLE_SQL = {
+    "op1_quality": oracle.OP1, "op2_mix": oracle.OP2, "op3_topk": oracle.OP3, "op5_chat": oracle.OP5, "op7_licenses": oracle.OP7, "op9_lm": oracle.OP9,
+    "op11_trie": oracle.OP11, "op12_jaccard": oracle.OP12, "op13_phrases": oracle.OP13,
+}

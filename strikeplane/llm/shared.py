@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,34 @@ def join_unhot(rows: DataFrame, table: DataFrame, on: str, n_col: str, total: in
     return rows.join(hot, on).unionByName(spread).drop(n_col)
 
 
+#: Bits of a bitmap of keys at least and at most, as powers of two: 128 MB, however many keys there are.
+LEAST_BITS, MOST_BITS = 20, 30
+
+
+def bitmap(table: DataFrame, key: str, n: int | None = None) -> np.ndarray:
+    """64-bit words in which the places of all keys are set, by their upper bits: for in_bitmap(), in every task.
+
+    Keys are longs that are hashes already. There are about 16 places for a key, but never more than 2**MOST_BITS. Others may share a place, more of them
+    the more keys there are beyond that bound, so what passes must be told apart by a join or a count. n is the
+    number of keys.
+    """
+    n = table.count() if n is None else n
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(1, n)))))
+    place = F.shiftrightunsigned(F.col(key), 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = table.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (64-bit) may be among those that bitmap() was made of: all of them, and some others."""
+    bits = len(words).bit_length() - 1 + 6
+    place = keys.view(np.uint64) >> np.uint64(64 - bits)
+    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of the given folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
