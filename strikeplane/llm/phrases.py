@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bitmap, in_bitmap, materialize
@@ -28,50 +29,53 @@ from .shared import bitmap, in_bitmap, materialize
 #: Words of the longest phrase.
 LONGEST = 4
 _PIECES = re.compile(rb"[.,;:!?\x0A-\x0D]+")
-_WORDS = re.compile(rb"[^\x20\x09]+")
 
 
-def chunks(text: str | None, every: int, known: dict[bytes, bool]) -> Iterator[bytes]:
-    """The chunks of one text: own words and, behind a tab, those that only complete n-grams. known keeps triggers."""
+class Triggers(dict):
+    """Whether a word starts a chunk: one in `every` does, by its hash. Answers are kept for the words seen last."""
+
+    def __init__(self, every: int, most: int = 1 << 20):
+        super().__init__()
+        self.every, self.most = every, most
+
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) >= self.most:
+            self.clear()
+        cut = self[word] = xxhash.xxh32_intdigest(word) % self.every == 0
+        return cut
+
+
+def chunks(text: str | None, triggers: Triggers) -> Iterator[bytes]:
+    """The chunks of one text: own words and, behind a tab, those that only complete n-grams."""
     for piece in _PIECES.split((text or "").encode("utf-8", "surrogatepass").lower()):
-        words = _WORDS.findall(piece)
-        begin = 0
-        for i in range(1, len(words) + 1):
-            if i < len(words):
-                cut = known.get(words[i])
-                if cut is None:
-                    cut = known[words[i]] = xxhash.xxh32_intdigest(words[i]) % every == 0
-                if not cut:
-                    continue
-            after = words[i : i + LONGEST - 1]
-            yield b" ".join(words[begin:i]) + (b"\t" + b" ".join(after) if after else b"")
-            begin = i
+        words = piece.split()
+        cuts = [i for i in range(1, len(words)) if triggers[words[i]]]
+        if not cuts:
+            if words:
+                yield b" ".join(words)
+            continue
+        for begin, end in zip([0, *cuts], [*cuts, len(words)]):
+            after = words[end : end + LONGEST - 1]
+            yield b" ".join(words[begin:end]) + (b"\t" + b" ".join(after) if after else b"")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", every: int = 8) -> DataFrame:
     """(lang, chunk, n): each distinct chunk of each language with its frequency in the parse; a null language is `und`."""
 
     def parsed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bool] = {}
+        triggers = Triggers(every)
         for b in found:
-            seen: Counter = Counter()
+            seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                if len(known) > 1 << 20:
-                    known.clear()
-                seen.update((lang, c) for c in chunks(text.as_py(), every, known))
-            for part in _parts(list(seen.items()), 1 << 16):
-                yield pa.record_batch([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["lang", "chunk", "n"])
+                seen.setdefault(lang, Counter()).update(chunks(text.as_py(), triggers))
+            for lang, n in seen.items():
+                yield pa.record_batch([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["lang", "chunk", "n"])
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(parsed, "lang string, chunk binary, n long").select("lang", F.col("chunk").cast("string").alias("chunk"), "n")
     return found.groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
 
 
-def _parts(rows: list, size: int) -> Iterator[list]:
-    for at in range(0, len(rows), size):
-        yield rows[at : at + size]
-
-
 #: Odd numbers: the base of the polynomial that hashes a word's bytes, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,31 +87,43 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS = np.ones((2, 1), dtype=np.uint64)
+
+
+def _powers(size: int) -> np.ndarray:
+    """Powers of the base and of its inverse up to a size; kept for the next block."""
+    global _POWERS
+    if _POWERS.shape[1] < size:
+        grown = np.array([[_BASE], [_INVERSE]], dtype=np.uint64) * np.ones((1, size), dtype=np.uint64)
+        grown[:, 0] = 1
+        _POWERS = np.multiply.accumulate(grown, axis=1)
+    return _POWERS[:, :size]
+
+
 class Block:
-    """Chunks of a batch as flat arrays: where words lie, their hashes, and which n-grams each chunk owns."""
+    """Chunks as flat arrays: where words lie, their hashes, and which n-grams each chunk owns."""
 
-    def __init__(self, langs: list[str], texts: list[bytes], n: np.ndarray):
-        self.line = b"\n".join(texts) + b"\n"
+    def __init__(self, table: pa.Table):
+        langs = table.column(0).combine_chunks().dictionary_encode()
+        self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        texts = table.column(1).combine_chunks()
+        self.line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_py().encode("utf-8", "surrogatepass") + b"\n"
         raw = np.frombuffer(self.line, dtype=np.uint8)
-        at = np.flatnonzero((raw == 32) | (raw == 9) | (raw == 10))
-        mark = raw[at]
-        self.ends = at
-        self.starts = np.concatenate([[0], at[:-1] + 1]).astype(np.int64)
+        self.ends = np.flatnonzero((raw == 32) | (raw == 9) | (raw == 10))
+        mark = raw[self.ends]
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1]).astype(np.int64)
         new = np.concatenate([[True], mark[:-1] == 10])
         self.chunk = np.cumsum(new) - 1
         tabs = np.cumsum(mark == 9) - (mark == 9)  # tabs before a word's end
         self.own = tabs == tabs[np.flatnonzero(new)][self.chunk]
-        self.n = n[self.chunk]
+        self.n = table.column(2).to_numpy()[self.chunk]
         # a word's hash is the polynomial of its bytes, taken from running sums over the whole line
-        powers = np.full(len(raw) + 1, _BASE, dtype=np.uint64)
-        back = np.full(len(raw) + 1, _INVERSE, dtype=np.uint64)
-        powers[0] = back[0] = 1
-        powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+        powers, back = _powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
         word = _mixed((sums[self.ends] - sums[self.starts]) * back[self.starts])
-        tongue = {x: xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in set(langs)}
-        self.words = _mixed(word ^ np.array([tongue[x] for x in langs], dtype=np.uint64)[self.chunk])
-        self.langs = langs
+        tongue = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in self.langs], dtype=np.uint64)
+        self.words = _mixed(word ^ tongue[self.lang[self.chunk]])
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that start an n-gram of this size which its chunk owns, and the hashes of all starts."""
@@ -127,10 +143,17 @@ class Block:
         return keys, places[first], np.bincount(back, weights=self.n[places], minlength=len(keys)).astype(np.int64)
 
 
-def _blocks(found: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _blocks(found: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[Block]:
+    """Batches gathered to blocks of about `size` bytes, so that what is frequent gives few rows."""
+    held: list[pa.RecordBatch] = []
     for b in found:
         if b.num_rows:
-            yield Block(b.column(0).to_pylist(), [x.as_py().encode("utf-8", "surrogatepass") for x in b.column(1)], b.column(2).to_numpy())
+            held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield Block(pa.Table.from_batches(held))
+            held = []
+    if held:
+        yield Block(pa.Table.from_batches(held))
 
 
 def frequent_hashes(words: DataFrame, size: int, least: int, below: object | None) -> DataFrame:
@@ -158,12 +181,8 @@ def phrase_counts(words: DataFrame, least: int) -> DataFrame:
     def counted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(found):
             langs, sizes, said, n = [], [], [], []
-            total: Counter = Counter()
-            own_n = np.bincount(block.chunk, weights=block.own * block.n, minlength=len(block.langs))
-            for lang, x in zip(block.langs, own_n.tolist()):
-                total[lang] += int(x)
-            for lang, x in total.items():
-                langs.append(lang), sizes.append(0), said.append(b""), n.append(x)
+            for lang, x in enumerate(np.bincount(block.lang[block.chunk], weights=block.own * block.n).tolist()):
+                langs.append(lang), sizes.append(0), said.append(b""), n.append(int(x))
             pairs = block.grams(2)[1]
             fine = in_bitmap(twos.value, pairs) if len(pairs) else np.zeros(0, bool)
             for size in range(1, LONGEST + 1):
@@ -173,14 +192,24 @@ def phrase_counts(words: DataFrame, least: int) -> DataFrame:
                 for i in range(size - 1):
                     places = places[fine[places + i]]
                 _, first, f = block.weighed(places, h)
-                for s, e, c, x in zip(block.starts[first].tolist(), block.ends[first + size - 1].tolist(), block.chunk[first].tolist(), f.tolist()):
-                    langs.append(block.langs[c]), sizes.append(size), said.append(block.line[s:e].replace(b"\t", b" ")), n.append(x)
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(said, pa.binary()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
+                langs += block.lang[block.chunk[first]].tolist()
+                sizes += [size] * len(first)
+                said += [block.line[s:e].replace(b"\t", b" ") for s, e in zip(block.starts[first].tolist(), block.ends[first + size - 1].tolist())]
+                n += f.tolist()
+            named = pa.array(block.langs, pa.string()).take(pa.array(langs, pa.int32()))
+            yield pa.record_batch([named, pa.array(sizes, pa.int32()), pa.array(said, pa.binary()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
 
     rows = words.mapInArrow(counted, "lang string, size int, phrase binary, n long").select("lang", "size", F.col("phrase").cast("string").alias("phrase"), "n")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0))
 
 
+def score(a: Column, left: Column, right: Column) -> Column:
+    """floor(2000000 * a / (left + right)) of longs, exact beyond 64 bits."""
+    wide = lambda x: x.cast("decimal(19,0)")
+    product, total = F.lit(2_000_000).cast("decimal(8,0)") * wide(a), wide(left) + wide(right)
+    return ((product - F.pmod(product, total)) / total).cast("long")
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, covered: int = 80, top: int = 2000, every: int = 8) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of 2 to LONGEST words.
 
@@ -200,7 +229,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scored = (
         cuts.join(known.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
         .join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-        .withColumn("score", F.expr("cast(2000000 as decimal(8,0)) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))"))
+        .withColumn("score", score(F.col("a"), F.col("l"), F.col("r")))
         .groupBy("lang", "phrase", "a")
         .agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
     )
