@@ -103,21 +103,23 @@ def crc_part(id_col: Column, parts: int = 4) -> Column:
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 2000, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 14, sharpness: float = 3.0, least_lead: float = 0.5) -> Model:
-    """Learn from a bounded sample of whole labelled texts: about per_language rows of each language.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 14, sharpness: float = 3.0, least_lead: float = 0.5) -> Model:
+    """Learn from a bounded sample of whole labelled texts: about per_language different texts of each language.
 
-    Rows are chosen by a hash of their key and text, so a rerun learns the same. Rows with a null language or
-    text teach nothing; languages are taken in code-point order. The driver gets one array of counts for each
-    language, and no text.
+    Texts are chosen by a hash of their own, each once however many rows repeat it, so a rerun learns the same, and
+    neither repeated nor null ids nor copies change how many there are. Rows with a null language or text teach
+    nothing; languages are taken in code-point order. The driver gets one array of counts for each language, and no
+    text; there should be as few languages as there are labels.
     """
-    known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key_col).alias("key"))
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit("language sample")).alias("h"))
+    rows = {r["lang"]: r["n"] for r in known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(rows, key=lambda x: x.encode("utf-8", "surrogatepass"))
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((buckets, code.shape[1])), np.ones(code.shape[1]), orders, buckets, sharpness, least_lead)
     share = F.create_map(*(F.lit(x) for k, n in rows.items() for x in (k, min(1.0, per_language / n))))
-    drawn = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language sample")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)
+    # 53 bits of the hash: shares of any corpus can be told apart
+    drawn = F.shiftrightunsigned("h", 11) < F.element_at(share, F.col("lang")) * (1 << 53)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -127,7 +129,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
                 total[lang] = total.get(lang, 0) + seen / np.sqrt(max(1.0, seen.sum()))  # long texts don't drown short ones
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["lang", "seen"])
 
-    parts = known.filter(drawn).select("lang", "text").mapInArrow(batches, "lang string, seen array<double>")
+    parts = known.filter(drawn).dropDuplicates(["lang", "h"]).select("lang", "text").mapInArrow(batches, "lang string, seen array<double>")
     summed = parts.select("lang", F.posexplode("seen").alias("bucket", "n")).filter("n > 0").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     dense = summed.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("seen"))
     got = {r["lang"]: r["seen"] for r in dense.collect()}  # at most `buckets` numbers for each language

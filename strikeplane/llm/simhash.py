@@ -25,11 +25,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_unhot, materialize, with_row_key
+from .parts import Radius, part_keys
+from .shared import bitmap, in_bitmap, join_unhot, materialize, with_row_key
 
 BITS = 64
 _POWERS = np.left_shift(np.uint64(1), np.arange(BITS, dtype=np.uint64))
@@ -210,8 +211,8 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 def differing(similarity: float) -> float:
     """The share of fingerprint bits in which two sets of this Jaccard similarity differ on average, at most.
 
-    Bits are signs of sums over the sets, so it is the angle between the sets over pi. Sets of one size are the
-    widest apart.
+    Bits are signs of sums over the sets, so it is the angle between the sets over pi, and sets of one size are the
+    widest apart: for sets so large that few sums tie. Where a small set's sums tie, more bits differ.
     """
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
@@ -444,22 +445,10 @@ def jaccard_links(members: DataFrame, sets: DataFrame, similarity: float, split_
     return met.groupBy("u", "i", "j").applyInArrow(walk, "a long, b long")
 
 
-#: Bits of the bitmap of candidates that every task gets: 8 MB, whatever their number.
-FILTER_BITS = 26
-
-
-def _place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-
-
-def _bitmap(table: DataFrame, key: str) -> np.ndarray:
-    """64-bit words in which the places of all keys are set. Others may share a place: a join must follow."""
-    place = _place(F.col(key))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    words = table.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
+#: Sets of fewer shingles meet by parts of the sets themselves: bits of small sets tie, and differ by more than differing() says.
+SMALL = 128
+#: Bits of SKETCH words, out of 192, in which two small sets of at least 0.8 differ at most: 0.19 of them on average, and over four deviations.
+SMALL_MOST = 60
 
 
 def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = 42, split_above: int = 2_000_000, miss: float = 0.03) -> tuple[DataFrame, DataFrame]:
@@ -471,21 +460,29 @@ def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed
 
     Texts link whose sets of shingles have a Jaccard similarity of at least `similarity`, by the sets themselves.
     Candidates share a block of their wide fingerprints (block_plan()) and differ in few enough of SKETCH words
-    that one pair in 200 at the similarity is lost there. Null and empty texts are one node.
+    that one pair in 200 at the similarity is lost there. Sets of fewer than SMALL shingles, and those that can be
+    alike to one, are filed under parts of the sets (part_keys()), of which every pair at the similarity shares one,
+    and lose practically none to the sketch. Null and empty texts are one node.
     """
+    radius = Radius(math.floor(100 * similarity))
+    widest = radius.partner(SMALL)
 
     def printed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             sets = [shingle_set(t.as_py(), shingle_words, seed) for t in b.column(2)]
             digest = [xxhash.xxh128_digest(x.astype("<u8").tobytes(), seed) for x in sets]
             prints = [np.packbits(wide_fingerprint(x), bitorder="little").tobytes() for x in sets]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary())], names=["row", "first", "digest", "hashes", "fp"])
+            keys = [part_keys(x, radius).view(np.int64) if len(x) <= widest else None for x in sets]
+            yield pa.record_batch(
+                [b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "first", "digest", "hashes", "fp", "keys"]
+            )
 
     kind = rows.schema["first"].dataType.simpleString()
-    prints = materialize(rows.select("row", "first", "text").mapInArrow(printed, f"row long, first {kind}, digest binary, hashes long, fp binary"), "simhash-wide")
+    prints = materialize(rows.select("row", "first", "text").mapInArrow(printed, f"row long, first {kind}, digest binary, hashes long, fp binary, keys array<long>"), "simhash-wide")
     # equal sets have equal fingerprints
-    nodes = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("first").alias("first"), F.count("*").alias("n"), F.first("hashes").alias("hashes"), F.first("fp").alias("fp")), "simhash-wide-nodes")
-    bits, blocks = block_plan(nodes.count(), similarity, miss)
+    nodes = materialize(prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("first").alias("first"), F.count("*").alias("n"), F.first("hashes").alias("hashes"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "simhash-wide-nodes")
+    wide = nodes.filter(F.col("hashes") >= SMALL)
+    bits, blocks = block_plan(wide.count(), similarity, miss)
     q = differing(similarity)
     most = math.ceil(q * SKETCH * BITS + 2.6 * math.sqrt(q * (1 - q) * SKETCH * BITS))
 
@@ -498,27 +495,29 @@ def alike(rows: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed
                 sketch = raw[:, : 8 * SKETCH].copy().view("<i8")
                 yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), blocks)), *(pa.array(np.repeat(sketch[:, i], blocks)) for i in range(SKETCH))], names=["k", "node", *(f"w{i}" for i in range(SKETCH))])
 
-    met = nodes.select("node", "fp").mapInArrow(filed, "k long, node long, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
-    groups = materialize(components(block_links(met, most)), "simhash-groups")
-    known = rows.sparkSession.sparkContext.broadcast(_bitmap(groups, "node"))
+    met = wide.select("node", "fp").mapInArrow(filed, "k long, node long, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
+    word = lambda i: F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long")
+    small = nodes.filter(F.size("keys") > 0).select(F.explode("keys").alias("k"), "node", *(word(i).alias(f"w{i}") for i in range(SKETCH)))
+    links = block_links(met, most).unionByName(block_links(small, SMALL_MOST))
+    groups = materialize(components(links), "simhash-groups")
+    known = rows.sparkSession.sparkContext.broadcast(bitmap(groups.select(F.xxhash64("node").alias("key")), "key"))
 
     def hashed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            place = b.column(1).to_numpy()
-            kept = np.flatnonzero((known.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+            kept = np.flatnonzero(in_bitmap(known.value, b.column(1).to_numpy()))
             sets = [shingle_set(b.column(2)[i].as_py(), shingle_words, seed) for i in kept.tolist()]
             yield pa.record_batch([b.column(0).take(pa.array(kept)), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["row", "hashes"])
 
     # sets of candidates alone are made and shuffled, texts are not
-    sets = rows.select("row", _place(F.col("row")).alias("place"), "text").mapInArrow(hashed, "row long, hashes binary")
+    sets = rows.select("row", F.xxhash64("row").alias("key"), "text").mapInArrow(hashed, "row long, hashes binary")
     members = materialize(groups.join(nodes.select("node", F.col("hashes").alias("n")), "node").select("label", "node", "n"), "simhash-members")
-    return nodes.drop("fp", "hashes"), components(jaccard_links(members, sets, similarity, split_above))
+    return nodes.drop("fp", "hashes", "keys"), components(jaccard_links(members, sets, similarity, split_above))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(id_col, component) of every document, as near_duplicates(), for texts alike() by Jaccard similarity of shingles.
 
-    No pair below the similarity is linked; of pairs right at it, about four in a hundred meet nowhere.
+    No pair below the similarity is linked; of pairs of SMALL shingles or more right at it, about four in a hundred meet nowhere.
     """
     keyed, key = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "simhash-rows")
     nodes, groups = alike(keyed.select(F.col(key).alias("row"), F.col("id").alias("first"), "text"), **how)

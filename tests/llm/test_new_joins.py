@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strikeplane.llm import jaccard, phrases, trie
+from strikeplane.llm import jaccard, parts, phrases, trie
 from strikeplane.llm.shared import bitmap, in_bitmap
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,7 +154,7 @@ def test_similarity_join_is_exact(spark, split_above, percent):
 
 
 def test_close_sets_share_a_projected_region():
-    rng, radius = np.random.default_rng(3), jaccard.Radius(90)
+    rng, radius = np.random.default_rng(3), parts.Radius(90)
     for _ in range(600):
         n = int(rng.integers(9, 130))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
@@ -165,11 +165,11 @@ def test_close_sets_share_a_projected_region():
         if len(a) != len(b) or shared < len(a):
             close = bool(radius.close(np.array(shared), np.array(len(a) + len(b) - shared)))
             if close:
-                assert set(jaccard.part_keys(a, radius).tolist()) & set(jaccard.part_keys(b, radius).tolist())
+                assert set(parts.part_keys(a, radius).tolist()) & set(parts.part_keys(b, radius).tolist())
 
 
 def test_regions_find_what_walking_finds():
-    rng, radius = np.random.default_rng(4), jaccard.Radius(90)
+    rng, radius = np.random.default_rng(4), parts.Radius(90)
     sets = []
     for _ in range(12):
         base = rng.integers(0, 1 << 40, 90, dtype=np.uint64)
@@ -179,7 +179,7 @@ def test_regions_find_what_walking_finds():
     flat = jaccard.Sets(sets)
     everyone = np.arange(len(sets))
 
-    def parts(links):
+    def grouped(links):
         label = list(range(len(sets)))
         for a, b in links:
             x, y = label[a], label[b]
@@ -187,7 +187,7 @@ def test_regions_find_what_walking_finds():
         return {frozenset(np.flatnonzero(np.array(label) == z).tolist()) for z in set(label)}
 
     close = [(i, j) for i in range(len(sets)) for j in np.flatnonzero(radius.close(*flat.meet(i, everyone))).tolist()]
-    assert parts(jaccard.region_links(flat, everyone, radius, pivots=6, few=5)) == parts(close) == parts(jaccard.walk(flat, everyone, radius))
+    assert grouped(jaccard.region_links(flat, everyone, radius, pivots=6, few=5)) == grouped(close) == grouped(jaccard.walk(flat, everyone, radius))
 
 
 def test_bitmap_knows_all_keys(spark):
