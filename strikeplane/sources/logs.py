@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from .lines import cells_by_header
 
 # Names under which a log's columns may come, after normalising.
 ALIASES = {
@@ -15,6 +16,11 @@ ALIASES = {
     "well": ("well", "well_id", "borehole", "hole", "井号", "井名", "孔号", "钻孔", "钻孔编号"),
 }
 
+#: Aliases that stand for a column only as they are: a header `id` is no part of `well_id`.
+EXACT = ("well_id",)
+#: Columns that a log can't do without.
+NEEDED = ("depth", "dip", "dip_dir")
+
 
 def plain(name: str) -> str:
     """A header without case, brackets, units' signs and outer spaces."""
@@ -33,7 +39,7 @@ def find_columns(names: list[str]) -> dict[str, str]:
         for want, aliases in ALIASES.items():
             for name in names:
                 p = plain(name)
-                hit = p in aliases if exact else len(p) >= 2 and any(len(a) >= 2 and (a in p or p in a) for a in aliases)
+                hit = p in aliases if exact else len(p) >= 2 and any(len(a) >= 2 and (a in p or p in a) for a in aliases if a not in EXACT)
                 if want not in found and name not in found.values() and hit:
                     found[want] = name
     return found
@@ -45,19 +51,46 @@ def number(x: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def read_log(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def _log_cells(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
+    """(file, well, row_id, depth, dip, dip_dir) of log files, cells as they stand there."""
+    cells = cells_by_header(spark, path, find_columns, ("well", *NEEDED), NEEDED, encoding)
+    stem = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1)
+    named = F.when(F.trim("well") != "", F.trim("well"))
+    return cells.select(F.col("name").alias("file"), F.coalesce(named, stem).alias("well"), "row_id", *NEEDED)
+
+
+def read_log(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(well, row_id, depth, dip, dip_dir) of one CSV or a folder of them; what is no number is null.
 
-    A missing column is an error. Without a well column a file's name is the well's. row_id is the row's place
-    in its file by position, so equal depths keep an order.
+    Every file is read by its own header, so files of a folder may order or name their columns differently; one
+    without a depth, dip or dip direction column is an error. Without a well column, or a name in it, the file's
+    name is the well's. row_id is the row's place in its file: 0 is the line after the header. Files are UTF-8, or
+    else GB18030, each by itself, unless an encoding is given.
+    """
+    return _log_cells(spark, path, encoding).select("well", "row_id", *(number(F.col(c)).alias(c) for c in NEEDED))
+
+
+def skipped_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(file, well, line, column, reason) of each row of read_log() that has a null: its line, the header's being 1.
+
+    column is the first that is to blame, reason `missing`, `not a number` or `not finite`.
+    """
+    cells = _log_cells(spark, path, encoding)
+    first = F.lit(None).cast("struct<column:string,reason:string>")
+    for c in reversed(NEEDED):
+        reason = F.when(F.coalesce(F.trim(c), F.lit("")) == "", "missing").when(F.col(c).try_cast("double").isNull(), "not a number").otherwise("not finite")
+        first = F.when(number(F.col(c)).isNull(), F.struct(F.lit(c).alias("column"), reason.alias("reason"))).otherwise(first)
+    told = cells.withColumn("fault", first).filter("fault is not null")
+    return told.select("file", "well", (F.col("row_id") + 2).alias("line"), "fault.column", "fault.reason")
+
+
+def by_depth(log: DataFrame) -> DataFrame:
+    """The good rows of read_log() with `place`, from 0, by depth in each well; equal depths keep the file's order.
+
+    A well's rows are ordered in one task, as its trajectory and gaps are.
     """
-    raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    columns = find_columns(raw.columns)
-    if missing := {"depth", "dip", "dip_dir"} - set(columns):
-        raise ValueError(f"no column for {', '.join(sorted(missing))} among {raw.columns}")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    well = F.trim(F.coalesce(F.col(f"`{columns['well']}`"), stem)) if "well" in columns else stem
-    return raw.select(well.alias("well"), F.monotonically_increasing_id().alias("row_id"), *(number(F.col(f"`{columns[c]}`")).alias(c) for c in ("depth", "dip", "dip_dir")))
+    good = log.dropna(subset=list(NEEDED))
+    return good.withColumn("place", F.row_number().over(Window.partitionBy("well").orderBy("depth", "row_id")) - 1)
 
 
 def skipped_rows(log: DataFrame) -> DataFrame:
@@ -70,8 +103,9 @@ def skipped_rows(log: DataFrame) -> DataFrame:
 
 def read_picks(spark: SparkSession, path: str, window: tuple[float, float] | None = None, well: str = "picks") -> DataFrame:
     """Picks (md_ft, dip_deg, dip_dir_deg) of a second source in the log's shape, depth in metres, within a closed window of feet."""
-    raw = spark.read.option("header", True).csv(path)
-    rows = raw.select(F.lit(well).alias("well"), F.monotonically_increasing_id().alias("row_id"), number(F.col("md_ft")).alias("ft"), number(F.col("dip_deg")).alias("dip"), number(F.col("dip_dir_deg")).alias("dip_dir"))
+    columns = ("md_ft", "dip_deg", "dip_dir_deg")
+    raw = cells_by_header(spark, path, lambda names: {c: c for c in columns if c in names}, columns, columns)
+    rows = raw.select(F.lit(well).alias("well"), "row_id", number(F.col("md_ft")).alias("ft"), number(F.col("dip_deg")).alias("dip"), number(F.col("dip_dir_deg")).alias("dip_dir"))
     rows = rows.dropna(subset=["ft", "dip", "dip_dir"])
     if window:
         rows = rows.filter(F.col("ft").between(*window))
@@ -112,6 +146,17 @@ def read_traces(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
     return rows.withColumns(dict(zip(("nx", "ny", "nz"), angles.vertical_normal(F.col("strike"))))).withColumn("set_id", angles.trace_set(F.col("strike")))
 
 
+def fracture_ids(traces: DataFrame) -> DataFrame:
+    """traces with fracture_id, from 0 in the order of file and trace: every trace is a fracture of its own.
+
+    Ids run on over the files: each file's begin behind all before it, so only counts by file are ordered in one task.
+    """
+    counts = traces.groupBy("file").agg(F.count("*").alias("n"))
+    before = counts.select("file", (F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("trace_id", "px", "py"))
+    return traces.withColumn("__rank", rank).join(before, "file").withColumn("fracture_id", (F.col("before") + F.col("__rank") - 1).cast("long")).drop("__rank", "before")
+
+
 def type_group(raw: Column) -> Column:
     """Natural or induced; null for beds and faults, which are no fractures."""
     t = F.lower(raw)
@@ -192,7 +237,5 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
 
 def observed_subset(rows: DataFrame, per_fracture: int, seed: int = 0) -> DataFrame:
     """rows with is_obs: per_fracture rows of each fracture at most, by a hash."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("net", "fracture_id").orderBy(F.xxhash64("id", F.lit(seed)), "id")
     return rows.withColumn("is_obs", F.row_number().over(w) <= per_fracture)

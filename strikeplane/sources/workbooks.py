@@ -34,21 +34,40 @@ def _texts(element: ElementTree.Element) -> str:
     return "".join(t.text or "" for c in parts for t in c.iter() if t.tag.endswith("}t"))
 
 
-def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """The rows of a workbook's first sheet as texts, each as wide as its last cell; rows without cells are left out."""
+def first_sheet(book: zipfile.ZipFile) -> str:
+    """The part that holds the sheet which the workbook lists first; without such a list, the one of the lowest number."""
+    names = book.namelist()
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        listed = (s for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if s.tag.endswith("}sheet"))
+        first = next(listed, None)
+        if first is not None:
+            link = next((v for k, v in first.attrib.items() if k.endswith("}id")), None)
+            for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+                if r.attrib.get("Id") == link:
+                    target = r.attrib["Target"]
+                    part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+                    if part in names:
+                        return part
+    sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    if not sheets:
+        raise ValueError("a workbook without a sheet")
+    return sheets[0]
+
+
+def sheet_rows(content: bytes) -> list[tuple[int, list[str | None]]]:
+    """The rows of a workbook's first sheet: their number there, from 1, and their cells as texts up to the last. Rows without cells count, but are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = [_texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if s.tag.endswith("}si")]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        if not sheets:
-            raise ValueError("a workbook without a sheet")
-        out: list[list[str | None]] = []
-        with book.open(sheets[0]) as sheet:
+        out: list[tuple[int, list[str | None]]] = []
+        at_row = 0
+        with book.open(first_sheet(book)) as sheet:
             for _, row in ElementTree.iterparse(sheet):
                 if not row.tag.endswith("}row"):
                     continue
+                at_row = int(row.attrib.get("r", at_row + 1))
                 line: list[str | None] = []
                 for cell in (c for c in row if c.tag.endswith("}c")):
                     at = column_index(cell.attrib["r"]) if "r" in cell.attrib else len(line)
@@ -60,7 +79,7 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
                     line += [None] * (at + 1 - len(line))
                     line[at] = value
                 if line:
-                    out.append(line)
+                    out.append((at_row, line))
                 row.clear()
         return out
 
@@ -69,7 +88,8 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """(well, row_id, depth, dip, dip_dir) of the first sheet of one XLSX or a folder of them; what is no number is null.
 
     The first row that has cells is the header, and files may differ in theirs. A file without a depth, dip or
-    dip direction column fails. Without a well column a file's name is the well's. row_id is the row's place in its file.
+    dip direction column fails. Without a well column a file's name is the well's. row_id is the row's place in
+    its sheet, 0 for the row below the header; rows without cells count.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
 
@@ -77,13 +97,14 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
         for pdf in found:
             for place, content in zip(pdf["path"], pdf["content"]):
                 rows = sheet_rows(content)
-                columns = find_columns([c or "" for c in rows[0]] if rows else [])
+                top, header = (rows[0][0], [c or "" for c in rows[0][1]]) if rows else (0, [])
+                columns = find_columns(header)
                 if missing := {"depth", "dip", "dip_dir"} - set(columns):
                     raise ValueError(f"no column for {', '.join(sorted(missing))} in {place}")
-                at = {want: [c or "" for c in rows[0]].index(name) for want, name in columns.items()}
+                at = {want: header.index(name) for want, name in columns.items()}
                 of = lambda line, want: line[at[want]] if want in at and at[want] < len(line) else None  # noqa: E731,B023
                 stem = PurePosixPath(place).stem
-                body = [((of(line, "well") or stem).strip(), i, *(of(line, c) for c in ("depth", "dip", "dip_dir"))) for i, line in enumerate(rows[1:])]
+                body = [((of(line, "well") or "").strip() or stem, i - top - 1, *(of(line, c) for c in ("depth", "dip", "dip_dir"))) for i, line in rows[1:]]
                 yield pd.DataFrame(body, columns=["well", "row_id", "depth", "dip", "dip_dir"])
 
     raw = files.mapInPandas(opened, "well string, row_id long, depth string, dip string, dip_dir string")
