@@ -173,19 +173,10 @@ def rank_correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFram
 
 
 def bootstrap_cone(rows: DataFrame, by: list[str], resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(by, n, cone): the angle that holds `level` of resampled means (mx, my, mz: the group's mean).
+    """(by, n, cone): means.bootstrap_cone(), the angle that holds `level` of resampled intrinsic means."""
+    from . import means
 
-    Each row enters each resample as often as a Poisson number of mean 1 says that follows from row_id, the
-    resample and the seed; sums alone are shuffled. Groups below 3 rows have 180.
-    """
-    times = F.array(*(F.lit(float(c)) for c in np.cumsum([np.exp(-1) / np.prod(range(1, i + 1)) if i else np.exp(-1) for i in range(12)])))
-    u = F.pmod(F.xxhash64("row_id", "b", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    side = angles.aligned(angles.vector(), angles.vector("m"))
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__t", F.size(F.filter(times, lambda c: c < u)).cast("double"))
-    sums = drawn.groupBy(*by, "b").agg(*(F.sum(s * F.col("__t")).alias(c) for s, c in zip(side, ("sx", "sy", "sz"))), *(F.first(c).alias(c) for c in ("mx", "my", "mz")), F.count("*").alias("n"))
-    off = sums.withColumn("off", angles.angle(angles.unit(angles.vector("s"), 1e-12), angles.vector("m")))
-    cones = off.groupBy(*by).agg(F.max("n").alias("n"), F.percentile("off", level).alias("cone"))
-    return cones.withColumn("cone", F.when(F.col("n") < 3, 180.0).otherwise(F.col("cone")))
+    return means.bootstrap_cone(rows, by, resamples, level, seed)
 
 
 def axis_deviation(rows: DataFrame, by: list[str], prefix: str = "n", reference: Center = (0.0, 0.0, 1.0)) -> DataFrame:

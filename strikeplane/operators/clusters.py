@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import angles
+from ..functions import angles, grades
 from .tables import written
 
 Center = tuple[float, float, float]
@@ -60,23 +60,67 @@ def starting_centers(rows: DataFrame, k: int, pool: int = 256) -> DataFrame:
     return pooled.select("net", grown.alias("centers"))
 
 
-def lloyd(rows: DataFrame, centers: DataFrame, rounds: int) -> DataFrame:
-    """(net, centers) after so many rounds. A center without rows stays."""
+def _flat_centers(starts: dict[int, DataFrame]) -> tuple[DataFrame, dict[int, int]]:
+    """(net, m{model}_{i}{x, y, z}) of all models' centers, null where a net has fewer, and how many centers a model has at most."""
+    flat, sizes = None, {}
+    for m, centers in starts.items():
+        sizes[m] = centers.agg(F.max(F.size("centers"))).first()[0] or 0
+        one = centers.select("net", *(F.get("centers", F.lit(i))[c].alias(f"m{m}_{i}{c}") for i in range(sizes[m]) for c in "xyz"))
+        flat = one if flat is None else flat.join(one, "net", "full")
+    return flat, sizes
+
+
+def _nearest(n: angles.Vector, m: int, size: int, but: Column | None = None) -> tuple[Column, Column, Column]:
+    """Number, similarity and signed similarity of a model's center that is nearest to n, the first of equals; centers that are null are none."""
+    dots = [n[0] * F.col(f"m{m}_{i}x") + n[1] * F.col(f"m{m}_{i}y") + n[2] * F.col(f"m{m}_{i}z") for i in range(size)]
+    near = [F.abs(d) if but is None else F.when(but != i, F.abs(d)) for i, d in enumerate(dots)]
+    best = F.greatest(*near) if size > 1 else near[0]
+    k, signed = F.lit(None).cast("int"), F.lit(None).cast("double")
+    for i in reversed(range(size)):
+        k, signed = F.when(near[i] == best, F.lit(i)).otherwise(k), F.when(near[i] == best, dots[i]).otherwise(signed)
+    return k, best, signed
+
+
+def lloyd_grid(rows: DataFrame, starts: dict[int, DataFrame], rounds: int, weight: str | None = None, settle: bool = False) -> dict[int, DataFrame]:
+    """(net, centers) of several models after so many rounds over the rows: one sum over the rows a round for all of them.
+
+    Rows are written once as flat columns, and centers come as flat columns too, so a round is generated code. A
+    center without rows stays, as does one whose rows cancel out. weight names a column that weighs rows. With
+    settle, rounds end where no center moved in the last four.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    flat, sizes = _flat_centers(starts)
+    flat, n = written(flat, "lloyd-start"), angles.vector()
+    before = None
+    if rounds:
+        points = written(rows.select("net", "nx", "ny", "nz", w.alias("w")), "lloyd-rows")
     for i in range(rounds):
-        met = rows.select("net", "nx", "ny", "nz").join(centers, "net")
-        n = angles.vector()
-        placed = met.withColumn("k", -_best(n, F.col("centers"))["minus_k"]).withColumn("c", F.get(F.col("centers"), F.col("k")))
-        side = angles.sign(n[0] * F.col("c.x") + n[1] * F.col("c.y") + n[2] * F.col("c.z"))
-        sums = placed.groupBy("net", "k").agg(*(F.sum(x * side).alias(c) for x, c in zip(n, ("sx", "sy", "sz"))))
+        met = points.join(flat, "net")
+        placed = met.select("net", "nx", "ny", "nz", "w", *(x.alias(f"{name}{m}") for m, size in sizes.items() if size for name, x in zip(("k", "s"), _nearest(n, m, size)[::2])))
+        each = [F.struct(F.lit(m).alias("m"), F.col(f"k{m}").alias("k"), (F.col("w") * angles.sign(F.col(f"s{m}"))).alias("g")) for m, size in sizes.items() if size]
+        told = placed.select("net", "nx", "ny", "nz", F.explode(F.array(*each)).alias("p")).filter("p.k is not null")
+        sums = told.groupBy("net", F.col("p.m").alias("m"), F.col("p.k").alias("k")).agg(*(F.sum(x * F.col("p.g")).alias(c) for x, c in zip(n, ("sx", "sy", "sz"))))
         s = angles.vector("s")
         # a sum that cancels out has no direction: its center stays
-        new = sums.filter(angles.length(s) > 1e-12).select("net", "k", F.struct(*(u.alias(c) for u, c in zip(angles.unit(s, 0.0), ("x", "y", "z")))).alias("new"))
-        old = centers.select("net", F.posexplode("centers").alias("k", "old"))
-        joined = old.join(new, ["net", "k"], "left").groupBy("net").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("new", "old").alias("c")))).alias("a"))
-        centers = joined.select("net", F.transform("a", lambda x: x["c"]).alias("centers"))
+        unit = sums.filter(angles.length(s) > 1e-12).select("net", "m", "k", *(u.alias(c) for u, c in zip(angles.unit(s, 0.0), "xyz")))
+        names = [(m, j, c) for m, size in sizes.items() for j in range(size) for c in "xyz"]
+        wide = unit.groupBy("net").agg(*(F.max(F.when((F.col("m") == m) & (F.col("k") == j), F.col(c))).alias(f"n{m}_{j}{c}") for m, j, c in names))
+        flat = flat.join(wide, "net", "left").select("net", *(F.coalesce(f"n{m}_{j}{c}", f"m{m}_{j}{c}").alias(f"m{m}_{j}{c}") for m, j, c in names))
         if i % 4 == 3 or i == rounds - 1:
-            centers = written(centers, "lloyd")
-    return centers
+            flat = written(flat, "lloyd")
+            if settle:
+                state = flat.agg(F.sum(F.xxhash64("net", *(F.round(f"m{m}_{j}{c}", 12) for m, j, c in names)).cast("decimal(38,0)"))).first()[0]
+                if state == before:
+                    break
+                before = state
+    center = lambda m, i: F.when(F.col(f"m{m}_{i}x").isNotNull(), F.struct(*(F.col(f"m{m}_{i}{c}").alias(c) for c in "xyz")))
+    kind = "array<struct<x:double,y:double,z:double>>"
+    return {m: flat.select("net", (F.array_compact(F.array(*(center(m, i) for i in range(size)))) if size else F.expr(f"cast(array() as {kind})")).alias("centers")).filter(F.size("centers") > 0) for m, size in sizes.items()}
+
+
+def lloyd(rows: DataFrame, centers: DataFrame, rounds: int, weight: str | None = None, settle: bool = False) -> DataFrame:
+    """(net, centers) after so many rounds. A center without rows stays."""
+    return lloyd_grid(rows, {0: centers}, rounds, weight, settle)[0] if rounds else centers
 
 
 def seeded_centers(rows: DataFrame, k: int, tries: int = 20, pool: int = 1024, seed: int = 0) -> DataFrame:
@@ -87,13 +131,14 @@ def seeded_centers(rows: DataFrame, k: int, tries: int = 20, pool: int = 1024, s
     """
     drawn = few_by_hash(rows.select("net", "id", "nx", "ny", "nz"), pool)
     pooled = drawn.groupBy("net").agg(F.array_sort(F.collect_list(F.struct("r", "nx", "ny", "nz"))).alias("pool"))
-    starts = pooled.select("net", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"), "pool").withColumn("draw", F.pmod(F.xxhash64("net", "try", F.lit(seed)), F.lit(1 << 60)))
+    starts = pooled.withColumn("draws", F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.pmod(F.xxhash64("net", t, F.lit(seed)), F.lit(1 << 60))))
 
     def grown(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in found:
             out = []
-            for draw, listed in zip(pdf["draw"], pdf["pool"]):
-                x, rng = np.array([[p["nx"], p["ny"], p["nz"]] for p in listed]), np.random.default_rng(int(draw))
+            pools = [np.array([[p["nx"], p["ny"], p["nz"]] for p in listed]) for listed in pdf["pool"]]
+            for net, t, draw, x in ((net, t, draw, x) for net, draws, x in zip(pdf["net"], pdf["draws"], pools) for t, draw in enumerate(draws)):
+                rng = np.random.default_rng(int(draw))
                 at = [int(rng.integers(len(x)))]
                 while len(at) < min(k, len(x)):
                     odds = np.clip(1 - np.abs(x @ x[at].T).max(axis=1), 0, None)
@@ -107,8 +152,8 @@ def seeded_centers(rows: DataFrame, k: int, tries: int = 20, pool: int = 1024, s
                     sums = np.stack([turned[own == i].sum(axis=0) for i in range(len(c))])
                     length = np.linalg.norm(sums, axis=1, keepdims=True)
                     c = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), c)
-                out.append([{"x": a, "y": b, "z": d} for a, b, d in c])
-            yield pd.DataFrame({"net": pdf["net"], "try": pdf["try"], "centers": out})
+                out.append((net, t, [{"x": a, "y": b, "z": d} for a, b, d in c]))
+            yield pd.DataFrame(out, columns=["net", "try", "centers"])
 
     return starts.mapInPandas(grown, f"net {rows.schema['net'].dataType.simpleString()}, try int, centers array<struct<x: double, y: double, z: double>>")
 
@@ -191,15 +236,78 @@ def mixture_bic(placed: DataFrame, by: list[str], k: Column) -> DataFrame:
     return sums.withColumn("bic", -2 * F.col("log_likelihood") + (3 * k) * F.log("n"))
 
 
+def grid_scores(rows: DataFrame, found: dict[int, DataFrame]) -> DataFrame:
+    """(net, k, n, silhouette, bic) of every clustering found, as silhouette() and mixture_bic(), by two scans for all of them."""
+    flat, sizes = _flat_centers(found)
+    flat, n = written(flat, "grid-centers"), angles.vector()
+    points = written(rows.select("net", "nx", "ny", "nz"), "grid-rows")
+
+    def placed(met: DataFrame, extra: bool) -> DataFrame:
+        each = []
+        for m, size in sizes.items():
+            if size:
+                k, best, _ = _nearest(n, m, size)
+                fields = [F.lit(m).alias("model"), k.alias("set_id"), F.least(F.lit(1.0), best).alias("similarity")]
+                if extra:
+                    real = [F.when(F.col(f"real{m}_{i}"), F.abs(n[0] * F.col(f"m{m}_{i}x") + n[1] * F.col(f"m{m}_{i}y") + n[2] * F.col(f"m{m}_{i}z"))) for i in range(size)]
+                    others = [F.when(k != i, x) for i, x in enumerate(real)]
+                    fields.append((F.greatest(*others) if size > 1 else F.lit(None).cast("double")).alias("other"))
+                each.append(F.struct(*fields))
+        return met.select("net", F.explode(F.array(*each)).alias("p")).select("net", "p.*").filter("set_id is not null")
+
+    sets = written(placed(points.join(flat, "net"), False).groupBy("net", "model", "set_id").agg(F.count("*").alias("m"), F.avg("similarity").alias("r")), "grid-sets")
+    names = [(m, i) for m, size in sizes.items() for i in range(size)]
+    real = sets.groupBy("net").agg(*(F.coalesce(F.max(F.when((F.col("model") == m) & (F.col("set_id") == i), F.col("m") > 1)), F.lit(False)).alias(f"real{m}_{i}") for m, i in names))
+    met = placed(points.join(flat, "net").join(real, "net"), True).join(sets.select("net", "model", "set_id", (F.col("m") > 1).alias("is_real")), ["net", "model", "set_id"])
+    a = F.when(F.col("is_real"), 1 - F.col("similarity")).otherwise(F.lit(0.0))
+    n_real = sets.groupBy("net", "model").agg(F.count(F.when(F.col("m") > 1, 1)).alias("n_real"))
+    b = F.when(F.col("n_real") <= 1, F.lit(0.0)).otherwise(1 - F.least(F.lit(1.0), F.col("other")))
+    scores = met.join(n_real, ["net", "model"]).groupBy("net", "model").agg(F.count("*").alias("n"), F.avg((b - a) / F.greatest(a, b, F.lit(1e-9))).alias("silhouette"))
+    kap = F.least(F.lit(50.0), angles.kappa_from_resultant(F.col("r")))
+    log_c = F.log(kap) - F.log(F.lit(4 * 3.141592653589793)) - (kap + F.log((1 - F.exp(-2 * kap)) / 2))
+    part = F.col("m") * (F.log(F.col("m") / F.sum("m").over(Window.partitionBy("net", "model"))) + log_c + kap * F.col("r"))
+    law = sets.withColumn("__l", part).groupBy("net", "model").agg(F.sum("m").alias("all"), F.sum("__l").alias("l"))
+    bic = law.select("net", "model", (-2 * F.col("l") + 3 * F.col("model") * F.log("all")).alias("bic"))
+    return scores.join(bic, ["net", "model"]).select("net", F.col("model").alias("k"), "n", "silhouette", "bic")
+
+
+def grid_clusters(rows: DataFrame, least: int = 2, most: int = 6, rounds: int = 12) -> dict[int, DataFrame]:
+    """(net, centers) for every k from least to most, all by the same rounds over the rows."""
+    return lloyd_grid(rows, {k: starting_centers(rows, k) for k in range(least, most + 1)}, rounds)
+
+
 def choose_k(rows: DataFrame, least: int = 2, most: int = 6, rounds: int = 12) -> DataFrame:
-    """(net, k, silhouette, bic, chosen): scores for each k, the best silhouette chosen, the smaller k of equals."""
-    each = None
-    for k in range(least, most + 1):
-        placed = labelled(rows, lloyd(rows, starting_centers(rows, k), rounds))
-        scores = silhouette(placed, ["net"]).join(mixture_bic(placed, ["net"], F.lit(k)).select("net", "bic"), "net").select("net", F.lit(k).alias("k"), "n", "silhouette", "bic")
-        each = scores if each is None else each.unionByName(scores)
+    """(net, k, n, silhouette, bic, chosen): scores for each k, the best silhouette chosen, the smaller k of equals.
+
+    All k are clustered by the same scans, one a round, and scored by two more. Only k below a net's rows count.
+    """
+    scores = grid_scores(rows, grid_clusters(rows, least, most, rounds)).filter(F.col("k") < F.col("n"))
     w = Window.partitionBy("net").orderBy(F.desc("silhouette"), "k")
-    return each.withColumn("chosen", F.row_number().over(w) == 1)
+    return scores.withColumn("chosen", F.row_number().over(w) == 1)
+
+
+def joint_choose_k(rows: DataFrame, site: str = "site", least: int = 2, most: int = 12, rounds: int = 12) -> DataFrame:
+    """choose_k() of all wells of a site together: (site, k, n, silhouette, bic, chosen)."""
+    pooled = rows.select(F.col(site).alias("net"), F.struct("net", "id").alias("id"), "nx", "ny", "nz")
+    return choose_k(pooled, least, most, rounds).withColumnRenamed("net", site)
+
+
+def fused_k(scores: DataFrame, rows: DataFrame, kind: str | None = None, kind_most: dict[str, int] | None = None) -> DataFrame:
+    """(net, k_silhouette, k_data, k, per_kind): the best silhouette's k of choose_k(), held below what the rows can carry.
+
+    k_data is grades.recommended_k() of the number of rows. kind names a column of the rows: per_kind then maps each of
+    its values to what its own rows can carry, at most what kind_most says; a null value has none.
+    """
+    best = scores.filter("chosen").select("net", F.col("k").alias("k_silhouette"))
+    sizes = rows.groupBy("net").agg(F.count("*").alias("n"))
+    out = best.join(sizes, "net").withColumn("k_data", grades.recommended_k(F.col("n"))).select("net", "k_silhouette", "k_data", F.greatest(F.lit(2), F.least("k_silhouette", "k_data")).alias("k"))
+    if kind is None:
+        return out.withColumn("per_kind", F.expr("cast(map() as map<string,int>)"))
+    carried = grades.recommended_k(F.col("n"))
+    for name, top in (kind_most or {}).items():
+        carried = F.when(F.col(kind) == name, F.least(carried, F.lit(top))).otherwise(carried)
+    kinds = rows.filter(F.col(kind).isNotNull()).groupBy("net", kind).agg(F.count("*").alias("n")).groupBy("net").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(kind).cast("string"), carried)))).alias("per_kind"))
+    return out.join(kinds, "net", "left")
 
 
 #: Gauss-Legendre places and weights on 0 to 1, for the mean of t * t under exp(kappa * (t * t - 1)).

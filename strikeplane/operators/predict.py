@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles
 from . import neighbours
+from .tables import written
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -152,25 +153,71 @@ def local_median(rows: DataFrame, h: float = 0.5, c: float = 0.1, rounds: int =
     return left.groupBy("net", "part").cogroup(right.groupBy("net", "part")).applyInPandas(solve, f"net {kinds['net']}, id {kinds['id']}, qx double, qy double, qz double")
 
 
-def _set_axes(seen: DataFrame, centers: list[tuple[float, float, float]]) -> tuple[DataFrame, DataFrame]:
+#: Centers that all nets share, or each net's own as (net, centers).
+Centers = list[tuple[float, float, float]] | DataFrame
+
+
+def _set_axes(seen: DataFrame, centers: Centers) -> tuple[DataFrame, DataFrame]:
     """Observed rows (net, other, set_id, mx, my, mz) by their nearest center, and each net's `axes`: map of set_id to the set's mean."""
-    from .aggregates import assign
+    from .clusters import anchored, labelled
 
-    sets = assign(seen, centers)
-    table = F.array(*(F.struct(*(F.lit(float(x)).alias(c) for x, c in zip(v, "xyz"))) for v in centers))
-    c = F.get(table, F.col("set_id"))
-    side = angles.aligned(angles.vector(), (c["x"], c["y"], c["z"]))
-    sums = sets.groupBy("net", "set_id").agg(*(F.sum(s).alias(k) for s, k in zip(side, ("sx", "sy", "sz"))))
+    own = anchored(seen, centers) if isinstance(centers, list) else centers
+    sets = labelled(seen, own).drop("similarities", "similarity")
+    told = sets.join(own, "net").withColumn("__c", F.get("centers", F.col("set_id"))).drop("centers")
+    side = angles.aligned(angles.vector(), tuple(F.col("__c")[c] for c in "xyz"))
+    sums = told.groupBy("net", "set_id").agg(*(F.sum(s).alias(k) for s, k in zip(side, ("sx", "sy", "sz"))))
     means = sums.select("net", "set_id", F.struct(*(u.alias(k) for u, k in zip(angles.unit(angles.vector("s"), 1e-12), "xyz"))).alias("m"))
     axes = means.groupBy("net").agg(F.map_from_entries(F.collect_list(F.struct("set_id", "m"))).alias("axes"))
     return sets.select("net", F.col("id").alias("other"), "set_id", *(F.col(f"n{x}").alias(f"m{x}") for x in "xyz")), axes
 
 
+def observed_centers(rows: DataFrame, ks: tuple[int, ...], rounds: int = 12) -> dict[int, DataFrame]:
+    """(net, centers) of each k from the observed rows alone, all k by the same rounds over them."""
+    from .clusters import lloyd_grid, starting_centers
+
+    seen = written(rows.filter("is_obs").select("net", "id", "nx", "ny", "nz"), "observed")
+    return {k: written(c, "observed-centers") for k, c in lloyd_grid(seen, {k: starting_centers(seen, k) for k in ks}, rounds).items()}
+
+
+def set_aware_clustered(rows: DataFrame, k: int, rounds: int = 12) -> DataFrame:
+    """set_aware_observed() with the sets that the observed rows themselves form."""
+    return set_aware_observed(rows, observed_centers(rows, (k,), rounds)[k])
+
+
+def top_two_ensemble(rows: DataFrame, ks: tuple[int, ...] = (4, 3, 5, 6), near: int = 24, rounds: int = 12) -> DataFrame:
+    """top_two() with the sets that the observed rows form, for each of ks; their mean, each on the side of the first.
+
+    All clusterings come from the same rounds, and the nearest rows are looked up once. A net with fewer than 4
+    observed rows takes the mean of their normals, on the side of the first by id.
+    """
+    seen, hidden = _split(rows)
+    sizes = written(seen.groupBy("net").agg(F.count("*").alias("n"), F.min_by(F.struct("nx", "ny", "nz"), "id").alias("r")), "observed-sizes")
+    enough = rows.join(sizes.filter("n >= 4").select("net"), "net", "left_semi")
+    some, rest = _split(enough)
+    found = written(neighbours.nearest(rest, some, near), "nearest")
+    centers = observed_centers(enough, ks, rounds)
+    mixed = fused([_two_mixed(found, some, centers[k], 0.8, 0.6) for k in ks])
+    few = seen.join(sizes.filter("n < 4"), "net")
+    side = angles.aligned(angles.vector(), tuple(F.col("r")[f"n{c}"] for c in "xyz"))
+    means = few.groupBy("net").agg(*(F.sum(s).alias(c) for s, c in zip(side, ("sx", "sy", "sz"))))
+    alone = hidden.select("net", "id").join(means.select("net", *(u.alias(f"q{c}") for u, c in zip(angles.unit(angles.vector("s"), 1e-12), "xyz"))), "net").select("net", "id", "qx", "qy", "qz")
+    return mixed.unionByName(alone)
+
+
+def global_median_direction(rows: DataFrame, rounds: int = 40) -> DataFrame:
+    """The direction of least sum of angles to all the net's observed normals, for every hidden row."""
+    from .means import median_directions
+
+    seen, hidden = _split(rows)
+    found = median_directions(seen, ["net"], rounds=rounds)
+    return hidden.select("net", "id").join(found, "net").select("net", "id", *(F.col(f"m{c}").alias(f"q{c}") for c in "xyz"))
+
+
 def _turned(axis: Column) -> angles.Vector:
     return angles.aligned((axis["x"], axis["y"], axis["z"]), angles.vector("m"))
 
 
-def set_aware_observed(rows: DataFrame, centers: list[tuple[float, float, float]]) -> DataFrame:
+def set_aware_observed(rows: DataFrame, centers: Centers) -> DataFrame:
     """The mean of the set that the nearest observed row belongs to, on that row's side; sets are those of observed rows around centers."""
     seen, hidden = _split(rows)
     sets, axes = _set_axes(seen, centers)
@@ -179,15 +226,19 @@ def set_aware_observed(rows: DataFrame, centers: list[tuple[float, float, float]
     return near.select("net", "id", *(x.alias(f"q{c}") for x, c in zip(v, "xyz")))
 
 
-def top_two(rows: DataFrame, centers: list[tuple[float, float, float]], k: int = 24, full_share: float = 0.8, second: float = 0.6) -> DataFrame:
+def top_two(rows: DataFrame, centers: Centers, k: int = 24, full_share: float = 0.8, second: float = 0.6) -> DataFrame:
     """A mix of the two sets that most of the k nearest observed rows belong to, drawn to the nearest row where the first has few.
 
     The first set has the share f1 of the votes and the second f2: directions mix by second * f2 / (f1 + f2), and
     the mix counts by f1 / full_share, at most 1, against the nearest row's normal. Equal votes go to the smaller set.
     """
     seen, hidden = _split(rows)
+    return _two_mixed(neighbours.nearest(hidden, seen, k), seen, centers, full_share, second)
+
+
+def _two_mixed(found: DataFrame, seen: DataFrame, centers: Centers, full_share: float, second: float) -> DataFrame:
     sets, axes = _set_axes(seen, centers)
-    near = neighbours.nearest(hidden, seen, k).join(sets, ["net", "other"])
+    near = found.join(sets, ["net", "other"])
     first = near.filter("rank = 1").select("net", "id", "mx", "my", "mz")
     votes = near.groupBy("net", "id", "set_id").agg(F.count("*").alias("votes")).groupBy("net", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "set_id"))).alias("v"), F.sum("votes").alias("all"))
     met = votes.join(first, ["net", "id"]).join(axes, "net")
@@ -213,7 +264,7 @@ def fused(parts: list[DataFrame]) -> DataFrame:
     return sums.select("net", "id", *(u.alias(f"q{c}") for u, c in zip(angles.unit(angles.vector("s"), 1e-12), "xyz")))
 
 
-def truth_assigned(rows: DataFrame, truth: DataFrame, centers: list[tuple[float, float, float]]) -> DataFrame:
+def truth_assigned(rows: DataFrame, truth: DataFrame, centers: Centers) -> DataFrame:
     """An oracle, no predictor: of the observed rows' sets, the mean that is nearest to a hidden row's true normal."""
     seen, hidden = _split(rows)
     _, axes = _set_axes(seen, centers)

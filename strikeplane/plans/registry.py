@@ -375,11 +375,15 @@ def _predictors() -> dict:
         "fracture_aware": predict.fracture_aware,
         "local_median": predict.local_median,
         "top_two": lambda x: predict.top_two(x, c),
+        "set_aware_k4": lambda x: predict.set_aware_clustered(x, 4),
+        "set_aware_k6": lambda x: predict.set_aware_clustered(x, 6),
+        "top_two_ensemble": predict.top_two_ensemble,
+        "global_median": predict.global_median_direction,
     }
 
 
 @query(
-    f"WITH {v.POINTS} SELECT predictor, net, count(*) AS n, 0::BIGINT AS n_changed FROM pts, (SELECT unnest(['nearest', 'global', 'majority', 'set_aware', 'set_aware_observed', 'fracture_aware', 'local_median', 'top_two']) AS predictor) WHERE NOT is_obs GROUP BY ALL"
+    f"WITH {v.POINTS} SELECT predictor, net, count(*) AS n, 0::BIGINT AS n_changed FROM pts, (SELECT unnest(['nearest', 'global', 'majority', 'set_aware', 'set_aware_observed', 'fracture_aware', 'local_median', 'top_two', 'set_aware_k4', 'set_aware_k6', 'top_two_ensemble', 'global_median']) AS predictor) WHERE NOT is_obs GROUP BY ALL"
 )
 def poison_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of every predictor that change when hidden normals are replaced: none may."""
@@ -880,3 +884,6 @@ def apportioned_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BANDS}, g AS (SELECT well, est_lo, est_hi, unnest(range(0, 10)) AS i FROM bands) SELECT DISTINCT well, {r('est_lo + (est_hi - est_lo) * i / 9', 'x', 3)} FROM g")
 def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.fine_grid(_bands(spark, sf_dir), ["well"], "est_lo", "est_hi")
+
+
+from . import intrinsic  # noqa: E402, F401  registers its queries

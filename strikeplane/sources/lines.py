@@ -23,7 +23,7 @@ def _decoded(value: bytes, plain: bool, encoding: str | None, name: str) -> str:
         raise ValueError(f"{name} is not encoded as {codec}") from err
 
 
-def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+def numbered_lines(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Lines (file, name, place, value) and files (file, name, lines, plain, head) of a text file or a folder of them.
 
     place counts all lines of a file from 0. Files are read in splits: lines are counted for each block first, and a
@@ -55,7 +55,7 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None)
     return out, files
 
 
-def cells_by_header(spark: SparkSession, path: str, find: Callable[[list[str]], dict[str, str]], wanted: tuple[str, ...], needed: tuple[str, ...], encoding: str | None = None) -> DataFrame:
+def cells_by_header(spark: SparkSession, path: str | list[str], find: Callable[[list[str]], dict[str, str]], wanted: tuple[str, ...], needed: tuple[str, ...], encoding: str | None = None) -> DataFrame:
     """(file, name, row_id, and a string for each of `wanted`) of comma-separated files, each by its own first line.
 
     find tells which header stands for what. A file that lacks one of `needed` fails here, by name. row_id is the

@@ -51,7 +51,7 @@ def number(x: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def _log_cells(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
+def _log_cells(spark: SparkSession, path: str | list[str], encoding: str | None) -> DataFrame:
     """(file, well, row_id, depth, dip, dip_dir) of log files, cells as they stand there."""
     cells = cells_by_header(spark, path, find_columns, ("well", *NEEDED), NEEDED, encoding)
     stem = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1)
@@ -59,7 +59,7 @@ def _log_cells(spark: SparkSession, path: str, encoding: str | None) -> DataFram
     return cells.select(F.col("name").alias("file"), F.coalesce(named, stem).alias("well"), "row_id", *NEEDED)
 
 
-def read_log(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_log(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
     """(well, row_id, depth, dip, dip_dir) of one CSV or a folder of them; what is no number is null.
 
     Every file is read by its own header, so files of a folder may order or name their columns differently; one
@@ -70,7 +70,7 @@ def read_log(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     return _log_cells(spark, path, encoding).select("well", "row_id", *(number(F.col(c)).alias(c) for c in NEEDED))
 
 
-def skipped_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def skipped_lines(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
     """(file, well, line, column, reason) of each row of read_log() that has a null: its line, the header's being 1.
 
     column is the first that is to blame, reason `missing`, `not a number` or `not finite`.
