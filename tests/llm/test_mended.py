@@ -18,18 +18,21 @@ def short_pair(i: int, shared: int, a: int, b: int) -> tuple[str, str]:
 
 
 def test_short_texts_at_the_bound(spark):
-    """4 to 24 shingles, right at 0.8 and right below: every pair at the bound is linked, no other."""
-    above, below = [], []
+    """4 to 24 shingles, right at 0.8 and right below: every pair at the bound is linked, no other; of 32 to 140, nine in ten."""
+    above, below, longer = [], [], []
     for i in range(60):
-        for shared, a, b in ((4, 0, 1), (4, 1, 0), (8, 1, 1), (8, 0, 2), (12, 0, 3), (16, 2, 2), (16, 0, 4), (20, 2, 3), (100, 12, 13), (112, 14, 14)):
+        for shared, a, b in ((4, 0, 1), (4, 1, 0), (8, 1, 1), (8, 0, 2), (12, 0, 3), (16, 2, 2), (16, 0, 4), (20, 2, 3)):
             above.append(short_pair(len(above), shared, a, b))
+        for shared, a, b in ((28, 3, 4), (28, 0, 7), (44, 4, 7), (60, 7, 8), (100, 12, 13), (112, 14, 14)):
+            longer.append(short_pair(20_000 + len(longer), shared, a, b))
         for shared, a, b in ((3, 0, 1), (7, 1, 1), (11, 0, 3), (15, 2, 2), (19, 2, 3)):
             below.append(short_pair(10_000 + len(below), shared, a, b))
-    rows = [(2 * i + k, t) for i, p in enumerate(above + below) for k, t in enumerate(p)]
+    rows = [(2 * i + k, t) for i, p in enumerate(above + below + longer) for k, t in enumerate(p)]
     got = {r.doc_id: r.component for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(above) + len(below))]
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(above) + len(below) + len(longer))]
     assert sum(linked[: len(above)]) >= 0.99 * len(above)
-    assert not any(linked[len(above) :])
+    assert not any(linked[len(above) : len(above) + len(below)])
+    assert sum(linked[-len(longer) :]) >= 0.9 * len(longer)
 
 
 def test_marks_stand_where_secrets_were(spark):
