@@ -151,7 +151,9 @@ def rand_index(labels: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 def error_stats(errors: DataFrame, by: list[str], error: str = "error") -> DataFrame:
     """By group: n, mean, and interpolated percentiles 50 and 90 of an error."""
-    return errors.groupBy(*by).agg(F.count("*").alias("n"), F.avg(error).alias("mae"), F.percentile(error, 0.5).alias("p50"), F.percentile(error, 0.9).alias("p90"))
+    from .order import with_quantiles
+
+    return with_quantiles(errors.groupBy(*by).agg(F.count("*").alias("n"), F.avg(error).alias("mae")), errors, by, error, {"p50": 0.5, "p90": 0.9})
 
 
 def two_level_mean(errors: DataFrame, outer: str, inner: str, error: str = "error") -> DataFrame:
@@ -162,14 +164,10 @@ def two_level_mean(errors: DataFrame, outer: str, inner: str, error: str = "erro
 
 
 def rank_correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, n, rho): Spearman's correlation, equal values sharing their mean rank."""
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*by).orderBy(c)
-        same = Window.partitionBy(*by, c)
-        return F.rank().over(w) + (F.count("*").over(same) - 1) / 2
+    """(by, n, rho): Spearman's correlation, equal values sharing their mean rank; pairs with a null don't count."""
+    from .order import rank_correlations
 
-    ranked = rows.withColumn("__x", rank(x)).withColumn("__y", rank(y))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"))
+    return rank_correlations(rows, by, x, [y]).select(*by, "n", "rho")
 
 
 def bootstrap_cone(rows: DataFrame, by: list[str], resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -187,7 +185,9 @@ def axis_deviation(rows: DataFrame, by: list[str], prefix: str = "n", reference:
 def stratified(errors: DataFrame, anisotropy: str = "anisotropy") -> DataFrame:
     """(tier, n, mae, p50) of errors by tiers of anisotropy: high from 0.5, middle from 0.25, else low."""
     told = errors.withColumn("tier", grades.anisotropy_tier(F.col(anisotropy)))
-    return told.groupBy("tier").agg(F.count("*").alias("n"), F.avg("error").alias("mae"), F.percentile("error", 0.5).alias("p50"))
+    from .order import with_quantiles
+
+    return with_quantiles(told.groupBy("tier").agg(F.count("*").alias("n"), F.avg("error").alias("mae")), told, ["tier"], "error", {"p50": 0.5})
 
 
 def usable_nets(rows: DataFrame, by: list[str], least_seen: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import with_quantiles
 from .tables import written
 
 #: A cell should hold about this many times k points.
@@ -119,7 +120,7 @@ def disc_edges(discs: DataFrame, largest: float, box: tuple[float, float, float]
 def knn_scale(rows: DataFrame, k: int = 8) -> DataFrame:
     """(net, n, scale): the median, over a net's rows, of the distance to the kth nearest other; the farthest where there are fewer."""
     far = nearest(rows, rows, k).groupBy("net", "id").agg(F.sqrt(F.max("d2")).alias("far"))
-    return far.groupBy("net").agg(F.count("*").alias("n"), F.percentile("far", 0.5).alias("scale"))
+    return with_quantiles(far.groupBy("net").agg(F.count("*").alias("n")), far, ["net"], "far", {"scale": 0.5})
 
 
 def local_planes(rows: DataFrame, k: int = 16) -> DataFrame:

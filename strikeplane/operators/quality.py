@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, grades
+from .order import quantiles
 
 
 def flagged(log: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def spatial_block(rows: DataFrame, share: float = 0.4, turn: float = 30.0) -> Da
     import math
 
     along = F.col("px") * math.cos(math.radians(turn)) + F.col("py") * math.sin(math.radians(turn))
-    cut = rows.groupBy("net").agg(F.percentile(along, 1 - share).alias("__cut"))
+    cut = quantiles(rows, ["net"], along, {"__cut": 1 - share})
     return rows.join(cut, "net").withColumn("is_obs", along >= F.col("__cut")).drop("__cut")
 
 

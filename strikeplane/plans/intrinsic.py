@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, clusters, decoding, means, predict
+from ..operators import aggregates, clusters, decoding, means, order, outcrop, predict
 from ..operators.tables import shared_folder, written
 from ..sources import logs
 from . import views as v
-from .registry import _eigen_sql, query, r, rounded
+from .registry import _ERR, _SPREAD, _eigen_sql, query, r, rounded
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,3 +185,82 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = F.col("depth").isNotNull() & F.col("dip").isNotNull() & F.col("dip_dir").isNotNull()
     sums = log.groupBy(F.col("well").cast("long").alias("well")).agg(F.count("*").alias("n_rows"), F.count(F.when(~fine, 1)).alias("n_skipped"), *(F.sum(F.when(fine, F.col(c))).alias(c) for c in ("depth", "dip", "dip_dir")))
     return rounded(sums, 3)
+
+
+# surfaces of outcrops
+
+_CLOUD = """pc AS (SELECT l_returnflag AS net, l_orderkey * 10 + l_linenumber AS id, ((l_orderkey * 7919 + l_partkey) % 10007) / 100.0::DOUBLE AS px, ((l_orderkey * 104729 + l_partkey) % 10007) / 100.0::DOUBLE AS py, l_linenumber::INT AS seg_id, l_quantity FROM lineitem),
+cl AS MATERIALIZED (SELECT net, id, px, py, l_q + px * 0.3::DOUBLE - py * 0.2::DOUBLE AS pz, seg_id, CASE WHEN id % 11 = 0 THEN -1 ELSE (seg_id % 3)::INT END AS set_id FROM (SELECT *, seg_id * 20 + (l_quantity - 25) / 500 AS l_q FROM pc))"""
+_SEGMENTS = (
+    "mo AS (SELECT net, seg_id, count(*) AS n, avg(px) AS cx, avg(py) AS cy, avg(pz) AS cz, " + ", ".join(f"covar_pop(p{a}, p{b}) AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM cl WHERE seg_id >= 0 GROUP BY ALL), "
+    + _eigen_sql("mo", "net, seg_id", "")
+    + ", pl AS (SELECT net, seg_id, e3.x / z * g AS nx, e3.y / z * g AS ny, e3.z / z * g AS nz FROM (SELECT *, sqrt(e3.n) AS z, CASE WHEN e3.z < 0 THEN -1 ELSE 1 END AS g FROM vec)), "
+    "ax AS (SELECT *, CASE WHEN abs(nz) < 0.9 THEN 0 ELSE -nz END / q AS ax, CASE WHEN abs(nz) < 0.9 THEN nz ELSE 0 END / q AS ay, CASE WHEN abs(nz) < 0.9 THEN -ny ELSE nx END / q AS az FROM (SELECT *, CASE WHEN abs(nz) < 0.9 THEN sqrt(nz*nz + ny*ny) ELSE sqrt(nz*nz + nx*nx) END AS q FROM pl)), "
+    "uv AS (SELECT c.net, c.seg_id, x*ax + y*ay + z*az AS u, x*(ny*az - nz*ay) + y*(nz*ax - nx*az) + z*(nx*ay - ny*ax) AS v, x*nx + y*ny + z*nz AS d FROM (SELECT cl.*, px - cx AS x, py - cy AS y, pz - cz AS z FROM cl JOIN mo USING (net, seg_id)) c JOIN ax USING (net, seg_id)), "
+    "ex AS (SELECT net, seg_id, pi() / 4 * (max(u) - min(u)) * (max(v) - min(v)) AS area, sqrt(avg(d*d)) AS rms, avg(abs(d)) AS residual FROM uv GROUP BY ALL), "
+    "vo AS (SELECT net, seg_id, set_id FROM (SELECT *, row_number() OVER (PARTITION BY net, seg_id ORDER BY votes DESC, set_id) AS o FROM (SELECT net, seg_id, set_id, count(*) AS votes FROM cl WHERE set_id >= 0 GROUP BY ALL)) WHERE o = 1), "
+    "sf AS MATERIALIZED (SELECT mo.net, mo.seg_id, coalesce(vo.set_id, -1)::INT AS set_id, mo.n AS n_points, cx, cy, cz, nx, ny, nz, area, rms FROM mo JOIN pl USING (net, seg_id) JOIN ex USING (net, seg_id) LEFT JOIN vo USING (net, seg_id) WHERE mo.n >= 10)"
+)
+
+
+def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    set_id = F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("sheet") % 3)
+    return v.cloud(spark, sf_dir).select("net", "id", "px", "py", "pz", F.col("sheet").alias("seg_id"), set_id.cast("int").alias("set_id"))
+
+
+@query(
+    f"WITH {_CLOUD}, {_SEGMENTS} SELECT net, seg_id, set_id, n_points, {r('nx', 'nx', 3)}, {r('ny', 'ny', 3)}, {r('nz', 'nz', 3)}, {r('area', 'area', 1)}, {r('sqrt(greatest(area / pi(), 1e-6::DOUBLE))', 'r_eq', 3)}, {r('rms', 'rms')} FROM sf"
+)
+def outcrop_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes, areas and sets of the sheets of every cloud."""
+    found = outcrop.surfaces(_cloud(spark, sf_dir))
+    return rounded(found.select("net", "seg_id", "set_id", "n_points", *(F.round(f"n{c}", 3).alias(f"n{c}") for c in "xyz"), F.round("area", 1).alias("area"), F.round("r_eq", 3).alias("r_eq"), "rms"))
+
+
+def _summary_sql(rounds: int = 8) -> str:
+    steps = [
+        f"t{i} AS (SELECT net, set_id, " + ", ".join(f"sum(area * n{c} * g) AS s{c}" for c in "xyz") + f" FROM (SELECT o.*, {_SIDE} AS g FROM ow o JOIN m{i} USING (net, set_id)) GROUP BY ALL), "
+        f"m{i + 1} AS MATERIALIZED (SELECT net, set_id, " + ", ".join(f"s{c} / sqrt(sx*sx+sy*sy+sz*sz) AS m{c}" for c in "xyz") + f" FROM t{i})"
+        for i in range(rounds)
+    ]
+    return (
+        f"WITH {_CLOUD}, {_SEGMENTS}, ow AS MATERIALIZED (SELECT * FROM sf WHERE set_id >= 0), f0 AS (SELECT net, set_id, " + ", ".join(f"sum(area * n{c}) AS s{c}" for c in "xyz") + " FROM ow GROUP BY ALL), "
+        "m0 AS (SELECT net, set_id, " + ", ".join(f"s{c} / sqrt(sx*sx+sy*sy+sz*sz) AS m{c}" for c in "xyz") + " FROM f0), " + ", ".join(steps)
+        + ", su AS (SELECT net, set_id, count(*) AS n_surfaces, sum(area) AS total_area, sum(n_points)::BIGINT AS total_points FROM ow GROUP BY ALL), "
+        "bx AS (SELECT net, (max(px) - min(px)) * (max(py) - min(py)) * (max(pz) - min(pz)) AS volume FROM cl GROUP BY net), al AS (SELECT net, sum(area) AS area FROM sf GROUP BY net) "
+        f"SELECT net, set_id, n_surfaces, {r('total_area', 'total_area', 1)}, total_points, {r('degrees(acos(least(1.0::DOUBLE, abs(mz))))', 'dip', 2)}, {r('((degrees(atan2(mx, my)) + CASE WHEN mz < 0 THEN 180 ELSE 0 END) % 360 + 360) % 360', 'dip_dir', 2)}, {r('al.area / volume', 'p32', 5)} "
+        f"FROM su JOIN m{rounds} USING (net, set_id) JOIN bx USING (net) JOIN al USING (net)"
+    )
+
+
+@query(_summary_sql())
+def outcrop_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean planes by area of the sets that every cloud's surfaces form, and the cloud's area by volume."""
+    points = _cloud(spark, sf_dir)
+    found = written(outcrop.surfaces(points), "surfaces")
+    told = outcrop.set_summaries(found).join(outcrop.outcrop_p32(found, points).select("net", "p32"), "net")
+    return told.select("net", "set_id", "n_surfaces", *((F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("total_area", 1), ("dip", 2), ("dip_dir", 2), ("p32", 5))), "total_points")
+
+
+@query(f"WITH {_CLOUD}, {_SEGMENTS} SELECT net, seg_id, (SELECT count(*) FROM cl WHERE cl.net = ex.net AND cl.seg_id = ex.seg_id) AS n, {r('residual', 'residual')} FROM ex")
+def segment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(outcrop.segment_quality(_cloud(spark, sf_dir)))
+
+
+_DIST = "sqrt((h.px-o.px)*(h.px-o.px) + (h.py-o.py)*(h.py-o.py) + (h.pz-o.pz)*(h.pz-o.pz)) / rad"
+
+
+@query(
+    f"WITH {_ERR}, {_SPREAD}, m AS (SELECT h.net, h.id, {_DIST} AS d, o.nx, o.ny, o.nz FROM pts h JOIN pts o USING (net) JOIN sp USING (net) WHERE NOT h.is_obs AND o.is_obs), "
+    "pr AS (SELECT net, id, min(d) AS dmin, 1 / greatest(1e-3::DOUBLE, coalesce(sqrt(pow(avg(nx) FILTER (d <= 0.5), 2) + pow(avg(ny) FILTER (d <= 0.5), 2) + pow(avg(nz) FILTER (d <= 0.5), 2)), 0)) AS unsupported FROM m GROUP BY ALL), "
+    "j AS (SELECT e.net, round(e.error, 9) AS error, round(dmin, 9) AS dmin, round(unsupported, 9) AS unsupported FROM err e JOIN pr USING (net, id)), "
+    "k AS (SELECT net, " + ", ".join(f"rank() OVER (PARTITION BY net ORDER BY {c}) + (count(*) OVER (PARTITION BY net, {c}) - 1) / 2 AS r_{c}" for c in ("error", "dmin", "unsupported")) + " FROM j), "
+    "c AS (SELECT net, 'dmin' AS proxy, 0 AS i, count(*) AS n, corr(r_error, r_dmin) AS rho FROM k GROUP BY net UNION ALL SELECT net, 'unsupported', 1, count(*), corr(r_error, r_unsupported) FROM k GROUP BY net) "
+    f"SELECT net, proxy, n, {r('rho', 'rho')}, row_number() OVER (PARTITION BY net ORDER BY abs(round(rho, 9)) DESC NULLS LAST, i) = 1 AND rho IS NOT NULL AS best FROM c"
+)
+def error_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each sign of uncertainty ranks the errors of the nearest normal, and which does best in every net."""
+    rows = v.points(spark, sf_dir)
+    found = predict.errors(predict.nearest_direction(predict.blind(rows)), rows).select("net", "id", F.round("error", 9).alias("error"))
+    signs = predict.support(predict.blind(rows)).select("net", "id", F.round("dmin", 9).alias("dmin"), F.round(1 / F.greatest(F.lit(1e-3), "resultant"), 9).alias("unsupported"))
+    return rounded(order.rank_correlations(written(found.join(signs, ["net", "id"]), "proxies"), ["net"], "error", ["dmin", "unsupported"]))
