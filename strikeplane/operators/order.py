@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 from .tables import written
 
 
+def _met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined to b on keys, of which null is one like others; a's columns and then b's others."""
+    named = b.withColumnsRenamed({k: f"__b_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= a[k].eqNullSafe(named[f"__b_{k}"])
+    return a.join(named, same, how).drop(*(f"__b_{k}" for k in keys))
+
+
 def positions(rows: DataFrame, by: list[str], value: str | Column) -> DataFrame:
     """(by, value, n, before): each distinct value of a group, how many rows have it and how many have a smaller one.
 
-    Rows whose value is null or NaN don't count.
+    Rows whose value is null or NaN don't count. A null in by is a group like others.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     counts = rows.select(*by, v.alias("value")).filter("value is not null and not isnan(value)").groupBy(*by, "value").agg(F.count("*").alias("n"))
@@ -24,7 +33,7 @@ def positions(rows: DataFrame, by: list[str], value: str | Column) -> DataFrame:
     ranges = ranged.groupBy(*by, "__range").agg(F.sum("n").alias("__n"), F.min("value").alias("__low"))
     below = Window.partitionBy(*by).orderBy("__low")
     offsets = ranges.select(*by, "__range", (F.sum("__n").over(below) - F.col("__n")).alias("__below"))
-    told = ranged.withColumn("before", F.sum("n").over(inside) - F.col("n")).join(offsets, [*by, "__range"])
+    told = _met(ranged.withColumn("before", F.sum("n").over(inside) - F.col("n")), offsets, [*by, "__range"])
     return told.select(*by, "value", "n", (F.col("before") + F.col("__below")).alias("before"))
 
 
@@ -32,7 +41,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str | Column, shares: dict[
     """(by, and a double for each of shares): interpolated quantiles of each group, named by shares; a group without values has no row."""
     placed = written(positions(rows, by, value), "positions")
     sizes = placed.groupBy(*by).agg(F.sum("n").alias("__size"))
-    met = placed.join(sizes, by)
+    met = _met(placed, sizes, by)
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("value")))
@@ -47,11 +56,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str | Column, shares: dict[
 
 def with_quantiles(stats: DataFrame, rows: DataFrame, by: list[str], value: str | Column, shares: dict[str, float]) -> DataFrame:
     """stats (by, ...) with the quantiles of rows; null for a group without values. Null keys are keys like others."""
-    found = quantiles(rows, by, value, shares)
-    same = F.lit(True)
-    for c in by:
-        same &= stats[c].eqNullSafe(found[c])
-    return stats.join(found, same, "left").select(*(stats[c] for c in stats.columns), *shares)
+    return _met(stats, quantiles(rows, by, value, shares), by, "left")
 
 
 def with_ranks(rows: DataFrame, by: list[str], values: dict[str, str], most: int = 10_000) -> DataFrame:
@@ -67,8 +72,8 @@ def with_ranks(rows: DataFrame, by: list[str], values: dict[str, str], most: int
         keys = [*by, "__v"]
         hot = F.broadcast(placed.filter(F.col("n") > total / most).drop("n"))
         cold = placed.filter(F.col("n") <= total / most).drop("n")
-        often = keyed.join(hot, keys)
-        rest = keyed.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left")
+        often = _met(keyed, hot, keys)
+        rest = _met(_met(keyed, hot.select(*keys), keys, "left_anti"), cold, keys, "left")
         rows = often.unionByName(rest).drop("__v")
     return rows
 
@@ -83,7 +88,9 @@ def rank_correlations(rows: DataFrame, by: list[str], x: str, ys: list[str]) ->
     for i, y in enumerate(ys):
         pairs = rows.select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).filter("__x is not null and __y is not null and not isnan(__x) and not isnan(__y)")
         ranked = with_ranks(pairs, by, {"__x": "__rx", "__y": "__ry"})
-        one = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho")).select(*by, F.lit(y).alias("proxy"), F.lit(i).alias("__i"), "n", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
+        spread = F.var_pop("__rx") * F.var_pop("__ry")
+        rho = F.when(spread > 0, F.covar_pop("__rx", "__ry") / F.sqrt(spread))
+        one = ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho")).select(*by, F.lit(y).alias("proxy"), F.lit(i).alias("__i"), "n", "rho")
         out = one if out is None else out.unionByName(one)
     strongest = F.row_number().over(Window.partitionBy(*by).orderBy(F.abs("rho").desc_nulls_last(), "__i"))
     return out.withColumn("best", (strongest == 1) & F.col("rho").isNotNull()).drop("__i")
