@@ -7,7 +7,7 @@ centers, so a net may be of any size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,15 +70,24 @@ def _flat_centers(starts: dict[int, DataFrame]) -> tuple[DataFrame, dict[int, in
     return flat, sizes
 
 
-def _nearest(n: angles.Vector, m: int, size: int, but: Column | None = None) -> tuple[Column, Column, Column]:
-    """Number, similarity and signed similarity of a model's center that is nearest to n, the first of equals; centers that are null are none."""
-    dots = [n[0] * F.col(f"m{m}_{i}x") + n[1] * F.col(f"m{m}_{i}y") + n[2] * F.col(f"m{m}_{i}z") for i in range(size)]
-    near = [F.abs(d) if but is None else F.when(but != i, F.abs(d)) for i, d in enumerate(dots)]
-    best = F.greatest(*near) if size > 1 else near[0]
-    k, signed = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for i in reversed(range(size)):
-        k, signed = F.when(near[i] == best, F.lit(i)).otherwise(k), F.when(near[i] == best, dots[i]).otherwise(signed)
-    return k, best, signed
+def _placed(met: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """met with, for each model m: dots d{m}_{i} to its centers, the largest size b{m}, and number k{m} and dot s{m} of the first center that has it.
+
+    Each step reads the columns of the step before, so no dot is made twice. A null center is none.
+    """
+    n = angles.vector()
+    real = {m: size for m, size in sizes.items() if size}
+    met = met.withColumns({f"d{m}_{i}": n[0] * F.col(f"m{m}_{i}x") + n[1] * F.col(f"m{m}_{i}y") + n[2] * F.col(f"m{m}_{i}z") for m, size in real.items() for i in range(size)})
+    near = lambda m, size: [F.abs(F.col(f"d{m}_{i}")) for i in range(size)]
+    met = met.withColumns({f"b{m}": F.greatest(*near(m, size)) if size > 1 else near(m, size)[0] for m, size in real.items()})
+
+    def first(m: int, size: int, value) -> Column:  # noqa: ANN001
+        out = F.lit(None)
+        for i in reversed(range(size)):
+            out = F.when(F.abs(F.col(f"d{m}_{i}")) == F.col(f"b{m}"), value(i)).otherwise(out)
+        return out
+
+    return met.withColumns({f"k{m}": first(m, size, F.lit).cast("int") for m, size in real.items()} | {f"s{m}": first(m, size, lambda i, m=m: F.col(f"d{m}_{i}")) for m, size in real.items()})
 
 
 def lloyd_grid(rows: DataFrame, starts: dict[int, DataFrame], rounds: int, weight: str | None = None, settle: bool = False) -> dict[int, DataFrame]:
@@ -95,8 +104,7 @@ def lloyd_grid(rows: DataFrame, starts: dict[int, DataFrame], rounds: int, weigh
     if rounds:
         points = written(rows.select("net", "nx", "ny", "nz", w.alias("w")), "lloyd-rows")
     for i in range(rounds):
-        met = points.join(flat, "net")
-        placed = met.select("net", "nx", "ny", "nz", "w", *(x.alias(f"{name}{m}") for m, size in sizes.items() if size for name, x in zip(("k", "s"), _nearest(n, m, size)[::2])))
+        placed = _placed(points.join(flat, "net"), sizes)
         each = [F.struct(F.lit(m).alias("m"), F.col(f"k{m}").alias("k"), (F.col("w") * angles.sign(F.col(f"s{m}"))).alias("g")) for m, size in sizes.items() if size]
         told = placed.select("net", "nx", "ny", "nz", F.explode(F.array(*each)).alias("p")).filter("p.k is not null")
         sums = told.groupBy("net", F.col("p.m").alias("m"), F.col("p.k").alias("k")).agg(*(F.sum(x * F.col("p.g")).alias(c) for x, c in zip(n, ("sx", "sy", "sz"))))
@@ -236,24 +244,40 @@ def mixture_bic(placed: DataFrame, by: list[str], k: Column) -> DataFrame:
     return sums.withColumn("bic", -2 * F.col("log_likelihood") + (3 * k) * F.log("n"))
 
 
+def well_tables(rows: DataFrame, k: int, rounds: int = 12, centers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each net clustered by itself: rows with set_id, and its table (net, set_id, n, proportion, mx, my, mz, mean_angle, kappa).
+
+    A set's direction is the mean of its rows on the side of its center; a set without rows has no line. kappa follows
+    from the mean angle, and is 1 for a set of one row. Given centers (net, centers) take the place of drawn starts.
+    """
+    flat = written(rows, "well-rows")
+    found = written(lloyd(flat, starting_centers(flat, k) if centers is None else centers, rounds), "well-centers")
+    placed = written(labelled(flat, found).drop("similarities", "similarity"), "well-sets")
+    turned = placed.join(found, "net").withColumn("__c", F.get("centers", F.col("set_id"))).drop("centers")
+    side = angles.aligned(angles.vector(), tuple(F.col("__c")[c] for c in "xyz"))
+    sums = turned.groupBy("net", "set_id").agg(F.count("*").alias("n"), *(F.sum(s).alias(c) for s, c in zip(side, ("sx", "sy", "sz"))))
+    means = written(sums.select("net", "set_id", "n", *(u.alias(f"m{c}") for u, c in zip(angles.unit(angles.vector("s"), 0.0), "xyz"))), "well-means")
+    spread = placed.join(means.drop("n"), ["net", "set_id"]).groupBy("net", "set_id").agg(F.avg(angles.angle(angles.vector(), angles.vector("m"))).alias("mean_angle"))
+    table = means.join(spread, ["net", "set_id"]).withColumn("proportion", F.col("n") / F.sum("n").over(Window.partitionBy("net")))
+    return placed, table.withColumn("kappa", F.when(F.col("n") < 2, 1.0).otherwise(grades.set_kappa(F.col("mean_angle")))).select("net", "set_id", "n", "proportion", "mx", "my", "mz", "mean_angle", "kappa")
+
+
 def grid_scores(rows: DataFrame, found: dict[int, DataFrame]) -> DataFrame:
     """(net, k, n, silhouette, bic) of every clustering found, as silhouette() and mixture_bic(), by two scans for all of them."""
     flat, sizes = _flat_centers(found)
-    flat, n = written(flat, "grid-centers"), angles.vector()
+    flat = written(flat, "grid-centers")
     points = written(rows.select("net", "nx", "ny", "nz"), "grid-rows")
 
     def placed(met: DataFrame, extra: bool) -> DataFrame:
         each = []
         for m, size in sizes.items():
             if size:
-                k, best, _ = _nearest(n, m, size)
-                fields = [F.lit(m).alias("model"), k.alias("set_id"), F.least(F.lit(1.0), best).alias("similarity")]
+                fields = [F.lit(m).alias("model"), F.col(f"k{m}").alias("set_id"), F.least(F.lit(1.0), F.col(f"b{m}")).alias("similarity")]
                 if extra:
-                    real = [F.when(F.col(f"real{m}_{i}"), F.abs(n[0] * F.col(f"m{m}_{i}x") + n[1] * F.col(f"m{m}_{i}y") + n[2] * F.col(f"m{m}_{i}z"))) for i in range(size)]
-                    others = [F.when(k != i, x) for i, x in enumerate(real)]
+                    others = [F.when((F.col(f"k{m}") != i) & F.col(f"real{m}_{i}"), F.abs(F.col(f"d{m}_{i}"))) for i in range(size)]
                     fields.append((F.greatest(*others) if size > 1 else F.lit(None).cast("double")).alias("other"))
                 each.append(F.struct(*fields))
-        return met.select("net", F.explode(F.array(*each)).alias("p")).select("net", "p.*").filter("set_id is not null")
+        return _placed(met, sizes).select("net", F.explode(F.array(*each)).alias("p")).select("net", "p.*").filter("set_id is not null")
 
     sets = written(placed(points.join(flat, "net"), False).groupBy("net", "model", "set_id").agg(F.count("*").alias("m"), F.avg("similarity").alias("r")), "grid-sets")
     names = [(m, i) for m, size in sizes.items() for i in range(size)]
@@ -273,7 +297,14 @@ def grid_scores(rows: DataFrame, found: dict[int, DataFrame]) -> DataFrame:
 
 def grid_clusters(rows: DataFrame, least: int = 2, most: int = 6, rounds: int = 12) -> dict[int, DataFrame]:
     """(net, centers) for every k from least to most, all by the same rounds over the rows."""
-    return lloyd_grid(rows, {k: starting_centers(rows, k) for k in range(least, most + 1)}, rounds)
+    return lloyd_grid(rows, nested_starts(rows, range(least, most + 1)), rounds)
+
+
+def nested_starts(rows: DataFrame, ks: Iterable[int]) -> dict[int, DataFrame]:
+    """starting_centers() for each of ks, all from one search: the farthest first k of the most."""
+    ks = list(ks)
+    most = written(starting_centers(rows, max(ks)), "starts")
+    return {k: most.select("net", F.slice("centers", 1, k).alias("centers")) for k in ks}
 
 
 def choose_k(rows: DataFrame, least: int = 2, most: int = 6, rounds: int = 12) -> DataFrame:

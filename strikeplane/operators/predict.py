@@ -173,10 +173,10 @@ def _set_axes(seen: DataFrame, centers: Centers) -> tuple[DataFrame, DataFrame]:
 
 def observed_centers(rows: DataFrame, ks: tuple[int, ...], rounds: int = 12) -> dict[int, DataFrame]:
     """(net, centers) of each k from the observed rows alone, all k by the same rounds over them."""
-    from .clusters import lloyd_grid, starting_centers
+    from .clusters import lloyd_grid, nested_starts
 
     seen = written(rows.filter("is_obs").select("net", "id", "nx", "ny", "nz"), "observed")
-    return {k: written(c, "observed-centers") for k, c in lloyd_grid(seen, {k: starting_centers(seen, k) for k in ks}, rounds).items()}
+    return {k: written(c, "observed-centers") for k, c in lloyd_grid(seen, nested_starts(seen, ks), rounds).items()}
 
 
 def set_aware_clustered(rows: DataFrame, k: int, rounds: int = 12) -> DataFrame:

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, clusters, decoding, means, order, outcrop, predict
+from ..operators import aggregates, clusters, decoding, fusion, means, order, outcrop, predict
 from ..operators.tables import shared_folder, written
 from ..sources import logs
 from . import views as v
-from .registry import _ERR, _SPREAD, _eigen_sql, query, r, rounded
+from .registry import _ERR, _MATCHED, _SPREAD, _eigen_sql, query, r, rounded
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,3 +264,43 @@ def error_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = predict.errors(predict.nearest_direction(predict.blind(rows)), rows).select("net", "id", F.round("error", 9).alias("error"))
     signs = predict.support(predict.blind(rows)).select("net", "id", F.round("dmin", 9).alias("dmin"), F.round(1 / F.greatest(F.lit(1e-3), "resultant"), 9).alias("unsupported"))
     return rounded(order.rank_correlations(written(found.join(signs, ["net", "id"]), "proxies"), ["net"], "error", ["dmin", "unsupported"]))
+
+
+# wells among each other
+
+_WELLS = (
+    f"{v.MEANS}, {_MATCHED}, sz AS (SELECT well, count(*) AS k FROM tables GROUP BY well), con AS (SELECT a, b, n_matched, (total + (greatest(x.k, y.k) - n_matched) * 90) / greatest(x.k, y.k) AS mean_angle "
+    "FROM (SELECT a, b, count(*) AS n_matched, sum(angle) AS total FROM mat GROUP BY ALL) JOIN sz x ON x.well = a JOIN sz y ON y.well = b), near AS (SELECT * FROM con WHERE mean_angle < 35)"
+)
+
+
+def _well_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(aggregates.set_table(v.log(spark, sf_dir), ["well"], v.reference_centers()).withColumnRenamed("well", "table"), "well-tables")
+
+
+@query(f"WITH {_WELLS} SELECT a, b, n_matched, {r('mean_angle', 'mean_angle')}, CASE WHEN mean_angle < 20 THEN 'consistent' ELSE 'partial' END AS verdict FROM near")
+def well_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two wells whose sets agree, wholly or in part; all other pairs are in conflict."""
+    return rounded(fusion.agreeing(_well_tables(spark, sf_dir), "table"))
+
+
+@query(
+    f"WITH RECURSIVE {_WELLS}, bo AS (SELECT a AS t, b AS o, mean_angle FROM near UNION ALL SELECT b, a, mean_angle FROM near), bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY mean_angle, o) AS n FROM bo) WHERE n = 1), "
+    "told AS (SELECT well AS t, o, coalesce(mean_angle, 999) AS m, CASE WHEN coalesce(mean_angle, 999) < 20 THEN 'joint' WHEN coalesce(mean_angle, 999) < 35 THEN 'pair_only' ELSE 'independent' END AS tier FROM sz LEFT JOIN bp ON t = well), "
+    "ed AS (SELECT a, b FROM near WHERE mean_angle < 20 UNION ALL SELECT t, o FROM told WHERE tier = 'pair_only'), sd AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), rch(t, place) AS (SELECT t, t FROM told UNION SELECT x.t, e.b FROM rch x JOIN sd e ON x.place = e.a), pl AS (SELECT t, min(place) AS pool FROM rch GROUP BY t) "
+    f"SELECT t AS \"table\", {r('m', 'best_angle')}, tier, pool FROM told JOIN pl USING (t)"
+)
+def well_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which wells to pool, by the wells they agree with; one that agrees with none has 999."""
+    tables = _well_tables(spark, sf_dir)
+    return rounded(fusion.joint_pools(written(fusion.agreeing(tables, "table"), "agreeing"), tables))
+
+
+@query()
+def well_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of every well by its own clustering, and the pool that its sets put it in."""
+    rows = v.log(spark, sf_dir).select(F.col("well").alias("net"), F.col("row_id").alias("id"), "nx", "ny", "nz")
+    _, table = clusters.well_tables(rows, len(v.REFERENCE))
+    table = written(table.withColumnRenamed("net", "table"), "well-tables")
+    pools = fusion.joint_pools(written(fusion.agreeing(table, "table"), "agreeing"), table)
+    return rounded(table.join(pools.select("table", "tier", "pool"), "table"), 3)
