@@ -114,13 +114,13 @@ def lloyd_grid(rows: DataFrame, starts: dict[int, DataFrame], rounds: int, weigh
         names = [(m, j, c) for m, size in sizes.items() for j in range(size) for c in "xyz"]
         wide = unit.groupBy("net").agg(*(F.max(F.when((F.col("m") == m) & (F.col("k") == j), F.col(c))).alias(f"n{m}_{j}{c}") for m, j, c in names))
         flat = flat.join(wide, "net", "left").select("net", *(F.coalesce(f"n{m}_{j}{c}", f"m{m}_{j}{c}").alias(f"m{m}_{j}{c}") for m, j, c in names))
-        if i % 4 == 3 or i == rounds - 1:
-            flat = written(flat, "lloyd")
-            if settle:
-                state = flat.agg(F.sum(F.xxhash64("net", *(F.round(f"m{m}_{j}{c}", 12) for m, j, c in names)).cast("decimal(38,0)"))).first()[0]
-                if state == before:
-                    break
-                before = state
+        # the next round reads the centers twice: if they weren't written, all before would run twice as often each round
+        flat = written(flat, "lloyd")
+        if settle and i % 4 == 3:
+            state = flat.agg(F.sum(F.xxhash64("net", *(F.round(f"m{m}_{j}{c}", 12) for m, j, c in names)).cast("decimal(38,0)"))).first()[0]
+            if state == before:
+                break
+            before = state
     center = lambda m, i: F.when(F.col(f"m{m}_{i}x").isNotNull(), F.struct(*(F.col(f"m{m}_{i}{c}").alias(c) for c in "xyz")))
     kind = "array<struct<x:double,y:double,z:double>>"
     return {m: flat.select("net", (F.array_compact(F.array(*(center(m, i) for i in range(size)))) if size else F.expr(f"cast(array() as {kind})")).alias("centers")).filter(F.size("centers") > 0) for m, size in sizes.items()}
