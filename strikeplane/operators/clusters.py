@@ -262,6 +262,22 @@ def well_tables(rows: DataFrame, k: int, rounds: int = 12, centers: DataFrame |
     return placed, table.withColumn("kappa", F.when(F.col("n") < 2, 1.0).otherwise(grades.set_kappa(F.col("mean_angle")))).select("net", "set_id", "n", "proportion", "mx", "my", "mz", "mean_angle", "kappa")
 
 
+def strike_sets(rows: DataFrame, k: int, rounds: int = 12, per_set: int = 10) -> DataFrame:
+    """(net, set_id, n, strike, mx, my, mz, kappa) of sources that know strikes alone (net, id, strike in degrees).
+
+    A strike is taken for a vertical plane, whose normals are clustered as undirected ones, so strikes half a turn
+    apart are one. A source has a set for each per_set of its strikes, one at least and k at most. Such sets only
+    confirm others: their kappa is 0.1 whatever they look like. Null strikes don't count.
+    """
+    known = rows.filter(F.col("strike").isNotNull()).select("net", "id", "strike")
+    flat = written(known.withColumns(dict(zip(("nx", "ny", "nz"), angles.vertical_normal(F.col("strike"))))), "strikes")
+    sizes = flat.groupBy("net").agg(F.least(F.lit(k), F.greatest(F.lit(1), F.floor(F.count("*") / per_set).cast("int"))).alias("__k"))
+    starts = starting_centers(flat, k).join(sizes, "net").select("net", F.slice("centers", F.lit(1), F.col("__k")).alias("centers"))
+    _, table = well_tables(flat, k, rounds, written(starts, "strike-starts"))
+    along = F.degrees(F.atan2("my", "mx"))  # the strike lies a quarter turn from the normal
+    return table.select("net", "set_id", "n", F.pmod(-along, F.lit(180.0)).alias("strike"), "mx", "my", F.lit(0.0).alias("mz"), F.lit(0.1).alias("kappa"))
+
+
 def grid_scores(rows: DataFrame, found: dict[int, DataFrame]) -> DataFrame:
     """(net, k, n, silhouette, bic) of every clustering found, as silhouette() and mixture_bic(), by two scans for all of them."""
     flat, sizes = _flat_centers(found)

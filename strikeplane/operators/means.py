@@ -198,3 +198,29 @@ def modal_interval(rows: DataFrame, by: list[str], resamples: int = 200, level:
     told = resampled(bare.join(means, by), by, resamples, level, seed, False).join(means, by)
     one = F.col("n") < 2
     return told.select(*by, "n", "mx", "my", "mz", F.when(one, 0.0).otherwise(F.col("low")).alias("ci_low"), F.when(one, 0.0).otherwise(F.col("high")).alias("ci_high"), F.when(one, 0.0).otherwise(F.col("high")).alias("ci_half_width"))
+
+
+def fisher_fit(rows: DataFrame, by: list[str], most: float = 1000.0) -> DataFrame:
+    """(by, n, mx, my, mz, r, kappa): mean direction and concentration of directed unit vectors, by maximum likelihood.
+
+    kappa solves coth(kappa) - 1 / kappa = r, the length of the mean vector, up to `most`, and is then lowered by
+    n / (n + 2.5), as small groups look too concentrated. A group of one row has the vertical and 0; one whose vectors
+    cancel out has 0. One sum over the rows.
+    """
+    sums = rows.dropna(subset=["nx", "ny", "nz"]).groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(f"n{c}").alias(f"s{c}") for c in "xyz"))
+    kinds = {f.name: f.dataType.simpleString() for f in sums.schema}
+
+    def solved(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            s, n = pdf[["sx", "sy", "sz"]].to_numpy(float), pdf["n"].to_numpy()
+            r = np.linalg.norm(s, axis=1)
+            low, high = np.full(len(r), 1e-6), np.full(len(r), most)
+            for _ in range(80):
+                k = (low + high) / 2
+                under = 1 / np.tanh(k) - 1 / k < r
+                low, high = np.where(under, k, low), np.where(under, high, k)
+            none = (r < 1e-6) | (n < 2)
+            unit = np.where((n < 2)[:, None], [0.0, 0.0, 1.0], s / np.maximum(r, 1e-12)[:, None])
+            yield pdf[[*by, "n"]].assign(mx=unit[:, 0], my=unit[:, 1], mz=unit[:, 2], r=r, kappa=np.where(none, 0.0, (low + high) / 2 * n / (n + 2.5)))
+
+    return sums.mapInPandas(solved, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, mx double, my double, mz double, r double, kappa double")

@@ -304,3 +304,21 @@ def well_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = written(table.withColumnRenamed("net", "table"), "well-tables")
     pools = fusion.joint_pools(written(fusion.agreeing(table, "table"), "agreeing"), table)
     return rounded(table.join(pools.select("table", "tier", "pool"), "table"), 3)
+
+
+@query(
+    f"WITH {v.ASSIGNED}, u AS (SELECT well, set_id, count(*) AS n, avg(nx) AS x, avg(ny) AS y, avg(nz) AS z FROM assigned GROUP BY ALL), q AS (SELECT *, sqrt(x*x+y*y+z*z) AS r FROM u), "
+    "b AS (SELECT *, list_reduce(list_transform(range(80), lambda i: {'lo': 1e-6::DOUBLE, 'hi': 1000.0::DOUBLE}), lambda a, i: CASE WHEN 1 / ((exp(a.lo + a.hi) - 1) / (exp(a.lo + a.hi) + 1)) - 2 / (a.lo + a.hi) < r THEN {'lo': (a.lo + a.hi) / 2, 'hi': a.hi} ELSE {'lo': a.lo, 'hi': (a.lo + a.hi) / 2} END) AS k FROM (SELECT * FROM q WHERE r < 0.995)) "
+    f"SELECT well, set_id, n, {r('r', 'r')}, {r('CASE WHEN n < 2 OR r < 1e-6 THEN 0 ELSE (k.lo + k.hi) / 2 * n / (n + 2.5::DOUBLE) END', 'kappa', 3)} FROM b"
+)
+def fisher_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concentrations of every well's sets as directed vectors, where their mean is shorter than 0.995."""
+    found = means.fisher_fit(_assigned(spark, sf_dir), ["well", "set_id"])
+    return found.filter("r < 0.995").select("well", "set_id", "n", *((F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("r", 4), ("kappa", 3))))
+
+
+@query()
+def strike_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of the strikes alone of every well's planes."""
+    rows = v.log(spark, sf_dir).select(F.col("well").alias("net"), F.col("row_id").alias("id"), F.pmod(F.col("dip_dir") - 90, F.lit(180.0)).alias("strike"))
+    return rounded(clusters.strike_sets(rows, 4), 3)
