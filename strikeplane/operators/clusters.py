@@ -70,24 +70,31 @@ def _flat_centers(starts: dict[int, DataFrame]) -> tuple[DataFrame, dict[int, in
     return flat, sizes
 
 
-def _placed(met: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """met with, for each model m: dots d{m}_{i} to its centers, the largest size b{m}, and number k{m} and dot s{m} of the first center that has it.
+def _placing(sizes: dict[int, int]) -> list[dict[str, Column]]:
+    """Columns that place a row, to be added one step after the other so that no dot is made twice.
 
-    Each step reads the columns of the step before, so no dot is made twice. A null center is none.
+    For each model m: dots d{m}_{i} to its centers, the largest size b{m}, and number k{m} and dot s{m} of the first
+    center that has it. A null center is none.
     """
     n = angles.vector()
     real = {m: size for m, size in sizes.items() if size}
-    met = met.withColumns({f"d{m}_{i}": n[0] * F.col(f"m{m}_{i}x") + n[1] * F.col(f"m{m}_{i}y") + n[2] * F.col(f"m{m}_{i}z") for m, size in real.items() for i in range(size)})
-    near = lambda m, size: [F.abs(F.col(f"d{m}_{i}")) for i in range(size)]
-    met = met.withColumns({f"b{m}": F.greatest(*near(m, size)) if size > 1 else near(m, size)[0] for m, size in real.items()})
-
-    def first(m: int, size: int, value) -> Column:  # noqa: ANN001
-        out = F.lit(None)
+    dots = {f"d{m}_{i}": n[0] * F.col(f"m{m}_{i}x") + n[1] * F.col(f"m{m}_{i}y") + n[2] * F.col(f"m{m}_{i}z") for m, size in real.items() for i in range(size)}
+    near = {m: [F.abs(F.col(f"d{m}_{i}")) for i in range(size)] for m, size in real.items()}
+    best = {f"b{m}": F.greatest(*near[m]) if size > 1 else near[m][0] for m, size in real.items()}
+    first = {}
+    for m, size in real.items():
+        k, dot = F.lit(None).cast("int"), F.lit(None).cast("double")
         for i in reversed(range(size)):
-            out = F.when(F.abs(F.col(f"d{m}_{i}")) == F.col(f"b{m}"), value(i)).otherwise(out)
-        return out
+            same = near[m][i] == F.col(f"b{m}")
+            k, dot = F.when(same, F.lit(i)).otherwise(k), F.when(same, F.col(f"d{m}_{i}")).otherwise(dot)
+        first |= {f"k{m}": k, f"s{m}": dot}
+    return [dots, best, first]
+
 
-    return met.withColumns({f"k{m}": first(m, size, F.lit).cast("int") for m, size in real.items()} | {f"s{m}": first(m, size, lambda i, m=m: F.col(f"d{m}_{i}")) for m, size in real.items()})
+def _placed(met: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    for step in steps:
+        met = met.withColumns(step)
+    return met
 
 
 def lloyd_grid(rows: DataFrame, starts: dict[int, DataFrame], rounds: int, weight: str | None = None, settle: bool = False) -> dict[int, DataFrame]:
@@ -103,17 +110,19 @@ def lloyd_grid(rows: DataFrame, starts: dict[int, DataFrame], rounds: int, weigh
     before = None
     if rounds:
         points = written(rows.select("net", "nx", "ny", "nz", w.alias("w")), "lloyd-rows")
+    steps = _placing(sizes)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(f"k{m}").alias("k"), (F.col("w") * angles.sign(F.col(f"s{m}"))).alias("g")) for m, size in sizes.items() if size))).alias("p")
+    names = [(m, j, c) for m, size in sizes.items() for j in range(size) for c in "xyz"]
+    key = lambda m, j: m * 1000 + j
+    moved = [F.coalesce(F.try_element_at("__new", F.lit(key(m, j)))[c], F.col(f"m{m}_{j}{c}")).alias(f"m{m}_{j}{c}") for m, j, c in names]
     for i in range(rounds):
-        placed = _placed(points.join(flat, "net"), sizes)
-        each = [F.struct(F.lit(m).alias("m"), F.col(f"k{m}").alias("k"), (F.col("w") * angles.sign(F.col(f"s{m}"))).alias("g")) for m, size in sizes.items() if size]
-        told = placed.select("net", "nx", "ny", "nz", F.explode(F.array(*each)).alias("p")).filter("p.k is not null")
+        told = _placed(points.join(flat, "net"), steps).select("net", "nx", "ny", "nz", each).filter("p.k is not null")
         sums = told.groupBy("net", F.col("p.m").alias("m"), F.col("p.k").alias("k")).agg(*(F.sum(x * F.col("p.g")).alias(c) for x, c in zip(n, ("sx", "sy", "sz"))))
         s = angles.vector("s")
         # a sum that cancels out has no direction: its center stays
-        unit = sums.filter(angles.length(s) > 1e-12).select("net", "m", "k", *(u.alias(c) for u, c in zip(angles.unit(s, 0.0), "xyz")))
-        names = [(m, j, c) for m, size in sizes.items() for j in range(size) for c in "xyz"]
-        wide = unit.groupBy("net").agg(*(F.max(F.when((F.col("m") == m) & (F.col("k") == j), F.col(c))).alias(f"n{m}_{j}{c}") for m, j, c in names))
-        flat = flat.join(wide, "net", "left").select("net", *(F.coalesce(f"n{m}_{j}{c}", f"m{m}_{j}{c}").alias(f"m{m}_{j}{c}") for m, j, c in names))
+        unit = sums.filter(angles.length(s) > 1e-12).select("net", key(F.col("m"), F.col("k")).alias("key"), F.struct(*(u.alias(c) for u, c in zip(angles.unit(s, 0.0), "xyz"))).alias("c"))
+        new = unit.groupBy("net").agg(F.map_from_entries(F.collect_list(F.struct("key", "c"))).alias("__new"))
+        flat = flat.join(new, "net", "left").select("net", *moved)
         # the next round reads the centers twice: if they weren't written, all before would run twice as often each round
         flat = written(flat, "lloyd")
         if settle and i % 4 == 3:
@@ -281,7 +290,7 @@ def strike_sets(rows: DataFrame, k: int, rounds: int = 12, per_set: int = 10) ->
 def grid_scores(rows: DataFrame, found: dict[int, DataFrame]) -> DataFrame:
     """(net, k, n, silhouette, bic) of every clustering found, as silhouette() and mixture_bic(), by two scans for all of them."""
     flat, sizes = _flat_centers(found)
-    flat = written(flat, "grid-centers")
+    flat, steps = written(flat, "grid-centers"), _placing(sizes)
     points = written(rows.select("net", "nx", "ny", "nz"), "grid-rows")
 
     def placed(met: DataFrame, extra: bool) -> DataFrame:
@@ -293,7 +302,7 @@ def grid_scores(rows: DataFrame, found: dict[int, DataFrame]) -> DataFrame:
                     others = [F.when((F.col(f"k{m}") != i) & F.col(f"real{m}_{i}"), F.abs(F.col(f"d{m}_{i}"))) for i in range(size)]
                     fields.append((F.greatest(*others) if size > 1 else F.lit(None).cast("double")).alias("other"))
                 each.append(F.struct(*fields))
-        return _placed(met, sizes).select("net", F.explode(F.array(*each)).alias("p")).select("net", "p.*").filter("set_id is not null")
+        return _placed(met, steps).select("net", F.explode(F.array(*each)).alias("p")).select("net", "p.*").filter("set_id is not null")
 
     sets = written(placed(points.join(flat, "net"), False).groupBy("net", "model", "set_id").agg(F.count("*").alias("m"), F.avg("similarity").alias("r")), "grid-sets")
     names = [(m, i) for m, size in sizes.items() for i in range(size)]

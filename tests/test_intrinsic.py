@@ -165,6 +165,8 @@ def test_grid_equals_one_k_at_a_time(spark):
             assert scores[r.net, k] == pytest.approx((r.n, r.silhouette, r.bic), abs=1e-9)
     chosen = clusters.choose_k(df, 2, 5, 6).filter("chosen").collect()
     assert {r.net: r.k for r in chosen}[0] == 3 and all(r.k < r.n for r in chosen)
+    joint = clusters.joint_choose_k(df.withColumn("site", F.lit("s")), "site", 2, 4, 5).collect()
+    assert {r.site for r in joint} == {"s"} and {r.n for r in joint} == {93} and [r.k for r in joint if r.chosen][0] in (3, 4)
     fused = {r.net: r for r in clusters.fused_k(clusters.choose_k(df, 2, 5, 6), df.withColumn("kind", F.when(F.col("id") < 20, "induced").when(F.col("id") < 80, "natural")), "kind", {"induced": 1}).collect()}
     assert (fused[0].k_data, fused[0].k, fused[0].per_kind) == (8, 3, {"induced": 1, "natural": 5})
 

@@ -10,7 +10,7 @@ import pytest
 from strikeplane.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SLOW = {"percolation", "choose_k", "joint_pools"}
+SLOW = {"percolation", "choose_k", "joint_k", "joint_pools"}
 
 
 @pytest.fixture(scope="module")
