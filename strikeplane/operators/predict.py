@@ -197,11 +197,33 @@ def top_two_ensemble(rows: DataFrame, ks: tuple[int, ...] = (4, 3, 5, 6), near:
     found = written(neighbours.nearest(rest, some, near), "nearest")
     centers = observed_centers(enough, ks, rounds)
     mixed = fused([_two_mixed(found, some, centers[k], 0.8, 0.6) for k in ks])
-    few = seen.join(sizes.filter("n < 4"), "net")
+    return mixed.unionByName(_plain_means(seen.join(sizes.filter("n < 4"), "net"), hidden))
+
+
+def _plain_means(few: DataFrame, hidden: DataFrame) -> DataFrame:
+    """For hidden rows the mean of their net's observed normals, each on the side of the net's first, r."""
     side = angles.aligned(angles.vector(), tuple(F.col("r")[f"n{c}"] for c in "xyz"))
     means = few.groupBy("net").agg(*(F.sum(s).alias(c) for s, c in zip(side, ("sx", "sy", "sz"))))
-    alone = hidden.select("net", "id").join(means.select("net", *(u.alias(f"q{c}") for u, c in zip(angles.unit(angles.vector("s"), 1e-12), "xyz"))), "net").select("net", "id", "qx", "qy", "qz")
-    return mixed.unionByName(alone)
+    axes = means.select("net", *(u.alias(f"q{c}") for u, c in zip(angles.unit(angles.vector("s"), 1e-12), "xyz")))
+    return hidden.select("net", "id").join(axes, "net").select("net", "id", "qx", "qy", "qz")
+
+
+def semantic(rows: DataFrame, centers: Centers, k: int = 6, blend: float = 0.5) -> DataFrame:
+    """The nearest observed row's normal, drawn to the mean of its set by `blend` (0: the normal alone).
+
+    Sets are those of observed rows around centers, of k sets. Means are turned to the side of that normal. A net of
+    fewer than 4 observed rows (or than k, if that is less) takes the mean of their normals; without any it has none.
+    """
+    seen, hidden = _split(rows)
+    sizes = written(seen.groupBy("net").agg(F.count("*").alias("n"), F.min_by(F.struct("nx", "ny", "nz"), "id").alias("r")), "observed-sizes")
+    few = F.col("n") < min(4, k)
+    some, rest = _split(rows.join(sizes.filter(~few).select("net"), "net", "left_semi"))
+    sets, axes = _set_axes(some, centers)
+    near = neighbours.nearest(rest, some, 1).join(sets, ["net", "other"]).join(axes, "net")
+    mean = _turned(F.element_at("axes", F.col("set_id")))
+    mixed = angles.unit(tuple(blend * a + b for a, b in zip(mean, angles.vector("m"))), 1e-12)
+    drawn = near.select("net", "id", *(x.alias(f"q{c}") for x, c in zip(mixed, "xyz")))
+    return drawn.unionByName(_plain_means(seen.join(sizes.filter(few), "net"), hidden))
 
 
 def global_median_direction(rows: DataFrame, rounds: int = 40) -> DataFrame:

@@ -886,4 +886,4 @@ def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.fine_grid(_bands(spark, sf_dir), ["well"], "est_lo", "est_hi")
 
 
-from . import intrinsic  # noqa: E402, F401  registers its queries
+from . import intrinsic, surveyed  # noqa: E402, F401  register their queries

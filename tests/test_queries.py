@@ -10,7 +10,7 @@ import pytest
 from strikeplane.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SLOW = {"percolation", "choose_k", "decoded_sets", "joint_k", "joint_pools", "well_sets"}
+SLOW = {"block_survey", "percolation", "choose_k", "decoded_sets", "joint_k", "joint_pools", "well_sets"}
 
 
 @pytest.fixture(scope="module")
