@@ -6,6 +6,8 @@ equi-join. Spark shuffles cells, so no two points far apart are ever compared.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,12 @@ from .tables import written
 
 #: A cell should hold about this many times k points.
 _FILL = 2.0
-#: Rounds, each with cells three times as wide, before what is left is compared with its whole net.
-_ROUNDS = 4
+#: A cell with more than this many times k + 1 places is dense, and its net takes narrower cells.
+_DENSE = 32
+#: Cells a net may have along an axis, from zero to its farthest place: doubles tell no more apart.
+_MOST_CELLS = 2.0**50
+#: Rows of one part of a net, where a query meets all of it.
+_PART = 65536
 
 
 def squared(a: str, b: str) -> Column:
@@ -34,45 +40,77 @@ def _around(points: DataFrame) -> DataFrame:
     return points
 
 
-def nearest(queries: DataFrame, data: DataFrame, k: int, own: bool = False) -> DataFrame:
-    """(net, id, rank, other, d2): each query's k nearest rows of data in its net, ties to the smaller id.
+def _placed(points: DataFrame) -> DataFrame:
+    return points.select("net", "id", "px", "py", "pz").dropna(subset=["net", "px", "py", "pz"])
+
+
+def _cells(points: DataFrame, side: Column) -> DataFrame:
+    return points.withColumns({g: _cell(side, c) for c, g in (("px", "cx"), ("py", "cy"), ("pz", "cz"))})
+
+
+def _sides(places: DataFrame, k: int) -> DataFrame:
+    """(net, __side, __span, __parts): a side of cells for each net at which no cell holds many times k places.
 
-    queries and data have net, id, px, py, pz. own says whether a row with the query's id counts. Cells start at
-    a side that holds a few times k points where they lie evenly; a query is done when its kth neighbour is
-    closer than the cells reach, and else tries cells of three times the side. So results are exact.
+    It starts at one that holds a few times k where places lie evenly. While a cell of a net holds more than `_DENSE`
+    times k + 1, the net's side goes down to a third, and only places of such cells are counted again; so an outlier,
+    which makes the span wide, or a dense spot costs some counts and not a cell with most of the rows.
     """
-    span = data.groupBy("net").agg(
+    span = places.groupBy("net").agg(
         F.count("*").alias("__n"),
         F.greatest(*(F.max(c) - F.min(c) for c in ("px", "py", "pz")), F.lit(1e-9)).alias("__span"),
+        F.greatest(*(F.max(F.abs(F.col(c))) for c in ("px", "py", "pz"))).alias("__far"),
     )
     side = F.col("__span") * F.pow(F.least(F.lit(1.0), F.lit(_FILL * k) / F.col("__n")), F.lit(1 / 3))
-    sides = written(span.select(F.col("net"), side.alias("__side"), "__span", "__n"), "near-sides")
-    left = queries.select("net", "id", "px", "py", "pz")
+    sides = written(span.select("net", side.alias("__side"), "__span", (F.col("__far") / _MOST_CELLS).alias("__least"), F.ceil(F.col("__n") / _PART).cast("int").alias("__parts")), "near-sides")
+    dense = places.drop("id")
+    while True:
+        open_sides = sides.filter(F.col("__side") / 3 > F.col("__least")).select("net", "__side")
+        counted = _cells(dense.join(open_sides, "net"), F.col("__side")).drop("__side")
+        heavy = written(counted.groupBy("net", "cx", "cy", "cz").agg(F.count("*").alias("n")).filter(F.col("n") > _DENSE * (k + 1)), "near-dense").drop("n")
+        if heavy.isEmpty():
+            return sides.drop("__least")
+        dense = written(counted.join(heavy, ["net", "cx", "cy", "cz"], "left_semi").select("net", "px", "py", "pz"), "near-dense")
+        narrow = heavy.select("net").distinct().withColumn("__narrow", F.lit(True))
+        sides = written(sides.join(narrow, "net", "left").withColumn("__side", F.when(F.col("__narrow"), F.col("__side") / 3).otherwise(F.col("__side"))).drop("__narrow"), "near-sides")
+
+
+def nearest(queries: DataFrame, data: DataFrame, k: int, own: bool = False) -> DataFrame:
+    """(net, id, rank, other, d2): each query's k nearest rows of data in its net, ties to the smaller id.
+
+    queries and data have net, id, px, py, pz. own says whether a row with the query's id counts. A query meets the
+    rows in its cell and the 26 around it; it is done when its kth neighbour is closer than the cells reach, and else
+    tries cells of three times the side, in the end all of its net in parts of `_PART` rows. So results are exact.
+    Of rows at one place only the k + 1 of smallest id can be among the nearest, so copies don't meet each other
+    all. Rows with a null net or place take no part; a query whose net has no data has no neighbours.
+    """
+    same = Window.partitionBy("net", "px", "py", "pz").orderBy("id")
+    places = written(_placed(data).withColumn("__c", F.row_number().over(same)).filter(F.col("__c") <= k + 1).drop("__c"), "near-places")
+    sides = _sides(places, k)
+    left = _placed(queries).join(sides.select("net"), "net", "left_semi")
     done: DataFrame | None = None
-    for i in range(_ROUNDS + 1):
-        s = F.col("__side") * (3**i)
-        whole = i == _ROUNDS  # one cell for each net
-        cells = lambda df: df.join(sides, "net").withColumns({g: F.lit(0) if whole else _cell(s, c) for c, g in (("px", "cx"), ("py", "cy"), ("pz", "cz"))})  # noqa: E731,B023
-        q, d = cells(left).drop("__side", "__span"), cells(data.select("net", "id", "px", "py", "pz")).drop("__side", "__span", "__n")
-        q = q.withColumnsRenamed({"cx": "gx", "cy": "gy", "cz": "gz"}) if whole else _around(q).drop("cx", "cy", "cz")
-        d = d.withColumnsRenamed({"cx": "gx", "cy": "gy", "cz": "gz"})
-        met = q.alias("q").join(d.alias("d"), ["net", "gx", "gy", "gz"])
+    for i in count():
+        s = F.col("__side") * (3.0**i)
+        whole = s >= F.col("__span")  # one cell for each net, in parts
+        parts = F.when(whole, F.col("__parts")).otherwise(F.lit(1))
+        filed = lambda df: df.join(sides, "net").withColumns({g: F.when(whole, F.lit(0)).otherwise(_cell(s, c)) for c, g in (("px", "cx"), ("py", "cy"), ("pz", "cz"))} | {"__all": parts})  # noqa: E731,B023
+        q = _around(filed(left)).filter((F.col("__all") == 1) | ((F.col("gx") == 0) & (F.col("gy") == 0) & (F.col("gz") == 0)))
+        q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("__all") - 1))).select("net", "id", "px", "py", "pz", "gx", "gy", "gz", "part")
+        d = filed(places).withColumn("part", F.pmod(F.xxhash64("id"), F.col("__all")).cast("int")).select("net", "id", "px", "py", "pz", *(F.col(c).alias(g) for c, g in (("cx", "gx"), ("cy", "gy"), ("cz", "gz"))), "part")
+        met = q.alias("q").join(d.alias("d"), ["net", "gx", "gy", "gz", "part"])
         if not own:
             met = met.filter(F.col("q.id") != F.col("d.id"))
         w = Window.partitionBy("net", "id").orderBy("d2", "other")
         ranked = written(
-            met.select("net", F.col("q.id").alias("id"), F.col("d.id").alias("other"), squared("q", "d").alias("d2"), "__n")
-            .withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k),
+            met.select("net", F.col("q.id").alias("id"), F.col("d.id").alias("other"), squared("q", "d").alias("d2")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k),
             "near-ranked",
         )
-        if whole:
-            return ranked.drop("__n").select("net", "id", "rank", "other", "d2") if done is None else done.unionByName(ranked.select("net", "id", "rank", "other", "d2"))
-        # sure: k found within the distance that the cells around a point cover
-        reach = ranked.groupBy("net", "id").agg(F.count("*").alias("__got"), F.max("d2").alias("__far")).join(sides, "net").filter((F.col("__got") >= k) & (F.col("__far") <= s * s)).select("net", "id")
-        sure = ranked.join(reach, ["net", "id"], "left_semi").select("net", "id", "rank", "other", "d2")
-        done = sure if done is None else done.unionByName(sure)
-        left = written(left.join(reach, ["net", "id"], "left_anti"), "near-left")
+        # sure: k found within the distance that the cells around a point cover, or all of the net seen
+        found = ranked.groupBy("net", "id").agg(F.count("*").alias("__got"), F.max("d2").alias("__far")).join(sides, "net")
+        sure = found.filter(whole | ((F.col("__got") >= k) & (F.col("__far") <= s * s))).select("net", "id")
+        told = ranked.join(sure, ["net", "id"], "left_semi").select("net", "id", "rank", "other", "d2")
+        done = told if done is None else done.unionByName(told)
+        open_nets = sides.filter(~whole).select("net")
+        left = written(left.join(sure, ["net", "id"], "left_anti").join(open_nets, "net", "left_semi"), "near-left")
         if left.isEmpty():
             return done
     raise AssertionError
