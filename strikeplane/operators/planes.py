@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ _PLANE = ("ax", "ay", "az", "ux", "uy", "uz")
 _AXES = ("xx", "xy", "xz", "yy", "yz", "zz")
 #: Points of one part of a cloud; planes meet the points part by part, so a large cloud is many tasks.
 _PART = 65536
+#: Points that meet all tries at once in a task.
+_CHUNK = 4096
 
 
 def least_inliers(n: Column, wanted: int) -> Column:
@@ -56,11 +60,39 @@ def _fitted(points: DataFrame, by: list[str]) -> DataFrame:
     return flat.join(moments.select(*by, "ax", "ay", "az"), by)
 
 
-def _closest(points: DataFrame, planes: DataFrame, clouds: DataFrame) -> DataFrame:
-    """(net, id, plane, off): each point's nearest plane, the first of equals; points of clouds without planes are left out."""
-    met = points.join(_spread(planes, clouds), ["net", "part"])
-    near = F.min(F.struct(_off().alias("off"), "plane"))
-    return met.groupBy("net", "id").agg(near.alias("b")).select("net", "id", F.col("b.plane").alias("plane"), F.col("b.off").alias("off"))
+def _inliers(points: DataFrame, tried: DataFrame, clouds: DataFrame) -> DataFrame:
+    """(net, h, n): how many points lie within their tolerance of each plane tried, of planes with any.
+
+    A part of a cloud meets the planes tried on it in one task, some thousand points at a time; what leaves the task is
+    a count for each plane, so no row is made for a point and a plane.
+    """
+
+    def count(part: pd.DataFrame, planes: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(len(planes), dtype=np.int64)
+        for first in range(0, len(part) if len(planes) else 0, _CHUNK):
+            some = part.iloc[first : first + _CHUNK]
+            off = np.zeros((len(some), len(planes)))
+            for c in "xyz":
+                off += (some[f"p{c}"].to_numpy()[:, None] - planes[f"a{c}"].to_numpy()) * planes[f"u{c}"].to_numpy()
+            n += (np.abs(off) < some["tol"].to_numpy()[:, None]).sum(0)
+        return pd.DataFrame({"net": planes["net"], "h": planes["h"], "n": n})[n > 0]
+
+    kinds = {f.name: f.dataType.simpleString() for f in tried.schema}
+    parts = points.select("net", "part", "px", "py", "pz", "tol").groupBy("net", "part")
+    told = parts.cogroup(_spread(tried, clouds).groupBy("net", "part")).applyInPandas(count, f"net {kinds['net']}, h int, n long")
+    return told.groupBy("net", "h").agg(F.sum("n").alias("n"))
+
+
+def _closest(points: DataFrame, planes: DataFrame) -> DataFrame:
+    """(net, id, plane, off): each point's nearest plane, the first of equals; points of clouds without planes are left out.
+
+    A cloud's planes, as many as ransac_planes() may find, go to its points as one list.
+    """
+    listed = planes.groupBy("net").agg(F.collect_list(F.struct("plane", *_PLANE)).alias("__planes"))
+    p = angles.vector("p")
+    off = lambda q: F.abs(sum(((x - q[f"a{c}"]) * q[f"u{c}"] for x, c in zip(p, "xyz")), F.lit(0.0)))
+    near = F.array_min(F.transform("__planes", lambda q: F.struct(off(q).alias("off"), q["plane"].alias("plane"))))
+    return points.join(listed, "net").select("net", "id", near.alias("b")).select("net", "id", F.col("b.plane").alias("plane"), F.col("b.off").alias("off"))
 
 
 def ransac_planes(rows: DataFrame, tolerance: float | None = None, scale: float = 2.5, tries: int = 200, most: int = 20, wanted: int = 30, reach: float = 5.0, refits: int = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +120,7 @@ def ransac_planes(rows: DataFrame, tolerance: float | None = None, scale: float
     left, found, held = points, None, None
     for i in range(most):
         tried = written(_proposals(left, tries, seed + i), "proposals")
-        scored = left.join(_spread(tried, clouds), ["net", "part"]).filter(_off() < F.col("tol"))
-        counts = scored.groupBy("net", "h").agg(F.count("*").alias("n"))
+        counts = _inliers(left, tried, clouds)
         enough = left.groupBy("net").agg(F.count("*").alias("m")).join(clouds.select("net", "need"), "net").filter("m > greatest(50, need)")
         best = counts.groupBy("net").agg(F.max(F.struct("n", (-F.col("h")).alias("o"))).alias("b")).select("net", F.col("b.n").alias("n"), (-F.col("b.o")).alias("h"))
         won = written(best.join(enough, "net").filter("n >= need").join(tried, ["net", "h"]).select("net", *_PLANE), "won")
@@ -112,13 +143,13 @@ def ransac_planes(rows: DataFrame, tolerance: float | None = None, scale: float
     planes, labels = written(found, "planes"), written(held, "cloud-labels")
     tol = points.select("net", "id", "tol")
     bare = points.join(labels, ["net", "id"], "left_anti")
-    near = _closest(bare, planes, clouds).join(tol, ["net", "id"]).filter(F.col("off") < reach * F.col("tol")).select("net", "id", "plane")
+    near = _closest(bare, planes).join(tol, ["net", "id"]).filter(F.col("off") < reach * F.col("tol")).select("net", "id", "plane")
     labels = written(labels.unionByName(near), "cloud-labels")
     for _ in range(refits):
         fit = _fitted(points.join(labels, ["net", "id"]), ["net", "plane"]).withColumnsRenamed({f"a{c}": f"b{c}" for c in "xyz"})
         places_of = {f"a{c}": F.coalesce(f"b{c}", f"a{c}") for c in "xyz"} | {f"u{c}": F.coalesce(f"f{c}", f"u{c}") for c in "xyz"}
         planes = written(planes.join(fit, ["net", "plane"], "left").select("net", "plane", *(x.alias(c) for c, x in places_of.items())), "planes")
-        labels = written(_closest(points, planes, clouds).join(tol, ["net", "id"]).filter(F.col("off") < reach * F.col("tol")).select("net", "id", "plane"), "cloud-labels")
+        labels = written(_closest(points, planes).join(tol, ["net", "id"]).filter(F.col("off") < reach * F.col("tol")).select("net", "id", "plane"), "cloud-labels")
     return rows.select("net", "id").join(labels, ["net", "id"], "left").withColumn("plane", F.coalesce("plane", F.lit(-1))), planes
 
 
