@@ -72,11 +72,11 @@ def surfaces(found: DataFrame, prefix: str = "outcrop", weight: float = 1.0) ->
 def segments(points: DataFrame, prefix: str = "point_cloud", weight: float = 1.0) -> DataFrame:
     """An entry for each segment of clouds (net, id, nx, ny, nz, seg_id): the mean of its normals on the side of its first by id.
 
-    Segments are numbered from 0 in each cloud by seg_id. A negative or null seg_id is none. A segment whose normals
+    id may be of any type that has an order; of rows with one id the one of least nx, ny, nz is the first. Segments are numbered from 0 in each cloud by seg_id. A negative or null seg_id is none. A segment whose normals
     cancel out has no entry, but keeps its number.
     """
     own = points.filter((F.col("seg_id") >= 0) & (angles.length(angles.vector()) > 1e-12)).select("net", "id", "seg_id", "nx", "ny", "nz")
-    first = own.groupBy("net", "seg_id").agg(F.min_by(F.struct("nx", "ny", "nz"), "id").alias("r"))
+    first = own.groupBy("net", "seg_id").agg(F.min_by(F.struct("nx", "ny", "nz"), F.struct("id", "nx", "ny", "nz")).alias("r"))
     side = angles.aligned(angles.vector(), tuple(F.col("r")[f"n{c}"] for c in "xyz"))
     sums = own.join(first, ["net", "seg_id"]).groupBy("net", "seg_id").agg(F.count("*").alias("n_points"), *(F.avg(s).alias(k) for s, k in zip(side, ("nx", "ny", "nz"))))
     numbered = sums.withColumn("__i", F.row_number().over(Window.partitionBy("net").orderBy("seg_id")) - 1).filter(angles.length(angles.vector()) > 1e-12)

@@ -162,8 +162,9 @@ def evidence_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT 'point_cloud_' || net || '_s' || (row_number() OVER (PARTITION BY net ORDER BY seg_id) - 1) AS source_name, n_points::DOUBLE AS n_points, {r('x / sqrt(x*x+y*y+z*z)', 'nx')}, {r('y / sqrt(x*x+y*y+z*z)', 'ny')}, {r('z / sqrt(x*x+y*y+z*z)', 'nz')} FROM s"
 )
 def segment_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An entry for each segment of clouds that come with normals."""
+    """An entry for each segment of clouds that come with normals; of rows with one id the first in the table counts as the first."""
     lines = v.table(spark, sf_dir, "lineitem")
+    place = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     n = angles.normal(F.pmod(F.col("l_quantity") * 7 + F.col("l_partkey"), F.lit(91)).cast("double"), F.pmod(F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11, F.lit(360)).cast("double"))
-    points = lines.select(F.col("l_returnflag").alias("net"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") + 3).alias("seg_id"), *(x.alias(f"n{c}") for x, c in zip(n, "xyz")))
+    points = lines.select(F.col("l_returnflag").alias("net"), place.alias("id"), (F.col("l_linenumber") + 3).alias("seg_id"), *(x.alias(f"n{c}") for x, c in zip(n, "xyz")))
     return rounded(evidence.segments(points).select("source_name", F.try_element_at("meta", F.lit("n_points")).alias("n_points"), "nx", "ny", "nz"))

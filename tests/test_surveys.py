@@ -129,3 +129,24 @@ def test_consistency_counts(spark):
     schema = "set_a int, set_b int, angle double, light string, outcome string"
     assert tuple(evidence.consistency_counts(spark.createDataFrame(rows, schema)).first()) == (1, 2, 1, 1, 2, 1)
     assert tuple(evidence.consistency_counts(spark.createDataFrame([], schema)).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_segments_of_rows_with_one_id(spark, tmp_path):
+    """Of rows that share the least id the first in the table turns the segment, wherever its parts were read."""
+    from strikeplane.plans import registry, surveyed
+
+    rows = [(0, 0, i, 1, 1.0 * (i % 50), "A") for i in range(40)]
+    rows += [(0, 1, 7, 1, float(q), "B") for q in (3, 40, 21, 12, 33)] + [(1, 1, 8, 1, float(q), "B") for q in range(30)]
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(registry.ORACLE_SQL["segment_entries"]).fetchall()}
+    got = {r[0]: tuple(r)[1:] for r in surveyed.segment_entries(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-4) for k in want)
+    tied = [(0, 5, 1, 0.6, 0.0, 0.8), (0, 5, 1, -0.8, 0.0, -0.6), (0, 6, 1, 0.0, 1.0, 0.0)]
+    frame = lambda r: spark.createDataFrame(r, "net int, id long, seg_id int, nx double, ny double, nz double").coalesce(1)
+    told = lambda r: [(x.nx, x.ny, x.nz) for x in evidence.segments(frame(r)).collect()]
+    assert told(tied) == told(tied[::-1])
