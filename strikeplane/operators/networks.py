@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles
@@ -97,6 +97,37 @@ def components(discs: DataFrame, edges: DataFrame) -> DataFrame:
     return discs.select("net", "id").join(labels, ["net", "id"], "left").select("net", "id", F.coalesce("component", "id").alias("component"))
 
 
+def linked(discs: DataFrame, largest: float) -> DataFrame:
+    """components() of discs (net, id, px, py, pz, radius) by their overlaps, as disc_edges() finds them, without the table of all overlaps.
+
+    Discs at one place overlap and the widest of them reaches all that the others reach, so a place is one disc. Discs
+    of radius r or more whose places share a cell of diagonal below 2 r overlap too: places of like radius form clumps
+    by such cells, and only which clumps meet is kept. What is shuffled so grows with places and with pairs of clumps,
+    of which a volume holds so many, not with pairs of discs. Discs without radius (0 or less) stay alone.
+    """
+    keys = ["net", "px", "py", "pz", "__own"]
+    apart = F.when(F.col("radius") > 0, F.lit("")).otherwise(F.col("id").cast("string"))
+    flat = discs.select("net", "id", "px", "py", "pz", "radius", apart.alias("__own"))
+    places = flat.dropna(subset=["net", "px", "py", "pz", "radius"]).groupBy(*keys).agg(F.min("id").alias("id"), F.max("radius").alias("radius"))
+    least = F.pow(F.lit(2.0), F.floor(F.log2("radius")))
+    side = least * (2 / math.sqrt(3) * (1 - 1e-6))  # floors of places up to 2**30 cells away are sure to this
+    # a logarithm may round up to the next class; places too far out for such cells are clumps of their own
+    fine = (F.col("radius") > 0) & (least <= F.col("radius"))
+    for c in ("px", "py", "pz"):
+        fine &= F.abs(F.col(c)) < side * 2.0**30
+    alone = F.when(fine, F.lit("")).otherwise(F.col("id").cast("string"))
+    clump = ["net", "__least", "__x", "__y", "__z", "__alone"]
+    celled = places.withColumns({"__least": F.when(fine, least).otherwise(0.0), "__alone": alone} | {f"__{c}": F.when(fine, F.floor(F.col(f"p{c}") / side)).otherwise(F.lit(0)) for c in "xyz"})
+    placed = written(celled.withColumn("node", F.min("id").over(Window.partitionBy(*clump))).select(*keys, "id", "radius", "node"), "disc-places")
+    name = lambda c: F.struct("node", "id").alias(c)
+    met = disc_edges(placed.select("net", name("id"), "px", "py", "pz", "radius"), largest)
+    pairs = met.select("net", F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).filter("a < b").distinct()
+    nodes = placed.select("net", F.col("node").alias("id")).distinct()
+    labels = written(components(nodes, pairs), "disc-clumps")
+    of_place = placed.select(*keys, "node").join(labels.withColumnRenamed("id", "node"), ["net", "node"])
+    return flat.join(of_place, keys, "left").select("net", "id", F.coalesce("component", "id").alias("component"))
+
+
 def component_sizes(discs: DataFrame, labels: DataFrame, domain: tuple[float, float, float]) -> DataFrame:
     """(net, component, n, spans, spans_y, spans_z): a component spans an axis if it has two discs or more and centers in both outer tenths of it."""
     both = discs.join(labels, ["net", "id"])
@@ -133,6 +164,6 @@ def percolation(spark: SparkSession, sets: DataFrame, intensities: list[float],
     """(p32, p_conn, mean_share): the share of seeds whose network spans the domain, for each intensity."""
     runs = spark.createDataFrame([(i * seeds + s, float(p), s) for i, p in enumerate(intensities) for s in range(seeds)], "net long, p32 double, seed int")
     discs = written(generate(spark, sets, runs, domain, beta, r_min, r_max), "discs")
-    labels = components(discs, disc_edges(discs.select("net", "id", "px", "py", "pz", "radius"), r_max))
+    labels = linked(discs, r_max)
     found = connectivity(discs, labels, domain)
     return runs.join(found, "net", "left").groupBy("p32").agg(F.avg(F.coalesce(F.col("spans"), F.lit(False)).cast("double")).alias("p_conn"), F.avg(F.coalesce("largest_share", F.lit(0.0))).alias("mean_share"))
