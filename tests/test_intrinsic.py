@@ -188,3 +188,28 @@ def test_ensemble_on_observed_sets(spark):
         if f is not predict.global_median_direction:
             assert told[0].e < 8
     assert aggregates.bootstrap_cone.__doc__
+
+
+def test_large_groups_are_resampled_in_parts(spark, monkeypatch):
+    """A group in parts has the cone of the group whole, a null key is a group, and small groups leave no sums."""
+    rng = np.random.default_rng(3)
+    v = np.array([0.0, 0.0, 1.0]) + rng.normal(0, 0.2, (90, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [("a" if i < 60 else "b" if i < 80 else None, i, *map(float, x), 0.0, 0.0, 1.0) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "net string, row_id long, nx double, ny double, nz double, mx double, my double, mz double").repartition(5)
+    told = lambda: {r.net: (r.n, r.cone, r.low, r.high) for r in means.resampled(df, ["net"], 100).collect()}
+    whole = told()
+    monkeypatch.setattr(means, "_PART", 25)
+    parts = told()
+    assert {k: x[0] for k, x in whole.items()} == {"a": 60, "b": 20, None: 10}
+    assert {k: pytest.approx(x) for k, x in whole.items()} == parts
+
+
+def test_scores_of_a_grid_make_no_row_for_each_model(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(v)], "net int, id long, nx double, ny double, nz double")
+    found = clusters.nested_starts(df, (2, 3, 4))
+    plan = clusters.grid_scores(df, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
