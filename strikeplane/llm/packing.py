@@ -27,6 +27,13 @@ from .shared import materialize, with_row_key
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: The runs that a byte-level vocabulary splits a text into, and what keeps a text from being split by them here:
+#: characters whose class Python's patterns and the vocabulary's don't share. Longer texts are cut at spaces.
+_RUN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_OTHER = re.compile(r"[^\x00-\x1b\x20-\u024f]|[\xb2\xb3\xb9\xbc-\xbe]")
+_WHOLE = 1 << 20
+
+
 class _Unsafe(Exception):
     pass
 
@@ -49,7 +56,7 @@ class Encoder:
     before it. So a text may be cut before a single space between two other characters and its parts encoded
     alone: parts repeat, and those of up to 64 characters are kept, `cached` of them at most. It also bounds
     the memory that a very long text takes. A part of Latin letters alone is one run, which the vocabulary's
-    model takes as it is.
+    model takes as it is. A text of Latin letters, digits and signs is split into its runs at once, each of which is kept.
     """
 
     def __init__(self, path: str, cached: int = 400_000):
@@ -63,8 +70,16 @@ class Encoder:
             raise ValueError("texts can be cut at spaces for a plain byte-level vocabulary only")
         self.model, self.cached, self.letters = self.tokenizer.model, cached, _byte_letters()
         self.signs: dict[str, bytes] = {}
+        self.added = [t["content"] for t in form.get("added_tokens") or []]
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         outer = self
 
+        class Runs(dict):
+            def __missing__(self, run: str) -> bytes:
+                return outer.remember_run(self, run)
+
+        self.runs: dict[str, bytes] = Runs()
+
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
                 return outer.remember(self, part)
@@ -97,7 +112,17 @@ class Encoder:
             where[part] = ids
         return ids
 
+    def remember_run(self, where: dict, run: str) -> bytes:
+        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))])
+        if len(run) <= 64:
+            if len(where) >= self.cached:
+                where.clear()
+            where[run] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
+        if len(text) <= _WHOLE and not _OTHER.search(text) and not any(t in text for t in self.added):
+            return b"".join(map(self.runs.__getitem__, _RUN.findall(text)))
         first, *rest = text.split(" ")
         if not rest:
             return self.raw(first)
