@@ -27,21 +27,24 @@ def numbered_lines(spark: SparkSession, path: str | list[str], encoding: str | N
     """Lines (file, name, place, value) and files (file, name, lines, plain, head) of a text file or a folder of them.
 
     place counts all lines of a file from 0. Files are read in splits: lines are counted for each block first, and a
-    line's place is what lies in blocks before it and its rank in its own block; blocks are of bounded size, so no
-    task holds a file. A file that is no UTF-8 as a whole is read as FALLBACK, and fails if it isn't that either;
+    line's place is what lies in blocks before it and how far it is behind the first of its own block, which one task
+    reads in order; so lines are neither shuffled nor sorted, and a task holds none. A file that is no UTF-8 as a whole is read as FALLBACK, and fails if it isn't that either;
     a given encoding is that of all files. head is the bytes of the first line; a file without lines has no row.
     """
     meta = F.col("_metadata")
     raw = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_name"].alias("name"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("seen"), "value")
-    head = F.min(F.when(F.col("block") == 0, F.struct("seen", F.col("value").cast("binary").alias("value"))))
-    blocks = written(raw.groupBy("file", "name", "block").agg(F.count("*").alias("n"), head.alias("head"), F.bool_and(F.is_valid_utf8("value")).alias("plain")), "log-blocks")
-    files = blocks.groupBy("file", "name").agg(F.sum("n").alias("lines"), F.bool_and("plain").alias("plain"), F.min("head").alias("head")).select("file", "name", "lines", "plain", F.col("head.value").alias("head"))
-    files = written(files, "log-files")
+    blocks = written(raw.groupBy("file", "name", "block").agg(F.count("*").alias("n"), F.min("seen").alias("first"), F.max("seen").alias("last"), F.bool_and(F.is_valid_utf8("value")).alias("plain")), "log-blocks")
+    files = blocks.groupBy("file", "name").agg(F.sum("n").alias("lines"), F.bool_and("plain").alias("plain"))
+    # a smallest line as an aggregate would sort all lines of a task; the first is looked up by its number
+    starts = blocks.filter("block = 0").select("file", F.col("first").alias("seen"))
+    heads = raw.filter("block = 0").join(starts, ["file", "seen"]).select("file", F.col("value").cast("binary").alias("head"))
+    files = written(files.join(heads, "file", "left"), "log-files")
     ordered = Window.partitionBy("file").orderBy("block")
-    before = blocks.select("file", "block", (F.sum("n").over(ordered) - F.col("n")).alias("before")).join(files.select("file", "plain"), "file")
-    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("seen"))
-    lines = raw.withColumn("rank", rank).join(before, ["file", "block"]).withColumn("place", (F.col("before") + F.col("rank") - 1).cast("long"))
-    as_is = lines.filter("plain") if encoding is None else lines.limit(0)
+    before = blocks.select("file", "block", "first", "last", (F.sum("n").over(ordered) - F.col("n")).alias("before")).join(files.select("file", "plain"), "file")
+    # both readings must have split the files alike
+    rank = F.when(F.col("seen").between(F.col("first"), F.col("last")), F.col("seen") - F.col("first")).otherwise(F.raise_error(F.lit("files were split in another way the second time")).cast("long"))
+    lines = raw.join(before, ["file", "block"], "left").withColumn("place", (F.col("before") + rank).cast("long"))
+    as_is = lines.filter(F.coalesce("plain", F.lit(True))) if encoding is None else lines.limit(0)
     out = as_is.select("file", "name", "place", F.regexp_replace("value", "^﻿", "").alias("value"))
     if encoding is not None or not files.filter("not plain").isEmpty():
 

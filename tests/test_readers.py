@@ -94,3 +94,21 @@ def test_workbook_order_and_places(spark, tmp_path):
         z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {space}><sheetData>{row(2, 'id', 'depth', 'dip', 'azimuth')}{row(3, 1, 10, 20, 30)}<row r=\"4\"/>{row(6, 2, 11, 21, 31)}</sheetData></worksheet>")
     got = sorted(map(tuple, workbooks.read_workbooks(spark, str(tmp_path)).collect()))
     assert got == [("w", 0, 10.0, 20.0, 30.0), ("w", 3, 11.0, 21.0, 31.0)]
+
+
+def test_lines_are_numbered_without_a_sort(spark, tmp_path):
+    """A window over a block's lines, and a smallest line as an aggregate, sorted all lines of a task."""
+    from strikeplane.sources import lines as source
+
+    for name, n in (("a.csv", 500), ("b.csv", 3), ("c.csv", 900)):
+        (tmp_path / name).write_text("".join(f"{name},{i},é\n" for i in range(n)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines, files = source.numbered_lines(spark, str(tmp_path))
+        got = sorted((r.name, r.place, r.value) for r in lines.collect())
+        assert got == sorted((name, i, f"{name},{i},é") for name, n in (("a.csv", 500), ("b.csv", 3), ("c.csv", 900)) for i in range(n))
+        assert {r.name: (r.lines, bytes(r.head).decode()) for r in files.collect()} == {f"{x}.csv": (n, f"{x}.csv,0,é") for x, n in (("a", 500), ("b", 3), ("c", 900))}
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "row_number" not in plan and "SortMergeJoin" not in plan  # blocks are ordered, lines are not
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
