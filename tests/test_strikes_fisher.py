@@ -35,3 +35,13 @@ def test_fisher_concentrations(spark):
         assert got[g].kappa == pytest.approx(kappa, rel=0.06) and got[g].mz > 0.99
         assert 1 / np.tanh(got[g].kappa * 1.000625) - 1 / (got[g].kappa * 1.000625) == pytest.approx(got[g].r, abs=1e-6)
     assert (got[7].kappa, got[7].mz, got[8].kappa) == (0.0, 1.0, 0.0) and 9 not in got
+
+
+def test_many_nets_are_ordered_by_more_tasks(spark, monkeypatch):
+    """A task ordered its share of all rows, however many there were; the rows drawn stay the same."""
+    rows = spark.range(6000).selectExpr("id % 40 AS net", "id")
+    want = sorted(map(tuple, clusters.few_by_hash(rows, 10).select("net", "id", "r").collect()))
+    monkeypatch.setattr(clusters, "_ORDERED", 100)
+    drawn = clusters.few_by_hash(rows, 10).select("net", "id", "r")
+    assert "hashpartitioning(net" in (plan := drawn._jdf.queryExecution().executedPlan().toString()) and ", 16), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, drawn.collect())) == want and len(want) == 400
