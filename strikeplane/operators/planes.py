@@ -16,7 +16,9 @@ _AXES = ("xx", "xy", "xz", "yy", "yz", "zz")
 #: Points of one part of a cloud; planes meet the points part by part, so a large cloud is many tasks.
 _PART = 65536
 #: Points that meet all tries at once in a task.
-_CHUNK = 4096
+_CHUNK = 512
+#: Points of least hash among which the corner of a try is looked for, on average.
+_DRAWN = 64
 
 
 def least_inliers(n: Column, wanted: int) -> Column:
@@ -34,16 +36,19 @@ def _spread(planes: DataFrame, clouds: DataFrame) -> DataFrame:
     return planes.join(clouds.select("net", "parts"), "net").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
-def _proposals(left: DataFrame, tries: int, seed: int) -> DataFrame:
+def _proposals(left: DataFrame, sizes: DataFrame, tries: int, seed: int) -> DataFrame:
     """(net, h, plane): for each cloud up to `tries` planes through three of its points that no plane holds yet.
 
     Each corner of try h is the point of least hash among those whose hash falls to h, so three points of every try
-    are drawn by one aggregation over all points left. Points in one line make no plane.
+    are drawn by one aggregation. It sorts its points, so of a large cloud only those come to it whose hash is among
+    the least: _DRAWN of a try on average, and none with odds of exp(-_DRAWN). sizes has net and m, the points left.
+    Points in one line make no plane.
     """
-    drawn = None
+    drawn, known = None, left.join(sizes, "net")
+    limit = -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(float(_DRAWN * tries)) / F.col("m"))
     for corner in range(3):
         key = F.xxhash64("id", F.lit(seed), F.lit(corner))
-        one = left.groupBy("net", F.pmod(key, F.lit(tries)).cast("int").alias("h")).agg(F.min_by(F.struct("px", "py", "pz"), F.struct(key.alias("key"), F.col("id"))).alias(f"c{corner}"))
+        one = known.filter(key.cast("double") <= limit).groupBy("net", F.pmod(key, F.lit(tries)).cast("int").alias("h")).agg(F.min_by(F.struct("px", "py", "pz"), F.struct(key.alias("key"), F.col("id"))).alias(f"c{corner}"))
         drawn = one if drawn is None else drawn.join(one, ["net", "h"])
     edge = lambda i: tuple(F.col(f"c{i}.p{c}") - F.col(f"c0.p{c}") for c in "xyz")
     normal = angles.cross(edge(1), edge(2))
@@ -69,12 +74,19 @@ def _inliers(points: DataFrame, tried: DataFrame, clouds: DataFrame) -> DataFram
 
     def count(part: pd.DataFrame, planes: pd.DataFrame) -> pd.DataFrame:
         n = np.zeros(len(planes), dtype=np.int64)
+        places, tol = [part[f"p{c}"].to_numpy() for c in "xyz"], part["tol"].to_numpy()
+        at, up = ([planes[f"{k}{c}"].to_numpy() for c in "xyz"] for k in "au")
+        room, less = np.empty((2, _CHUNK, len(planes))), np.empty((_CHUNK, len(planes)), dtype=bool)
         for first in range(0, len(part) if len(planes) else 0, _CHUNK):
-            some = part.iloc[first : first + _CHUNK]
-            off = np.zeros((len(some), len(planes)))
-            for c in "xyz":
-                off += (some[f"p{c}"].to_numpy()[:, None] - planes[f"a{c}"].to_numpy()) * planes[f"u{c}"].to_numpy()
-            n += (np.abs(off) < some["tol"].to_numpy()[:, None]).sum(0)
+            rows = slice(first, min(first + _CHUNK, len(part)))
+            (x, off), near = room[:, : rows.stop - first], less[: rows.stop - first]  # arrays are kept, as new ones cost more than the sums
+            off[:] = 0.0
+            for p, a, u in zip(places, at, up):
+                np.subtract(p[rows, None], a, out=x)
+                x *= u
+                off += x
+            np.less(np.abs(off, out=off), tol[rows, None], out=near)
+            n += np.count_nonzero(near, axis=0)
         return pd.DataFrame({"net": planes["net"], "h": planes["h"], "n": n})[n > 0]
 
     kinds = {f.name: f.dataType.simpleString() for f in tried.schema}
@@ -119,9 +131,10 @@ def ransac_planes(rows: DataFrame, tolerance: float | None = None, scale: float
     points = written(places.join(clouds.select("net", "parts", "tol"), "net").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts").repartition(tasks, "id"), "cloud-points")
     left, found, held = points, None, None
     for i in range(most):
-        tried = written(_proposals(left, tries, seed + i), "proposals")
+        sizes = written(left.groupBy("net").agg(F.count("*").alias("m")), "cloud-sizes")
+        tried = written(_proposals(left, sizes, tries, seed + i), "proposals")
         counts = _inliers(left, tried, clouds)
-        enough = left.groupBy("net").agg(F.count("*").alias("m")).join(clouds.select("net", "need"), "net").filter("m > greatest(50, need)")
+        enough = sizes.join(clouds.select("net", "need"), "net").filter("m > greatest(50, need)")
         best = counts.groupBy("net").agg(F.max(F.struct("n", (-F.col("h")).alias("o"))).alias("b")).select("net", F.col("b.n").alias("n"), (-F.col("b.o")).alias("h"))
         won = written(best.join(enough, "net").filter("n >= need").join(tried, ["net", "h"]).select("net", *_PLANE), "won")
         if won.isEmpty():

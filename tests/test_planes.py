@@ -96,3 +96,15 @@ def test_wells_of_a_site_share_sets_and_hidden_rows_do_not_move_them(spark):
     changed = df.withColumns({c: F.when(F.col("is_obs"), F.col(c)).otherwise(F.lit(x)) for c, x in (("nx", 0.6), ("ny", 0.0), ("nz", 0.8))})
     of = lambda x: {(r.net, r.id): r.set_id for r in clusters.observed_sets(x, 2, tries=4).filter("is_obs").collect()}
     assert of(df) == of(changed)
+
+
+def test_tries_are_drawn_from_the_points_of_least_hash(spark, monkeypatch):
+    """All points left were sorted three times a round; those that can't be drawn are left out, and the tries stay the same."""
+    rng = random.Random(4)
+    df = spark.createDataFrame(sheet(rng, "a", 0, 4000, (1, 2, 3), 1) + sheet(rng, "b", 0, 50, (0, 0, 1), 0), PLACE)
+    sizes = df.groupBy("net").agg(F.count("*").alias("m"))
+    drawn = planes._proposals(df, sizes, 3, 7)
+    got = sorted(map(tuple, drawn.collect()))
+    monkeypatch.setattr(planes, "_DRAWN", 1e9)
+    assert got == sorted(map(tuple, planes._proposals(df, sizes, 3, 7).collect()))
+    assert [r[1] for r in got if r[0] == "a"] == [0, 1, 2]  # a try of few points may draw one twice
