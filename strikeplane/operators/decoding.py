@@ -113,6 +113,6 @@ def reassigned(placed: DataFrame, by: str = "well", rounds: int = 40) -> DataFra
     means = sums.select("net", "set_id", F.struct(*(u.alias(c) for u, c in zip(angles.unit(angles.vector("s"), 0.0), "xyz"))).alias("c"))
     ordered = means.groupBy("net").agg(F.array_sort(F.collect_list(F.struct("set_id", "c"))).alias("a"))
     ordered = written(ordered, "reassign-sets")
-    centers = lloyd(net, ordered.select("net", F.transform("a", lambda x: x["c"]).alias("centers")), rounds, "w", settle=True)
+    centers = lloyd(net, ordered.select("net", F.transform("a", lambda x: x["c"]).alias("centers")), rounds, "w")
     told = labelled(net.withColumnRenamed("set_id", "__old"), centers).drop("similarities", "similarity").join(ordered.select("net", F.transform("a", lambda x: x["set_id"]).alias("__ids")), "net")
     return told.withColumn("new_set_id", F.get("__ids", F.col("set_id"))).drop("set_id", "__ids").withColumnsRenamed({"__old": "set_id", "net": by})
