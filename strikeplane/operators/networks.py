@@ -7,6 +7,7 @@ the work spreads over the cluster by net and by grid cell.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,31 +52,50 @@ def fisher_direction(u: Column, v: Column, kappa: Column, mean: angles.Vector) -
     return tuple(w * mean[i] + s * (F.cos(a) * e1[i] + F.sin(a) * e2[i]) for i in range(3))  # type: ignore[return-value]
 
 
-def generate(spark: SparkSession, sets: DataFrame, runs: DataFrame, domain: tuple[float, float, float], beta: float = 3.5, r_min: float = 0.5, r_max: float = 2.5, largest_n: int = 20_000) -> DataFrame:
+def dealt(n: Column, shares: list[float], pick: Callable[[Column], Column]) -> Column:
+    """Array of how many of n discs each set has: its share, rounded to the even one of halves.
+
+    While they are too few, a set that pick (a number below 1 for each missing disc) draws has one more; while they are
+    too many, the first of the largest has one less.
+    """
+    rounded = F.array(*(F.bround(n * F.lit(float(share))).cast("long") for share in shares))
+    off = n - F.aggregate(rounded, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def changed(counts: Column, j: Column) -> Column:
+        at = F.when(off > 0, F.floor(pick(j) * len(shares)).cast("int")).otherwise((F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
+        return F.transform(counts, lambda c, i: c + F.when(i == at, F.signum(off).cast("long")).otherwise(F.lit(0).cast("long")))
+
+    steps = F.when(off == 0, F.array().cast("array<long>")).otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.abs(off), F.lit(1).cast("long"))))
+    return F.aggregate(steps, rounded, changed)
+
+
+def generate(spark: SparkSession, sets: DataFrame, runs: DataFrame, domain: tuple[float, float, float], beta: float = 3.5, r_min: float = 0.5, r_max: float = 2.5, largest_n: int = 20_000, least_n: int = 0) -> DataFrame:
     """Discs (net, p32, seed, id, px, py, pz, nx, ny, nz, radius, set_id) of realizations runs (net, p32, seed).
 
     sets is a set table (set_id, mx, my, mz, kappa, proportion), few rows. A run has p32 * volume / (pi * E[r^2])
-    discs of uniform centers; one of more than largest_n fails. Every number follows from run, disc and purpose.
+    discs of uniform centers, least_n or more where p32 is above 0, and each set its share of them; one of more than
+    largest_n fails. Every number follows from run, disc and purpose.
     """
     volume = domain[0] * domain[1] * domain[2]
     per = volume / (math.pi * mean_square_radius(beta, r_min, r_max))
-    wanted = F.round(F.col("p32") * per)
+    wanted = F.when(F.col("p32") > 0, F.greatest(F.lit(float(least_n)), F.bround(F.col("p32") * per))).otherwise(0.0)
     n = F.when(wanted <= largest_n, wanted.cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"a network may have {largest_n} discs, not "), wanted.cast("string"))).cast("int"))
-    ids = runs.withColumn("n", n).filter("n > 0").withColumn("id", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     table = sets.select("set_id", "proportion", "mx", "my", "mz", "kappa").orderBy("set_id").collect()  # a few rows by its contract
     if not table:
         raise ValueError("a network needs a set table with at least one set")
-    listed = F.array(*(F.struct(F.lit(int(r["set_id"])).alias("set_id"), *(F.lit(float(r[c])).alias(c) for c in ("proportion", "mx", "my", "mz", "kappa"))) for r in table))
-    drawn = ids.withColumn("sets", listed)
+    listed = F.array(*(F.struct(F.lit(int(r["set_id"])).alias("set_id"), *(F.lit(float(r[c])).alias(c) for c in ("mx", "my", "mz", "kappa"))) for r in table))
+    counts = dealt(F.col("n").cast("long"), [r["proportion"] for r in table], lambda j: uniform(F.col("seed"), F.col("p32"), j, F.lit("more")))
+    sized = runs.withColumn("n", n).filter("n > 0").withColumn("counts", counts)
+    ids = sized.withColumn("id", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     key = lambda what: uniform(F.col("seed"), F.col("p32"), F.col("id"), F.lit(what))
-    pick = key("set")
+    # discs of a set follow those of the set before
     chosen = F.aggregate(
-        F.col("sets"),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(0).alias("i")),
-        lambda s, x: F.struct((s["sum"] + x["proportion"]).alias("sum"), F.when((s["at"] < 0) & (s["sum"] + x["proportion"] >= pick), s["i"]).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i")),
-        lambda s: F.when(s["at"] < 0, s["i"] - 1).otherwise(s["at"]),
+        F.col("counts"),
+        F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at")),
+        lambda s, c: F.struct((s["sum"] + c).alias("sum"), F.when(F.col("id") >= s["sum"] + c, s["at"] + 1).otherwise(s["at"]).alias("at")),
+        lambda s: s["at"],
     )
-    placed = drawn.withColumn("s", F.get(F.col("sets"), chosen)).drop("sets")
+    placed = ids.withColumn("s", F.get(listed, chosen)).drop("counts")
     mean = tuple(F.col(f"s.m{c}") for c in "xyz")
     direction = fisher_direction(key("tilt"), key("turn"), F.col("s.kappa"), mean)
     return placed.select(
@@ -160,10 +180,39 @@ def dominant_direction(discs: DataFrame, labels: DataFrame) -> DataFrame:
     return sums.select("net", *(u.alias(c) for u, c in zip(angles.unit(angles.vector("s"), 1e-12), ("mx", "my", "mz"))))
 
 
-def percolation(spark: SparkSession, sets: DataFrame, intensities: list[float], seeds: int, domain: tuple[float, float, float], beta: float = 3.5, r_min: float = 0.5, r_max: float = 2.5) -> DataFrame:
-    """(p32, p_conn, mean_share): the share of seeds whose network spans the domain, for each intensity."""
-    runs = spark.createDataFrame([(i * seeds + s, float(p), s) for i, p in enumerate(intensities) for s in range(seeds)], "net long, p32 double, seed int")
-    discs = written(generate(spark, sets, runs, domain, beta, r_min, r_max), "discs")
-    labels = linked(discs, r_max)
+def threshold(curve: Column, target: float) -> Column:
+    """Where a curve, an array of struct(x, y) by rising x, first goes from target or below to target or above, by linear interpolation.
+
+    One that stays below gives its last x, one that stays above its first, and one that only falls through target the
+    x in its middle.
+    """
+    y = F.transform(curve, lambda p: p["y"])
+    steps = F.zip_with(F.slice(curve, F.lit(1), F.greatest(F.size(curve) - 1, F.lit(0))), F.slice(curve, 2, F.size(curve)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    up = F.get(F.filter(steps, lambda s: (s["a"]["y"] <= target) & (s["b"]["y"] >= target)), F.lit(0))
+    at = up["a"]["x"] + (target - up["a"]["y"]) / (up["b"]["y"] - up["a"]["y"] + 1e-12) * (up["b"]["x"] - up["a"]["x"])
+    x = lambda i: F.get(curve, i)["x"]
+    return F.when(F.array_max(y) < target, x(F.size(curve) - 1)).when(F.array_min(y) > target, x(F.lit(0))).otherwise(F.coalesce(at, x(F.floor(F.size(curve) / 2).cast("int"))))
+
+
+#: Columns of the critical intensities and the shares of spanning networks they stand for.
+CRITICAL = {"p32_crit": 0.5, "p32_crit_lower": 0.1, "p32_crit_upper": 0.9}
+
+
+def percolation(
+    spark: SparkSession, sets: DataFrame, intensities: list[float], seeds: int, domain: tuple[float, float, float], beta: float = 3.5, r_min: float = 0.5, r_max: float = 2.5, axis: int = 0, periodic: bool = False, least_n: int = 200,
+) -> DataFrame:
+    """(p32, p_conn, mean_share, p32_crit, p32_crit_lower, p32_crit_upper): the percolation curve and its thresholds.
+
+    p_conn is the share of seeds whose network spans the domain along an axis, for each intensity; the critical
+    intensities, the same in every row, are where it reaches 0.5, 0.1 and 0.9, as threshold() finds them. A network has
+    least_n discs or more. With periodic, discs also meet through the walls.
+    """
+    runs = spark.createDataFrame([(i * seeds + s, float(p), s) for i, p in enumerate(sorted(intensities)) for s in range(seeds)], "net long, p32 double, seed int")
+    discs = written(generate(spark, sets, runs, domain, beta, r_min, r_max, least_n=least_n), "discs")
+    labels = components(discs, disc_edges(discs, r_max, domain)) if periodic else linked(discs, r_max)
     found = connectivity(discs, labels, domain)
-    return runs.join(found, "net", "left").groupBy("p32").agg(F.avg(F.coalesce(F.col("spans"), F.lit(False)).cast("double")).alias("p_conn"), F.avg(F.coalesce("largest_share", F.lit(0.0))).alias("mean_share"))
+    spans = F.coalesce(F.col(("spans", "spans_y", "spans_z")[axis]), F.lit(False)).cast("double")
+    curve = written(runs.join(found, "net", "left").groupBy("p32").agg(F.avg(spans).alias("p_conn"), F.avg(F.coalesce("largest_share", F.lit(0.0))).alias("mean_share")), "percolation")
+    listed = curve.agg(F.array_sort(F.collect_list(F.struct(F.col("p32").alias("x"), F.col("p_conn").alias("y")))).alias("curve"))
+    told = listed.select(*(threshold(F.col("curve"), at).alias(name) for name, at in CRITICAL.items()))
+    return curve.crossJoin(F.broadcast(told))
