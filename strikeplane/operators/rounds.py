@@ -114,22 +114,14 @@ def _starts(models: dict[int, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, each).select("net", "m", "i", *(F.col(f"c.{c}").cast("double").alias(c) for c in "xyz"), F.lit(0.0).alias("w"))
 
 
-def _nets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, np.ndarray, np.ndarray, Models]]:
-    """(net, x, w, models) of each net that rows sorted by net, m and i bring together; a net without starts is left out."""
+def _together(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Scalar, list[np.ndarray]]]:
+    """(net, columns) of each net whose rows lie one after the other."""
     name, held = None, []
-
-    def told() -> Iterator[tuple[pa.Scalar, np.ndarray, np.ndarray, Models]]:
-        m, v, w = (np.concatenate(a) for a in zip(*held))
-        models = {int(k): v[m == k] for k in np.unique(m[m >= 0])}
-        if models:
-            yield name, v[m < 0], w[m < 0], models
-
     for batch in batches:
         if not batch.num_rows:
             continue
         net = batch.column("net")
-        m, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "w"))
-        v = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+        arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
         try:
             turns = pc.not_equal(net[1:], net[:-1]).to_numpy(zero_copy_only=False)
         except pa.ArrowNotImplementedError:  # structs and lists
@@ -138,12 +130,56 @@ def _nets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, np.nda
         at = [0, *(np.flatnonzero(turns) + 1), batch.num_rows]
         for a, b in zip(at, at[1:]):
             if held and net[a].as_py() != name.as_py():
-                yield from told()
+                yield name, [np.concatenate(c) for c in zip(*held)]
                 held = []
             name = net[a]
-            held.append((m[a:b], v[a:b], w[a:b]))
+            held.append([c[a:b] for c in arrays])
     if held:
-        yield from told()
+        yield name, [np.concatenate(c) for c in zip(*held)]
+
+
+def _nets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, np.ndarray, np.ndarray, Models]]:
+    """(net, x, w, models) of each net that rows sorted by net, m and i bring together; a net without starts is left out."""
+    for name, (m, x, y, z, w) in _together(batches, ("m", "x", "y", "z", "w")):
+        v = np.stack([x, y, z], axis=1)
+        models = {int(k): v[m == k] for k in np.unique(m[m >= 0])}
+        if models:
+            yield name, v[m < 0], w[m < 0], models
+
+
+def _batch(rows: list[tuple], kinds: list[list[str]]) -> pa.RecordBatch:
+    """A batch of rows (net, values) whose values are of the kinds told."""
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), CENTERS: pa.list_(pa.struct([(c, pa.float64()) for c in "xyz"]))}
+    nets = pa.array([net.as_py() for net, _ in rows], type=rows[0][0].type)
+    columns = zip(*(r for _, r in rows))
+    return pa.RecordBatch.from_arrays([nets, *(pa.array(c, type=types[t]) for c, (_, t) in zip(columns, kinds))], names=["net", *(n for n, _ in kinds)])
+
+
+def _listed(centers: np.ndarray) -> list[dict[str, float]]:
+    return [dict(zip("xyz", map(float, p))) for p in centers]
+
+
+def farthest_first(sorted_rows: DataFrame, k: int, pool: int) -> DataFrame:
+    """(net, centers): the first of each net's rows (net, x, y, z, those of a net one after the other), then the farthest from those before, out of the first `pool`; the first of equals."""
+    kinds = [["centers", CENTERS]]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for net, v in _together(batches, ("x", "y", "z")):
+            x, y, z = (c[:pool] for c in v)
+            at, near = [0], np.zeros(len(x))
+            while len(at) < min(k, len(x)):
+                c = at[-1]
+                near = np.maximum(near, np.abs(x * x[c] + y * y[c] + z * z[c]))
+                at.append(int(near.argmin()))
+            out.append((net, (_listed(np.stack([x[at], y[at], z[at]], axis=1)),)))
+            if len(out) >= 4096:
+                yield _batch(out, kinds)
+                out = []
+        if out:
+            yield _batch(out, kinds)
+
+    return sorted_rows.mapInArrow(solve, f"net {sorted_rows.schema['net'].dataType.simpleString()}, centers {CENTERS}")
 
 
 class Grid:
@@ -180,20 +216,13 @@ class Grid:
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
-
-            def batch() -> pa.RecordBatch:
-                columns = list(zip(*(r for _, r in out)))
-                nets = pa.array([net.as_py() for net, _ in out], type=out[0][0].type)
-                types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), CENTERS: pa.list_(pa.struct([(c, pa.float64()) for c in "xyz"]))}
-                return pa.RecordBatch.from_arrays([nets, *(pa.array(c, type=types[t]) for c, (_, t) in zip(columns, kinds))], names=["net", *(n for n, _ in kinds)])
-
             for net, x, w, found in _nets(batches):
                 out += [(net, r) for r in do(x, w, found)]
                 if len(out) >= 4096:
-                    yield batch()
+                    yield _batch(out, kinds)
                     out = []
             if out:
-                yield batch()
+                yield _batch(out, kinds)
 
         return met.mapInArrow(solve, ", ".join([f"net {self.net.simpleString()}", *(f"{n} {t}" for n, t in kinds)]))
 
@@ -241,7 +270,7 @@ def lloyd(rows: DataFrame, starts: dict[int, DataFrame], rounds: int, weight: st
             before, models = models, moved(models, sums(x, w, models))
             if same(before, models):
                 break
-        return [(m, [dict(zip("xyz", map(float, p))) for p in c]) for m, c in models.items()]
+        return [(m, _listed(c)) for m, c in models.items()]
 
     found = written(grid.whole(starts, whole, f"m int; centers {CENTERS}"), "grid-centers")
     if grid.large:

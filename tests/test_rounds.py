@@ -73,3 +73,24 @@ def test_a_grid_of_many_k_is_planned_at_once(spark):
     clusters.choose_k(df.filter("nx is not null and net is not null"), 2, 12, 12).collect()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(tracker.getJobIdsForGroup(group)) < 40
+
+
+def test_starts_are_found_over_rows_alone(spark):
+    """The farthest-first rows of each net, by plain numpy, also of nets smaller than k; no list of rows is made in the plan."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(0 if i < 280 else i // 7, i, *map(float, v)) for i, v in enumerate(x)] + [(0, 500, None, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "net int, id long, nx double, ny double, nz double").repartition(4)
+    found = clusters.starting_centers(df, 4, pool=64)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    drawn = {}
+    for r in clusters.few_by_hash(df.filter("nx is not null"), 64).orderBy("net", "r").collect():
+        drawn.setdefault(r.net, []).append((r.nx, r.ny, r.nz))
+    got = {r.net: np.array([tuple(c) for c in r.centers]) for r in found.collect()}
+    assert got.keys() == drawn.keys() and len(got) == 4
+    for net, pool in drawn.items():
+        p, at = np.array(pool), [0]
+        while len(at) < min(4, len(p)):
+            at.append(int(np.abs(p @ p[at].T).max(axis=1).argmin()))
+        assert got[net] == pytest.approx(p[at])
